@@ -4,6 +4,7 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, functions as F
 
+from .let import let
 from .fixed import (
     ENTITY_TYPES,
     NIK_PLACEHOLDER,
@@ -13,10 +14,6 @@ from .fixed import (
 )
 
 
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def token_is_nik(token) -> Column:
     return F.rlike(token, F.lit(NIK_TOKEN))
 
@@ -35,10 +32,8 @@ def any_entity(labels) -> Column:
 
 def any_begin_hit(truth, pred) -> Column:
     """Some position where the true label begins an entity and the prediction equals it."""
-    pred = _col(pred)
     return F.exists(
-        F.transform(truth, lambda t, i: t.startswith("B-") & F.coalesce(F.get(pred, i) == t, F.lit(False))),
-        lambda hit: hit,
+        align_labels(truth, pred), lambda p: p["a"].startswith("B-") & (p["a"] == p["b"])
     )
 
 
@@ -52,27 +47,22 @@ def entity_tokens(tokens, labels) -> Column:
 
 def align_labels(truth, pred) -> Column:
     """Label pairs by position, up to the shorter array."""
-    truth, pred = _col(truth), _col(pred)
-    n = F.least(F.size(truth), F.size(pred))
-    return F.zip_with(
-        F.slice(truth, F.lit(1), n),
-        F.slice(pred, F.lit(1), n),
-        lambda a, b: F.struct(a.alias("a"), b.alias("b")),
+    return F.filter(
+        F.zip_with(truth, pred, lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+        lambda p: p["a"].isNotNull() & p["b"].isNotNull(),
     )
 
 
+def _continues(labels, label, i) -> Column:
+    """Whether the label before position i is B- or I- of the same type as an I- label."""
+    before = F.get(labels, i - 1)
+    return F.coalesce(before.isin(label, F.concat(F.lit("B-"), F.substring(label, 3, 200))), F.lit(False))
+
+
 def order_violations(labels) -> Column:
     """Number of I-X labels not preceded by B-X or I-X."""
-    labels = _col(labels)
-    return F.size(
-        F.filter(
-            labels,
-            lambda l, i: l.startswith("I-")
-            & ~F.coalesce(
-                F.get(labels, i - 1).isin(l, F.concat(F.lit("B-"), F.substring(l, 3, 200))),
-                F.lit(False),
-            ),
-        )
+    return let(
+        lambda ls: F.size(F.filter(ls, lambda l, i: l.startswith("I-") & ~_continues(ls, l, i))), labels
     )
 
 
@@ -110,35 +100,31 @@ def entity_spans(labels, types=ENTITY_TYPES, keep_orphans: bool = False) -> Colu
     one regular expression over the label string, in the order of their first positions, so
     the work is linear in the text length.
     """
-    labels = _col(labels)
     begins = [f"B-{t}" for t in types]
     insides = [f"I-{t}" for t in types]
     run = "{0}{1}*+|{1}++" if keep_orphans else "{0}{1}*+"
-    runs = F.regexp_extract_all(
-        label_string(labels, types),
-        F.lit("|".join(run.format(ascii_uppercase[i], ascii_lowercase[i]) for i in range(len(types)))),
-        F.lit(0),
-    )
+    runs_pattern = "|".join(run.format(ascii_uppercase[i], ascii_lowercase[i]) for i in range(len(types)))
+    names = F.array(*[F.lit(t) for t in types])
 
-    def opens(l, i):
-        if not keep_orphans:
-            return l.isin(begins)
-        follows = F.get(labels, i - 1).isin(l, F.concat(F.lit("B-"), F.substring(l, 3, 200)))
-        return l.isin(begins) | (l.isin(insides) & ~F.coalesce(follows, F.lit(False)))
+    def find(ls):
+        def opens(l, i):
+            if not keep_orphans:
+                return l.isin(begins)
+            return l.isin(begins) | (l.isin(insides) & ~_continues(ls, l, i))
+
+        starts = F.filter(F.transform(ls, lambda l, i: F.when(opens(l, i), i)), lambda i: i.isNotNull())
+        runs = F.regexp_extract_all(label_string(ls, types), F.lit(runs_pattern), F.lit(0))
+        return F.zip_with(
+            starts,
+            runs,
+            lambda s, r: F.struct(
+                F.get(names, F.ascii(F.upper(r)) - F.lit(ord("A"))).alias("type"),
+                s.cast("int").alias("start"),
+                (s + F.length(r) - 1).cast("int").alias("end"),
+            ),
+        )
 
-    starts = F.filter(
-        F.transform(labels, lambda l, i: F.when(opens(l, i), i)), lambda i: i.isNotNull()
-    )
-    names = F.array(*[F.lit(t) for t in types])
-    return F.zip_with(
-        starts,
-        runs,
-        lambda s, r: F.struct(
-            F.get(names, F.ascii(F.upper(r)) - F.lit(ord("A"))).alias("type"),
-            s.cast("int").alias("start"),
-            (s + F.length(r) - 1).cast("int").alias("end"),
-        ),
-    )
+    return let(find, labels)
 
 
 def span_text(tokens, span) -> Column:
@@ -147,15 +133,18 @@ def span_text(tokens, span) -> Column:
 
 def spans_with_text(tokens, spans) -> Column:
     """Spans with the entity text, tokens joined by one space."""
-    tokens = _col(tokens)
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            s["type"].alias("type"),
-            span_text(tokens, s).alias("text"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
+    return let(
+        lambda ts, ss: F.transform(
+            ss,
+            lambda s: F.struct(
+                s["type"].alias("type"),
+                span_text(ts, s).alias("text"),
+                s["start"].alias("start"),
+                s["end"].alias("end"),
+            ),
         ),
+        tokens,
+        spans,
     )
 
 

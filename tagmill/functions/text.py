@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, functions as F
 
+from .let import let
+
 # Phone with country code, digit run, Latin word, or one symbol. The last class spells out
 # the Unicode word and space characters, which Java's \w and \s leave to ASCII.
 TOKEN_PATTERN = (
@@ -29,9 +31,11 @@ def join_tokens(tokens) -> Column:
 
 def map_tokens(tokens, fn) -> Column:
     """Apply a string function that keeps SEP to all tokens in one pass."""
-    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
-    return F.when(F.size(tokens) == 0, F.array().cast("array<string>")).otherwise(
-        F.split(fn(F.array_join(tokens, SEP)), SEP, -1)
+    return let(
+        lambda ts: F.when(F.size(ts) == 0, F.array().cast("array<string>")).otherwise(
+            F.split(fn(F.array_join(ts, SEP)), SEP, -1)
+        ),
+        tokens,
     )
 
 

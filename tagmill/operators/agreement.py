@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed import ENTITY_TYPES
 from ..functions.labels import align_labels, entity_spans, span_keys
+from ..functions.let import let
 from ..functions.text import token_gaps, tokenize
 from ..functions.verdicts import landis_koch, meets_target, ratio
+from .common import explode_rows
 from .metrics import counts_from_keys, entity_counts, scores, with_macro_micro
 
 
@@ -117,20 +119,37 @@ def annotation_pair_counts(rows: DataFrame, task="task_id", role="role") -> Data
 # --- span F1 ---------------------------------------------------------------------------------
 
 
-def _dense(spans: Column, n: Column) -> Column:
+def _dense(spans, n) -> Column:
     """For every token the key of the span over it, or NULL: runs laid end to end."""
-    last = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(-1))
-    none = F.lit(None).cast("string")
-    key = lambda s: F.concat_ws("|", s["type"], s["start"].cast("string"), s["end"].cast("string"))
-    runs = F.transform(
-        spans,
-        lambda s, i: F.concat(
-            F.array_repeat(none, s["start"] - last(i) - 1),
-            F.array_repeat(key(s), s["end"] - s["start"] + 1),
+
+    def build(ss, keys, size):
+        last = lambda i: F.coalesce(F.get(ss, i - 1)["end"], F.lit(-1))
+        none = F.lit(None).cast("string")
+        runs = F.transform(
+            ss,
+            lambda s, i: F.concat(
+                F.array_repeat(none, s["start"] - last(i) - 1),
+                F.array_repeat(F.get(keys, i), s["end"] - s["start"] + 1),
+            ),
+        )
+        tail = size - 1 - F.coalesce(F.try_element_at(ss, F.lit(-1))["end"], F.lit(-1))
+        return F.concat(F.flatten(runs), F.array_repeat(none, tail))
+
+    return let(build, spans, span_keys(spans), n)
+
+
+def _first_meetings(dense_a, dense_b) -> Column:
+    """(a, b) keys of each A span and the first B span of its type that shares a token."""
+    kind = lambda k: F.substring_index(k, "|", 1)
+    met = F.filter(
+        F.zip_with(
+            dense_a, dense_b, lambda x, y: F.when(kind(x) == kind(y), F.struct(x.alias("a"), y.alias("b")))
         ),
+        lambda p: p.isNotNull(),
+    )
+    return let(
+        lambda ps: F.filter(ps, lambda p, i: (i == 0) | (F.get(ps, i - 1)["a"] != p["a"])), met
     )
-    tail = F.array_repeat(none, n - 1 - F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(-1)))
-    return F.concat(F.flatten(runs), tail)
 
 
 def match_spans_relaxed(pairs: DataFrame, a="labels_a", b="labels_b", types=ENTITY_TYPES) -> DataFrame:
@@ -140,34 +159,15 @@ def match_spans_relaxed(pairs: DataFrame, a="labels_a", b="labels_b", types=ENTI
     token from two aligned arrays, so a long text costs its length, not the product of its
     span counts.
     """
-    kind = lambda k: F.substring_index(k, "|", 1)
     df = pairs.withColumns({"_sa": entity_spans(a, types), "_sb": entity_spans(b, types)})
-    df = df.withColumns(
-        {
-            "_ka": span_keys("_sa"),
-            "_kb": span_keys("_sb"),
-            "_da": _dense(F.col("_sa"), F.size(a)),
-            "_db": _dense(F.col("_sb"), F.size(b)),
-        }
-    )
-    met = F.filter(
-        F.zip_with("_da", "_db", lambda x, y: F.when(kind(x) == kind(y), F.struct(x.alias("a"), y.alias("b")))),
-        lambda p: p.isNotNull(),
-    )
-    df = df.withColumn("_met", met)
-    first = F.filter(
-        "_met", lambda p, i: (i == 0) | (F.get(F.col("_met"), i - 1)["a"] != p["a"])
-    )
-    df = df.withColumn("_first", first)
-    df = df.withColumns(
+    df = df.withColumn("_first", _first_meetings(_dense("_sa", F.size(a)), _dense("_sb", F.size(b))))
+    df = df.withColumn("tp", F.transform("_first", lambda p: p["a"]))
+    return df.withColumns(
         {
-            "tp": F.transform("_first", lambda p: p["a"]),
-            "_hit_b": F.transform("_first", lambda p: p["b"]),
+            "fn": F.array_except(span_keys("_sa"), "tp"),
+            "fp": F.array_except(span_keys("_sb"), F.transform("_first", lambda p: p["b"])),
         }
-    )
-    return df.withColumns(
-        {"fn": F.array_except("_ka", "tp"), "fp": F.array_except("_kb", "_hit_b")}
-    ).drop("_sa", "_sb", "_ka", "_kb", "_da", "_db", "_met", "_first", "_hit_b")
+    ).drop("_sa", "_sb", "_first")
 
 
 def span_f1(pairs: DataFrame, mode: str = "strict", keys: list[str] = (), types=ENTITY_TYPES) -> DataFrame:
@@ -191,37 +191,37 @@ def classify_disagreements(pairs: DataFrame, task="task_id", types=ENTITY_TYPES)
         {
             "_ka": span_keys("_sa"),
             "_kb": span_keys("_sb"),
-            "_da": _dense(F.col("_sa"), F.size("labels_a")),
-            "_db": _dense(F.col("_sb"), F.size("labels_b")),
+            "_da": _dense("_sa", F.size("labels_a")),
+            "_db": _dense("_sb", F.size("labels_b")),
         }
     )
     part = lambda k, i: F.split_part(k, F.lit("|"), F.lit(i))
 
     def rows(side, own, other, dense):
-        def one(k):
-            start, end = part(k, 2).cast("int"), part(k, 3).cast("int")
-            over = F.filter(F.slice(dense, start + 1, end - start + 1), lambda x: x.isNotNull())
-            same_type = F.exists(over, lambda x: part(x, 1) == part(k, 1))
-            same_bounds = F.exists(over, lambda x: (part(x, 2) == part(k, 2)) & (part(x, 3) == part(k, 3)))
-            return F.struct(
-                F.lit(side).alias("side"),
-                part(k, 1).alias("entity"),
-                start.alias("start"),
-                end.alias("end"),
-                F.when(F.size(over) == 0, "missing")
-                .when(same_type, "boundary")
-                .when(same_bounds, "type")
-                .otherwise("review")
-                .alias("kind"),
-            )
-
-        return F.transform(F.array_except(own, other), one)
+        return let(lambda d: F.transform(F.array_except(own, other), lambda k: one(side, d, k)), dense)
+
+    def one(side, dense, k):
+        start, end = part(k, 2).cast("int"), part(k, 3).cast("int")
+        over = F.filter(F.slice(dense, start + 1, end - start + 1), lambda x: x.isNotNull())
+        same_type = F.exists(over, lambda x: part(x, 1) == part(k, 1))
+        same_bounds = F.exists(over, lambda x: (part(x, 2) == part(k, 2)) & (part(x, 3) == part(k, 3)))
+        return F.struct(
+            F.lit(side).alias("side"),
+            part(k, 1).alias("entity"),
+            start.alias("start"),
+            end.alias("end"),
+            F.when(F.size(over) == 0, "missing")
+            .when(same_type, "boundary")
+            .when(same_bounds, "type")
+            .otherwise("review")
+            .alias("kind"),
+        )
 
     found = F.concat(
-        rows("A", "_ka", "_kb", F.col("_db")),
-        F.filter(rows("B", "_kb", "_ka", F.col("_da")), lambda r: r["kind"] == "missing"),
+        rows("A", "_ka", "_kb", "_db"),
+        F.filter(rows("B", "_kb", "_ka", "_da"), lambda r: r["kind"] == "missing"),
     )
-    return df.select(task, F.explode(found).alias("d")).select(task, "d.*")
+    return explode_rows(df, [task], found, "d").select(task, "d.*")
 
 
 # --- chance-corrected agreement --------------------------------------------------------------
@@ -235,7 +235,7 @@ def confusion_cells(pairs: DataFrame, keys: list[str] = ()) -> DataFrame:
     """
     keys = list(keys)
     counts = (
-        pairs.select(*keys, F.explode(align_labels("labels_a", "labels_b")).alias("p"))
+        explode_rows(pairs, keys, align_labels("labels_a", "labels_b"), "p")
         .groupBy(*keys, "p.a", "p.b")
         .agg(F.count("*").alias("n"))
     )

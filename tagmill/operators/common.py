@@ -15,6 +15,13 @@ def small_rows(df: DataFrame, limit: int = SMALL_ROWS) -> list | None:
     return rows if len(rows) <= limit else None
 
 
+def explode_rows(df: DataFrame, keep: list, array, name: str = "x", pos: str | None = None) -> DataFrame:
+    """One row per array element. A plain explode makes the optimizer infer a filter on the
+    array's size and push it down, computing the array's whole expression a second time."""
+    exploded = F.posexplode_outer(array).alias(pos, name) if pos else F.explode_outer(array).alias(name)
+    return df.select(*keep, exploded).where(F.col(name).isNotNull())
+
+
 def order_key(id_col, seed: int = 42) -> Column:
     """Reproducible pseudo-random order of ids, the same in every engine with md5."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

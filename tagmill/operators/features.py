@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import nik, phone
 from ..functions.fixed import NEGATIVE_KEYWORDS, TITLE_MARKERS
+from ..functions.let import let
 from ..functions.labels import token_is_nik, token_is_phone
 from ..functions.text import is_alpha, is_digits, is_title, is_upper, token_lowers, token_shapes, token_shapes_simple
 from . import gazetteer as gz
-from .common import lookup_join
+from .common import explode_rows, lookup_join
 
 WINDOW = 10
 TERM_LISTS = {
@@ -21,6 +22,7 @@ TERM_LISTS = {
     "phone_labels": "phone_label",
 }
 PHRASE_LISTS = {"jabatan_phrases": "bigram_jabatan", "lokasi_phrases": "bigram_lokasi"}
+FLAGS = [*TERM_LISTS.values(), *PHRASE_LISTS.values(), "negative"]
 
 
 def _any(terms: list[str], word: Column) -> Column:
@@ -51,8 +53,11 @@ def _in_list(low: Column, test) -> Column:
 
 def _pair_in_list(low: Column, test) -> Column:
     """A flag per token for itself and the next one joined by a space."""
-    return F.transform(
-        low, lambda t, i: F.coalesce(test(F.concat(t, F.lit(" "), F.get(low, i + 1))), F.lit(False))
+    return let(
+        lambda ws: F.transform(
+            ws, lambda t, i: F.coalesce(test(F.concat(t, F.lit(" "), F.get(ws, i + 1))), F.lit(False))
+        ),
+        low,
     )
 
 
@@ -83,11 +88,15 @@ def context_arrays(df: DataFrame, sets: dict[str, list[str]] | None, tokens: str
     return df
 
 
-def _feature_struct(tokens: str, use_regex: bool, use_gazetteer: bool):
-    tok, low, shape, short = (F.col(c) for c in (tokens, "_low", "_shape", "_short"))
-    upper, title = F.col("_upper"), F.col("_title")
-    is_nik, is_phone = F.col("_nik"), F.col("_phone")
-    flag = lambda name: F.col(f"_f_{name}")
+def _feature_struct(tokens: str, use_regex: bool, use_gazetteer: bool) -> Column:
+    names = [tokens, "_low", "_shape", "_short", "_upper", "_title", "_nik", "_phone"]
+    names += [f"_f_{n}" for n in FLAGS]
+    return let(lambda *arrays: _features(dict(zip(names, arrays)), tokens, use_regex, use_gazetteer), *names)
+
+
+def _features(arrays: dict[str, Column], tokens: str, use_regex: bool, use_gazetteer: bool) -> Column:
+    tok, low, shape, short, upper, title, is_nik, is_phone = list(arrays.values())[:8]
+    flag = lambda name: arrays[f"_f_{name}"]
     n = F.size(tok)
 
     def build(w, i):
@@ -151,30 +160,22 @@ def _flags_by_join(df: DataFrame, gazetteer: DataFrame, tokens: str, id_col: str
         .agg(*[F.max(F.col("category") == c).alias(n) for c, n in (TERM_LISTS | PHRASE_LISTS).items()])
         .withColumnRenamed("term", "_w")
     )
-    low = token_lowers(tokens)
-    pairs = df.select(id_col, low.alias("_low")).select(
-        id_col,
-        F.explode(
-            F.array_distinct(
-                F.concat(
-                    F.col("_low"),
-                    F.transform(
-                        F.filter("_low", lambda t, i: i < F.size("_low") - 1),
-                        lambda t, i: F.concat(t, F.lit(" "), F.get("_low", i + 1)),
-                    ),
-                )
-            )
-        ).alias("_w"),
+    words = let(
+        lambda ws: F.array_distinct(
+            F.concat(ws, F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))),
+                                     lambda t, i: F.concat(t, F.lit(" "), F.get(ws, i + 1))))
+        ),
+        token_lowers(tokens),
     )
+    pairs = explode_rows(df, [id_col], words, "_w")
     hits = lookup_join(pairs, wide, "_w").where(F.col("in_jabatan_dict").isNotNull())
     names = list((TERM_LISTS | PHRASE_LISTS).values())
     found = hits.groupBy(id_col).agg(
         *[F.collect_set(F.when(F.col(n), F.col("_w"))).alias(f"_w_{n}") for n in names]
     )
-    empty = F.array().cast("array<string>")
     low = F.col("_low")
     out = df.join(found, id_col, "left").withColumn("_low", token_lowers(tokens))
-    known = lambda n: lambda word: F.array_contains(F.coalesce(F.col(f"_w_{n}"), empty), word)
+    known = lambda n: lambda word: F.coalesce(F.array_contains(F.col(f"_w_{n}"), word), F.lit(False))
     flags = {f"_f_{n}": _in_list(low, known(n)) for n in TERM_LISTS.values()}
     flags |= {f"_f_{n}": _pair_in_list(low, known(n)) for n in PHRASE_LISTS.values()}
     flags["_f_negative"] = F.transform("_low", lambda t: _negative_word(t, NEGATIVE_KEYWORDS))
@@ -233,7 +234,7 @@ def long_features(df: DataFrame, id_col: str = "sample_id") -> DataFrame:
         lambda t: F.create_map(*[x for f in fields for x in (F.lit(f), t[f].cast("string"))]),
     )
     return (
-        df.select(id_col, F.posexplode(as_map).alias("pos", "m"))
-        .select(id_col, "pos", F.explode("m").alias("name", "value"))
+        explode_rows(df, [id_col], as_map, "m", "pos")
+        .select(id_col, "pos", F.explode_outer("m").alias("name", "value"))
         .where("value is not null")
     )

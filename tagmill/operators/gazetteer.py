@@ -10,8 +10,9 @@ from ..functions.fixed import (
     VALUE_DELIMITERS,
 )
 from ..functions.labels import entity_spans
+from ..functions.let import let
 from ..functions.text import token_lowers
-from .common import small_rows
+from .common import explode_rows, small_rows
 
 CATEGORIES = [
     "jabatan_tokens", "jabatan_phrases", "jabatan_prefix", "lokasi_tokens", "lokasi_phrases",
@@ -28,7 +29,10 @@ def previous_word(words, i: Column) -> Column:
 
 def _items(tokens: str, labels: str, lowers: str, spans: str) -> Column:
     """array<struct<category, term>> of everything one sample contributes."""
-    lab, low, raw = F.col(labels), F.col(lowers), F.col(tokens)
+    return let(_collect, tokens, labels, lowers, spans)
+
+
+def _collect(raw: Column, lab: Column, low: Column, spans: Column) -> Column:
     item = lambda cat, term: F.struct(F.lit(cat).alias("category"), term.alias("term"))
 
     def inside(entity, cat):
@@ -72,7 +76,7 @@ def mine_counts(train: DataFrame, tokens: str = "tokens", labels: str = "labels"
     """(category, term, n, first_seen) in one pass; map-side combine takes up frequent terms."""
     df = train.withColumns({"_low": token_lowers(tokens), "_spans": entity_spans(labels, keep_orphans=True)})
     return (
-        df.select(id_col, F.posexplode(_items(tokens, labels, "_low", "_spans")).alias("pos", "x"))
+        explode_rows(df, [id_col], _items(tokens, labels, "_low", "_spans"), "x", "pos")
         .groupBy("x.category", "x.term")
         .agg(F.count("*").alias("n"), F.min(F.struct(id_col, "pos")).alias("first_seen"))
     )

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.fixed import UNKNOWN_TOKEN
 from ..functions.labels import mask_pattern_token
+from ..functions.let import let
 from ..functions.text import token_lowers
-from .common import lookup_join, small_rows
+from .common import explode_rows, lookup_join, small_rows
 
 # Emission rows that may be shipped to every task for scoring; beyond it they are joined.
 SMALL_MODEL = 500_000
@@ -24,22 +25,23 @@ def observed(tokens: str, hybrid: bool):
 
 def hmm_counts(train: DataFrame, hybrid: bool = False, tokens="tokens", labels="labels") -> DataFrame:
     """(kind, prev, state, token, n): start, transition and emission counts in one pass."""
-    df = train.select(labels, observed(tokens, hybrid).alias("_obs"))
-    lab = F.col(labels)
     event = lambda kind, prev, state, token: F.struct(
         F.lit(kind).alias("kind"), prev.alias("prev"), state.alias("state"), token.alias("token")
     )
     none = F.lit(None).cast("string")
-    steps = F.zip_with("_obs", lab, lambda t, l: event("emission", none, l, t))
-    moves = F.filter(
-        F.transform(lab, lambda l, i: event("trans", F.get(lab, i - 1), l, none)),
-        lambda e: e["prev"].isNotNull(),
-    )
-    start = F.when(F.size(lab) > 0, F.array(event("start", none, F.get(lab, F.lit(0)), none))).otherwise(
-        F.filter(steps, lambda e: F.lit(False))
-    )
+
+    def events(obs, lab):
+        steps = F.zip_with(obs, lab, lambda t, l: event("emission", none, l, t))
+        moves = F.transform(
+            lab,
+            lambda l, i: F.when(i == 0, event("start", none, l, none)).otherwise(
+                event("trans", F.get(lab, i - 1), l, none)
+            ),
+        )
+        return F.concat(moves, steps)
+
     return (
-        df.select(F.explode(F.concat(start, moves, steps)).alias("e"))
+        explode_rows(train, [], let(events, observed(tokens, hybrid), labels), "e")
         .groupBy("e.kind", "e.prev", "e.state", "e.token")
         .agg(F.count("*").alias("n"))
     )
@@ -47,7 +49,7 @@ def hmm_counts(train: DataFrame, hybrid: bool = False, tokens="tokens", labels="
 
 def vocabulary(train: DataFrame, hybrid: bool = False, tokens="tokens") -> DataFrame:
     """Distinct observed tokens and the stand-in for unknown ones."""
-    seen = train.select(F.explode(observed(tokens, hybrid)).alias("token"))
+    seen = explode_rows(train, [], observed(tokens, hybrid), "token")
     return seen.union(train.sparkSession.createDataFrame([(UNKNOWN_TOKEN,)], "token string")).distinct()
 
 
@@ -86,8 +88,9 @@ def fit_hmm(train: DataFrame, alpha: float = 1.0, hybrid: bool = False, counts:
             F.log((F.col("n") + alpha) / (F.sum("n").over(from_prev) + alpha * F.col("k"))).alias("logp"),
         )
     )
-    size = emission.agg((F.count_distinct("token") + 1).alias("v")).withColumn("model", F.lit(1))
-    totals = states.select("state", "total", F.lit(1).alias("model")).join(size, "model").drop("model")
+    # One number, taken from the counts by a scalar subquery.
+    size = emission.agg(F.count_distinct("token") + 1).scalar()
+    totals = states.select("state", "total").withColumn("v", size)
     unseen = totals.select("state", F.log(alpha / (F.col("total") + alpha * F.col("v"))).alias("logp"))
     seen = emission.join(totals, "state").select(
         "state", "token", F.log((F.col("n") + alpha) / (F.col("total") + alpha * F.col("v"))).alias("logp")
@@ -212,7 +215,7 @@ def _tag_by_join(df, model, states, start, trans, unseen, hybrid, tokens, pred,
         "token",
         F.array(*[F.coalesce(F.try_element_at("m", F.lit(s)), F.lit(default[s])) for s in states]).alias("e"),
     )
-    long = df.select(id_col, F.posexplode(observed(tokens, hybrid)).alias("pos", "token"))
+    long = explode_rows(df, [id_col], observed(tokens, hybrid), "token", "pos")
     scored = lookup_join(long, vectors, "token").select(
         id_col, "pos", F.coalesce("e", F.array(*[F.lit(default[s]) for s in states])).alias("e")
     )

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed import ENTITY_FIELDS
+from ..functions.let import let
 from ..functions.text import SEP, decoded_payload, join_tokens, tokenize
 
 
@@ -17,53 +18,71 @@ def _position(haystack: Column, needle: Column) -> Column:
     return F.when(at > 0, F.length(head) - F.length(F.replace(head, F.lit(SEP))) - 1)
 
 
-def match_value_span(tokens_joined: Column, value: Column) -> Column:
-    """struct<start, end> of the first match of a value, exact case first, then any case."""
-    value_joined = join_tokens(tokenize(value))
-    n = F.size(tokenize(value))
-    start = F.coalesce(
-        _position(tokens_joined, value_joined),
-        _position(F.lower(tokens_joined), F.lower(value_joined)),
-    )
-    return F.when(
-        (n > 0) & start.isNotNull(),
-        F.struct(start.cast("int").alias("start"), (start + n - 1).cast("int").alias("end")),
-    )
+def _span(joined: Column, lower: Column, value: Column, name: str) -> Column:
+    def place(tokens, needle):
+        start = F.coalesce(_position(joined, needle), _position(lower, F.lower(needle))).cast("int")
+        return F.when(
+            (F.size(tokens) > 0) & start.isNotNull(),
+            F.struct(
+                F.lit(name).alias("type"), start.alias("start"), (start + F.size(tokens) - 1).alias("end")
+            ),
+        )
 
+    tokens = tokenize(value)
+    return let(place, tokens, join_tokens(tokens))
 
-def _overlap(a: Column, b: Column) -> Column:
-    return (a["start"] <= b["end"]) & (b["start"] <= a["end"])
 
+def match_value_span(tokens_joined, value) -> Column:
+    """struct<type, start, end> of the first match of a value in SEP-joined tokens: exact case
+    first, then any case; end inclusive, NULL without a match."""
+    return let(lambda j, low, v: _span(j, low, v, "VALUE"), tokens_joined, F.lower(tokens_joined), value)
 
-def label_values(df: DataFrame, tokens: str = "tokens", pii: str = "pii_data") -> DataFrame:
-    """Add ``labels``: one span per entity in the fixed order, skipped if it meets another.
 
-    Each field's span is found first as a pair of integers; overlaps are then settled by
-    comparing at most ten pairs of them, and the label array is built in one pass.
-    """
-    df = df.withColumn("_joined", join_tokens(tokens))
-    df = df.withColumns(
-        {f"_s_{f}": match_value_span(F.col("_joined"), F.col(f"{pii}.{f}")) for f, _ in ENTITY_FIELDS}
+def value_spans(tokens, pii: str) -> Column:
+    """Spans of the record's values in entity order, less those that meet one kept before."""
+
+    def all_spans(joined, lower, record):
+        return F.array(*[_span(joined, lower, record[f], name) for f, name in ENTITY_FIELDS])
+
+    def keep(kept, s):
+        meets = F.exists(kept, lambda k: (s["start"] <= k["end"]) & (k["start"] <= s["end"]))
+        return F.when(s.isNull() | meets, kept).otherwise(F.array_append(kept, s))
+
+    joined = join_tokens(tokens)
+    found = let(all_spans, joined, F.lower(joined), F.col(pii))
+    none = F.array().cast("array<struct<type:string,start:int,end:int>>")
+    return F.aggregate(F.array_compact(found), none, keep)
+
+
+def spans_to_labels(spans: Column, n: Column) -> Column:
+    """BIO labels of disjoint spans over n tokens, laid end to end."""
+
+    def build(ss, size):
+        last = lambda i: F.coalesce(F.get(ss, i - 1)["end"], F.lit(-1))
+        runs = F.transform(
+            ss,
+            lambda s, i: F.concat(
+                F.array_repeat(F.lit("O"), s["start"] - last(i) - 1),
+                F.array(F.concat(F.lit("B-"), s["type"])),
+                F.array_repeat(F.concat(F.lit("I-"), s["type"]), s["end"] - s["start"]),
+            ),
+        )
+        tail = size - 1 - F.coalesce(F.try_element_at(ss, F.lit(-1))["end"], F.lit(-1))
+        return F.concat(F.flatten(runs), F.array_repeat(F.lit("O"), tail))
+
+    by_start = F.array_sort(
+        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type")))
+    )
+    return let(build, by_start, n)
+
+
+def label_values(df: DataFrame, tokens: str = "tokens", pii: str = "pii_data") -> DataFrame:
+    """Add ``labels``: one span per entity in the fixed order, skipped if it meets another."""
+    spans = F.coalesce(
+        F.when(F.col(pii).isNotNull(), value_spans(tokens, pii)),
+        F.array().cast("array<struct<type:string,start:int,end:int>>"),
     )
-    kept: list[str] = []
-    for f, _ in ENTITY_FIELDS:
-        span = F.col(f"_s_{f}")
-        free = F.lit(True)
-        for other in kept:
-            free = free & ~F.coalesce(_overlap(span, F.col(f"_k_{other}")), F.lit(False))
-        df = df.withColumn(f"_k_{f}", F.when(free, span))
-        kept.append(f)
-
-    def label(_, i):
-        out = None
-        for f, name in ENTITY_FIELDS:
-            start, end = F.col(f"_k_{f}.start"), F.col(f"_k_{f}.end")
-            begin = F.when(i == start, f"B-{name}") if out is None else out.when(i == start, f"B-{name}")
-            out = begin.when((i > start) & (i <= end), f"I-{name}")
-        return out.otherwise("O")
-
-    helpers = ["_joined"] + [f"_{p}_{f}" for p in "sk" for f, _ in ENTITY_FIELDS]
-    return df.withColumn("labels", F.transform(tokens, label)).drop(*helpers)
+    return df.withColumn("labels", spans_to_labels(spans, F.size(tokens)))
 
 
 def label_samples(samples: DataFrame) -> DataFrame:

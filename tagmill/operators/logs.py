@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed import MASK_CONTEXT_WORDS
 from ..functions.verdicts import f1, ratio
+from .common import explode_rows
 
 SIXTEEN = r"(?<![\p{L}\p{N}_])\p{Nd}{16}(?![\p{L}\p{N}_])"
 
@@ -12,7 +13,7 @@ def split_blocks(logs: DataFrame, text: str = "value") -> DataFrame:
     """Log texts to request blocks: cut at runs of 50 or more '=', keep intercepted requests."""
     kept = [c for c in logs.columns if c != text]
     return (
-        logs.select(*kept, F.posexplode(F.split(text, "={50,}", -1)).alias("block_no", "block"))
+        explode_rows(logs, kept, F.split(text, "={50,}", -1), "block", "block_no")
         .withColumn("block", F.regexp_replace("block", r"^\s+|\s+$", ""))
         .where(F.col("block").contains("Intercepted:"))
     )
@@ -44,9 +45,7 @@ def _expected(expected: DataFrame) -> DataFrame:
 def per_request_detection(parsed: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     """One row per request and expected ID it carried: detected, masked, latency."""
     return (
-        parsed.select(
-            *keys, "masked", "latency_ms", "detected_ids", F.explode("original_ids").alias("nik")
-        )
+        explode_rows(parsed, [*keys, "masked", "latency_ms", "detected_ids"], "original_ids", "nik")
         .join(_expected(expected), "nik")
         .select(*keys, "nik", F.array_contains("detected_ids", F.col("nik")).alias("detected"), "masked", "latency_ms")
     )
@@ -55,7 +54,7 @@ def per_request_detection(parsed: DataFrame, expected: DataFrame, keys: list[str
 def relevant_blocks(parsed: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     """Blocks that carry at least one expected ID."""
     carriers = (
-        parsed.select(*keys, F.explode("original_ids").alias("nik"))
+        explode_rows(parsed, keys, "original_ids", "nik")
         .join(_expected(expected), "nik", "left_semi")
         .select(*keys)
         .distinct()
@@ -65,7 +64,7 @@ def relevant_blocks(parsed: DataFrame, expected: DataFrame, keys: list[str]) ->
 
 def expected_vs_detected(relevant: DataFrame, expected: DataFrame) -> DataFrame:
     """(nik, expected, detected): full outer join of two distinct ID sets."""
-    detected = relevant.select(F.explode("detected_ids").alias("nik")).distinct()
+    detected = explode_rows(relevant, [], "detected_ids", "nik").distinct()
     return (
         _expected(expected)
         .withColumn("expected", F.lit(True))
@@ -75,7 +74,7 @@ def expected_vs_detected(relevant: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def undetected_ids(relevant: DataFrame, expected: DataFrame) -> DataFrame:
-    detected = relevant.select(F.explode("detected_ids").alias("nik"))
+    detected = explode_rows(relevant, [], "detected_ids", "nik")
     return _expected(expected).join(detected, "nik", "left_anti").orderBy("nik")
 
 
@@ -124,27 +123,28 @@ def load_test_summary(samples: DataFrame) -> DataFrame:
 def log_detection_metrics(parsed: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     """Blocks, counts, precision, recall, F1, detection rate and latency in one row."""
     relevant = relevant_blocks(parsed, expected, keys)
-    blocks = parsed.agg(F.count("*").alias("blocks")).withColumn("one", F.lit(1))
-    carried = (
-        latency_summary(relevant)
-        .withColumn("one", F.lit(1))
-        .join(relevant.agg(F.count("*").alias("blocks_with_id")).withColumn("one", F.lit(1)), "one")
-    )
     c = F.col
     counts = expected_vs_detected(relevant, expected).agg(
         F.count_if(c("expected")).alias("total_ids"),
         F.count_if(c("expected") & c("detected")).alias("tp"),
         F.count_if(c("expected") & ~c("detected")).alias("fn"),
         F.count_if(~c("expected") & c("detected")).alias("fp"),
-    ).withColumn("one", F.lit(1))
+    )
+    latency = latency_summary(relevant).withColumnRenamed("n", "n_latency")
+    carried = relevant.agg(F.count("*").alias("blocks_with_id"))
+    # Four one-row results side by side, by a union that is folded into one row.
+    rows = parsed.agg(F.count("*").alias("blocks"))
+    for part in (carried, counts, latency):
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    row = rows.agg(*[F.max(n).alias(n) for n in rows.columns])
     precision, recall = ratio("tp", c("tp") + c("fp")), ratio("tp", "total_ids")
-    return blocks.join(carried, "one").join(counts, "one").select(
+    return row.select(
         "blocks", "blocks_with_id", "total_ids", "tp", "fn", "fp",
         F.round(precision, 4).alias("precision"),
         F.round(recall, 4).alias("recall"),
         F.round(f1(precision, recall), 4).alias("f1"),
         F.round(recall * 100, 2).alias("detection_rate"),
-        "mean_ms", "min_ms", "max_ms", F.col("n").alias("n_latency"),
+        "mean_ms", "min_ms", "max_ms", "n_latency",
     )
 
 
@@ -159,9 +159,9 @@ def log_substring_hits(logs: DataFrame, expected: DataFrame, id_col: str, text:
         "_pieces", F.split(text, r"(?<=\p{Nd})(?=\P{Nd})|(?<=\P{Nd})(?=\p{Nd})", -1)
     )
     pieces = F.col("_pieces")
-    runs = df.select(id_col, "_pieces", F.posexplode("_pieces").alias("_i", "_run")).where(
-        F.length("_run") >= 16
-    ).where(F.rlike("_run", F.lit(r"^\p{Nd}")))
+    runs = explode_rows(df, [id_col, "_pieces"], "_pieces", "_run", "_i").where(
+        (F.length("_run") >= 16) & F.rlike("_run", F.lit(r"^\p{Nd}"))
+    )
     before = F.right(
         F.array_join(F.slice(pieces, F.greatest(F.col("_i") - 99, F.lit(1)), F.least(F.col("_i"), F.lit(100))), ""),
         F.lit(100),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.fixed import ENTITY_TYPES
 from ..functions.labels import entity_spans, span_keys
 from ..functions.verdicts import f1, ratio
+from .common import explode_rows
 
 
 def _tagged_keys(keys, side: str):
@@ -21,7 +22,7 @@ def counts_from_keys(df: DataFrame, keys: list[str], tp: str, fp: str, fn: str)
     """Sum tp, fp, fn per entity from arrays of span keys in the rows."""
     hits = F.concat(_tagged_keys(tp, "tp"), _tagged_keys(fp, "fp"), _tagged_keys(fn, "fn"))
     return (
-        df.select(*keys, F.explode(hits).alias("h"))
+        explode_rows(df, keys, hits, "h")
         .groupBy(*keys, "h.entity")
         .agg(*[F.count_if(F.col("h.side") == s).alias(s) for s in ("tp", "fp", "fn")])
     )
@@ -90,7 +91,7 @@ def with_macro_micro(entity_scores: DataFrame, keys: list[str], digits: int = 6,
         "tp",
         "fp",
         "fn",
-        F.explode(F.when(c("entity") == "_total", total).otherwise(own)).alias("m"),
+        F.explode_outer(F.when(c("entity") == "_total", total).otherwise(own)).alias("m"),
     ).select(*keys, "m.*", "support", "tp", "fp", "fn")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import nik
 from ..functions.fixed import ENTITY_TYPES
+from .common import explode_rows
 
 
 def _share(df: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -13,7 +14,7 @@ def _share(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def label_distribution(tagged: DataFrame, labels: str = "labels") -> DataFrame:
-    counts = tagged.select(F.explode(labels).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    counts = explode_rows(tagged, [], labels, "label").groupBy("label").agg(F.count("*").alias("n"))
     return _share(counts)
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.fixed import ENTITY_TYPES, STRICT_LABELS
 from ..functions.labels import all_outside, order_violations
 from ..functions.text import is_json
+from .common import explode_rows
 
 
 def _report(row: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFrame:
@@ -100,8 +101,5 @@ def holdout_report(
 
 def unexpected_labels(tagged: DataFrame, allowed=STRICT_LABELS) -> DataFrame:
     """Labels seen but not allowed."""
-    return (
-        tagged.select(F.explode(F.array_except("labels", F.array(*[F.lit(x) for x in allowed]))).alias("label"))
-        .groupBy("label")
-        .agg(F.count("*").alias("samples"))
-    )
+    extra = F.array_except("labels", F.array(*[F.lit(x) for x in allowed]))
+    return explode_rows(tagged, [], extra, "label").groupBy("label").agg(F.count("*").alias("samples"))
