@@ -9,7 +9,7 @@ from ..functions.labels import align_labels, entity_spans, span_keys
 from ..functions.let import let
 from ..functions.text import token_gaps, tokenize
 from ..functions.verdicts import landis_koch, meets_target, ratio
-from .common import explode_rows
+from .common import barrier_udf, explode_rows
 from .metrics import counts_from_keys, entity_counts, scores, with_macro_micro
 
 
@@ -27,7 +27,6 @@ def _positions(tokens: pa.Array, gaps: pa.Array):
     return starts_of_rows, ends_of_rows, end - tok, end
 
 
-@F.arrow_udf("array<struct<start:int,end:int>>")
 def _offsets(tokens: pa.Array, gaps: pa.Array) -> pa.Array:
     first, last, start, end = _positions(tokens, gaps)
     pairs = pa.StructArray.from_arrays(
@@ -36,7 +35,6 @@ def _offsets(tokens: pa.Array, gaps: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(first, last[-1:] if len(last) else 0), pa.int32()), pairs)
 
 
-@F.arrow_udf("array<string>")
 def _span_labels(tokens: pa.Array, gaps: pa.Array, spans: pa.Array) -> pa.Array:
     first, last, start, end = _positions(tokens, gaps)
     out = []
@@ -60,7 +58,7 @@ def _lengths(texts) -> Column:
 def tokenize_with_offsets(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``tokens`` and ``offsets`` (character start and end, end exclusive)."""
     return df.withColumn("tokens", tokenize(text)).withColumn(
-        "offsets", _offsets(_lengths("tokens"), _lengths(token_gaps(text)))
+        "offsets", barrier_udf(F.arrow_udf(_offsets, "array<struct<start:int,end:int>>"))(_lengths("tokens"), _lengths(token_gaps(text)))
     )
 
 
@@ -70,7 +68,7 @@ def spans_to_bio(df: DataFrame, text: str = "text", spans: str = "spans") -> Dat
         spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["labels"].alias("labels"))
     )
     return df.withColumn("tokens", tokenize(text)).withColumn(
-        "labels", _span_labels(_lengths("tokens"), _lengths(token_gaps(text)), narrow)
+        "labels", barrier_udf(F.arrow_udf(_span_labels, "array<string>"))(_lengths("tokens"), _lengths(token_gaps(text)), narrow)
     )
 
 

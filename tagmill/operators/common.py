@@ -15,6 +15,12 @@ def small_rows(df: DataFrame, limit: int = SMALL_ROWS) -> list | None:
     return rows if len(rows) <= limit else None
 
 
+def barrier_udf(udf):
+    """An Arrow function the optimizer leaves where it is. It may otherwise be merged into the
+    expressions that use its result, and then be evaluated once per use or not be found."""
+    return udf.asNondeterministic()
+
+
 def explode_rows(df: DataFrame, keep: list, array, name: str = "x", pos: str | None = None) -> DataFrame:
     """One row per array element. A plain explode makes the optimizer infer a filter on the
     array's size and push it down, computing the array's whole expression a second time."""

@@ -12,7 +12,7 @@ from ..functions.fixed import UNKNOWN_TOKEN
 from ..functions.labels import mask_pattern_token
 from ..functions.let import let
 from ..functions.text import token_lowers
-from .common import explode_rows, lookup_join, small_rows
+from .common import barrier_udf, explode_rows, lookup_join, small_rows
 
 # Emission rows that may be shipped to every task for scoring; beyond it they are joined.
 SMALL_MODEL = 500_000
@@ -142,7 +142,7 @@ def _chunks(lengths: np.ndarray, limit: int = 200_000):
         yield begin, len(lengths)
 
 
-def _decode(flat_scores, lengths, start, trans, names) -> pa.Array:
+def decode(flat_scores, lengths, start, trans, names) -> pa.Array:
     """Arrow list array of labels from the concatenated emission scores of a batch."""
     ends = np.cumsum(lengths)
     paths = []
@@ -200,13 +200,12 @@ def tag_hmm(
         encoded = obs.flatten().dictionary_encode()
         ids = np.array([known.get(w, len(known)) for w in encoded.dictionary.to_pylist()], dtype=np.int64)
         flat = ids[np.asarray(encoded.indices)] if len(ids) else np.empty(0, dtype=np.int64)
-        return _decode(lambda a, b: emit[flat[a:b]], lengths, first, move, names)
+        return decode(lambda a, b: emit[flat[a:b]], lengths, first, move, names)
 
-    return df.withColumn("_obs", observed(tokens, hybrid)).withColumn(pred, viterbi("_obs")).drop("_obs")
+    return df.withColumn("_obs", observed(tokens, hybrid)).withColumn(pred, barrier_udf(viterbi)("_obs")).drop("_obs")
 
 
 def _tag_by_join(df, model, states, start, trans, unseen, hybrid, tokens, pred, id_col) -> DataFrame:
-    k = len(states)
     vectors = model["emission"].groupBy("token").agg(
         F.map_from_entries(F.collect_list(F.struct("state", "logp"))).alias("m")
     )
@@ -219,6 +218,11 @@ def _tag_by_join(df, model, states, start, trans, unseen, hybrid, tokens, pred,
     scored = lookup_join(long, vectors, "token").select(
         id_col, "pos", F.coalesce("e", F.array(*[F.lit(default[s]) for s in states])).alias("e")
     )
+    return decode_scored(df, scored, start, trans, states, pred, id_col)
+
+
+def decode_scored(df, scored, start, trans, states, pred, id_col) -> DataFrame:
+    """Viterbi over per-token score vectors that come as rows (id, pos, e)."""
     per_row = scored.groupBy(id_col).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "e"))), lambda x: x["e"]).alias("_e")
     )
@@ -228,9 +232,9 @@ def _tag_by_join(df, model, states, start, trans, unseen, hybrid, tokens, pred,
     def viterbi(vec: pa.Array) -> pa.Array:
         first, move, names = shared.value
         lengths = np.asarray(pa.compute.list_value_length(vec).fill_null(0))
-        flat = np.asarray(vec.flatten().flatten()).reshape(-1, k)
-        return _decode(lambda a, b: flat[a:b], lengths, first, move, names)
+        flat = np.asarray(vec.flatten().flatten()).reshape(-1, len(names))
+        return decode(lambda a, b: flat[a:b], lengths, first, move, names)
 
     return df.join(per_row, id_col, "left").withColumn(
-        pred, viterbi(F.coalesce("_e", F.array().cast("array<array<double>>")))
+        pred, barrier_udf(viterbi)(F.coalesce("_e", F.array().cast("array<array<double>>")))
     ).drop("_e")

@@ -83,6 +83,10 @@ def annotator_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render_logs(people(spark, sf_dir))
+
+
+def render_logs(persons: DataFrame) -> DataFrame:
     """Proxy logs, one text per person with one or two request blocks; every ninth ID is
     missed, and every eleventh block reports an ID nobody sent."""
     k = F.col("sample_id")
@@ -101,7 +105,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 6 != 0, timing).otherwise(""),
     )
     other = F.when(k % 4 == 0, F.lit(f"{line}==\nIntercepted: GET /health\nOriginal body: -\nTime: 1.5 ms\n")).otherwise("")
-    return people(spark, sf_dir).select(k.alias("log_id"), F.concat(block, other).alias("value"))
+    return persons.select(k.alias("log_id"), F.concat(block, other).alias("value"))
 
 
 def expected_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
