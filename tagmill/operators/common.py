@@ -28,6 +28,13 @@ def explode_rows(df: DataFrame, keep: list, array, name: str = "x", pos: str | N
     return df.select(*keep, exploded).where(F.col(name).isNotNull())
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when the input comes in fewer pieces than that (a small file, one
+    row group); a table of many splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def order_key(id_col, seed: int = 42) -> Column:
     """Reproducible pseudo-random order of ids, the same in every engine with md5."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -290,7 +290,7 @@ def stratified_sample(spark, sf):
 
 @query("shuffle_seeded", "SELECT doc_id, md5('42:' || doc_id) AS shuffle_key FROM documents")
 def shuffle_seeded(spark, sf):
-    df = base.table(spark, sf, "documents").select("doc_id")
+    df = base.texts(spark, sf, "documents").select("doc_id")
     return split.shuffle_seeded(df, "doc_id").withColumn("shuffle_key", order_key("doc_id"))
 
 
@@ -524,4 +524,4 @@ def mask_payloads(spark, sf):
 
 @query("sample_code", "SELECT doc_id, printf('sample_%03d', doc_id) AS code FROM documents")
 def sample_codes(spark, sf):
-    return base.table(spark, sf, "documents").select("doc_id", sample_code(F.col("doc_id")).alias("code"))
+    return base.texts(spark, sf, "documents").select("doc_id", sample_code(F.col("doc_id")).alias("code"))

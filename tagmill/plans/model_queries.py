@@ -261,7 +261,7 @@ SELECT doc_id, count(DISTINCT CASE WHEN regexp_matches(w, '^\\p{{Nd}}{{16}}$') T
   WHEN regexp_matches(w, '^(\\+62|0)\\p{{Nd}}{{8,12}}$') THEN '<__PHONE_PATTERN__>' ELSE lower(w) END) AS terms FROM t GROUP BY doc_id""",
 )
 def mask_pattern_tokens(spark, sf):
-    docs = base.table(spark, sf, "documents")
+    docs = base.texts(spark, sf, "documents")
     terms = F.array_distinct(F.transform(tokenize("text"), mask_pattern_token))
     return docs.select("doc_id", F.size(terms).cast("long").alias("terms")).where("terms > 0")
 

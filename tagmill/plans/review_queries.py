@@ -140,7 +140,7 @@ oo AS (SELECT {key}, pos, w, sum(length(gap) + length(w)) OVER (PARTITION BY {ke
     + """SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, w AS token, CAST(e - length(w) AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM oo""",
 )
 def tokenize_with_offsets(spark, sf):
-    df = agreement.tokenize_with_offsets(base.table(spark, sf, "conversations"))
+    df = agreement.tokenize_with_offsets(base.texts(spark, sf, "conversations"))
     pairs = F.zip_with("tokens", "offsets", lambda t, o: F.struct(t.alias("token"), o["start"].alias("start"), o["end"].alias("end")))
     return explode_rows(df, ["conv_id", "turn"], pairs, "x", "pos").select("conv_id", "turn", "pos", "x.*")
 
@@ -241,7 +241,7 @@ SELECT count(*) AS tasks, count(*) FILTER (n = 0) AS zero, count(*) FILTER (n =
 )
 def annotation_completeness(spark, sf):
     """Conversations stand in for tasks, their answers for annotations."""
-    tasks = base.table(spark, sf, "conversations").groupBy("conv_id").agg(
+    tasks = base.texts(spark, sf, "conversations").groupBy("conv_id").agg(
         F.collect_list(F.when(F.col("role") == "assistant", F.col("turn"))).alias("annotations")
     )
     return annotation.annotation_completeness(tasks)
@@ -387,7 +387,7 @@ def latency_percentiles(spark, sf):
 
 @query(
     "load_test_summary",
-    """WITH r AS (SELECT CAST(epoch_ms(ts) AS BIGINT) AS t, CAST(round(value) AS BIGINT) AS el, CASE event_type WHEN 'error' THEN 500 ELSE 200 END AS code, CAST(user_id % 10 + 1 AS INTEGER) AS th FROM events),
+    """WITH r AS (SELECT CAST(epoch_us(ts) // 1000 AS BIGINT) AS t, CAST(floor(value) AS BIGINT) AS el, CASE event_type WHEN 'error' THEN 500 ELSE 200 END AS code, CAST(user_id % 10 + 1 AS INTEGER) AS th FROM events),
 s AS (SELECT *, min(t) OVER () AS a, max(t + el) OVER () AS b FROM r)
 SELECT count(*) AS requests, count(*) FILTER (code = 200) AS ok, max(b) - min(a) AS wall_ms, round(1000.0 * count(*) / (max(b) - min(a)), 4) AS requests_per_s, max(th) AS max_threads FROM s""",
 )
@@ -395,7 +395,7 @@ def load_test_summary(spark, sf):
     """Events taken as requests: value is the elapsed time, the user picks the client thread."""
     e = base.table(spark, sf, "events").select(
         F.unix_millis(F.col("ts").cast("timestamp")).alias("timeStamp"),
-        F.round("value").cast("long").alias("elapsed"),
+        F.floor("value").cast("long").alias("elapsed"),
         F.when(F.col("event_type") == "error", 500).otherwise(200).alias("responseCode"),
         (F.col("user_id") % 10 + 1).cast("int").alias("allThreads"),
     )

@@ -39,12 +39,12 @@ FROM (SELECT {key}, regexp_extract_all({text}, '{S.TOKEN}') AS t FROM {table})""
 
 @query("tokenize_documents", _token_summary_sql("documents", "doc_id", "text"))
 def tokenize_documents(spark, sf):
-    return _token_summary(base.table(spark, sf, "documents"), "doc_id", "text")
+    return _token_summary(base.texts(spark, sf, "documents"), "doc_id", "text")
 
 
 @query("tokenize_pages", _token_summary_sql("pages", "page_id", "html"))
 def tokenize_pages(spark, sf):
-    return _token_summary(base.table(spark, sf, "pages"), "page_id", "html")
+    return _token_summary(base.texts(spark, sf, "pages"), "page_id", "html")
 
 
 @query(
@@ -54,7 +54,7 @@ FROM (SELECT role, regexp_extract_all(text, '{S.TOKEN}') AS t FROM conversations
 )
 def tokenize_conversations(spark, sf):
     return (
-        base.table(spark, sf, "conversations")
+        base.texts(spark, sf, "conversations")
         .select("role", F.size(T.tokenize("text")).alias("n"))
         .groupBy("role")
         .agg(F.count("*").alias("n_turns"), F.sum("n").alias("n_tokens"))
@@ -75,7 +75,7 @@ _DOC_TOKENS = f"t AS (SELECT doc_id, lang, unnest(regexp_extract_all(text, '{S.T
 SELECT lang, {_SHORT} AS shape_simple, count(*) AS n, CAST(max(length(shape)) AS INTEGER) AS longest FROM s GROUP BY ALL""",
 )
 def token_shape_profile(spark, sf):
-    tokens = base.table(spark, sf, "documents").select("lang", T.tokenize("text").alias("t"))
+    tokens = base.texts(spark, sf, "documents").select("lang", T.tokenize("text").alias("t"))
     pairs = F.arrays_zip(T.token_shapes("t").alias("shape"), T.token_shapes_simple("t").alias("short"))
     return (
         explode_rows(tokens, ["lang"], pairs, "p")
@@ -97,7 +97,7 @@ FROM t GROUP BY lang""",
 def word_forms(spark, sf):
     w = F.col("w")
     return (
-        explode_rows(base.table(spark, sf, "documents"), ["lang"], T.tokenize("text"), "w")
+        explode_rows(base.texts(spark, sf, "documents"), ["lang"], T.tokenize("text"), "w")
         .groupBy("lang")
         .agg(
             F.count("*").alias("n"),
@@ -118,7 +118,7 @@ def word_forms(spark, sf):
 def affix_profile(spark, sf):
     w = F.col("w")
     return (
-        explode_rows(base.table(spark, sf, "documents"), [], T.tokenize("text"), "w")
+        explode_rows(base.texts(spark, sf, "documents"), [], T.tokenize("text"), "w")
         .groupBy(T.prefix(w, 2).alias("prefix_2"), T.suffix(w, 3).alias("suffix_3"))
         .agg(F.count("*").alias("n"), F.count_distinct(T.prefix(w, 4)).alias("prefixes_4"))
     )
@@ -130,7 +130,7 @@ def affix_profile(spark, sf):
 )
 def url_quote_roundtrip(spark, sf):
     return (
-        base.table(spark, sf, "documents")
+        base.texts(spark, sf, "documents")
         .withColumn("_q", T.url_quote("text"))
         .select("doc_id", F.md5("_q").alias("quoted"), (T.url_unquote("_q") == F.col("text")).alias("same"))
     )
@@ -138,7 +138,7 @@ def url_quote_roundtrip(spark, sf):
 
 @query("url_unquote_pages", "SELECT page_id, url_decode(url) AS url, md5(url_decode(html)) AS html FROM pages")
 def url_unquote_pages(spark, sf):
-    return base.table(spark, sf, "pages").select(
+    return base.texts(spark, sf, "pages").select(
         "page_id", T.url_unquote("url").alias("url"), F.md5(T.url_unquote("html")).alias("html")
     )
 
@@ -151,7 +151,7 @@ FROM t WHERE regexp_matches(w, '^\\p{{Nd}}{{16}}$') GROUP BY ALL""",
 )
 def sixteen_digit_candidates(spark, sf):
     found = F.filter(T.tokenize("text"), token_is_nik)
-    docs = base.table(spark, sf, "documents").where(F.rlike("text", F.lit(NIK_TOKEN.strip("^$"))))
+    docs = base.texts(spark, sf, "documents").where(F.rlike("text", F.lit(NIK_TOKEN.strip("^$"))))
     return (
         explode_rows(docs, ["doc_id"], found, "token")
         .groupBy("doc_id", "token")
@@ -169,7 +169,7 @@ SELECT lang, source, label, count(*) AS n FROM p GROUP BY ALL""",
 def tag_documents(spark, sf):
     return (
         explode_rows(
-            base.table(spark, sf, "documents"), ["lang", "source"], tag_regex(T.tokenize("text")), "label"
+            base.texts(spark, sf, "documents"), ["lang", "source"], tag_regex(T.tokenize("text")), "label"
         )
         .groupBy("lang", "source", "label")
         .agg(F.count("*").alias("n"))
@@ -196,7 +196,7 @@ def neighbour_words(spark, sf):
     )
     words = let(around, T.token_lowers(T.tokenize("text")))
     return (
-        explode_rows(base.table(spark, sf, "conversations"), [], words, "a")
+        explode_rows(base.texts(spark, sf, "conversations"), [], words, "a")
         .groupBy(F.col("a.w").alias("word"))
         .agg(
             F.count("*").alias("n"),
