@@ -22,8 +22,10 @@ PERSON_FIELDS = ["nik", "nama", "telepon", "jabatan", "lokasi"]
 
 
 def pick(values: list, index: Column) -> Column:
-    """Element of a literal list by index modulo its length."""
-    return F.get(F.array(*[F.lit(v) for v in values]), (index % len(values)).cast("int"))
+    """Element of a literal list by index modulo its length. The list is one literal, cut up
+    by the optimizer once, rather than one literal per value."""
+    items = F.split(F.lit("\x1f".join(str(v) for v in values)), "\x1f")
+    return F.get(items, (index % len(values)).cast("int"))
 
 
 def _digits(value: Column, width: int) -> Column:
