@@ -58,6 +58,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checked_join(rows: DataFrame, table: DataFrame, key, how: str = "left") -> DataFrame:
+    """Left or inner join to a table with unique ``key`` that is usually small.
+
+    The table is written out and counted: up to SMALL_ROWS rows it is broadcast, so ``rows``
+    are not shuffled; beyond it the join splits hot keys from the rest.
+    """
+    table = materialize(table)
+    if table.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(table), key, how)
+    if isinstance(key, list):
+        return rows.join(table, key, how)
+    joined = lookup_join(rows, table.withColumn("_found", F.lit(True)), key)
+    return (joined.where("_found") if how == "inner" else joined).drop("_found")
+
+
 def lookup_join(rows: DataFrame, table: DataFrame, key: str, hot_share: float = 1e-4) -> DataFrame:
     """Left join of skewed ``rows`` to a ``table`` with unique ``key``.
 

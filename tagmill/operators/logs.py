@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed import MASK_CONTEXT_WORDS
 from ..functions.verdicts import f1, ratio
-from .common import explode_rows
+from .common import checked_join, explode_rows, small_rows
 
 SIXTEEN = r"(?<![\p{L}\p{N}_])\p{Nd}{16}(?![\p{L}\p{N}_])"
 
@@ -43,23 +43,35 @@ def _expected(expected: DataFrame) -> DataFrame:
 
 
 def per_request_detection(parsed: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per request and expected ID it carried: detected, masked, latency."""
-    return (
-        explode_rows(parsed, [*keys, "masked", "latency_ms", "detected_ids"], "original_ids", "nik")
-        .join(_expected(expected), "nik")
-        .select(*keys, "nik", F.array_contains("detected_ids", F.col("nik")).alias("detected"), "masked", "latency_ms")
+    """One row per request and expected ID it carried: detected, masked, latency.
+
+    One ID may be in a large share of all requests; the join copes with that.
+    """
+    carried = explode_rows(parsed, [*keys, "masked", "latency_ms", "detected_ids"], "original_ids", "nik")
+    return checked_join(carried, _expected(expected), "nik", "inner").select(
+        *keys, "nik", F.array_contains("detected_ids", F.col("nik")).alias("detected"), "masked", "latency_ms"
     )
 
 
+def mark_relevant(parsed: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``relevant``: the block carries at least one expected ID.
+
+    A list of a checked size is tested inside each row; a longer one is joined by ID, and the
+    blocks found are joined back by their keys.
+    """
+    ids = small_rows(_expected(expected), 10_000)
+    if ids is not None:
+        wanted = [r["nik"] for r in ids]
+        test = F.exists("original_ids", lambda x: x.isin(wanted)) if wanted else F.lit(False)
+        return parsed.withColumn("relevant", test)
+    carried = explode_rows(parsed, keys, "original_ids", "nik")
+    found = checked_join(carried, _expected(expected), "nik", "inner").select(*keys).distinct()
+    return parsed.join(found.withColumn("relevant", F.lit(True)), keys, "left").na.fill(False, ["relevant"])
+
+
 def relevant_blocks(parsed: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     """Blocks that carry at least one expected ID."""
-    carriers = (
-        explode_rows(parsed, keys, "original_ids", "nik")
-        .join(_expected(expected), "nik", "left_semi")
-        .select(*keys)
-        .distinct()
-    )
-    return parsed.join(carriers, keys, "left_semi")
+    return mark_relevant(parsed, expected, keys).where("relevant").drop("relevant")
 
 
 def expected_vs_detected(relevant: DataFrame, expected: DataFrame) -> DataFrame:
@@ -121,20 +133,26 @@ def load_test_summary(samples: DataFrame) -> DataFrame:
 
 def log_detection_metrics(parsed: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     """Blocks, counts, precision, recall, F1, detection rate and latency in one row."""
-    relevant = relevant_blocks(parsed, expected, keys)
+    marked = mark_relevant(parsed, expected, keys)
     c = F.col
-    counts = expected_vs_detected(relevant, expected).agg(
+    counts = expected_vs_detected(marked.where("relevant"), expected).agg(
         F.count_if(c("expected")).alias("total_ids"),
         F.count_if(c("expected") & c("detected")).alias("tp"),
         F.count_if(c("expected") & ~c("detected")).alias("fn"),
         F.count_if(~c("expected") & c("detected")).alias("fp"),
     )
-    latency = latency_summary(relevant).withColumnRenamed("n", "n_latency")
-    carried = relevant.agg(F.count("*").alias("blocks_with_id"))
-    # Four one-row results side by side, by a union that is folded into one row.
-    rows = parsed.agg(F.count("*").alias("blocks"))
-    for part in (carried, counts, latency):
-        rows = rows.unionByName(part, allowMissingColumns=True)
+    latency = F.when(c("relevant"), c("latency_ms"))
+    zero = lambda x: F.round(F.coalesce(x, F.lit(0.0)), 2)
+    blocks = marked.agg(
+        F.count("*").alias("blocks"),
+        F.count_if("relevant").alias("blocks_with_id"),
+        zero(F.avg(latency)).alias("mean_ms"),
+        zero(F.min(latency)).alias("min_ms"),
+        zero(F.max(latency)).alias("max_ms"),
+        F.count(latency).alias("n_latency"),
+    )
+    # Two one-row results side by side, by a union that is folded into one row.
+    rows = blocks.unionByName(counts, allowMissingColumns=True)
     row = rows.agg(*[F.max(n).alias(n) for n in rows.columns])
     precision, recall = ratio("tp", c("tp") + c("fp")), ratio("tp", "total_ids")
     return row.select(
@@ -178,7 +196,8 @@ def log_substring_hits(logs: DataFrame, expected: DataFrame, id_col: str, text:
         F.substring("_run", F.col("_k") + 1, F.lit(16)).alias("nik"),
         F.struct(id_col, "_i", "_k").alias("_at"),
         F.lower(context).alias("_context"),
-    ).join(_expected(expected), "nik", "left_semi")
+    )
+    found = checked_join(found, _expected(expected), "nik", "inner")
     first = found.groupBy("nik").agg(F.min_by("_context", "_at").alias("context"))
     hit = F.rlike("context", F.lit("|".join(MASK_CONTEXT_WORDS)))
     return _expected(expected).join(first, "nik", "left").select(

@@ -8,7 +8,7 @@ key per stratum and cut, and never shuffled.
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import order_key
+from .common import checked_join, order_key
 
 
 def shuffle_seeded(df: DataFrame, id_col: str = "sample_id", seed: int = 42) -> DataFrame:
@@ -48,9 +48,10 @@ def _cut_keys(df: DataFrame, by: str, key, targets, digits: int) -> DataFrame:
         by, "_range", "_n", "_before", F.posexplode(F.array(*ranks)).alias("_cut", "_rank")
     ).where("_before < _rank and _rank <= _before + _n")
     bounds = bounds.select(by, "_range", "_cut", (F.col("_rank") - F.col("_before")).alias("_need"))
+    # At most one range per stratum and cut: few rows, whatever the number of samples.
     inside = Window.partitionBy(by, "_range", "_cut").orderBy("_key")
     return (
-        keyed.join(bounds, [by, "_range"])
+        checked_join(keyed, bounds, [by, "_range"], "inner")
         .withColumn("_rn", F.row_number().over(inside))
         .where("_rn = _need")
         .groupBy(by)
@@ -81,8 +82,7 @@ def stratified_split(
         test = F.col("_k") <= F.col(f"_key_{i}")
         out = F.when(test, name) if out is None else out.when(test, name)
     return (
-        df.withColumn("_k", key)
-        .join(cuts, by, "left")
+        checked_join(df.withColumn("_k", key), cuts, by)
         .withColumn("split", out.otherwise(names[-1]))
         .drop("_k", *[f"_key_{i}" for i in range(len(names) - 1)])
     )

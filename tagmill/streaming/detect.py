@@ -5,7 +5,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.labels import entity_spans, tag_regex
 from ..functions.text import decoded_payload, tokenize
-from ..operators.common import shared_folder
+from ..operators.common import SMALL_ROWS, materialize, shared_folder
 from ..operators.masking import DEFAULT_POLICY, mask_entities
 
 
@@ -39,6 +39,9 @@ def validate_log_stream(detections: DataFrame, expected: DataFrame, id_col: str
     """Detected IDs, each once within the watermark, marked as expected or not."""
     once = detections.withWatermark(time_col, late).dropDuplicatesWithinWatermark([id_col])
     known = expected.select(F.col(expected.columns[0]).alias(id_col)).distinct().withColumn("expected", F.lit(True))
+    known = materialize(known)
+    if known.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        known = F.broadcast(known)
     return once.join(known, id_col, "left").withColumn("expected", F.coalesce("expected", F.lit(False)))
 
 

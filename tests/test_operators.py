@@ -342,3 +342,27 @@ def test_annotator_roles(spark):
     df = spark.createDataFrame([("a@x", "1"), ("z", "2"), ("b@x", "3"), ("q", "9")], "email string, uid string")
     got = [r[0] for r in df.select(agreement.role_of_annotator("email", "uid", "a@x", "2")).collect()]
     assert got == ["A", "B", None, None]
+
+
+def test_long_expected_lists_give_the_same_log_metrics(spark, monkeypatch):
+    nik = lambda i: f"32746352128{i:05d}"
+    block = "=" * 50 + '\nIntercepted: POST\nOriginal body: {{"nik":"{0}"}}\n{1}Time: 2.0 ms\n'
+    rows = [(i, block.format(nik(0 if i % 3 == 0 else i), f"- NIK: {nik(i)} -> 327XXX\n" if i % 2 else "")) for i in range(60)]
+    parsed = logs.parse_blocks(logs.split_blocks(spark.createDataFrame(rows, "log_id int, value string")))
+    expected = spark.createDataFrame([(nik(i),) for i in range(0, 80, 2)], "nik string")
+    keys = ["log_id", "block_no"]
+    short = logs.log_detection_metrics(parsed, expected, keys).first()
+    per = sorted(map(tuple, logs.per_request_detection(parsed, expected, keys).collect()))
+    monkeypatch.setattr(logs, "small_rows", lambda *a: None)
+    monkeypatch.setattr(common, "SMALL_ROWS", 1)
+    assert logs.log_detection_metrics(parsed, expected, keys).first() == short
+    assert sorted(map(tuple, logs.per_request_detection(parsed, expected, keys).collect())) == per
+    hits = logs.log_substring_hits(spark.createDataFrame(rows, "log_id int, value string"), expected, "log_id")
+    assert hits.count() == 40
+
+
+def test_split_with_many_strata_gives_the_same_rows(spark, monkeypatch):
+    df = spark.range(500).select(F.col("id").alias("sample_id"), F.when(F.col("id") % 2 == 0, "big").otherwise(F.concat(F.lit("f"), F.col("id") % 40)).alias("format"))
+    small = {r["sample_id"]: r["split"] for r in split.stratified_split(df).collect()}
+    monkeypatch.setattr(common, "SMALL_ROWS", 1)
+    assert {r["sample_id"]: r["split"] for r in split.stratified_split(df).collect()} == small
