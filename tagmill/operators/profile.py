@@ -57,12 +57,13 @@ def nik_population(df: DataFrame, column: str = "nik") -> DataFrame:
 
 
 def top_provinces(df: DataFrame, column: str = "nik", k: int = 5) -> DataFrame:
-    v = nik.validate(F.col(column))
+    """The k provinces with most valid IDs; names are looked up after counting."""
+    code = F.substring(column, 1, 2).try_cast("int")
     return (
-        df.select(v["province"].alias("province"))
-        .where("province is not null")
-        .groupBy("province")
+        df.where(nik.validate(F.col(column))["valid"])
+        .groupBy(code.alias("code"))
         .agg(F.count("*").alias("n"))
+        .select(nik.province_name(F.col("code")).alias("province"), "n")
         .orderBy(F.desc("n"), "province")
         .limit(k)
     )

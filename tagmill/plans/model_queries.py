@@ -186,7 +186,43 @@ def feature_counts(spark, sf):
     return counts.select(F.expr(f"stack({len(names)}, {', '.join(f'{chr(39)}{n}{chr(39)}, `{n}`' for n in names)}) as (name, n)"))
 
 
-@query("token_features")
+def _shape(x):
+    return f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '[^\\p{{Nd}}\\p{{Lu}}\\p{{Ll}}]', '.', 'g'), '\\p{{Ll}}', 'x', 'g'), '\\p{{Lu}}', 'X', 'g'), '\\p{{Nd}}', 'd', 'g')"
+
+
+def _short(x):
+    return f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({_shape(x)}, 'd+', 'd', 'g'), 'x+', 'x', 'g'), 'X+', 'X', 'g'), '\\.+', '.', 'g')"
+
+
+_UP = lambda x: f"regexp_matches({x}, '\\p{{Lu}}') AND NOT regexp_matches({x}, '\\p{{Ll}}')"
+_TI = lambda x: f"regexp_matches({x}, '^\\p{{Lu}}\\p{{Ll}}*$')"
+_ALL_FEATURES = {
+    "bias": "1.0", "word_identity": "w", "word_lower": "t", "word_shape": _shape("w"), "word_shape_simple": _short("w"),
+    "word_isupper": _UP("w"), "word_istitle": _TI("w"), "word_isdigit": "regexp_matches(w, '^\\p{Nd}+$')", "word_length": "length(w)",
+    **{f"word_prefix_{k}": f"left(t, {k})" for k in (2, 3, 4)}, **{f"word_suffix_{k}": f"right(t, {k})" for k in (2, 3, 4)},
+    "bos": "pos = 0", "eos": "n1 IS NULL",
+    **{f"{n}_{f}": e for n, c in (("m1", "b1"), ("p1", "n1")) for f, e in (("lower", f"lower({c})"), ("shape", _shape(c)), ("istitle", _TI(c)), ("isupper", _UP(c)))},
+    **{f"{n}_{f}": e for n, c in (("m2", "b2"), ("p2", "n2")) for f, e in (("lower", f"lower({c})"), ("shape", _shape(c)))},
+    "matches_nik_pattern": "is_nik", "matches_phone_pattern": "is_phone",
+    "has_nik_label_context": "has_nik_label_context", "has_phone_label_context": "has_phone_label_context",
+    "in_form_field_position": "in_form_field_position", "nik_structure_complete": "po AND date_ok", "nik_province_valid": "po", "nik_date_valid": "date_ok",
+    "phone_valid_prefix": f"is_phone AND coalesce(CASE WHEN w LIKE '+62%' THEN w[1:5] ELSE w[1:4] END IN ({_IN(PHONE_PREFIXES)}), FALSE)",
+    "nik_has_negative_context": "is_nik AND negative", "phone_has_negative_context": "is_phone AND negative",
+    "in_jabatan_dict": _flag("jabatan_tokens", "t"), "is_jabatan_prefix": _flag("jabatan_prefix", "t"),
+    "in_lokasi_dict": _flag("lokasi_tokens", "t"), "in_nama_dict": _flag("nama_prefixes", "t"), "has_title_marker": "FALSE",
+    "bigram_jabatan": f"coalesce({_flag('jabatan_phrases', chr(116) + ' || chr(32) || nx')}, FALSE)",
+    "bigram_lokasi": f"coalesce({_flag('lokasi_phrases', chr(116) + ' || chr(32) || nx')}, FALSE)",
+}
+
+
+@query(
+    "token_features",
+    S.with_(S.people(), S.samples("main"), S.tagged(), _MINED, _GAZ, S.samples("holdout", "hold"), S.tagged("hold", "scored"))
+    + _window_features("scored")
+    + ", fx AS (SELECT *, lead(w) OVER x AS n1, lead(w, 2) OVER x AS n2 FROM feat WINDOW x AS (PARTITION BY sample_id ORDER BY pos)), wide AS (SELECT "
+    + ", ".join(f"CAST(({e}) AS VARCHAR) AS {n}" for n, e in _ALL_FEATURES.items())
+    + " FROM fx) SELECT name, count(*) AS n, count(DISTINCT value) AS distinct_values FROM (UNPIVOT wide ON * INTO NAME name VALUE value) GROUP BY name",
+)
 def token_features(spark, sf):
     """All features of all tokens, as (name, rows, distinct values)."""
     df = base.tagged(spark, sf, "holdout")

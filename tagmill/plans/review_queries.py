@@ -468,7 +468,14 @@ def stream_detection_counts_sliding(spark, sf):
     return _counts(spark, sf, "12 hours", "6 hours")
 
 
-@query("stream_detection_sessions")
+@query(
+    "stream_detection_sessions",
+    """WITH g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts) AS session FROM g)
+SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS window_start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS window_end, event_type,
+  count(*) AS n, round(sum(value), 4) AS total, max(value) AS maximum FROM s GROUP BY event_type, session
+HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+)
 def stream_detection_sessions(spark, sf):
     return _counts(spark, sf, "30 minutes", session=True)
 
