@@ -16,7 +16,8 @@ from .features import feature_strings
 from .hmm import SMALL_MODEL, decode, decode_scored
 
 INTERCEPT = "(intercept)"
-# Size of the feature dictionary a model may hold; the most frequent features are in it.
+# Distinct features a model may have: the weights of all of them are held in memory while
+# fitting. Fitting stops with an error above it; no feature is left out.
 DICTIONARY = 1 << 18
 
 
@@ -33,7 +34,9 @@ def fit_linear_tagger(
     pairs = F.zip_with(feature_strings(train), "labels", lambda w, l: F.struct(w.alias("words"), l.alias("label")))
     tokens = materialize(explode_rows(train, [], pairs, "t").select("t.words", "t.label"))
     n = tokens.count()
-    counter = CountVectorizer(inputCol="words", outputCol="x", vocabSize=dictionary, binary=True).fit(tokens)
+    counter = CountVectorizer(inputCol="words", outputCol="x", vocabSize=dictionary + 1, binary=True).fit(tokens)
+    if len(counter.vocabulary) > dictionary:
+        raise ValueError(f"more than {dictionary} distinct features: raise `dictionary` or use fewer feature groups")
     indexer = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(tokens)
     model = LogisticRegression(
         featuresCol="x", labelCol="y", family="multinomial", maxIter=max_iter,

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import nik
 from ..functions.fixed import ENTITY_TYPES
+from ..functions.let import let
 from .common import explode_rows
 
 
@@ -60,7 +61,7 @@ def top_provinces(df: DataFrame, column: str = "nik", k: int = 5) -> DataFrame:
     """The k provinces with most valid IDs; names are looked up after counting."""
     code = F.substring(column, 1, 2).try_cast("int")
     return (
-        df.where(nik.validate(F.col(column))["valid"])
+        df.where(let(lambda n: nik.validate(n)["valid"], column))
         .groupBy(code.alias("code"))
         .agg(F.count("*").alias("n"))
         .select(nik.province_name(F.col("code")).alias("province"), "n")

@@ -107,7 +107,7 @@ def samples(set_name: str = "main", name: str = "samples") -> str:
 {name}_k AS (SELECT *, CASE {' '.join(cases)} END AS kind FROM people),
 {name}_n AS (SELECT *, CASE kind {numbers} END AS template_no FROM {name}_k),
 {name} AS (
-  SELECT sample_id, {text} AS payload, format, {q(set_name)} AS source, category, has_pii, {kept}
+  SELECT sample_id, {text} AS payload, format, {q(set_name)} AS source, CAST(category AS VARCHAR) AS category, has_pii, {kept}
   FROM {name}_n JOIN {name}_t USING (kind, template_no))"""
 
 

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 def _token_summary(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, T.tokenize(text).alias("t")).select(
         key,
-        F.size("t").alias("n_tokens"),
+        F.size("t").cast("long").alias("n_tokens"),
         F.md5(F.array_join("t", " ")).alias("digest"),
     )
 

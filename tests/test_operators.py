@@ -302,6 +302,8 @@ def test_linear_tagger_learns_and_scores_alike_on_both_paths(spark):
     joined = {r["sample_id"]: r["pred"] for r in linear.tag_linear(feats, weights, small_model=3).collect()}
     assert all(a == b for a, b in small.values())
     assert joined == {k: v[1] for k, v in small.items()}
+    with pytest.raises(ValueError):
+        linear.fit_linear_tagger(feats, max_iter=1, dictionary=10)
     top = linear.top_weights(weights["state"], 5).collect()
     assert len(top) == 5 and abs(top[0]["weight"]) >= abs(top[4]["weight"])
 
