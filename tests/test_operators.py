@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tagmill.functions.labels import tag_regex
 from tagmill.functions.text import tokenize
 from tagmill.operators import (
-    agreement, annotation, common, compare, features, gazetteer, hmm, labeling, linear, logs, masking, metrics, split,
+    agreement, common, compare, features, gazetteer, hmm, labeling, linear, logs, masking, metrics, split,
 )
 from tests.test_functions import TOKENS, _random_labels, _spans
 

@@ -4,7 +4,6 @@ import datetime as dt
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from tagmill.operators import annotation, common, logs
 from tagmill.sources import readers, writers
