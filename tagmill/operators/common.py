@@ -1,6 +1,5 @@
 """Helpers that keep plans safe at scale: size checks, hot keys, reproducible order."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -42,12 +41,13 @@ def order_key(id_col, seed: int = 42) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; that is set here only where it is unset."""
+    """A new folder below spark.checkpoint.dir, or below the warehouse where that is unset: both
+    are shared by driver and executors. Never a folder of one machine on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    root = root or spark.conf.get("spark.sql.warehouse.dir", None)
     if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tagmill-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{root.rstrip('/')}/_tagmill/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
