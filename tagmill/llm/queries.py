@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import raking, url_reputation, winnowing
+from . import fertility, line_dedup, packing, raking, url_reputation, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(table(spark, sf_dir, "pages"), url_outcomes(spark, sf_dir))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = winnowing.fingerprint_documents(table(spark, sf_dir, "documents"))
     text = winnowing.fingerprint_text
@@ -28,9 +32,21 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_common_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judge_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raking.mixing_weights(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_host_reputation": op1_host_reputation, "op4_winnowing": op4_winnowing, "op10_mixing": op10_mixing}
+QUERIES = {
+    "op1_host_reputation": op1_host_reputation, "op2_packing": op2_packing, "op4_winnowing": op4_winnowing,
+    "op7_line_dedup": op7_line_dedup, "op9_fertility": op9_fertility, "op10_mixing": op10_mixing,
+}
 ORACLES: dict[str, str] = {}
