@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fertility, line_dedup, packing, raking, url_reputation, winnowing
+from . import fertility, line_dedup, ngram_join, packing, quality_bayes, raking, url_reputation, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = winnowing.fingerprint_documents(table(spark, sf_dir, "documents"))
     text = winnowing.fingerprint_text
@@ -37,6 +41,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_bayes.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("__k")
+
+
 def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge_documents(table(spark, sf_dir, "documents"))
 
@@ -46,7 +54,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_host_reputation": op1_host_reputation, "op2_packing": op2_packing, "op4_winnowing": op4_winnowing,
-    "op7_line_dedup": op7_line_dedup, "op9_fertility": op9_fertility, "op10_mixing": op10_mixing,
+    "op1_host_reputation": op1_host_reputation, "op2_packing": op2_packing, "op3_ngram_join": op3_ngram_join,
+    "op4_winnowing": op4_winnowing,     "op7_line_dedup": op7_line_dedup, "op8_quality_bayes": op8_quality_bayes, "op9_fertility": op9_fertility,
+    "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {}

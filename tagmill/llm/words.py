@@ -30,7 +30,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate(([1], np.full(max(n - 1, 0), _BASE, np.uint64))), dtype=np.uint64)
+        return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(n - 1, 0), _BASE, np.uint64))), dtype=np.uint64)
 
 
 @dataclass
