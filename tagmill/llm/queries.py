@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fertility, line_dedup, ngram_join, packing, quality_bayes, raking, url_reputation, winnowing
+from . import fertility, line_dedup, ngram_join, packing, quality_bayes, raking, substring_dedup, url_reputation, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_common_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -54,8 +59,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_host_reputation": op1_host_reputation, "op2_packing": op2_packing, "op3_ngram_join": op3_ngram_join,
-    "op4_winnowing": op4_winnowing,     "op7_line_dedup": op7_line_dedup, "op8_quality_bayes": op8_quality_bayes, "op9_fertility": op9_fertility,
+    "op1_host_reputation": op1_host_reputation,
+    "op2_packing": op2_packing,
+    "op3_ngram_join": op3_ngram_join,
+    "op4_winnowing": op4_winnowing,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_quality_bayes": op8_quality_bayes,
+    "op9_fertility": op9_fertility,
     "op10_mixing": op10_mixing,
-}
+}
 ORACLES: dict[str, str] = {}
