@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fertility, line_dedup, ngram_join, packing, quality_bayes, raking, substring_dedup, url_reputation, winnowing
+from . import fertility, line_dedup, ngram_join, packing, quality_bayes, raking, recurrent_lm, substring_dedup, url_reputation, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_common_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -64,6 +68,7 @@ QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op4_winnowing": op4_winnowing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_recurrent_lm": op6_recurrent_lm,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_bayes": op8_quality_bayes,
     "op9_fertility": op9_fertility,
