@@ -12,7 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-BLOCKS = 256
+BLOCKS = 64
+# Tasks that merge; they read their blocks as a stream.
+MERGERS = 32
 
 
 def send(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -36,7 +38,7 @@ def merge(rows: DataFrame, fold) -> dict[int, np.ndarray]:
         for block, array in state.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(array.tobytes(), 1)], pa.binary())], ["block", "data"])
 
-    merged = rows.repartition(BLOCKS, "block").mapInArrow(run, "block int, data binary")
+    merged = rows.repartition(MERGERS, "block").mapInArrow(run, "block int, data binary")
     return {r[0]: np.frombuffer(zlib.decompress(bytes(r[1])), np.uint8) for r in merged.collect()}
 
 
