@@ -6,9 +6,10 @@ documents. Documents with equal sets are one class. Two classes that link share
 are cut into fragments of the hash range; the overlap of a pair is counted in each fragment on its own and
 summed per pair.
 
-Pairs are not enumerated where links already connect them: first every class is checked against its best
-predecessor along the lists, then only pairs of different components that meet in a list are
-checked. No link between components is lost, so components are exact.
+Pairs are not enumerated where links already connect them: first every class is checked against
+its best predecessor along the lists, then only pairs of different components that meet in as
+many lists as a link asks for are checked. No link between components is lost, so components are
+exact.
 """
 
 import zlib
@@ -85,7 +86,7 @@ def frequency_classes(docs: DataFrame, n: int = N) -> np.ndarray:
 
 
 def prefix_lists(docs: DataFrame, classes: np.ndarray, n: int = N, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """``h, key, n, pos`` and, for all but the first of a list, ``p_key, p_n, p_pos``.
+    """``h, key, n`` and, for all but the first of a list, ``p_key, p_n``.
 
     One row per class and n-gram ``h`` of its prefix that another class has in its prefix too;
     ``p_`` is the class before it in the list of ``h``, by set size.
@@ -102,8 +103,8 @@ def prefix_lists(docs: DataFrame, classes: np.ndarray, n: int = N, num: int = NU
                 seen.add(key)
                 order = shared.value[s >> np.uint64(44)].astype(np.uint64) << np.uint64(58) | s >> np.uint64(6)
                 take = len(s) - -(-num * len(s) // den) + 1
-                order = np.sort(np.partition(order, take - 1)[:take] if take < len(order) else order)
-                held.append((order, np.full(take, key), np.full(take, len(s)), np.arange(take)))
+                order = np.partition(order, take - 1)[:take] if take < len(order) else order
+                held.append((order, np.full(take, key), np.full(take, len(s))))
                 if len(held) > 2000:
                     yield _rows(held)
                     held = []
@@ -111,27 +112,27 @@ def prefix_lists(docs: DataFrame, classes: np.ndarray, n: int = N, num: int = NU
                 yield _rows(held)
 
     def _rows(held: list[tuple]) -> pa.RecordBatch:
-        h, key, size, pos = (np.concatenate(c) for c in zip(*held))
+        h, key, size = (np.concatenate(c) for c in zip(*held))
         spread = np.maximum((h >> np.uint64(58)).astype(np.int64) - _HOT, 0)
         salt = words.mix(h ^ words.mix(key.astype(np.int64).view(np.uint64))).view(np.int64) & ((1 << spread) - 1)
-        arrays = [pa.array(h.view(np.int64)), pa.array(key, pa.int64()), pa.array(size, pa.int32()), pa.array(pos, pa.int32()), pa.array(salt, pa.int32())]
-        return pa.RecordBatch.from_arrays(arrays, ["h", "key", "n", "pos", "salt"])
+        arrays = [pa.array(h.view(np.int64)), pa.array(key, pa.int64()), pa.array(size, pa.int32()), pa.array(salt, pa.int32())]
+        return pa.RecordBatch.from_arrays(arrays, ["h", "key", "n", "salt"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the row held back, and whether it has its predecessor in the list
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
             if last is not None:
                 cols = [np.concatenate(([a], b)) for a, b in zip(last[0], cols)]
             fresh = np.ones(len(cols[0]), bool)
             fresh[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
             cols = [c[fresh] for c in cols]
-            h, key, size, pos, salt = cols
+            h, key, size, salt = cols
             same = np.zeros(len(h), bool)
             same[1:] = (h[1:] == h[:-1]) & (salt[1:] == salt[:-1])
-            before = [np.concatenate(([0], c[:-1])) for c in (key, size, pos)]
+            before = [np.concatenate(([0], c[:-1])) for c in (key, size)]
             if last is not None and last[1] is not None:
                 same[0] = True
                 for c, v in zip(before, last[1]):
@@ -142,27 +143,36 @@ def prefix_lists(docs: DataFrame, classes: np.ndarray, n: int = N, num: int = NU
             last = ([c[-1] for c in cols], [c[-1] for c in before] if same[-1] else None)
             out[-1] = False
             if out.any():
-                yield _linked([c[out] for c in (h, key, size, pos)], [c[out] for c in before], same[out])
+                yield _linked([c[out] for c in (h, key, size)], [c[out] for c in before], same[out])
         if last is not None:
             h = np.array([last[0][0]])
             if last[1] is not None or (h.view(np.uint64) >> np.uint64(58))[0] > _HOT:
-                yield _linked([np.array([c]) for c in last[0][:4]], [np.array([c]) for c in (last[1] or (0, 0, 0))], np.array([last[1] is not None]))
+                yield _linked([np.array([c]) for c in last[0][:3]], [np.array([c]) for c in (last[1] or (0, 0))], np.array([last[1] is not None]))
 
     def _linked(own, before, same) -> pa.RecordBatch:
-        arrays = [pa.array(own[0]), pa.array(own[1]), pa.array(own[2], pa.int32()), pa.array(own[3], pa.int32())]
-        arrays += [pa.array(c, t, mask=~same) for c, t in zip(before, (pa.int64(), pa.int32(), pa.int32()))]
-        return pa.RecordBatch.from_arrays(arrays, ["h", "key", "n", "pos", "p_key", "p_n", "p_pos"])
+        arrays = [pa.array(own[0]), pa.array(own[1]), pa.array(own[2], pa.int32())]
+        arrays += [pa.array(c, t, mask=~same) for c, t in zip(before, (pa.int64(), pa.int32()))]
+        return pa.RecordBatch.from_arrays(arrays, ["h", "key", "n", "p_key", "p_n"])
 
-    rows = docs.select("text").mapInArrow(emit, "h long, key long, n int, pos int, salt int")
+    rows = docs.select("text").mapInArrow(emit, "h long, key long, n int, salt int")
     dealt = rows.repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "key")
-    return dealt.mapInArrow(link, "h long, key long, n int, pos int, p_key long, p_n int, p_pos int")
+    return dealt.mapInArrow(link, "h long, key long, n int, p_key long, p_n int")
 
 
-def may_link(a: str, b: str, num: int, den: int):
-    """Length and position filters for rows ``a`` and ``b`` of one list, ``a`` not the larger set."""
-    n, m, i, j = (F.col(f"{x}{c}").cast("long") for c in ("n", "pos") for x in (a, b))
-    most = F.least(i, j) + F.least(n - i, m - j)
-    return (den * n >= num * m) & ((den + num) * most >= num * (n + m))
+def similar_size(n: str, m: str, num: int, den: int):
+    """Whether sets of these sizes, the first not larger, can link at all."""
+    return den * F.col(n).cast("long") >= num * F.col(m).cast("long")
+
+
+def least_shared(n: str, m: str, num: int, den: int):
+    """How many n-grams of both prefixes two classes have in common at least if they link.
+
+    What two sets share lies in both prefixes or behind the prefix that ends first; so the
+    overlap is at most the shared prefix n-grams and the larger rest.
+    """
+    n, m = F.col(n).cast("long"), F.col(m).cast("long")
+    up = lambda a, b: F.floor((a + (b - 1)) / b)
+    return up(num * (n + m), num + den) - up(num * F.greatest(n, m), den) + 1
 
 
 def overlaps(docs: DataFrame, pairs: DataFrame, n: int = N) -> DataFrame:
@@ -208,24 +218,24 @@ def overlaps(docs: DataFrame, pairs: DataFrame, n: int = N) -> DataFrame:
 def linked_classes(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """Edges (x, y) of class keys whose sets link, enough of them to connect every component."""
     lists = materialize(prefix_lists(docs, frequency_classes(docs, n), n, num, den))
-    # the best predecessor of each class: the one it follows in most lists
-    before = lists.withColumnsRenamed({"n": "b_n", "pos": "b_pos"}).where(F.col("p_key").isNotNull() & may_link("p_", "b_", num, den))
-    met = before.groupBy("key", "p_key").count()
-    first = met.groupBy("key").agg(F.max_by("p_key", F.struct("count", "p_key")).alias("x")).select("x", F.col("key").alias("y"))
-    first = materialize(first)
+    # the best predecessor of each class: the one it follows in most lists, if in about enough
+    met = lists.where(F.col("p_key").isNotNull() & similar_size("p_n", "n", num, den)).groupBy("key", "p_key", "n", "p_n").count()
+    met = met.where(2 * F.col("count") >= least_shared("n", "p_n", num, den))
+    first = materialize(met.groupBy("key").agg(F.max_by("p_key", F.struct("count", "p_key")).alias("x")).select("x", F.col("key").alias("y")))
     enough = (num + den) * F.col("common") >= num * (F.col("n_x") + F.col("n_y"))
     edges = materialize(overlaps(docs, first, n).where(enough).select("x", "y"))
-    # what is left: classes of different components that meet in a list
+    # what is left: classes of different components that meet in enough lists
     component = connected_components(edges, "x", "y")
-    placed = lists.select("h", "key", "n", "pos").join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
+    placed = lists.select("h", "key", "n").join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
     placed = materialize(placed)
-    mixed = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
+    mixed = materialize(placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h"))
     open_lists = materialize(placed.join(mixed, "h", "left_semi"))
-    a = open_lists.select("h", *[F.col(c).alias(f"a_{c}") for c in ("key", "n", "pos", "c")])
-    b = open_lists.select("h", *[F.col(c).alias(f"b_{c}") for c in ("key", "n", "pos", "c")])
+    a = open_lists.select("h", *[F.col(c).alias(f"a_{c}") for c in ("key", "n", "c")])
+    b = open_lists.select("h", *[F.col(c).alias(f"b_{c}") for c in ("key", "n", "c")])
     ahead = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_key") < F.col("b_key")))
-    rest = a.join(b, "h").where((F.col("a_c") != F.col("b_c")) & ahead & may_link("a_", "b_", num, den))
-    rest = rest.select(F.col("a_key").alias("x"), F.col("b_key").alias("y")).distinct()
+    rest = a.join(b, "h").where((F.col("a_c") != F.col("b_c")) & ahead & similar_size("a_n", "b_n", num, den))
+    rest = rest.groupBy(F.col("a_key").alias("x"), F.col("b_key").alias("y"), "a_n", "b_n").count()
+    rest = rest.where(F.col("count") >= least_shared("a_n", "b_n", num, den)).select("x", "y")
     rest = materialize(rest.join(first, ["x", "y"], "left_anti"))
     more = overlaps(docs, rest, n).where(enough).select("x", "y")
     return edges.union(more)
