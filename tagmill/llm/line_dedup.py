@@ -101,7 +101,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
             yield pa.RecordBatch.from_arrays(columns, ["__line", "__k", "__at"])
 
     found = materialize(rows.mapInArrow(suspects, "__line binary, __k long, __at array<int>"))
-    common = found.groupBy("__line").count().where(F.col("count") >= min_docs).select("__line")
+    # written out, so that a line of very many documents can be split in the join
+    common = materialize(found.groupBy("__line").count().where(F.col("count") >= min_docs).select("__line"))
     drops = found.join(common, "__line").groupBy("__k").agg(F.array_distinct(F.flatten(F.collect_list("__at"))).alias("__drop"))
     joined = keyed.join(drops, "__k", "left").withColumn("__lines", F.split("text", "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__drop")
