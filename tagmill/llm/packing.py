@@ -23,7 +23,7 @@ CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k"
 END_ID = 0
 NODES = 2_000
-GROUP_ROWS = 4096
+GROUP_ROWS = 1024
 _CACHE = 400_000
 
 # Letters, digits and white space of Latin-1 as the vocabulary's own split pattern sees them.
