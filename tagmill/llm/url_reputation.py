@@ -57,7 +57,7 @@ def with_domain(hosts: DataFrame, suffixes=SUFFIXES) -> DataFrame:
 
 def strength(groups: DataFrame, name: str) -> DataFrame:
     """One row: the beta prior's strength over groups with ``n`` outcomes, ``bad`` of them bad,
-    by the moment estimate of the correlation within groups."""
+    by the moment estimate of the correlation within groups; never more than the outcomes there are."""
     n, p = F.col("n").cast("double"), F.col("bad") / F.col("n")
     s = groups.where("n > 0").agg(
         F.count("n").alias("k"), F.sum(n).alias("t"), F.sum(n * n).alias("q"), F.sum("bad").cast("double").alias("b"),
@@ -68,7 +68,7 @@ def strength(groups: DataFrame, name: str) -> DataFrame:
     rho = F.try_divide(spread, F.col("t") - F.try_divide(F.col("q"), F.col("t")) - (F.col("k") - 1))
     m = F.when(rho > 0, F.try_divide(F.lit(1.0), rho) - 1).otherwise(MAX_STRENGTH)
     return s.select(
-        F.greatest(F.lit(MIN_STRENGTH), F.least(F.lit(MAX_STRENGTH), F.coalesce(m, F.lit(MAX_STRENGTH)))).alias(name),
+        F.greatest(F.lit(MIN_STRENGTH), F.least(F.lit(MAX_STRENGTH), F.coalesce(m, F.lit(MAX_STRENGTH)), F.coalesce("t", F.lit(0.0)))).alias(name),
         ((F.coalesce("b", F.lit(0.0)) + 0.5) / (F.coalesce("t", F.lit(0.0)) + 1)).alias(f"{name}_mean"),
     )
 
