@@ -9,7 +9,6 @@ counts. Evidence and path rate are added as log odds.
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -88,26 +87,26 @@ def features(rows: DataFrame, carry: list[str]) -> DataFrame:
                 at = _buckets(bare.hashes())
                 own = [np.unique(at[i:j]) for i, j in zip(bare.first[:-1], bare.first[1:])]
                 cols = [batch.column(i + 1).slice(b.lo, b.hi - b.lo) for i in range(len(carry))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(form.tolist(), pa.list_(pa.float64())), pa.array(own, pa.list_(pa.int32()))], [*carry, "form", "buckets"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(np.arange(len(form) + 1) * _FORM, pa.int32()), pa.array(form.reshape(-1))), pa.array(own, pa.list_(pa.int32()))], [*carry, "form", "buckets"])
 
     kinds = dict(rows.dtypes)
     return rows.select("text", *carry).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in carry) + ", form array<double>, buckets array<int>")
 
 
-def fit(sample: pd.DataFrame, target: str) -> dict:
+def fit(sample: pa.Table, target: str) -> dict:
     """A penalised logistic model: form columns and those word buckets that stand out."""
-    y = sample[target].to_numpy(float)
+    y = sample[target].to_numpy().astype(float)
     n = len(y)
-    size = np.array([len(x) for x in sample["buckets"]], np.int64)
-    flat = np.concatenate([*sample["buckets"], np.zeros(0)]).astype(np.int64)
-    owner = np.repeat(np.arange(n), size)
+    lists = sample["buckets"].combine_chunks()
+    size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(n), size)
+    form = sample["form"].combine_chunks().flatten().to_numpy().reshape(n, _FORM)
     rate = (y.sum() + 0.5) / (n + 1)
     df = np.bincount(flat, minlength=BUCKETS)
-    hits = np.bincount(flat, y[owner] if n else None, minlength=BUCKETS)
+    hits = np.bincount(flat[y[owner] > 0], minlength=BUCKETS)
     with np.errstate(divide="ignore", invalid="ignore"):
         z = (hits - df * rate) / np.sqrt(df * rate * (1 - rate))
     chosen = np.flatnonzero((df >= MIN_DOCS) & (np.abs(z) > MIN_Z))
-    form = np.array(sample["form"].tolist(), float).reshape(n, _FORM)
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
     keep = place[flat] >= 0
@@ -119,9 +118,12 @@ def fit(sample: pd.DataFrame, target: str) -> dict:
     penalty = np.full(x.shape[1], PENALTY)
     penalty[0] = 1e-3
     for _ in range(15):  # Newton steps
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + penalty * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        g, h = penalty * w, np.diag(penalty)
+        for lo in range(0, n, 1000):
+            part = x[lo : lo + 1000]
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            g = g + part.T @ (p - y[lo : lo + 1000])
+            h = h + part.T @ (part * (p * (1 - p)).astype(np.float32)[:, None])
         step = np.linalg.solve(h, g)
         w -= step * min(1.0, 5 / (np.abs(step).max() + 1e-9))
         if np.abs(step).max() < 1e-4:
@@ -201,7 +203,7 @@ def judge_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.6,
     # a bounded sample, chosen by a hash of the id
     chosen = ids.orderBy(F.xxhash64("__id"), "__id").limit(sample).select("__id", *TARGETS)
     drawn = rows.select("doc_id", "text").join(F.broadcast(materialize(chosen)), F.col("doc_id") == F.col("__id"))
-    taken = features(drawn.select("text", *TARGETS), list(TARGETS)).toPandas()
+    taken = features(drawn.select("text", *TARGETS), list(TARGETS)).toArrow()
     models = {t: fit(taken, t) for t in TARGETS}
     outcomes = materialize(ids.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]))
     every = rows.select("host", "path").distinct().join(outcomes, ["host", "path"], "left").fillna(0)
