@@ -21,9 +21,11 @@ from tagmill.operators.common import materialize
 from . import bitmaps, words
 
 LENGTH, GRAM = 20, 6
-SKETCH, FILTER_BITS = 1 << 20, 1 << 26
+SKETCH, FILTER_BITS = 1 << 20, 1 << 25
 # A shard is hot if the sketch counts 2^10 runs or more, and 2^4 times the mean.
 _HOT, _OVER_MEAN = 10, 4
+# Shards with more different runs than this are settled window by window.
+_RUNS = 4096
 _LOWEST = -(1 << 63)
 
 
@@ -236,7 +238,7 @@ def repeats(sequences, length: int) -> Iterator[list[int]]:
 
 def matched(rows: DataFrame, need: DataFrame, length: int, gram: int) -> DataFrame:
     """``doc, tie, start, n`` of repeated windows among the runs of ``need`` (those that
-    ``settled`` left open): automata for most shards, grouped windows for hot ones."""
+    ``settled`` left open): automata for most shards, grouped windows for those of very many runs."""
     packed = rows.sparkSession.sparkContext.broadcast(bitmaps.key_filter(need, "shard", FILTER_BITS))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,12 +285,12 @@ def matched(rows: DataFrame, need: DataFrame, length: int, gram: int) -> DataFra
 
     key = ["shard", "doc", "tie", "start"]
     cut = rows.mapInArrow(emit, "shard long, doc long, tie int, start int, own array<long>")
-    cut = materialize(cut.join(need.select(*key, "n", "hot").distinct(), key))
-    cold = cut.where("not hot").select(*key, "own").repartition("shard").sortWithinPartitions(*key)
+    cut = materialize(cut.join(need.select(*key, "n", "large").distinct(), key))
+    cold = cut.where("not large").select(*key, "own").repartition("shard").sortWithinPartitions(*key)
     found = cold.mapInArrow(stream, "doc long, tie int, start int, n int")
-    # hot shards: every window by its own hash
+    # large shards: every window by its own hash
     windows = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.xxhash64(F.slice("own", i + 1, F.lit(length))).alias("w"), (F.col("start") + i).alias("s")))
-    each = cut.where("hot").select("shard", "doc", "tie", F.explode(windows).alias("x")).select("shard", "doc", "tie", "x.w", F.col("x.s").alias("start"))
+    each = cut.where("large").select("shard", "doc", "tie", F.explode(windows).alias("x")).select("shard", "doc", "tie", "x.w", F.col("x.s").alias("start"))
     first = each.groupBy("shard", "w").agg(F.min(F.struct("doc", "tie", "start")).alias("f"))
     later = each.join(first, ["shard", "w"]).where(F.struct("doc", "tie", "start") != F.col("f"))
     return found.union(later.select("doc", "tie", "start", F.lit(1).alias("n")))
@@ -300,10 +302,9 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     sizes, hot = shard_sizes(rows, length, gram)
     known = materialize(settled(rows, sizes, hot, length, gram))
     first = known.where("not again")
-    mixed = first.where("not hot").groupBy("shard").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("twice").alias("t"))
-    mixed = mixed.where("lo <> hi or t").select("shard")
-    need = first.where("not hot").join(mixed, "shard", "left_semi").union(first.where("hot"))
-    need = materialize(need.select("shard", "doc", "tie", "start", "n", "hot"))
+    shards = first.groupBy("shard").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("twice").alias("t"), F.max("hot").alias("h"), F.count("*").alias("c"))
+    open_shards = materialize(shards.where("lo <> hi or t or (h and c > 1)").select("shard", (F.col("c") > _RUNS).alias("large")))
+    need = materialize(first.join(open_shards, "shard").select("shard", "doc", "tie", "start", "n", "large"))
     return known.where("again").select("doc", "tie", "start", "n").union(matched(rows, need, length, gram))
 
 
