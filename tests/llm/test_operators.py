@@ -352,6 +352,7 @@ def test_automaton_equals_plain_windows():
 @pytest.mark.parametrize("hot", [10, 2])
 def test_substring_dedup_equals_plain_version(frame, monkeypatch, hot):
     monkeypatch.setattr(substring_dedup, "_HOT", hot)
+    monkeypatch.setattr(substring_dedup, "_RUNS", 4096 if hot > 2 else 3)
     monkeypatch.setattr(substring_dedup, "_OVER_MEAN", 4 if hot > 2 else 0)
     rng = random.Random(7)
     passages = ["p q r s t u v w x y z a b c d e f g h i j k", "m n o", "q r s t u v w x y z a b c d e f g h i j k", " ".join(map(str, range(23)))]
