@@ -1,7 +1,5 @@
 """BIO label arrays: tests, spans, order checks, and the pattern tagger."""
 
-from string import ascii_lowercase, ascii_uppercase
-
 from pyspark.sql import Column, functions as F
 
 from .let import let
@@ -56,7 +54,7 @@ def align_labels(truth, pred) -> Column:
 def _continues(labels, label, i) -> Column:
     """Whether the label before position i is B- or I- of the same type as an I- label."""
     before = F.get(labels, i - 1)
-    return F.coalesce(before.isin(label, F.concat(F.lit("B-"), F.substring(label, 3, 200))), F.lit(False))
+    return F.coalesce(before.isin(label, F.concat(F.lit("B-"), F.substr(label, F.lit(3)))), F.lit(False))
 
 
 def order_violations(labels) -> Column:
@@ -83,12 +81,24 @@ def mask_pattern_token(token) -> Column:
     )
 
 
+_PRIVATE = 0xE000  # 6400 code points, enough for 3200 types
+
+
+def _begin(i: int) -> str:
+    return chr(_PRIVATE + 2 * i)
+
+
+def _inside(i: int) -> str:
+    return chr(_PRIVATE + 2 * i + 1)
+
+
 def label_string(labels, types=ENTITY_TYPES) -> Column:
-    """One character per label: a capital begins a type, its small letter goes on, else a dot."""
+    """One character per label, of the private use area: one that begins a type, the next one
+    that goes on; else a dot."""
     out = F.concat(F.lit("<"), F.array_join(labels, "><"), F.lit(">"))
     for i, t in enumerate(types):
-        out = F.replace(out, F.lit(f"<B-{t}>"), F.lit(ascii_uppercase[i]))
-        out = F.replace(out, F.lit(f"<I-{t}>"), F.lit(ascii_lowercase[i]))
+        out = F.replace(out, F.lit(f"<B-{t}>"), F.lit(_begin(i)))
+        out = F.replace(out, F.lit(f"<I-{t}>"), F.lit(_inside(i)))
     return F.regexp_replace(out, "<[^>]*>", ".")
 
 
@@ -103,7 +113,7 @@ def entity_spans(labels, types=ENTITY_TYPES, keep_orphans: bool = False) -> Colu
     begins = [f"B-{t}" for t in types]
     insides = [f"I-{t}" for t in types]
     run = "{0}{1}*+|{1}++" if keep_orphans else "{0}{1}*+"
-    runs_pattern = "|".join(run.format(ascii_uppercase[i], ascii_lowercase[i]) for i in range(len(types)))
+    runs_pattern = "|".join(run.format(_begin(i), _inside(i)) for i in range(len(types)))
     names = F.array(*[F.lit(t) for t in types])
 
     def find(ls):
@@ -118,7 +128,7 @@ def entity_spans(labels, types=ENTITY_TYPES, keep_orphans: bool = False) -> Colu
             starts,
             runs,
             lambda s, r: F.struct(
-                F.get(names, F.ascii(F.upper(r)) - F.lit(ord("A"))).alias("type"),
+                F.get(names, F.shiftright(F.ascii(r) - F.lit(_PRIVATE), 1)).alias("type"),
                 s.cast("int").alias("start"),
                 (s + F.length(r) - 1).cast("int").alias("end"),
             ),
@@ -154,3 +164,14 @@ def span_keys(spans) -> Column:
         spans,
         lambda s: F.concat_ws("|", s["type"], s["start"].cast("string"), s["end"].cast("string")),
     )
+
+
+def key_type(key) -> Column:
+    """Type of a span key; it may itself hold the separator."""
+    return F.regexp_replace(key, r"\|[0-9]+\|[0-9]+$", "")
+
+
+def key_bounds(key) -> tuple[Column, Column]:
+    """Start and end of a span key."""
+    start = F.substring_index(F.substring_index(key, "|", -2), "|", 1)
+    return start.cast("int"), F.substring_index(key, "|", -1).cast("int")

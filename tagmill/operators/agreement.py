@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed import ENTITY_TYPES
-from ..functions.labels import align_labels, entity_spans, span_keys
+from ..functions.labels import align_labels, entity_spans, key_bounds, key_type, span_keys
 from ..functions.let import let
 from ..functions.text import token_gaps, tokenize
 from ..functions.verdicts import landis_koch, meets_target, ratio
@@ -138,7 +138,7 @@ def _dense(spans, n) -> Column:
 
 def _first_meetings(dense_a, dense_b) -> Column:
     """(a, b) keys of each A span and the first B span of its type that shares a token."""
-    kind = lambda k: F.substring_index(k, "|", 1)
+    kind = key_type
     met = F.filter(
         F.zip_with(
             dense_a, dense_b, lambda x, y: F.when(kind(x) == kind(y), F.struct(x.alias("a"), y.alias("b")))
@@ -193,19 +193,18 @@ def classify_disagreements(pairs: DataFrame, task="task_id", types=ENTITY_TYPES)
             "_db": _dense("_sb", F.size("labels_b")),
         }
     )
-    part = lambda k, i: F.split_part(k, F.lit("|"), F.lit(i))
 
     def rows(side, own, other, dense):
         return let(lambda d: F.transform(F.array_except(own, other), lambda k: one(side, d, k)), dense)
 
     def one(side, dense, k):
-        start, end = part(k, 2).cast("int"), part(k, 3).cast("int")
+        start, end = key_bounds(k)
         over = F.filter(F.slice(dense, start + 1, end - start + 1), lambda x: x.isNotNull())
-        same_type = F.exists(over, lambda x: part(x, 1) == part(k, 1))
-        same_bounds = F.exists(over, lambda x: (part(x, 2) == part(k, 2)) & (part(x, 3) == part(k, 3)))
+        same_type = F.exists(over, lambda x: key_type(x) == key_type(k))
+        same_bounds = F.exists(over, lambda x: (key_bounds(x)[0] == start) & (key_bounds(x)[1] == end))
         return F.struct(
             F.lit(side).alias("side"),
-            part(k, 1).alias("entity"),
+            key_type(k).alias("entity"),
             start.alias("start"),
             end.alias("end"),
             F.when(F.size(over) == 0, "missing")

@@ -31,8 +31,9 @@ def annotation_labels(tasks: DataFrame, annotator_a: str, annotator_b: str) -> D
     return spans_to_bio(annotation_rows(tasks, annotator_a, annotator_b))
 
 
-def annotation_completeness(tasks: DataFrame) -> DataFrame:
-    n = F.coalesce(F.array_size("annotations"), F.lit(0))
+def annotation_completeness(tasks: DataFrame, count: str | None = None) -> DataFrame:
+    """Tasks by number of annotations: of the array ``annotations``, or in a column ``count``."""
+    n = F.col(count) if count else F.coalesce(F.array_size("annotations"), F.lit(0))
     return tasks.agg(
         F.count("*").alias("tasks"),
         F.count_if(n == 0).alias("zero"),

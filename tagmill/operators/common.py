@@ -27,13 +27,6 @@ def explode_rows(df: DataFrame, keep: list, array, name: str = "x", pos: str | N
     return df.select(*keep, exploded).where(F.col(name).isNotNull())
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores when the input comes in fewer pieces than that (a small file, one
-    row group); a table of many splits is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def order_key(id_col, seed: int = 42) -> Column:
     """Reproducible pseudo-random order of ids, the same in every engine with md5."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
@@ -58,6 +51,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(df: DataFrame) -> DataFrame:
+    """The table, written out, with a unique ``_row``: ids given by callers may repeat."""
+    return materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def checked_join(rows: DataFrame, table: DataFrame, key, how: str = "left") -> DataFrame:
     """Left or inner join to a table with unique ``key`` that is usually small.
 
@@ -81,6 +79,7 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str, hot_share: float =
     keys are each rare, so a plain shuffle join spreads them evenly.
     """
     rows, table = materialize(rows), materialize(table)
+    empty, rows = rows.where(F.col(key).isNull()), rows.where(F.col(key).isNotNull())
     counts = rows.groupBy(key).count()
     total = rows.count()
     hot = counts.where(F.col("count") > F.lit(total * hot_share)).select(key, F.lit(True).alias("_hot"))
@@ -89,4 +88,6 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str, hot_share: float =
     hot_table = table.join(hot, key, "left_semi")
     left = marked.where("_hot").drop("_hot").join(F.broadcast(hot_table), key, "left")
     rest = marked.where("_hot is null").drop("_hot").join(table, key, "left")
-    return left.unionByName(rest)
+    # NULL matches nothing, so those rows need no join and stay where they are
+    absent = [F.lit(None).cast(t.dataType).alias(t.name) for t in table.schema if t.name != key]
+    return left.unionByName(rest).unionByName(empty.select("*", *absent))

@@ -2,7 +2,7 @@
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import nik, phone
 from ..functions.fixed import NEGATIVE_KEYWORDS, TITLE_MARKERS
@@ -10,7 +10,7 @@ from ..functions.let import let
 from ..functions.labels import token_is_nik, token_is_phone
 from ..functions.text import is_alpha, is_digits, is_title, is_upper, token_lowers, token_shapes, token_shapes_simple
 from . import gazetteer as gz
-from .common import explode_rows, lookup_join
+from .common import explode_rows, lookup_join, with_row_key
 
 WINDOW = 10
 TERM_LISTS = {
@@ -152,9 +152,11 @@ def has_title_marker(word) -> Column:
     return F.rlike(word, F.lit("|".join(re.escape(m) for m in TITLE_MARKERS)))
 
 
-def _flags_by_join(df: DataFrame, gazetteer: DataFrame, tokens: str, id_col: str) -> DataFrame:
+def _flags_by_join(df: DataFrame, gazetteer: DataFrame, tokens: str) -> DataFrame:
     """Term-list flags for term lists too large for a plan: distinct words of the samples meet
     the term table by a skew-safe join, and each sample's flags are put back together."""
+    df = with_row_key(df)
+    keywords = gz.keywords(gazetteer)
     wide = (
         gazetteer.groupBy("term")
         .agg(*[F.max(F.col("category") == c).alias(n) for c, n in (TERM_LISTS | PHRASE_LISTS).items()])
@@ -167,19 +169,19 @@ def _flags_by_join(df: DataFrame, gazetteer: DataFrame, tokens: str, id_col: str
         ),
         token_lowers(tokens),
     )
-    pairs = explode_rows(df, [id_col], words, "_w")
+    pairs = explode_rows(df, ["_row"], words, "_w")
     hits = lookup_join(pairs, wide, "_w").where(F.col("in_jabatan_dict").isNotNull())
     names = list((TERM_LISTS | PHRASE_LISTS).values())
-    found = hits.groupBy(id_col).agg(
+    found = hits.groupBy("_row").agg(
         *[F.collect_set(F.when(F.col(n), F.col("_w"))).alias(f"_w_{n}") for n in names]
     )
     low = F.col("_low")
-    out = df.join(found, id_col, "left").withColumn("_low", token_lowers(tokens))
+    out = df.join(found, "_row", "left").withColumn("_low", token_lowers(tokens))
     known = lambda n: lambda word: F.coalesce(F.array_contains(F.col(f"_w_{n}"), word), F.lit(False))
     flags = {f"_f_{n}": _in_list(low, known(n)) for n in TERM_LISTS.values()}
     flags |= {f"_f_{n}": _pair_in_list(low, known(n)) for n in PHRASE_LISTS.values()}
-    flags["_f_negative"] = F.transform("_low", lambda t: _negative_word(t, NEGATIVE_KEYWORDS))
-    return out.withColumns(flags).drop(*[f"_w_{n}" for n in names])
+    flags["_f_negative"] = F.transform("_low", lambda t: _negative_word(t, keywords))
+    return out.withColumns(flags).drop("_row", *[f"_w_{n}" for n in names])
 
 
 def token_features(
@@ -188,7 +190,7 @@ def token_features(
     use_regex: bool = True,
     use_gazetteer: bool = True,
     tokens: str = "tokens",
-    id_col: str = "sample_id",
+    small_terms: int = gz.SMALL_TERMS,
 ) -> DataFrame:
     """Add ``features``: one struct per token.
 
@@ -197,9 +199,9 @@ def token_features(
     """
     sets = gazetteer
     if isinstance(gazetteer, DataFrame):
-        sets = gz.as_sets(gazetteer)
+        sets = gz.as_sets(gazetteer, small_terms)
         if sets is None:
-            df = _flags_by_join(df, gazetteer, tokens, id_col)
+            df = _flags_by_join(df, gazetteer, tokens)
     elif gazetteer is None:
         sets = {}
     before = [c for c in df.columns if not c.startswith("_")]
@@ -214,9 +216,12 @@ def _fields(df: DataFrame) -> list[str]:
 def feature_strings(df: DataFrame) -> Column:
     """Per token an array of ``name=value`` strings; false and absent features are left out."""
     fields = _fields(df)
-    word = lambda t, f: F.when(
-        F.lower(t[f].cast("string")) != "false", F.concat(F.lit(f"{f}="), t[f].cast("string"))
-    )
+    kinds = {f.name: f.dataType for f in df.schema["features"].dataType.elementType}
+
+    def word(t, f):
+        text = F.concat(F.lit(f"{f}="), t[f].cast("string"))
+        return F.when(t[f], text) if isinstance(kinds[f], T.BooleanType) else text
+
     return F.transform(
         "features", lambda t: F.array_compact(F.array(*[word(t, f) for f in fields]))
     )

@@ -111,9 +111,22 @@ def build_gazetteer(train: DataFrame, min_count: int = 2, top_names: int = 500,
     return mined.unionByName(names).unionByName(seed_terms(train.sparkSession)).distinct()
 
 
-def as_sets(gazetteer: DataFrame) -> dict[str, list[str]] | None:
+# Terms that may go into a plan as literals; longer lists are joined.
+SMALL_TERMS = 20_000
+
+
+def keywords(gazetteer: DataFrame) -> list[str]:
+    """The negative keywords of a term table, or the built-in ones if it has none. They are
+    patterns tried inside every word, so they are a short list whatever the other lists hold."""
+    rows = small_rows(gazetteer.where("category = 'negative_keywords'").select("term").distinct(), SMALL_TERMS)
+    if rows is None:
+        raise ValueError(f"more than {SMALL_TERMS} negative keywords")
+    return sorted(r["term"] for r in rows) or NEGATIVE_KEYWORDS
+
+
+def as_sets(gazetteer: DataFrame, limit: int = SMALL_TERMS) -> dict[str, list[str]] | None:
     """The term lists as Python lists if they are few enough to go into a plan, else None."""
-    rows = small_rows(gazetteer, 20_000)
+    rows = small_rows(gazetteer, limit)
     if rows is None:
         return None
     out: dict[str, list[str]] = {c: [] for c in CATEGORIES}

@@ -12,7 +12,7 @@ from ..functions.fixed import UNKNOWN_TOKEN
 from ..functions.labels import mask_pattern_token
 from ..functions.let import let
 from ..functions.text import token_lowers
-from .common import barrier_udf, explode_rows, lookup_join, small_rows
+from .common import barrier_udf, explode_rows, lookup_join, small_rows, with_row_key
 
 # Emission rows that may be shipped to every task for scoring; beyond it they are joined.
 SMALL_MODEL = 500_000
@@ -112,7 +112,7 @@ def _viterbi_batch(scores: list[np.ndarray], start: np.ndarray, trans: np.ndarra
     sizes = lengths[order]
     live = int((sizes > 0).sum())
     best = np.zeros((live, len(start)))
-    back = np.zeros((len(flat), len(start)), dtype=np.int8)
+    back = np.zeros((len(flat), len(start)), dtype=np.min_scalar_type(max(len(start) - 1, 0)))
     best[:] = start + flat[offset[:live]]
     for t in range(1, int(sizes[0]) if len(sizes) else 0):
         m = int(np.searchsorted(-sizes, -t, side="left"))
@@ -120,13 +120,16 @@ def _viterbi_batch(scores: list[np.ndarray], start: np.ndarray, trans: np.ndarra
         step = best[:m, :, None] + trans[None] + flat[rows][:, None, :]
         back[rows] = step.argmax(axis=1)
         best[:m] = step.max(axis=1)
+    # backwards over all sequences that reach step t at once
+    state = best.argmax(axis=1)
+    paths = np.empty(len(flat), dtype=np.int64)
+    for t in range(int(sizes[0]) - 1 if live else -1, -1, -1):
+        m = int(np.searchsorted(-sizes, -t, side="left"))
+        rows = offset[:m] + t
+        paths[rows] = state[:m]
+        state[:m] = back[rows, state[:m]]
     for r in range(live):
-        state = int(best[r].argmax())
-        path = np.empty(sizes[r], dtype=np.int64)
-        for t in range(sizes[r] - 1, -1, -1):
-            path[t] = state
-            state = back[offset[r] + t, state]
-        out[order[r]] = path
+        out[order[r]] = paths[offset[r] : offset[r] + sizes[r]]
     return out
 
 
@@ -174,10 +177,9 @@ def tag_hmm(
     hybrid: bool = False,
     tokens: str = "tokens",
     pred: str = "pred",
-    id_col: str = "sample_id",
     small_model: int = SMALL_MODEL,
 ) -> DataFrame:
-    """Add the most likely label sequence per row.
+    """Add the most likely label sequence per row; rows need no unique id.
 
     A model of a checked size travels to the tasks and no row is shuffled. A larger one is
     joined to the tokens, and each row's emission vectors are collected again.
@@ -185,7 +187,7 @@ def tag_hmm(
     states, start, trans, unseen = _parameters(model)
     rows = small_rows(model["emission"], small_model)
     if rows is None:
-        return _tag_by_join(df, model, states, start, trans, unseen, hybrid, tokens, pred, id_col)
+        return _tag_by_join(df, model, states, start, trans, unseen, hybrid, tokens, pred)
     index = {s: i for i, s in enumerate(states)}
     words = {w: i for i, w in enumerate(sorted({r["token"] for r in rows}))}
     table = np.tile(unseen, (len(words) + 1, 1))
@@ -205,7 +207,8 @@ def tag_hmm(
     return df.withColumn("_obs", observed(tokens, hybrid)).withColumn(pred, barrier_udf(viterbi)("_obs")).drop("_obs")
 
 
-def _tag_by_join(df, model, states, start, trans, unseen, hybrid, tokens, pred, id_col) -> DataFrame:
+def _tag_by_join(df, model, states, start, trans, unseen, hybrid, tokens, pred) -> DataFrame:
+    df = with_row_key(df)
     vectors = model["emission"].groupBy("token").agg(
         F.map_from_entries(F.collect_list(F.struct("state", "logp"))).alias("m")
     )
@@ -214,16 +217,16 @@ def _tag_by_join(df, model, states, start, trans, unseen, hybrid, tokens, pred,
         "token",
         F.array(*[F.coalesce(F.try_element_at("m", F.lit(s)), F.lit(default[s])) for s in states]).alias("e"),
     )
-    long = explode_rows(df, [id_col], observed(tokens, hybrid), "token", "pos")
+    long = explode_rows(df, ["_row"], observed(tokens, hybrid), "token", "pos")
     scored = lookup_join(long, vectors, "token").select(
-        id_col, "pos", F.coalesce("e", F.array(*[F.lit(default[s]) for s in states])).alias("e")
+        "_row", "pos", F.coalesce("e", F.array(*[F.lit(default[s]) for s in states])).alias("e")
     )
-    return decode_scored(df, scored, start, trans, states, pred, id_col)
+    return decode_scored(df, scored, start, trans, states, pred)
 
 
-def decode_scored(df, scored, start, trans, states, pred, id_col) -> DataFrame:
-    """Viterbi over per-token score vectors that come as rows (id, pos, e)."""
-    per_row = scored.groupBy(id_col).agg(
+def decode_scored(df, scored, start, trans, states, pred) -> DataFrame:
+    """Viterbi over per-token score vectors that come as rows (_row, pos, e)."""
+    per_row = scored.groupBy("_row").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "e"))), lambda x: x["e"]).alias("_e")
     )
     shared = df.sparkSession.sparkContext.broadcast((start, trans, states))
@@ -235,6 +238,6 @@ def decode_scored(df, scored, start, trans, states, pred, id_col) -> DataFrame:
         flat = np.asarray(vec.flatten().flatten()).reshape(-1, len(names))
         return decode(lambda a, b: flat[a:b], lengths, first, move, names)
 
-    return df.join(per_row, id_col, "left").withColumn(
+    return df.join(per_row, "_row", "left").withColumn(
         pred, barrier_udf(viterbi)(F.coalesce("_e", F.array().cast("array<array<double>>")))
-    ).drop("_e")
+    ).drop("_e", "_row")

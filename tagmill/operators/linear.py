@@ -11,18 +11,18 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, StringIndexer
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import explode_rows, lookup_join, materialize, small_rows
+from .common import explode_rows, lookup_join, materialize, small_rows, with_row_key
 from .features import feature_strings
 from .hmm import SMALL_MODEL, decode, decode_scored
 
 INTERCEPT = "(intercept)"
-# Distinct features a model may have: the weights of all of them are held in memory while
-# fitting. Fitting stops with an error above it; no feature is left out.
-DICTIONARY = 1 << 18
+# Labelled rows that fitting takes at most, chosen by a hash of their tokens' features. All
+# distinct features of these rows are in the model.
+FIT_ROWS = 200_000
 
 
 def fit_linear_tagger(
-    train: DataFrame, c1: float = 0.1, c2: float = 0.1, max_iter: int = 100, dictionary: int = DICTIONARY
+    train: DataFrame, c1: float = 0.1, c2: float = 0.1, max_iter: int = 100, fit_rows: int = FIT_ROWS
 ) -> dict[str, DataFrame]:
     """``train`` has ``labels`` and ``features``; returns state(feature, state, weight) and
     trans(prev, state, weight).
@@ -31,12 +31,14 @@ def fit_linear_tagger(
     label's share after another to its share overall, since the token model knows the latter.
     """
     spark = train.sparkSession
+    total_rows = train.count()
+    if total_rows > fit_rows:
+        spot = F.pmod(F.xxhash64("tokens", "labels"), F.lit(1 << 30))
+        train = train.where(spot < int((1 << 30) * fit_rows / total_rows))
     pairs = F.zip_with(feature_strings(train), "labels", lambda w, l: F.struct(w.alias("words"), l.alias("label")))
     tokens = materialize(explode_rows(train, [], pairs, "t").select("t.words", "t.label"))
     n = tokens.count()
-    counter = CountVectorizer(inputCol="words", outputCol="x", vocabSize=dictionary + 1, binary=True).fit(tokens)
-    if len(counter.vocabulary) > dictionary:
-        raise ValueError(f"more than {dictionary} distinct features: raise `dictionary` or use fewer feature groups")
+    counter = CountVectorizer(inputCol="words", outputCol="x", vocabSize=(1 << 31) - 1, binary=True).fit(tokens)
     indexer = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(tokens)
     model = LogisticRegression(
         featuresCol="x", labelCol="y", family="multinomial", maxIter=max_iter,
@@ -93,7 +95,7 @@ def _matrices(weights: dict[str, DataFrame]):
 
 
 def tag_linear(
-    df: DataFrame, weights: dict[str, DataFrame], pred: str = "pred", id_col: str = "sample_id",
+    df: DataFrame, weights: dict[str, DataFrame], pred: str = "pred",
     small_model: int = SMALL_MODEL,
 ) -> DataFrame:
     """Add the best label sequence by summed weights of rows with ``features``, which are
@@ -114,12 +116,13 @@ def tag_linear(
     words = feature_strings(df)
     if rows is None:
         vectors = named.groupBy("feature").pivot("state", states).agg(F.first("weight"))
-        long = explode_rows(df, [id_col], words, "_ws", "pos").select(id_col, "pos", F.explode("_ws").alias("feature"))
-        summed = lookup_join(long, vectors, "feature").groupBy(id_col, "pos").agg(
+        df = with_row_key(df.withColumn("_ws", words).drop("features"))
+        long = explode_rows(df, ["_row"], "_ws", "_w", "pos").select("_row", "pos", F.explode("_w").alias("feature"))
+        summed = lookup_join(long, vectors, "feature").groupBy("_row", "pos").agg(
             *[(F.sum(F.coalesce(F.col(f"`{s}`"), F.lit(0.0))) + float(intercept[i])).alias(s) for i, s in enumerate(states)]
         )
-        scored = summed.select(id_col, "pos", F.array(*[F.col(f"`{s}`") for s in states]).alias("e"))
-        return decode_scored(df.drop("features"), scored, start, trans, states, pred, id_col)
+        scored = summed.select("_row", "pos", F.array(*[F.col(f"`{s}`") for s in states]).alias("e"))
+        return decode_scored(df.drop("_ws"), scored, start, trans, states, pred)
     known = {w: i for i, w in enumerate(sorted({r["feature"] for r in rows}))}
     table = np.zeros((len(known) + 1, len(states)))
     for r in rows:

@@ -18,7 +18,7 @@ def mask_token(token: Column, label: Column, policy=DEFAULT_POLICY) -> Column:
     """The token masked by the policy of its label's type; unknown types are left alone."""
     out = token
     n = F.length(token)
-    kind = F.substring(label, 3, 100)
+    kind = F.substr(label, F.lit(3))
     for entity, (left, right, char) in policy.items():
         hidden = F.greatest(n - left - right, F.lit(0))
         masked = F.concat(

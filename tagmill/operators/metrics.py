@@ -7,14 +7,14 @@ functions inside it; the only shuffle is of a few counters per partition.
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.fixed import ENTITY_TYPES
-from ..functions.labels import entity_spans, span_keys
+from ..functions.labels import entity_spans, key_type, span_keys
 from ..functions.verdicts import f1, ratio
 from .common import explode_rows
 
 
 def _tagged_keys(keys, side: str):
     return F.transform(
-        keys, lambda k: F.struct(F.substring_index(k, "|", 1).alias("entity"), F.lit(side).alias("side"))
+        keys, lambda k: F.struct(key_type(k).alias("entity"), F.lit(side).alias("side"))
     )
 
 

@@ -29,7 +29,9 @@ def pick(values: list, index: Column) -> Column:
 
 
 def _digits(value: Column, width: int) -> Column:
-    return F.lpad(value.cast("string"), width, "0")
+    """At least ``width`` digits; longer numbers keep all of theirs."""
+    text = value.cast("string")
+    return F.concat(F.repeat(F.lit("0"), F.greatest(width - F.length(text), F.lit(0))), text)
 
 
 def synth_nik(k: Column) -> Column:

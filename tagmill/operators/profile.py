@@ -1,6 +1,6 @@
 """Counts and shares of labels, groups, entities and IDs."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import nik
 from ..functions.fixed import ENTITY_TYPES
@@ -9,9 +9,11 @@ from .common import explode_rows
 
 
 def _share(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Add ``pct`` of the total (per group of ``by``); the input is already aggregated."""
-    w = Window.partitionBy(*(by or [F.lit(1)]))
-    return df.withColumn("pct", F.round(100 * F.col("n") / F.sum("n").over(w), 6))
+    """Add ``pct`` of the total (per group of ``by``); the input is already aggregated. Totals
+    are summed and joined, so the groups themselves never meet in one task."""
+    totals = df.groupBy(*(by or [])).agg(F.sum("n").alias("_total"))
+    joined = df.join(totals, by) if by else df.join(F.broadcast(totals), F.lit(True))
+    return joined.withColumn("pct", F.round(100 * F.col("n") / F.col("_total"), 6)).drop("_total")
 
 
 def label_distribution(tagged: DataFrame, labels: str = "labels") -> DataFrame:

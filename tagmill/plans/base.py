@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.labels import tag_regex
-from ..operators.common import spread
 from ..operators.labeling import label_samples
 from ..operators.payloads import damaged_nik, person_columns, render_payloads
 
@@ -12,19 +11,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-TEXTS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
-
-
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of texts, spread over the cores for per-row work."""
-    return spread(table(spark, sf_dir, name), TEXTS[name])
+    """A table of texts; how it is cut into tasks is up to the session's split size."""
+    return table(spark, sf_dir, name)
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One person per customer; the nation is one of the places."""
     k = F.col("c_custkey")
     return (
-        spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+        table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .select(k.alias("sample_id"), *person_columns(k, F.col("n_name")))
     )

@@ -8,7 +8,7 @@ from ..functions.text import join_tokens, sample_code, tokenize
 from ..operators import compare, masking, metrics, profile, quality, split
 from ..operators.common import explode_rows, order_key
 from ..operators.labeling import match_value_span
-from ..operators.payloads import render_requests
+from ..operators.payloads import PERSON_FIELDS, render_requests
 from . import base, sqlbase as S
 
 QUERIES: dict = {}
@@ -60,16 +60,20 @@ TAGGED = S.main_tagged()
 @query(
     "match_value_span",
     S.with_(S.people(), S.samples("holdout"), S.tagged())
-    + f"""SELECT sample_id, CAST(s AS INTEGER) AS start, CAST(s + n - 1 AS INTEGER) AS "end" FROM (
+    + " UNION ALL ".join(
+        f"""SELECT sample_id, '{field}' AS field, CAST(s AS INTEGER) AS start, CAST(s + n - 1 AS INTEGER) AS "end" FROM (
   SELECT sample_id, {S._find('tokens', 'v')} AS s, len(v) AS n FROM (
-    SELECT sample_id, tokens, regexp_extract_all(lokasi, '{S.TOKEN}') AS v FROM tagged)) WHERE s IS NOT NULL""",
+    SELECT sample_id, tokens, regexp_extract_all({field}, '{S.TOKEN}') AS v FROM tagged)) WHERE s IS NOT NULL"""
+        for field in PERSON_FIELDS
+    ),
 )
 def match_span(spark, sf):
     df = base.samples(spark, sf, "holdout").withColumn("j", join_tokens(tokenize("payload")))
+    found = [F.struct(F.lit(f).alias("field"), match_value_span(F.col("j"), F.col(f"pii_data.{f}")).alias("m")) for f in PERSON_FIELDS]
     return (
-        df.select("sample_id", match_value_span(F.col("j"), F.col("pii_data.lokasi")).alias("m"))
-        .where("m is not null")
-        .select("sample_id", "m.start", "m.end")
+        explode_rows(df, ["sample_id"], F.array(*found))
+        .where("x.m is not null")
+        .select("sample_id", "x.field", "x.m.start", "x.m.end")
     )
 
 
@@ -88,12 +92,11 @@ def spans(spark, sf):
     "entity_tokens",
     S.with_(*TAGGED)
     + """SELECT label, lower(token) AS token, count(*) AS n FROM (SELECT unnest(tokens) AS token, unnest(labels) AS label FROM tagged)
-WHERE label <> 'O' AND label NOT LIKE '%NIK' AND label NOT LIKE '%PHONE' GROUP BY ALL""",
+WHERE label <> 'O' GROUP BY ALL""",
 )
 def entity_token_counts(spark, sf):
     return (
         explode_rows(base.tagged(spark, sf), [], entity_tokens("tokens", "labels"), "p")
-        .where("p.label not like '%NIK' and p.label not like '%PHONE'")
         .groupBy("p.label", F.lower("p.token").alias("token"))
         .agg(F.count("*").alias("n"))
     )
@@ -465,10 +468,29 @@ def mcnemar_counts(spark, sf):
     )
 
 
-@query("mcnemar_stats")
+# erfc by Simpson's rule over eight units, binomial tail by factorials
+_P_VALUE = """CASE WHEN n = 0 THEN 1.0 WHEN n >= 25 THEN 2 / sqrt(pi()) * 0.004 / 3 * list_sum(list_transform(range(0, 2001),
+  lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(sqrt(pow(abs(a_only - b_only) - 1, 2) / n / 2) + i * 0.004, 2))))
+  ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(a_only, b_only) + 1),
+  lambda i: CAST(factorial(CAST(n AS INTEGER)) AS DOUBLE) / CAST(factorial(CAST(i AS INTEGER)) AS DOUBLE) / CAST(factorial(CAST(n - i AS INTEGER)) AS DOUBLE))) / pow(2.0, n)) END"""
+
+
+@query(
+    "mcnemar_stats",
+    S.with_(*S.main_tagged("hard"), S.two_models(), _RIGHT)
+    + f""", m AS (SELECT 'regex' AS model_a, 'forgetful' AS model_b, count(*) FILTER (a.c AND b.c) AS both_correct, count(*) FILTER (a.c AND NOT b.c) AS a_only,
+  count(*) FILTER (NOT a.c AND b.c) AS b_only, count(*) FILTER (NOT a.c AND NOT b.c) AS both_wrong
+  FROM ok a JOIN ok b ON a.sample_id = b.sample_id AND a.model = 'regex' AND b.model = 'forgetful'),
+d AS (SELECT *, a_only + b_only AS n FROM m), p AS (SELECT *, {_P_VALUE} AS p_value FROM d)
+SELECT model_a, model_b, both_correct, a_only, b_only, both_wrong, n AS n_disagreements,
+  CASE WHEN n = 0 THEN 0.0 ELSE round(power(abs(a_only - b_only) - 1, 2) / n, 6) END AS chi_square, round(p_value, 6) AS p_value,
+  CASE WHEN n = 0 THEN 'No disagreement' WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE 'ns' END AS significance,
+  CASE WHEN a_only > b_only THEN model_a WHEN b_only > a_only THEN model_b ELSE 'TIE' END AS better_model,
+  CASE WHEN n = 0 THEN 'N/A' WHEN n < 25 THEN 'Exact binomial' ELSE 'Asymptotic (continuity correction)' END AS test_method FROM p""",
+)
 def mcnemar_stats(spark, sf):
     t = compare.mcnemar_table(compare.correctness(base.two_models(spark, sf, "hard")), [("regex", "forgetful")])
-    return compare.mcnemar_stats(t)
+    return compare.mcnemar_stats(t).withColumns({c: F.round(c, 6) for c in ("chi_square", "p_value")})
 
 
 _GAP = S.with_(

@@ -64,10 +64,10 @@ def gazetteer_phrases(spark, sf):
     "first_names",
     S.with_(*TAGGED, _TOK)
     + """SELECT 'nama_prefixes' AS category, t AS term, count(*) AS n FROM prevs WHERE l = 'B-NAMA' AND regexp_matches(w, '^\\p{Lu}\\p{L}+$')
-GROUP BY t ORDER BY n DESC, min((sample_id, pos)) LIMIT 6""",
+GROUP BY t ORDER BY n DESC, min((sample_id, pos)) LIMIT 500""",
 )
 def first_names(spark, sf):
-    return gazetteer.top_terms(gazetteer.mine_counts(base.tagged(spark, sf)), "nama_prefixes", 6)
+    return gazetteer.top_terms(gazetteer.mine_counts(base.tagged(spark, sf)), "nama_prefixes", 500)
 
 
 @query(
@@ -215,19 +215,31 @@ _ALL_FEATURES = {
 }
 
 
-@query(
-    "token_features",
+_FEATURES_SQL = (
     S.with_(S.people(), S.samples("main"), S.tagged(), _MINED, _GAZ, S.samples("holdout", "hold"), S.tagged("hold", "scored"))
     + _window_features("scored")
     + ", fx AS (SELECT *, lead(w) OVER x AS n1, lead(w, 2) OVER x AS n2 FROM feat WINDOW x AS (PARTITION BY sample_id ORDER BY pos)), wide AS (SELECT "
     + ", ".join(f"CAST(({e}) AS VARCHAR) AS {n}" for n, e in _ALL_FEATURES.items())
-    + " FROM fx) SELECT name, count(*) AS n, count(DISTINCT value) AS distinct_values FROM (UNPIVOT wide ON * INTO NAME name VALUE value) GROUP BY name",
+    + " FROM fx) SELECT name, count(*) AS n, count(DISTINCT value) AS distinct_values FROM (UNPIVOT wide ON * INTO NAME name VALUE value) GROUP BY name"
 )
+
+
+def _feature_counts(spark, sf, **options):
+    terms = materialize(gazetteer.build_gazetteer(base.tagged(spark, sf)))
+    long = features.long_features(features.token_features(base.tagged(spark, sf, "holdout"), terms, **options))
+    return long.groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("value").alias("distinct_values"))
+
+
+@query("token_features", _FEATURES_SQL)
 def token_features(spark, sf):
     """All features of all tokens, as (name, rows, distinct values)."""
-    df = base.tagged(spark, sf, "holdout")
-    long = features.long_features(features.token_features(df, gazetteer.build_gazetteer(base.tagged(spark, sf))))
-    return long.groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("value").alias("distinct_values"))
+    return _feature_counts(spark, sf)
+
+
+@query("token_features_joined", _FEATURES_SQL)
+def token_features_joined(spark, sf):
+    """The same by the path for term lists of any size."""
+    return _feature_counts(spark, sf, small_terms=0)
 
 
 # --- hidden Markov model ---------------------------------------------------------------------
@@ -322,8 +334,8 @@ pr AS (SELECT g.*, pred FROM goal g JOIN best USING (sample_id))""",
     ]
 
 
-def _hmm_tagged(spark, sf, hybrid):
-    return hmm.tag_hmm(base.tagged(spark, sf, "holdout"), _fitted(spark, sf, hybrid), hybrid)
+def _hmm_tagged(spark, sf, hybrid, **options):
+    return hmm.tag_hmm(base.tagged(spark, sf, "holdout"), _fitted(spark, sf, hybrid), hybrid, **options)
 
 
 for _hybrid in (False, True):
@@ -349,13 +361,19 @@ for _hybrid in (False, True):
     _add_tagger(_hybrid)
 
 
+@query("hmm_viterbi_joined", ORACLES["hmm_viterbi"])
+def hmm_viterbi_joined(spark, sf):
+    """The same by the path for models of any size."""
+    return _hmm_tagged(spark, sf, False, small_model=0).select("sample_id", F.array_join("pred", " ").alias("pred"))
+
+
 # --- linear model ----------------------------------------------------------------------------
 
 
 def _linear(spark, sf):
     train = base.tagged(spark, sf)
     terms = materialize(gazetteer.build_gazetteer(train))
-    weights = linear.fit_linear_tagger(features.token_features(train, terms), max_iter=15)
+    weights = linear.fit_linear_tagger(features.token_features(train, terms))
     return weights, terms
 
 

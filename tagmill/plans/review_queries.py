@@ -84,7 +84,23 @@ def gwet_ac1(spark, sf):
     return agreement.gwet_ac1(agreement.confusion_cells(base.annotator_pairs(spark, sf))).drop("ci_low", "ci_high")
 
 
-@query("gwet_ac1_interval")
+_INTERVAL = """gt AS (SELECT format, unnest(labels_a) AS a, unnest(labels_b) AS b FROM pairs), gc AS (SELECT format, a, b, CAST(count(*) AS DOUBLE) AS n FROM gt GROUP BY ALL),
+gn AS (SELECT format, sum(n) AS t, coalesce(sum(n) FILTER (a = b), 0) / sum(n) AS pa FROM gc GROUP BY format),
+gp AS (SELECT format, l, sum(m) / (2 * any_value(t)) AS p FROM (SELECT format, a AS l, n AS m FROM gc UNION ALL SELECT format, b, n FROM gc) JOIN gn USING (format) GROUP BY format, l),
+ge AS (SELECT format, sum(p * (1 - p)) / (count(*) - 1) AS pe, count(*) AS q FROM gp GROUP BY format),
+ga AS (SELECT *, (pa - pe) / (1 - pe) AS ac FROM gn JOIN ge USING (format)),
+gs AS (SELECT ga.format, any_value(ac) AS ac, any_value(t) AS t, sqrt(sum(n * pow((CASE WHEN gc.a = gc.b THEN 1.0 ELSE 0.0 END - pe) / (1 - pe)
+  - 2 * (1 - ac) * ((2 - pa_.p - pb_.p) / 2 / (q - 1) - pe) / (1 - pe) - ac, 2)) / (any_value(t) * (any_value(t) - 1))) AS se
+  FROM gc JOIN ga USING (format) JOIN gp pa_ ON pa_.format = gc.format AND pa_.l = gc.a JOIN gp pb_ ON pb_.format = gc.format AND pb_.l = gc.b GROUP BY ga.format),
+gr AS (SELECT *, (1.959963984540054 + (pow(1.959963984540054, 3) + 1.959963984540054) / 4 / (t - 1)) * se AS reach FROM gs)"""
+
+
+@query(
+    "gwet_ac1_interval",
+    S.with_(*PAIRS, _INTERVAL)
+    + f"""SELECT format, round(ac, 4) AS ac1, round(ac - reach, 4) AS ci_low, round(least(ac + reach, 1.0), 4) AS ci_high, CAST(t AS BIGINT) AS n_tokens,
+  {_LK('ac')} AS interpretation FROM gr""",
+)
 def gwet_ac1_interval(spark, sf):
     return agreement.gwet_ac1(agreement.confusion_cells(base.annotator_pairs(spark, sf), ["format"]), ["format"])
 
@@ -242,9 +258,9 @@ SELECT count(*) AS tasks, count(*) FILTER (n = 0) AS zero, count(*) FILTER (n =
 def annotation_completeness(spark, sf):
     """Conversations stand in for tasks, their answers for annotations."""
     tasks = base.texts(spark, sf, "conversations").groupBy("conv_id").agg(
-        F.collect_list(F.when(F.col("role") == "assistant", F.col("turn"))).alias("annotations")
+        F.count_if(F.col("role") == "assistant").alias("n")
     )
-    return annotation.annotation_completeness(tasks)
+    return annotation.annotation_completeness(tasks, "n")
 
 
 def _round1(spark, sf):

@@ -38,12 +38,23 @@ def splits_parquet(spark, sf):
     return split.split_crosstab(readers.read_samples(spark, path, schemas.SAMPLES + ", split string"))
 
 
-@query("hmm_model_roundtrip", model_queries.ORACLES["hmm_emission"])
+@query(
+    "hmm_model_roundtrip",
+    S.with_(*model_queries._hmm_sql())
+    + """SELECT 'start' AS kind, CAST(NULL AS VARCHAR) AS prev, state, CAST(NULL AS VARCHAR) AS token, round(logp, 6) AS logp FROM hs
+UNION ALL SELECT 'trans', prev, state, NULL, round(logp, 6) FROM ht UNION ALL SELECT 'emission', NULL, state, token, round(logp, 6) FROM he
+UNION ALL SELECT 'unseen', NULL, state, NULL, round(logp, 6) FROM hu""",
+)
 def hmm_model(spark, sf):
     path = shared_folder(spark)
     counts = materialize(hmm.hmm_counts(base.tagged(spark, sf)))
     writers.write_hmm(hmm.fit_hmm(None, counts=counts), path)
-    return readers.read_hmm(spark, path)["emission"].select("state", "token", F.round("logp", 6).alias("logp"))
+    none = F.lit(None).cast("string")
+    parts = [
+        t.select(F.lit(k).alias("kind"), *[F.col(c) if c in t.columns else none.alias(c) for c in ("prev", "state", "token")], F.round("logp", 6).alias("logp"))
+        for k, t in readers.read_hmm(spark, path).items()
+    ]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
 @query("gazetteer_roundtrip", model_queries.ORACLES["build_gazetteer"])
@@ -86,15 +97,16 @@ def term_list(spark, sf):
 @query(
     "id_reference",
     S.with_(S.people())
-    + """SELECT nik AS "NIK", substr(nik, 7, 2) AS "Tanggal Lahir", substr(nik, 13) AS "Nomor Urut" FROM people""",
+    + """SELECT nik AS "NIK", substr(nik, 1, 2) AS "Provinsi", substr(nik, 7, 2) AS "Tanggal Lahir",
+  CASE WHEN CAST(substr(nik, 7, 2) AS INTEGER) > 40 THEN 'P' ELSE 'L' END AS "Jenis Kelamin", substr(nik, 13) AS "Nomor Urut" FROM people""",
 )
 def id_reference(spark, sf):
     path = shared_folder(spark)
     base.people(spark, sf).select(
-        F.col("nik").alias("NIK"), F.lit("-").alias("Provinsi"), F.substring("nik", 7, 2).alias("Tanggal Lahir"),
-        F.lit("L").alias("Jenis Kelamin"), F.substring("nik", 13, 4).alias("Nomor Urut"),
+        F.col("nik").alias("NIK"), F.substring("nik", 1, 2).alias("Provinsi"), F.substring("nik", 7, 2).alias("Tanggal Lahir"),
+        F.when(F.substring("nik", 7, 2).cast("int") > 40, "P").otherwise("L").alias("Jenis Kelamin"), F.substring("nik", 13, 4).alias("Nomor Urut"),
     ).write.csv(path, header=True)
-    return readers.read_id_reference(spark, path).select("NIK", "Tanggal Lahir", "Nomor Urut")
+    return readers.read_id_reference(spark, path)
 
 
 @query("write_requests", label_queries.ORACLES["render_requests"])

@@ -32,7 +32,8 @@ def pick(values, index: str) -> str:
 
 
 def pad(value: str, width: int) -> str:
-    return f"lpad(CAST({value} AS VARCHAR), {width}, '0')"
+    text = f"CAST({value} AS VARCHAR)"
+    return f"(repeat('0', greatest({width} - length({text}), 0)) || {text})"
 
 
 def nik(k: str) -> str:

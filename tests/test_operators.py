@@ -4,10 +4,11 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagmill.functions.labels import tag_regex
+from tagmill.functions.labels import entity_spans, tag_regex
 from tagmill.functions.text import tokenize
 from tagmill.operators import (
     agreement, common, compare, features, gazetteer, hmm, labeling, linear, logs, masking, metrics, split,
@@ -158,6 +159,46 @@ def test_viterbi_as_textbook_on_both_paths(spark):
     joined = {r["sample_id"]: r["pred"] for r in hmm.tag_hmm(goals, model, small_model=3).collect()}
     assert small == want
     assert joined == want
+    twice = goals.withColumn("sample_id", F.lit(1))  # ids may repeat
+    again = lambda **k: sorted((r["tokens"], r["pred"]) for r in hmm.tag_hmm(twice, model, **k).collect())
+    assert again() == again(small_model=3) == sorted((t, want[i]) for i, t in goal)
+
+
+def test_viterbi_with_200_states():
+    rng = np.random.default_rng(3)
+    scores = [rng.normal(size=(n, 200)) for n in (5, 1, 0, 9, 5)]
+    start, trans = rng.normal(size=200), rng.normal(size=(200, 200))
+    for e, path in zip(scores, hmm._viterbi_batch(scores, start, trans)):
+        best, back = start + e[0] if len(e) else None, []
+        for x in e[1:]:
+            step = best[:, None] + trans + x
+            back.append(step.argmax(0))
+            best = step.max(0)
+        want = [] if best is None else [int(best.argmax())]
+        for b in reversed(back):
+            want.append(int(b[want[-1]]))
+        assert list(path) == want[::-1]
+
+
+def test_many_and_long_entity_types(spark):
+    types = [f"T{i}|x" for i in range(60)] + ["L" * 300]
+    labels = [x for t in types for x in (f"B-{t}", f"I-{t}", "O")]
+    df = spark.createDataFrame([(labels, labels)], "labels array<string>, pred array<string>")
+    spans = df.select(entity_spans("labels", types).alias("s")).first()["s"]
+    assert [(s["type"], s["start"], s["end"]) for s in spans] == [(t, 3 * i, 3 * i + 1) for i, t in enumerate(types)]
+    got = {r["entity"]: r["tp"] for r in metrics.entity_counts(df, [], "labels", "pred", types).collect()}
+    assert got == {t: 1 for t in types}
+    token = spark.createDataFrame([("secret", "B-" + "L" * 300)], "t string, l string")
+    masked = token.select(masking.mask_token(F.col("t"), F.col("l"), {"L" * 300: (0, 0, "*")}).alias("m")).first()["m"]
+    assert masked == "******"
+
+
+def test_the_word_false_keeps_its_features(spark):
+    df = spark.createDataFrame([(1, ["x", "false", "y"])], "sample_id bigint, tokens array<string>")
+    feats = features.token_features(df)
+    words = feats.select(features.feature_strings(feats).alias("f")).first()["f"]
+    assert "word_identity=false" in words[1] and "word_lower=false" in words[1] and "m1_lower=false" in words[2]
+    assert not any(w.endswith("_istitle=false") for w in words[1])
 
 
 # --- agreement -------------------------------------------------------------------------------
@@ -278,8 +319,11 @@ def test_feature_paths_agree(spark):
         spark.createDataFrame([("jabatan_phrases", "kepala dinas"), ("jabatan_tokens", "dinas"), ("nama_prefixes", "rina")], "c string, t string")
     )
     small = features.token_features(df, terms).orderBy("sample_id").collect()
-    flags = features._flags_by_join(df, terms, "tokens", "sample_id")
-    joined = features.context_arrays(flags, None).withColumn("features", features._feature_struct("tokens", True, True))
+    terms = terms.union(spark.createDataFrame([("negative_keywords", "kupon")], "c string, t string"))
+    df = df.union(spark.createDataFrame([(4, "kupon 3274635212890001 false", ["kupon", "3274635212890001", "false"])], df.schema))
+    small = features.token_features(df, terms).orderBy("sample_id").collect()
+    joined = features.token_features(df, terms, small_terms=0)
+    assert small[4]["features"][1]["nik_has_negative_context"]
     assert [r["features"] for r in joined.orderBy("sample_id").collect()] == [r["features"] for r in small]
     f = small[1]["features"]
     assert f[0]["bigram_jabatan"] and f[1]["in_jabatan_dict"] and f[2]["in_nama_dict"] and not f[3]["bigram_jabatan"]
@@ -302,8 +346,10 @@ def test_linear_tagger_learns_and_scores_alike_on_both_paths(spark):
     joined = {r["sample_id"]: r["pred"] for r in linear.tag_linear(feats, weights, small_model=3).collect()}
     assert all(a == b for a, b in small.values())
     assert joined == {k: v[1] for k, v in small.items()}
-    with pytest.raises(ValueError):
-        linear.fit_linear_tagger(feats, max_iter=1, dictionary=10)
+    twice = feats.withColumn("sample_id", F.col("sample_id") % 2)  # ids may repeat
+    again = lambda **k: sorted((r["tokens"], r["pred"]) for r in linear.tag_linear(twice, weights, **k).collect())
+    assert again() == again(small_model=3) == sorted((r["tokens"], small[r["sample_id"]][1]) for r in feats.collect())
+    assert linear.fit_linear_tagger(feats, max_iter=1, fit_rows=10)["state"].count() > 0
     top = linear.top_weights(weights["state"], 5).collect()
     assert len(top) == 5 and abs(top[0]["weight"]) >= abs(top[4]["weight"])
 
