@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import fertility, line_dedup, ngram_join, packing, quality_bayes, raking, recurrent_lm, substring_dedup, url_reputation, winnowing
+from .oracles import ORACLES  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,4 +75,3 @@ QUERIES = {
     "op9_fertility": op9_fertility,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {}
