@@ -3,6 +3,7 @@
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -10,9 +11,10 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tagmill.functions.labels import tag_regex  # noqa: E402
-from tagmill.functions.text import tokenize  # noqa: E402
+from tagmill.functions.text import token_gaps, tokenize  # noqa: E402
 from tagmill.operators import features, gazetteer, hmm  # noqa: E402
 from tagmill.operators.common import materialize  # noqa: E402
+from tagmill.operators.masking import mask_text  # noqa: E402
 from tagmill.plans import base, registry  # noqa: E402
 
 HEADLINE = [
@@ -40,6 +42,8 @@ def throughput(spark, sf) -> dict:
         "tokenize_documents": (base.texts(spark, sf, "documents"), lambda d: d.select(tokenize("text"))),
         "tag_regex_documents": (docs, lambda d: d.select(tag_regex("tokens"))),
         "tag_hmm_payloads": (samples, lambda d: hmm.tag_hmm(d, model)),
+        "mask_regex_documents": (base.texts(spark, sf, "documents"), lambda d: d.select(mask_text(token_gaps("text"), tokenize("text"), tag_regex(tokenize("text"))))),
+        "tag_hmm_documents": (docs, lambda d: hmm.tag_hmm(d, model)),
         "features_payloads": (samples, lambda d: features.token_features(d, terms)),
     }
     out = {}
@@ -63,6 +67,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_SCRATCH") or tempfile.mkdtemp(prefix="bench-"))
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
