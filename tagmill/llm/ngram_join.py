@@ -7,7 +7,7 @@ are cut into fragments of the hash range; the overlap of a pair is counted in ea
 summed per pair.
 
 Pairs are not enumerated where links already connect them: first every class is checked against
-its best predecessor along the lists, then only pairs of different components that meet in as
+its best predecessor along the lists and the centre of most of them, then only pairs of different components that meet in as
 many lists as a link asks for are checked. No link between components is lost, so components are
 exact.
 """
@@ -25,9 +25,11 @@ from . import bitmaps, words
 from .components import connected_components
 
 N, NUMERATOR, DENOMINATOR = 4, 85, 100
-SKETCH, FRAGMENTS, FILTER_BITS = 1 << 20, 4, 1 << 24
-# Lists of n-grams that the sketch counts in 2^13 or more documents are dealt out in parts of 2^12.
-_HOT = 12
+SKETCH, FRAGMENTS, FILTER_BITS = 1 << 22, 4, 1 << 24
+_SHIFT = np.uint64(64 - 22)  # from a hash to its place in the sketch
+# Classes are half steps of the binary logarithm: lists of n-grams that the sketch counts in 2^12
+# documents or more are dealt out in parts.
+_HOT = 24
 
 
 def _sets(column, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -54,25 +56,25 @@ def set_keys(docs: DataFrame, n: int = N) -> DataFrame:
 
 
 def frequency_classes(docs: DataFrame, n: int = N) -> np.ndarray:
-    """For each of ``SKETCH`` hash places the binary logarithm of the number of n-grams (one per
-    document) that fall there: one byte each, whatever the input."""
+    """For each of ``SKETCH`` hash places twice the binary logarithm of the number of n-grams
+    (counted once per document) that fall there: one byte each, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.int64)
+        counts = np.zeros(SKETCH, np.int32)
         for batch in batches:
             held: list[np.ndarray] = []
             for _, s in _sets(batch.column(0), n):
-                held.append((s >> np.uint64(44)).astype(np.int64))
-                if len(held) > 500:
-                    counts += np.bincount(np.concatenate(held), minlength=SKETCH)
+                held.append((s >> _SHIFT).astype(np.int32))
+                if len(held) > 4000:
+                    counts += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.int32)
                     held = []
             if held:
-                counts += np.bincount(np.concatenate(held), minlength=SKETCH)
+                counts += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.int32)
         rows = counts.reshape(bitmaps.BLOCKS, -1)
         full = [b for b in range(bitmaps.BLOCKS) if rows[b].any()]
         for i in range(0, len(full), 32):
             part = full[i : i + 32]
-            data = [zlib.compress(rows[b].tobytes(), 1) for b in part]
+            data = [zlib.compress(rows[b].astype(np.int64).tobytes(), 1) for b in part]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
 
     def fold(state, data):
@@ -81,7 +83,7 @@ def frequency_classes(docs: DataFrame, n: int = N) -> np.ndarray:
     merged = bitmaps.merge(docs.select("text").mapInArrow(run, "block int, data binary"), fold)
     out = np.zeros((bitmaps.BLOCKS, SKETCH // bitmaps.BLOCKS), np.uint8)
     for b, data in merged.items():
-        out[b] = np.log2(np.maximum(data.view(np.int64), 1)).astype(np.uint8)
+        out[b] = np.minimum(2 * np.log2(np.maximum(data.view(np.int64), 1)), 63).astype(np.uint8)
     return out.reshape(-1)
 
 
@@ -101,7 +103,7 @@ def prefix_lists(docs: DataFrame, classes: np.ndarray, n: int = N, num: int = NU
                 if not len(s) or (key := words.sequence_hash(s)) in seen:
                     continue
                 seen.add(key)
-                order = shared.value[s >> np.uint64(44)].astype(np.uint64) << np.uint64(58) | s >> np.uint64(6)
+                order = shared.value[s >> _SHIFT].astype(np.uint64) << np.uint64(58) | s >> np.uint64(6)
                 take = len(s) - -(-num * len(s) // den) + 1
                 order = np.partition(order, take - 1)[:take] if take < len(order) else order
                 held.append((order, np.full(take, key), np.full(take, len(s))))
@@ -113,8 +115,8 @@ def prefix_lists(docs: DataFrame, classes: np.ndarray, n: int = N, num: int = NU
 
     def _rows(held: list[tuple]) -> pa.RecordBatch:
         h, key, size = (np.concatenate(c) for c in zip(*held))
-        spread = np.maximum((h >> np.uint64(58)).astype(np.int64) - _HOT, 0)
-        salt = words.mix(h ^ words.mix(key.astype(np.int64).view(np.uint64))).view(np.int64) & ((1 << spread) - 1)
+        spread = np.maximum(((h >> np.uint64(58)).astype(np.int64) - _HOT + 1) // 2, 0)
+        salt = words.mix(key.astype(np.int64).view(np.uint64)).view(np.int64) & ((1 << spread) - 1)
         arrays = [pa.array(h.view(np.int64)), pa.array(key, pa.int64()), pa.array(size, pa.int32()), pa.array(salt, pa.int32())]
         return pa.RecordBatch.from_arrays(arrays, ["h", "key", "n", "salt"])
 
@@ -159,9 +161,10 @@ def prefix_lists(docs: DataFrame, classes: np.ndarray, n: int = N, num: int = NU
     return dealt.mapInArrow(link, "h long, key long, n int, p_key long, p_n int")
 
 
-def similar_size(n: str, m: str, num: int, den: int):
+def similar_size(n, m, num: int, den: int):
     """Whether sets of these sizes, the first not larger, can link at all."""
-    return den * F.col(n).cast("long") >= num * F.col(m).cast("long")
+    n, m = (F.col(c) if isinstance(c, str) else c for c in (n, m))
+    return den * n.cast("long") >= num * m.cast("long")
 
 
 def least_shared(n: str, m: str, num: int, den: int):
@@ -218,24 +221,34 @@ def overlaps(docs: DataFrame, pairs: DataFrame, n: int = N) -> DataFrame:
 def linked_classes(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """Edges (x, y) of class keys whose sets link, enough of them to connect every component."""
     lists = materialize(prefix_lists(docs, frequency_classes(docs, n), n, num, den))
-    # the best predecessor of each class: the one it follows in most lists, if in about enough
-    met = lists.where(F.col("p_key").isNotNull() & similar_size("p_n", "n", num, den)).groupBy("key", "p_key", "n", "p_n").count()
-    met = met.where(2 * F.col("count") >= least_shared("n", "p_n", num, den))
-    first = materialize(met.groupBy("key").agg(F.max_by("p_key", F.struct("count", "p_key")).alias("x")).select("x", F.col("key").alias("y")))
+    # a class shares no more prefix n-grams than it has lists
+    lists = materialize(lists.join(lists.groupBy("key").agg(F.count("*").alias("d")), "key"))
+    # what to check first: of each class the predecessor it follows in most lists, and the centre
+    # (the class in most lists) of most of its lists
+    chain = lists.where("p_key is not null").select("key", "n", F.col("p_key").alias("o"), F.col("p_n").alias("m"))
+    centre = materialize(lists.groupBy("h").agg(F.max_by(F.struct("key", "n"), F.struct("d", "key")).alias("c")))
+    star = lists.join(centre, "h").select("key", "n", F.col("c.key").alias("o"), F.col("c.n").alias("m")).where("key <> o")
+    first = None
+    for pairs in (chain, star):
+        met = pairs.groupBy("key", "o", "n", "m").count()
+        met = met.where(similar_size(F.least("n", "m"), F.greatest("n", "m"), num, den) & (2 * F.col("count") >= least_shared("n", "m", num, den)))
+        best = met.groupBy("key").agg(F.max_by("o", F.struct("count", "o")).alias("o")).select(F.least("key", "o").alias("x"), F.greatest("key", "o").alias("y"))
+        first = best if first is None else first.union(best)
+    first = materialize(first.distinct())
     enough = (num + den) * F.col("common") >= num * (F.col("n_x") + F.col("n_y"))
     edges = materialize(overlaps(docs, first, n).where(enough).select("x", "y"))
     # what is left: classes of different components that meet in enough lists
     component = connected_components(edges, "x", "y")
-    placed = lists.select("h", "key", "n").join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
+    placed = lists.select("h", "key", "n", "d").join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
     placed = materialize(placed)
     mixed = materialize(placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h"))
     open_lists = materialize(placed.join(mixed, "h", "left_semi"))
-    a = open_lists.select("h", *[F.col(c).alias(f"a_{c}") for c in ("key", "n", "c")])
-    b = open_lists.select("h", *[F.col(c).alias(f"b_{c}") for c in ("key", "n", "c")])
+    a = open_lists.select("h", *[F.col(c).alias(f"a_{c}") for c in ("key", "n", "d", "c")])
+    b = open_lists.select("h", *[F.col(c).alias(f"b_{c}") for c in ("key", "n", "d", "c")])
     ahead = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_key") < F.col("b_key")))
-    rest = a.join(b, "h").where((F.col("a_c") != F.col("b_c")) & ahead & similar_size("a_n", "b_n", num, den))
+    rest = a.join(b, "h").where((F.col("a_c") != F.col("b_c")) & ahead & similar_size("a_n", "b_n", num, den) & (F.least("a_d", "b_d") >= least_shared("a_n", "b_n", num, den)))
     rest = rest.groupBy(F.col("a_key").alias("x"), F.col("b_key").alias("y"), "a_n", "b_n").count()
-    rest = rest.where(F.col("count") >= least_shared("a_n", "b_n", num, den)).select("x", "y")
+    rest = rest.where(F.col("count") >= least_shared("a_n", "b_n", num, den)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     rest = materialize(rest.join(first, ["x", "y"], "left_anti"))
     more = overlaps(docs, rest, n).where(enough).select("x", "y")
     return edges.union(more)
