@@ -239,7 +239,7 @@ def near_copies(seed, n=160):
 
 @pytest.mark.parametrize("n, num, den", [(4, 85, 100), (5, 80, 100), (1, 50, 100)])
 def test_ngram_components_equal_all_pairs(frame, n, num, den, monkeypatch):
-    monkeypatch.setattr(ngram_join, "_HOT", 3)  # also deal out lists in parts
+    monkeypatch.setattr(ngram_join, "_HOT", 6)  # also deal out lists in parts
     rows = near_copies(n)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(frame(rows), n, num, den).collect()}
     assert got == plain_components(rows, n, num, den)
