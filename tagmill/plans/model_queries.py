@@ -385,6 +385,38 @@ def linear_entity_metrics(spark, sf):
     return metrics.entity_metrics(linear.tag_linear(goal, weights))
 
 
-@query("linear_top_weights")
+_FIXED_SQL = """fw AS (SELECT 'word_lower=' || o AS feature, l AS state, o, round(ln(count(*) + 1), 6) AS weight FROM ob GROUP BY o, l)"""
+
+
+def _fixed_weights(spark, sf):
+    """A weight table by plain arithmetic on counts, which SQL can repeat."""
+    seen = hmm.hmm_counts(base.tagged(spark, sf)).where("kind = 'emission'")
+    return seen.select(F.concat(F.lit("word_lower="), "token").alias("feature"), "state", F.round(F.log(F.col("n") + 1), 6).alias("weight"))
+
+
+@query("linear_top_weights", S.with_(*_hmm_sql(), _FIXED_SQL) + "SELECT feature, state, weight FROM fw ORDER BY abs(weight) DESC, feature, state LIMIT 15")
 def linear_top_weights(spark, sf):
-    return linear.top_weights(_linear(spark, sf)[0]["state"], 15)
+    return linear.top_weights(_fixed_weights(spark, sf), 15)
+
+
+@query(
+    "linear_viterbi",
+    S.with_(
+        *_hmm_sql(), _FIXED_SQL, S.samples("holdout", "hold"), S.tagged("hold", "goal"),
+        """go AS (SELECT sample_id, pos, lower(w) AS o FROM (SELECT sample_id, unnest(tokens) AS w, generate_subscripts(tokens, 1) - 1 AS pos FROM goal)),
+em AS (SELECT sample_id, pos, hs.state, coalesce(fw.weight, 0.0) AS e FROM go CROSS JOIN hs LEFT JOIN fw ON fw.state = hs.state AND fw.o = go.o),
+vit AS (SELECT sample_id, pos, state, e AS score, [state] AS path FROM em WHERE pos = 0
+  UNION ALL SELECT sample_id, pos, state, score, path FROM (
+    SELECT em.sample_id, em.pos, em.state, v.score + round(ht.logp, 6) + e AS score, list_append(v.path, em.state) AS path,
+      row_number() OVER (PARTITION BY em.sample_id, em.state ORDER BY v.score + round(ht.logp, 6) + e DESC, v.state) AS rn
+    FROM vit v JOIN ht ON ht.prev = v.state JOIN em ON em.sample_id = v.sample_id AND em.pos = v.pos + 1 AND em.state = ht.state) WHERE rn = 1),
+best AS (SELECT sample_id, path AS pred FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY pos DESC, score DESC, state) AS rn FROM vit) WHERE rn = 1)""",
+    )
+    + "SELECT sample_id, array_to_string(pred, ' ') AS pred FROM best",
+)
+def linear_viterbi(spark, sf):
+    """The linear scorer with the table above and the transition weights of the counts."""
+    trans = _fitted(spark, sf)["trans"].select("prev", "state", F.round("logp", 6).alias("weight"))
+    weights = {"state": materialize(_fixed_weights(spark, sf)), "trans": materialize(trans)}
+    goal = features.token_features(base.tagged(spark, sf, "holdout"), use_regex=False, use_gazetteer=False)
+    return linear.tag_linear(goal, weights).select("sample_id", F.array_join("pred", " ").alias("pred"))
