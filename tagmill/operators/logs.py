@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed import MASK_CONTEXT_WORDS
+from ..functions.let import let
 from ..functions.verdicts import f1, ratio
 from .common import checked_join, explode_rows, small_rows
 
@@ -184,19 +185,23 @@ def log_substring_hits(logs: DataFrame, expected: DataFrame, id_col: str, text:
         F.lit(100),
     )
     after = F.left(F.array_join(F.slice(pieces, F.col("_i") + 2, F.lit(100)), ""), F.lit(100))
-    near = runs.select(
-        id_col, "_i", "_run", before.alias("_before"), after.alias("_after"),
-        F.explode(F.sequence(F.lit(0), F.length("_run") - 16)).alias("_k"),
-    )
-    context = F.concat(
-        F.right(F.concat("_before", F.left("_run", F.col("_k"))), F.lit(100)),
-        F.left(F.concat(F.substring("_run", F.col("_k") + 1, F.length("_run")), "_after"), F.lit(100)),
-    )
-    found = near.select(
-        F.substring("_run", F.col("_k") + 1, F.lit(16)).alias("nik"),
-        F.struct(id_col, "_i", "_k").alias("_at"),
-        F.lower(context).alias("_context"),
-    )
+
+    def windows(left, run, whole):
+        """ID and the 200 characters around its start, for every window of the run. Only these
+        pieces are exploded, not the run."""
+
+        def piece(k):
+            at = F.length(left) + k
+            begin = F.greatest(at - 100, F.lit(0))
+            return F.struct(
+                k.alias("k"), F.substring(run, k + 1, F.lit(16)).alias("nik"), F.lower(F.substring(whole, begin + 1, at - begin + 100)).alias("context")
+            )
+
+        return F.transform(F.sequence(F.lit(0), F.length(run) - 16), piece)
+
+    near = runs.select(id_col, "_i", "_run", before.alias("_left"), F.concat(before, F.col("_run"), after).alias("_whole"))
+    near = near.select(id_col, "_i", F.explode(let(windows, "_left", "_run", "_whole")).alias("_w"))
+    found = near.select(F.col("_w.nik").alias("nik"), F.struct(id_col, "_i", F.col("_w.k").alias("_k")).alias("_at"), F.col("_w.context").alias("_context"))
     found = checked_join(found, _expected(expected), "nik", "inner")
     first = found.groupBy("nik").agg(F.min_by("_context", "_at").alias("context"))
     hit = F.rlike("context", F.lit("|".join(MASK_CONTEXT_WORDS)))

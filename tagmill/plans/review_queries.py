@@ -456,12 +456,12 @@ def stream_detect_and_mask(spark, sf):
 
 _WINDOWS = lambda start, size, extra="": f"""WITH e AS (SELECT {start} AS a, {start} + INTERVAL {size} HOUR AS b, event_type, value FROM events{extra})
 SELECT CAST(a AS VARCHAR) AS window_start, CAST(b AS VARCHAR) AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS maximum
-FROM e WHERE b <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL"""
+FROM e GROUP BY ALL"""
 
 
 def _counts(spark, sf, window, slide=None, session=False):
     events = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = _finished(detect.detection_counts(events, "ts", "event_type", "value", window, slide, session))
+    out = detect.run_to_end(events, "ts", lambda e: detect.detection_counts(e, "ts", "event_type", "value", window, slide, session))
     return out.select(
         *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("window_start", "window_end")],
         "event_type", "n", F.round("total", 4).alias("total"), "maximum",
@@ -489,8 +489,7 @@ def stream_detection_counts_sliding(spark, sf):
     """WITH g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts) AS session FROM g)
 SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS window_start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS window_end, event_type,
-  count(*) AS n, round(sum(value), 4) AS total, max(value) AS maximum FROM s GROUP BY event_type, session
-HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+  count(*) AS n, round(sum(value), 4) AS total, max(value) AS maximum FROM s GROUP BY event_type, session""",
 )
 def stream_detection_sessions(spark, sf):
     return _counts(spark, sf, "30 minutes", session=True)

@@ -58,3 +58,27 @@ def run_to_files(stream: DataFrame, path: str | None = None, mode: str = "append
     )
     query.awaitTermination()
     return query, f"{path}/out"
+
+
+# A time after all events; a row that bears it closes every window before it.
+CLOSING_TIME = "2200-01-01 00:00:00"
+
+
+def run_to_end(events: DataFrame, time_col: str, build) -> DataFrame:
+    """All windows of a bounded stream, those still open at its end included.
+
+    ``build`` makes the windowed counts from the events. The stream is run to the end of its
+    input; then one row of a far later time is added and the same query goes on from its
+    checkpoint, so that the watermark passes every window. Late rows are dropped as always.
+    """
+    spark = events.sparkSession
+    path = shared_folder(spark)
+    mark = spark.createDataFrame([], events.schema)
+    mark.write.parquet(f"{path}/mark")
+    marks = spark.readStream.schema(events.schema).parquet(f"{path}/mark")
+    counts = build(events.unionByName(marks))
+    run_to_files(counts, path)
+    row = [F.lit(CLOSING_TIME if f.name == time_col else None).cast(f.dataType).alias(f.name) for f in events.schema]
+    spark.range(1).select(*row).write.mode("append").parquet(f"{path}/mark")
+    run_to_files(counts, path)
+    return spark.read.schema(counts.schema).parquet(f"{path}/out").where(F.col("window_end") < F.lit(CLOSING_TIME).cast("timestamp"))
