@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.labels import tag_regex
 from ..operators.labeling import label_samples
-from ..operators.payloads import damaged_nik, person_columns, render_payloads
+from .payloads import damaged_nik, person_columns, render_payloads
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

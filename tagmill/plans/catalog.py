@@ -1,4 +1,4 @@
-"""Payload templates. Placeholders in braces are filled per row by ``operators.payloads``.
+"""Payload templates. Placeholders in braces are filled per row by ``plans.payloads``.
 
 {nik} {nama} {telepon} {jabatan} {lokasi} are the fields of the person, with _q percent-encoded;
 {nama2} {nik2} a second person; {num15} {num16} {num17} digit runs that are no ID; {amount} a

@@ -8,7 +8,7 @@ from ..functions.text import join_tokens, sample_code, tokenize
 from ..operators import compare, masking, metrics, profile, quality, split
 from ..operators.common import explode_rows, order_key
 from ..operators.labeling import match_value_span
-from ..operators.payloads import PERSON_FIELDS, render_requests
+from .payloads import PERSON_FIELDS, render_requests
 from . import base, sqlbase as S
 
 QUERIES: dict = {}

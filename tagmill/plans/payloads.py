@@ -6,7 +6,7 @@ any cluster and in any engine.
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.catalog import KINDS, QUOTAS, REQUEST_BODIES, TEMPLATES
+from .catalog import KINDS, QUOTAS, REQUEST_BODIES, TEMPLATES
 from ..functions.fixed import (
     FOREIGN_LOCATIONS,
     GOVERNMENT_JOBS,

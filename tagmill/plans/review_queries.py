@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import ENTITY_FIELDS, ENTITY_TYPES, MASK_CONTEXT_WORDS
 from ..operators import agreement, annotation, logs
 from ..operators.common import explode_rows, materialize
-from ..operators.payloads import render_payloads, person_columns
+from .payloads import render_payloads, person_columns
 from ..streaming import detect
 from . import base, sqlbase as S
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import gazetteer, hmm, logs, metrics, split
 from ..operators.common import materialize, shared_folder
-from ..operators.payloads import render_requests
+from .payloads import render_requests
 from ..sources import readers, schemas, writers
 from . import base, label_queries, model_queries, review_queries, sqlbase as S
 

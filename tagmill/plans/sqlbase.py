@@ -4,7 +4,7 @@ Written from the definitions, not from the Spark expressions: labels are found b
 search, spans by windows over unnested tokens.
 """
 
-from ..functions.catalog import KINDS, QUOTAS, REQUEST_BODIES, TEMPLATES
+from .catalog import KINDS, QUOTAS, REQUEST_BODIES, TEMPLATES
 from ..functions.fixed import (
     ENTITY_FIELDS,
     FOREIGN_LOCATIONS,
