@@ -279,6 +279,9 @@ def keep_one(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOM
     found = similar_components(docs, n, num, den)
     firsts = found.where("doc_id is null or n_shingles = 0 or doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["__id"]), "left_semi")
-    again = kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    once = kept.join(again, "doc_id", "left_anti")
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    again = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__id"))
+    again = materialize(again)
+    if again.limit(1).count() == 0:
+        return kept
+    once = kept.join(again, F.col("doc_id") == F.col("__id"), "left_anti")
+    return once.unionByName(kept.join(again, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"]))

@@ -133,8 +133,9 @@ def fit(sample: pa.Table, target: str) -> dict:
     return {"base": float(np.log(rate / (1 - rate))), "bias": float(w[0]), "form": w[1 : 1 + _FORM], "table": table}
 
 
-def evidence(rows: DataFrame, models: dict[str, dict], carry: list[str]) -> DataFrame:
-    """``carry`` and the evidence for each target: the model's log odds less those of its sample."""
+def evidence(rows: DataFrame, models: dict[str, dict], text: str, carry: list[str]) -> DataFrame:
+    """``carry`` and the evidence for each target (``__bad``, ``__toxic``): the model's log odds
+    less those of its sample."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(models)  # BUCKETS values per target
 
@@ -154,10 +155,12 @@ def evidence(rows: DataFrame, models: dict[str, dict], carry: list[str]) -> Data
                     s = np.bincount(pair >> 20, m["table"][pair & (BUCKETS - 1)], b.hi - b.lo)
                     scores.append(pa.array(s + form @ m["form"] + m["bias"] - m["base"], pa.float64()))
                 cols = [batch.column(i + 1).slice(b.lo, b.hi - b.lo) for i in range(len(carry))]
-                yield pa.RecordBatch.from_arrays([*cols, *scores], [*carry, *[f"{t}_evidence" for t in TARGETS]])
+                yield pa.RecordBatch.from_arrays([*cols, *scores], [*carry, *[f"__{t}" for t in TARGETS]])
 
     kinds = dict(rows.dtypes)
-    return rows.select("text", *carry).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in carry) + "".join(f", {t}_evidence double" for t in TARGETS))
+    columns = [F.col(f"`{c}`") for c in (text, *carry)]
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in carry] + [f"__{t} double" for t in TARGETS])
+    return rows.select(*columns).mapInArrow(run, schema)
 
 
 def path_rates(outcomes: DataFrame, target: str) -> DataFrame:
@@ -185,18 +188,12 @@ def labelled(labels: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("doc_id").alias("__id")).agg(F.coalesce(bad, F.lit(0)).alias("bad"), F.coalesce(toxic, F.lit(0)).alias("toxic"))
 
 
-def judge_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.6, sample: int = SAMPLE) -> DataFrame:
-    """One row per document: ``__k`` (a key of id and text), ``doc_id, host, path``, for ``bad``
-    and ``toxic`` the evidence, the host's and the path's rate and the posterior ``p``, and ``kept``
-    (both posteriors below ``threshold``).
-
-    Null texts count as empty; a null source or language is a value of its own; labels of unknown documents
-    do not count, and without any label every document is kept at the same rate. Repeated rows are
-    judged alike; an empty table gives an empty one; other columns are ignored.
-    """
-    text = F.coalesce("text", F.lit(""))
-    host = F.coalesce("source", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), host.alias("host"), F.concat(host, F.lit("/"), F.coalesce("lang", F.lit(""))).alias("path"))
+def _judged(docs: DataFrame, labels: DataFrame, threshold: float, sample: int) -> DataFrame:
+    """``docs`` with ``__host, __path``, the evidence, rates and posteriors, and ``__kept``. The
+    texts are scored where they are; only labels and small tables are shuffled."""
+    text, host = F.coalesce("text", F.lit("")), F.coalesce("source", F.lit(""))
+    path = F.concat(host, F.lit("/"), F.coalesce("lang", F.lit("")))
+    rows = docs.select("doc_id", text.alias("text"), host.alias("host"), path.alias("path"))
     known = labelled(labels)
     ids = rows.select("doc_id", "host", "path").dropDuplicates(["doc_id"]).join(known, F.col("doc_id") == F.col("__id"))
     ids = materialize(ids.select("__id", "host", "path", *TARGETS))
@@ -206,19 +203,31 @@ def judge_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.6,
     taken = features(drawn.select("text", *TARGETS), list(TARGETS)).toArrow()
     models = {t: fit(taken, t) for t in TARGETS}
     outcomes = materialize(ids.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]))
-    every = rows.select("host", "path").distinct().join(outcomes, ["host", "path"], "left").fillna(0)
-    every = materialize(every)
+    every = materialize(rows.select("host", "path").distinct().join(outcomes, ["host", "path"], "left").fillna(0))
     rates = path_rates(every, "bad").join(path_rates(every, "toxic"), ["host", "path"])
-    scored = evidence(rows.withColumn("__k", F.xxhash64("doc_id", "text")), models, ["__k", "doc_id", "host", "path"])
-    joined = scored.join(materialize(rates), ["host", "path"], "left")
-    ps = {t: 1 / (1 + F.exp(-(F.col(f"{t}_evidence") + log_odds(f"{t}_path")))) for t in TARGETS}
-    joined = joined.withColumns({f"{t}_p": p for t, p in ps.items()})
-    kept = (F.col("bad_p") < threshold) & (F.col("toxic_p") < threshold)
-    return joined.select("__k", "doc_id", "host", "path", *[f"{t}_{c}" for t in TARGETS for c in ("evidence", "host", "path", "p")], kept.alias("kept"))
+    rates = rates.select(*[F.col(c).alias(f"__{c}") for c in rates.columns])
+    whole = docs.withColumns({"__text": text, "__host": host, "__path": path})
+    scored = evidence(whole, models, "__text", [*docs.columns, "__host", "__path"])
+    joined = scored.join(materialize(rates), ["__host", "__path"], "left")
+    joined = joined.withColumns({f"__{t}_p": 1 / (1 + F.exp(-(F.col(f"__{t}") + log_odds(f"__{t}_path")))) for t in TARGETS})
+    return joined.withColumn("__kept", (F.col("__bad_p") < threshold) & (F.col("__toxic_p") < threshold))
+
+
+def judge_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.6, sample: int = SAMPLE) -> DataFrame:
+    """One row per document: ``doc_id, host, path``, for ``bad`` and ``toxic`` the evidence, the
+    host's and the path's rate and the posterior ``p``, and ``kept`` (both posteriors below
+    ``threshold``).
+
+    Null texts count as empty; a null source or language is a value of its own; labels of
+    unknown documents do not count, and without any label every document is kept. Repeated rows
+    are judged alike; an empty table gives an empty one; other columns are ignored.
+    """
+    out = _judged(docs.select("doc_id", "text", "source", "lang"), labels, threshold, sample)
+    parts = [(f"__{t}{s}", f"{t}{n}") for t in TARGETS for s, n in (("", "_evidence"), ("_host", "_host"), ("_path", "_path"), ("_p", "_p"))]
+    return out.select("doc_id", F.col("__host").alias("host"), F.col("__path").alias("path"), *[F.col(a).alias(b) for a, b in parts], F.col("__kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.6, sample: int = SAMPLE) -> DataFrame:
-    """The documents that are kept, with all columns of ``docs``."""
-    verdicts = judge_documents(docs, labels, threshold, sample).where("not kept").select("__k").distinct()
-    keyed = docs.withColumn("__k", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    return keyed.join(verdicts, "__k", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that are kept, with all columns of ``docs`` (none may start with two
+    underscores)."""
+    return _judged(docs, labels, threshold, sample).where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])

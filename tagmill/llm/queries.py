@@ -52,7 +52,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_bayes.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("__k")
+    return quality_bayes.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
