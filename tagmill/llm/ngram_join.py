@@ -88,7 +88,7 @@ def frequency_classes(docs: DataFrame, n: int = N) -> np.ndarray:
 
 
 def prefix_lists(docs: DataFrame, classes: np.ndarray, n: int = N, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """``h, key, n`` and, for all but the first of a list, ``p_key, p_n``.
+    """``h, key, n, pos`` (its place in the prefix) and, for all but the first of a list, ``p_key, p_n``.
 
     One row per class and n-gram ``h`` of its prefix that another class has in its prefix too;
     ``p_`` is the class before it in the list of ``h``, by set size.
@@ -105,8 +105,8 @@ def prefix_lists(docs: DataFrame, classes: np.ndarray, n: int = N, num: int = NU
                 seen.add(key)
                 order = shared.value[s >> _SHIFT].astype(np.uint64) << np.uint64(58) | s >> np.uint64(6)
                 take = len(s) - -(-num * len(s) // den) + 1
-                order = np.partition(order, take - 1)[:take] if take < len(order) else order
-                held.append((order, np.full(take, key), np.full(take, len(s))))
+                order = np.sort(np.partition(order, take - 1)[:take] if take < len(order) else order)
+                held.append((order, np.full(take, key), np.full(take, len(s)), np.arange(take)))
                 if len(held) > 2000:
                     yield _rows(held)
                     held = []
@@ -114,24 +114,24 @@ def prefix_lists(docs: DataFrame, classes: np.ndarray, n: int = N, num: int = NU
                 yield _rows(held)
 
     def _rows(held: list[tuple]) -> pa.RecordBatch:
-        h, key, size = (np.concatenate(c) for c in zip(*held))
+        h, key, size, pos = (np.concatenate(c) for c in zip(*held))
         spread = np.maximum(((h >> np.uint64(58)).astype(np.int64) - _HOT + 1) // 2, 0)
         salt = words.mix(key.astype(np.int64).view(np.uint64)).view(np.int64) & ((1 << spread) - 1)
-        arrays = [pa.array(h.view(np.int64)), pa.array(key, pa.int64()), pa.array(size, pa.int32()), pa.array(salt, pa.int32())]
-        return pa.RecordBatch.from_arrays(arrays, ["h", "key", "n", "salt"])
+        arrays = [pa.array(h.view(np.int64)), pa.array(key, pa.int64()), pa.array(size, pa.int32()), pa.array(salt, pa.int32()), pa.array(pos, pa.int32())]
+        return pa.RecordBatch.from_arrays(arrays, ["h", "key", "n", "salt", "pos"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the row held back, and whether it has its predecessor in the list
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]
             if last is not None:
                 cols = [np.concatenate(([a], b)) for a, b in zip(last[0], cols)]
             fresh = np.ones(len(cols[0]), bool)
             fresh[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
             cols = [c[fresh] for c in cols]
-            h, key, size, salt = cols
+            h, key, size, salt, pos = cols
             same = np.zeros(len(h), bool)
             same[1:] = (h[1:] == h[:-1]) & (salt[1:] == salt[:-1])
             before = [np.concatenate(([0], c[:-1])) for c in (key, size)]
@@ -145,20 +145,20 @@ def prefix_lists(docs: DataFrame, classes: np.ndarray, n: int = N, num: int = NU
             last = ([c[-1] for c in cols], [c[-1] for c in before] if same[-1] else None)
             out[-1] = False
             if out.any():
-                yield _linked([c[out] for c in (h, key, size)], [c[out] for c in before], same[out])
+                yield _linked([c[out] for c in (h, key, size, pos)], [c[out] for c in before], same[out])
         if last is not None:
             h = np.array([last[0][0]])
             if last[1] is not None or (h.view(np.uint64) >> np.uint64(58))[0] > _HOT:
-                yield _linked([np.array([c]) for c in last[0][:3]], [np.array([c]) for c in (last[1] or (0, 0))], np.array([last[1] is not None]))
+                yield _linked([np.array([last[0][i]]) for i in (0, 1, 2, 4)], [np.array([c]) for c in (last[1] or (0, 0))], np.array([last[1] is not None]))
 
     def _linked(own, before, same) -> pa.RecordBatch:
-        arrays = [pa.array(own[0]), pa.array(own[1]), pa.array(own[2], pa.int32())]
+        arrays = [pa.array(own[0]), pa.array(own[1]), pa.array(own[2], pa.int32()), pa.array(own[3], pa.int32())]
         arrays += [pa.array(c, t, mask=~same) for c, t in zip(before, (pa.int64(), pa.int32()))]
-        return pa.RecordBatch.from_arrays(arrays, ["h", "key", "n", "p_key", "p_n"])
+        return pa.RecordBatch.from_arrays(arrays, ["h", "key", "n", "pos", "p_key", "p_n"])
 
-    rows = docs.select("text").mapInArrow(emit, "h long, key long, n int, salt int")
+    rows = docs.select("text").mapInArrow(emit, "h long, key long, n int, salt int, pos int")
     dealt = rows.repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "key")
-    return dealt.mapInArrow(link, "h long, key long, n int, p_key long, p_n int")
+    return dealt.mapInArrow(link, "h long, key long, n int, pos int, p_key long, p_n int")
 
 
 def similar_size(n, m, num: int, den: int):
@@ -178,6 +178,20 @@ def least_shared(n: str, m: str, num: int, den: int):
     return up(num * (n + m), num + den) - up(num * F.greatest(n, m), den) + 1
 
 
+def least_early(n: str, m: str, num: int, den: int):
+    """How many shared n-grams are asked for among the early ones: a quarter of ``least_shared``."""
+    return F.floor((least_shared(n, m, num, den) + 3) / 4)
+
+
+def is_early(pos: str, n: str, m: str, num: int, den: int):
+    """Whether a place in the prefix of the class of size ``n`` is so early that a class of size
+    ``m`` that links shares at least ``least_early`` n-grams at early places of both: all but
+    the overlap asked for, and as many more as are asked for."""
+    size, total = F.col(n).cast("long"), F.col(n).cast("long") + F.col(m).cast("long")
+    overlap = F.floor((num * total + (num + den - 1)) / (num + den))
+    return F.col(pos) < size - overlap + least_early(n, m, num, den)
+
+
 def overlaps(docs: DataFrame, pairs: DataFrame, n: int = N) -> DataFrame:
     """``x, y, n_x, n_y, common`` for each row (x, y) of distinct ``pairs`` of class keys: fragment by fragment,
     then summed. Only classes that a fixed-size filter holds are cut and shuffled."""
@@ -239,16 +253,17 @@ def linked_classes(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int =
     edges = materialize(overlaps(docs, first, n).where(enough).select("x", "y"))
     # what is left: classes of different components that meet in enough lists
     component = connected_components(edges, "x", "y")
-    placed = lists.select("h", "key", "n", "d").join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
+    placed = lists.select("h", "key", "n", "pos", "d").join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
     placed = materialize(placed)
     mixed = materialize(placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h"))
     open_lists = materialize(placed.join(mixed, "h", "left_semi"))
-    a = open_lists.select("h", *[F.col(c).alias(f"a_{c}") for c in ("key", "n", "d", "c")])
-    b = open_lists.select("h", *[F.col(c).alias(f"b_{c}") for c in ("key", "n", "d", "c")])
+    a = open_lists.select("h", *[F.col(c).alias(f"a_{c}") for c in ("key", "n", "pos", "d", "c")])
+    b = open_lists.select("h", *[F.col(c).alias(f"b_{c}") for c in ("key", "n", "pos", "d", "c")])
     ahead = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_key") < F.col("b_key")))
     rest = a.join(b, "h").where((F.col("a_c") != F.col("b_c")) & ahead & similar_size("a_n", "b_n", num, den) & (F.least("a_d", "b_d") >= least_shared("a_n", "b_n", num, den)))
+    rest = rest.where(is_early("a_pos", "a_n", "b_n", num, den) & is_early("b_pos", "b_n", "a_n", num, den))
     rest = rest.groupBy(F.col("a_key").alias("x"), F.col("b_key").alias("y"), "a_n", "b_n").count()
-    rest = rest.where(F.col("count") >= least_shared("a_n", "b_n", num, den)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    rest = rest.where(F.col("count") >= least_early("a_n", "b_n", num, den)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     rest = materialize(rest.join(first, ["x", "y"], "left_anti"))
     more = overlaps(docs, rest, n).where(enough).select("x", "y")
     return edges.union(more)
