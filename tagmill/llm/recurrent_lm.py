@@ -23,6 +23,8 @@ ENDINGS = 48
 HIDDEN = 24
 WINDOW, LANES = 24, 128
 SCORE_WINDOW, SCORE_LANES = 32, 512
+# Tokens scored together: enough to fill the lanes, few enough for a task's memory.
+SCORE_TOKENS = 1_500_000
 # Words whose counts every task holds: at most this many.
 TOP = 65_536
 # Bounds of the sample the network's weights are fitted on; all counts cover the whole corpus.
@@ -135,14 +137,15 @@ def initial(vocabulary: Vocabulary, seed: int = 7) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    with np.errstate(over="ignore"):  # far below zero it is zero
+        return 1 / (1 + np.exp(-x))
 
 
 def _step(p: dict, h: np.ndarray, symbol: np.ndarray):
     a, q = p["x"][symbol], h @ p["u"]
-    zr = _sigmoid(np.clip(a[:, : 2 * HIDDEN] + q[:, : 2 * HIDDEN], -30, 30))
+    zr = _sigmoid(a[:, : 2 * HIDDEN] + q[:, : 2 * HIDDEN])
     z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    n = 2 * _sigmoid(np.clip(2 * (a[:, 2 * HIDDEN :] + r * q[:, 2 * HIDDEN :]), -30, 30)) - 1
+    n = 2 * _sigmoid(2 * (a[:, 2 * HIDDEN :] + r * q[:, 2 * HIDDEN :])) - 1
     return n + z * (h - n), z, r, n, q[:, 2 * HIDDEN :]
 
 
@@ -151,15 +154,24 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
+def _log_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax of each row at one place; rows far from zero are shifted first."""
+    if np.abs(x).max(initial=0) > 60:
+        x = x - x.max(1, keepdims=True)
+    return x[np.arange(len(at)), at] - np.log(np.exp(x).sum(1))
+
+
 def _outputs(p: dict, h: np.ndarray, target: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log probability of class and, for frequent words, of the word in it. With
     ``grad``, its output parts are added to and the gradient for h is returned."""
     k = class_of(target)
     rows = np.arange(len(target))
-    logs = _log_softmax(h @ p["c"][:-1] + p["c"][-1])
-    out = logs[rows, k].astype(np.float64)
     dh = None
-    if grad is not None:
+    if grad is None:
+        out = _log_at(h @ p["c"][:-1] + p["c"][-1], k).astype(np.float64)
+    else:
+        logs = _log_softmax(h @ p["c"][:-1] + p["c"][-1])
+        out = logs[rows, k].astype(np.float64)
         d = np.exp(logs)
         d[rows, k] -= 1
         grad["c"][:-1] += h.T @ d
@@ -171,11 +183,13 @@ def _outputs(p: dict, h: np.ndarray, target: np.ndarray, grad: dict | None = Non
         at = order[edges[i] : edges[i + 1]]
         if not len(at):
             continue
-        own = h[at]
-        logs = _log_softmax(own @ p["w"][i, :-1] + p["w"][i, -1])
-        inside = target[at] % PER_CLASS
-        out[at] += logs[np.arange(len(at)), inside]
-        if grad is not None:
+        own, inside = h[at], target[at] % PER_CLASS
+        x = own @ p["w"][i, :-1] + p["w"][i, -1]
+        if grad is None:
+            out[at] += _log_at(x, inside)
+        else:
+            logs = _log_softmax(x)
+            out[at] += logs[np.arange(len(at)), inside]
             d = np.exp(logs)
             d[np.arange(len(at)), inside] -= 1
             grad["w"][i, :-1] += own.T @ d
@@ -359,6 +373,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
         v = known.value
         tail = np.concatenate((np.zeros(HEAD), np.log10(v["tail_n"] + v["tail_v"] + 1)))
         for batch in batches:
+            held: list[tuple] = []  # blocks scored together, so that the lanes are full
+            size = 0
             for b, _, symbols, count in _symbols(v, batch.column(0)):
                 n = b.counts()
                 logs = np.log10(np.maximum(count, 0) + 1.0)
@@ -368,10 +384,21 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 top = per(logs) + np.log10(v["end_count"] + 1.0)
                 hits = per(count > 0).astype(np.int64) + (v["end_count"] > 0)
                 inside = per(np.where(symbols < HEAD, 0.0, logs) - tail[symbols])
-                lm = score_sequences(model.value, _sequences(b, symbols)) / np.log(10)
-                own = [batch.column(i).slice(b.lo, b.hi - b.lo) for i in (1, 2, 3)]
-                values = [pa.array(n + 1, pa.int64()), pa.array(hits, pa.int64()), pa.array(top), pa.array(lm + inside)]
-                yield pa.RecordBatch.from_arrays([*own, *values], ["k", "doc_id", "held_out", "n_tokens", "hits", "top", "lm"])
+                held.append((b.lo, b.hi, _sequences(b, symbols), n + 1, hits, top, inside))
+                size += len(symbols)
+                if size >= SCORE_TOKENS:
+                    yield scored_rows(batch, held)
+                    held, size = [], 0
+            if held:
+                yield scored_rows(batch, held)
+
+    def scored_rows(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
+        lo, hi = held[0][0], held[-1][1]
+        lm = score_sequences(model.value, [s for x in held for s in x[2]]) / np.log(10)
+        n, hits, top, inside = (np.concatenate([x[i] for x in held]) for i in (3, 4, 5, 6))
+        own = [batch.column(i).slice(lo, hi - lo) for i in (1, 2, 3)]
+        values = [pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(top), pa.array(lm + inside)]
+        return pa.RecordBatch.from_arrays([*own, *values], ["k", "doc_id", "held_out", "n_tokens", "hits", "top", "lm"])
 
     scored = materialize(rows.select("text", "k", "doc_id", "held_out").mapInArrow(score, "k long, doc_id long, held_out boolean, n_tokens long, hits long, top double, lm double"))
     seldom = rows.select("text", "k").mapInArrow(rare, "w long, k long, tf int")
