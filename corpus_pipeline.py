@@ -21,9 +21,11 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many share; one that loses all its lines stays, empty."""
+    """Documents without the lines that many share. Of texts that are mostly such lines the first
+    copy keeps them; a document whose every line stands in other documents goes."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    out = line_dedup.drop_common_lines(docs.select(*own))
+    out = line_dedup.drop_common_lines(docs.select(*own), keep_first=True)
+    out = out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in own:
         kept = F.when(F.col("n_dropped") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", kept.cast(docs.schema["n_chars"].dataType))

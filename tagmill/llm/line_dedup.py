@@ -70,7 +70,20 @@ def twice_seen(rows: DataFrame, min_chars: int = MIN_CHARS, bits: int = BITS) ->
     return bitmaps.assemble({b: a.reshape(2, -1)[1] for b, a in merged.items()}, bits)
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, bits: int = BITS) -> DataFrame:
+def _not_first(found: DataFrame) -> DataFrame:
+    """``found`` (common lines by document) without the first copy of each line that copied texts have.
+
+    A text is copied where common lines make up half of its bytes or more. Of each line that any
+    copied text has, the copied text with the smallest (doc_id, key) keeps all its occurrences.
+    """
+    found = materialize(found)
+    sizes = F.aggregate(F.collect_set(F.struct("__at", "__size")), F.lit(0).cast("long"), lambda n, x: n + x["__size"])  # a set: repeated rows share a key
+    copied = found.groupBy("__k").agg(sizes.alias("__common"), F.max("__all").alias("__all")).where(2 * F.col("__common") >= F.col("__all")).select("__k")
+    first = found.join(materialize(copied), "__k").groupBy("__line").agg(F.min(F.struct("doc_id", "__k")).alias("__first"))
+    return found.join(first.select("__line", F.col("__first.__k").alias("__k")), ["__line", "__k"], "left_anti")
+
+
+def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, bits: int = BITS, keep_first: bool = False) -> DataFrame:
     """``docs`` with ``text`` freed of common lines, and ``n_lines`` (before), ``n_dropped``.
 
     A line goes if its key has at least ``min_chars`` code points and occurs in at least
@@ -78,32 +91,44 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     feeds. A null or empty text has one empty line and stays empty; each row is a document, also
     where an id repeats; an empty table gives an empty one. Columns ``n_lines`` and
     ``n_dropped`` of ``docs`` are replaced, all others kept.
+
+    With ``keep_first`` a text that is mostly common lines, as exact and near copies are, does not
+    vanish with its copies: of each line in such texts the one with the smallest ``doc_id`` keeps it.
     """
     own = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(*[F.col(f"`{c}`") for c in own], text.alias("text"), F.xxhash64("doc_id", text).alias("__k"))
-    rows = keyed.select("__k", "text")
+    rows = keyed.select("__k", "text", *(["doc_id"] if keep_first else []))
     packed = rows.sparkSession.sparkContext.broadcast(twice_seen(rows, min_chars, bits))  # bits / 8 bytes
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, lines = [], [], []
-            for doc, found in zip(batch.column(0).to_pylist(), _keys(batch, min_chars)):
+            ids, keys, lines, owner, whole = [], [], [], [], []
+            for n, (doc, found) in enumerate(zip(batch.column(0).to_pylist(), _keys(batch, min_chars))):
                 for key, at in found.items():
                     ids.append(doc)
                     keys.append(key)
                     lines.append(at)
+                    owner.append(n)
+                whole.append(sum(len(key) * len(at) for key, at in found.items()))
             h = np.array([_hash(k) for k in keys], np.uint64).view(np.int64)
             a, b = _places(h, bits)
             hit = np.flatnonzero(bitmaps.test(packed.value, a) & bitmaps.test(packed.value, b))
             digest = [xxhash.xxh3_128_digest(keys[i]) for i in hit]
             columns = [pa.array(digest, pa.binary()), pa.array([ids[i] for i in hit], pa.int64()), pa.array([lines[i] for i in hit], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["__line", "__k", "__at"])
-
-    found = materialize(rows.mapInArrow(suspects, "__line binary, __k long, __at array<int>"))
+            names = ["__line", "__k", "__at"]
+            if keep_first:
+                columns += [batch.column(2).take(pa.array([owner[i] for i in hit], pa.int64()))]
+                columns += [pa.array([len(keys[i]) * len(lines[i]) for i in hit], pa.int64()), pa.array([whole[owner[i]] for i in hit], pa.int64())]
+                names += ["doc_id", "__size", "__all"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    more = f", doc_id {docs.schema['doc_id'].dataType.simpleString()}, __size long, __all long" if keep_first else ""
+    found = materialize(rows.mapInArrow(suspects, f"__line binary, __k long, __at array<int>{more}"))
     # written out, so that a line of very many documents can be split in the join
     common = materialize(found.groupBy("__line").count().where(F.col("count") >= min_docs).select("__line"))
-    drops = found.join(common, "__line").groupBy("__k").agg(F.array_distinct(F.flatten(F.collect_list("__at"))).alias("__drop"))
+    found = found.join(common, "__line")
+    drops = (_not_first(found) if keep_first else found).groupBy("__k").agg(F.array_distinct(F.flatten(F.collect_list("__at"))).alias("__drop"))
     joined = keyed.join(drops, "__k", "left").withColumn("__lines", F.split("text", "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__drop")
     kept = let(lambda lines, at: F.array_join(F.transform(at, lambda i: F.get(lines, i)), "\n"), "__lines", left)

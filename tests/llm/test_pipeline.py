@@ -54,3 +54,27 @@ def test_empty_documents(spark, frame, tmp_path):
     frame([(1, "x")]).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_copies_end_as_one_full_document(spark, frame, tmp_path):
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    line = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    text, near = "\n".join(line(12) for _ in range(8)), [line(12) for _ in range(12)]
+    rows = [(i, f"{line(30)}\nRead more on our site.\n{line(30)}") for i in range(40)]
+    rows += [(100 + i, text) for i in range(30)]  # exact copies
+    rows += [(200 + i, "\n".join([*near, "Read more on our site.", f"copy {i}"])) for i in range(30)]  # copies but for a line
+    rows += [(300, text), (300, text), (301, None), (302, "")]
+    docs = frame(rows)
+    lines = pipeline.without_common_lines(spark, docs, str(tmp_path))
+    assert lines.columns == docs.columns
+    got = {r.doc_id: r for r in lines.collect()}
+    assert [d for d in got if 100 <= d < 200 or d == 300] == [100] and got[100].text == text and got[100].n_chars == len(text)
+    assert got[200].text == rows[70][1]  # whole, its shared line too
+    assert {got[200 + i].text for i in range(1, 30)} == {f"copy {i}" for i in range(1, 30)}
+    assert all("Read more" not in got[i].text for i in range(40))
+    assert got[301].text is None or got[301].text == ""
+    assert got[302].text == ""
+    frame([(r.doc_id, r.text) for r in got.values()]).write.parquet(f"{tmp_path}/lines")
+    last = {r.doc_id: r.text for r in pipeline.one_of_each_group(spark, spark.read.parquet(f"{tmp_path}/lines"), "").collect()}
+    assert [d for d, t in last.items() if t and set(t.split("\n")) & set(text.split("\n"))] == [100] and last[100] == text
