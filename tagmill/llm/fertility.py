@@ -3,7 +3,7 @@
 Every word of a text is looked up in two public vocabularies: a byte-level one (tokens per word,
 ids) and one with byte fallback (pieces that are bare bytes). Per document this gives the
 characters per token, the share of byte pieces and the entropy of the token ids; per language
-(or script, where there is no language) all documents together give the quartiles from which the rejection bands follow.
+(or script, where there is no language) all documents together give the expectation, scatter and quartiles from which the rejection bands follow.
 """
 
 import base64
@@ -19,8 +19,10 @@ from tagmill.operators.common import materialize
 from . import words
 
 BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k", "piece_bpe_32k"
-MIN_WORDS, MAX_REPEATED, FENCE = 50, 50, 3.0
+MIN_WORDS, MAX_REPEATED, FENCE = 50, 50, 2.0
 MEASURES = ("chars_per_token", "byte_share", "entropy")
+# Measures with an expectation by length; fits with outliers left out, ridge in documents.
+FITTED, ROUNDS, RIDGE = ("chars_per_token", "entropy"), 3, 2.0
 _CACHE = 400_000
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
@@ -141,14 +143,91 @@ def script_of(text) -> Column:
     return out
 
 
+def _words() -> Column:
+    return F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+
+
+def _length() -> Column:
+    return (F.log2(_words()) - 8.0) / 2.0
+
+
+def _solved(sums: DataFrame, powers: int, ridge: float, name: str) -> DataFrame:
+    """Per ``band`` the coefficients of a least-squares fit of each measure from its sums ``{m}_p``
+    (of the powers of the regressor) and ``{m}_y`` (of their products with the target). A weak ridge
+    on all but the constant keeps the fit of few or equally long texts flat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [b.column(0)]
+            for m in FITTED:
+                p, y = (np.array(b.column(b.schema.get_field_index(f"{m}_{k}")).to_pylist(), float).reshape(b.num_rows, -1) for k in "py")
+                got = []
+                for u, v in zip(p, y):
+                    a = u[np.add.outer(np.arange(powers), np.arange(powers))] + np.diag([1e-9] + [ridge] * (powers - 1))
+                    got.append(np.linalg.solve(a, v).tolist())
+                out.append(pa.array(got, pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays(out, ["band", *[f"{m}_{name}" for m in FITTED]])
+
+    return materialize(sums.mapInArrow(run, "band string, " + ", ".join(f"{m}_{name} array<double>" for m in FITTED)))
+
+
+def _sums(rows: DataFrame, powers: int, x, y, used) -> DataFrame:
+    each = []
+    for m in FITTED:
+        take = lambda v, m=m: F.coalesce(F.sum(F.when(used(m), v)), F.lit(0.0))
+        each.append(F.array(*[take(F.pow(x, F.lit(float(i)))) for i in range(2 * powers - 1)]).alias(f"{m}_p"))
+        each.append(F.array(*[take(F.pow(x, F.lit(float(i))) * y(m)) for i in range(powers)]).alias(f"{m}_y"))
+    return rows.groupBy("band").agg(*each)
+
+
+def _deviation(m: str) -> Column:
+    """How far a text lies from what its length and band let expect."""
+    x, c = _length(), F.col(f"{m}_mean")
+    return F.col(m) - (c[0] + c[1] * x + c[2] * x * x)
+
+
+def _standardized(m: str) -> Column:
+    v = F.col(f"{m}_var")
+    scatter = F.sqrt(F.greatest(v[0] + v[1] / _words(), 0.05 * v[0], F.lit(1e-6)))
+    return _deviation(m) / scatter
+
+
+def _inside(m: str) -> Column:
+    z = _standardized(m)
+    return (z >= F.col(f"{m}_low")) & (z <= F.col(f"{m}_high"))
+
+
 def rejection_bands(measured: DataFrame, fence: float = FENCE) -> DataFrame:
-    """Per ``band`` the lowest and highest accepted value of each measure: the quartiles of all
-    documents that pass the base rules, widened by ``fence`` times their distance (and more for short texts, see below). Entropy is
-    taken relative to the logarithm of the number of tokens, so that length does not decide."""
-    cut = [F.percentile_approx(m, [0.25, 0.75], 10_000).alias(m) for m in MEASURES]
-    q = measured.where("not base_failed").groupBy("band").agg(*cut)
-    span = lambda m: fence * (F.col(m)[1] - F.col(m)[0]) + F.lit(0.02)
-    return q.select("band", *[(F.col(m)[0] - span(m)).alias(f"{m}_low") for m in MEASURES], *[(F.col(m)[1] + span(m)).alias(f"{m}_high") for m in MEASURES])
+    """Per ``band`` what each measure is expected to be and how far it may lie from that, from all
+    documents that pass the base rules, copies counted once.
+
+    Characters per token and entropy (relative to the logarithm of the number of tokens) have an expectation quadratic in
+    the logarithm of the length (``_mean``) and a variance of a constant and a part that falls with the length (``_var``);
+    ``_low`` and ``_high`` bound the deviation in units of that scatter: quartiles widened by ``fence`` times their
+    distance, more where a band has few documents. What falls outside is left out and all is fitted again, ``ROUNDS`` times.
+    Byte pieces are rare events: their upper quartile is widened by 0.02 as well.
+    """
+    good = materialize(measured.where("not base_failed").select("band", "n_words", *MEASURES).distinct())
+    top = F.percentile_approx("byte_share", [0.25, 0.75], 10_000)
+    bytes_high = good.groupBy("band").agg(top.alias("q")).select("band", (F.col("q")[1] + fence * (F.col("q")[1] - F.col("q")[0]) + 0.02).alias("byte_share_high"))
+    bands, limits = None, [f"{m}_{k}" for m in FITTED for k in ("mean", "var", "low", "high")]
+    for _ in range(ROUNDS):
+        rows = good.select("band", "n_words", *FITTED, *[F.lit(True).alias(f"{m}_in") for m in FITTED])
+        if bands is not None:
+            rows = good.join(bands, "band").select("band", "n_words", *FITTED, *[_inside(m).alias(f"{m}_in") for m in FITTED])
+        used = lambda m: F.col(f"{m}_in")
+        mean = _solved(_sums(rows, 3, _length(), F.col, used), 3, RIDGE, "mean")
+        rows = rows.join(mean, "band")
+        var = _solved(_sums(rows, 2, 50.0 / _words(), lambda m: F.pow(_deviation(m), F.lit(2.0)), used), 2, 0.1 * RIDGE, "var")
+        var = var.select("band", *[F.transform(f"{m}_var", lambda v, i: F.greatest(v, F.lit(0.0)) * F.when(i == 1, 50.0).otherwise(1.0)).alias(f"{m}_var") for m in FITTED])
+        rows = rows.join(materialize(var), "band")
+        cut = [F.percentile_approx(F.when(used(m), _standardized(m)), [0.25, 0.75], 10_000).alias(m) for m in FITTED]
+        q = rows.groupBy("band").agg(F.count("*").alias("n"), *cut)
+        # the scatter is 1, so quartiles nearer than 1 come from many texts alike
+        span = lambda m: fence * (1 + 10 / F.col("n")) * F.greatest(F.col(m)[1] - F.col(m)[0], F.lit(1.0))
+        edges = [e for m in FITTED for e in ((F.col(m)[0] - span(m)).alias(f"{m}_low"), (F.col(m)[1] + span(m)).alias(f"{m}_high"))]
+        bands = materialize(q.select("band", *edges).join(mean, "band").join(var, "band").select("band", *limits))
+    return bands.join(bytes_high, "band")
 
 
 def judge_documents(docs: DataFrame, fence: float = FENCE) -> DataFrame:
@@ -158,8 +237,8 @@ def judge_documents(docs: DataFrame, fence: float = FENCE) -> DataFrame:
     The base fails with fewer than 50 words, or more than half of the words in repeated runs of
     three. Null and empty texts have no words and fail it. Languages are bands of their own;
     without a language the script decides. A band without any document that passes the base
-    rejects nothing more; bands are wider by a factor of sqrt(1 + 200 / n_words). Repeated rows are judged alike; an empty table gives an empty one;
-    other columns are ignored.
+    rejects nothing more; expectation and scatter follow the length (``rejection_bands``). Repeated rows are judged alike; an
+    empty table gives an empty one; other columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.coalesce("lang", script_of(text)).alias("band"), text.alias("text"))
@@ -169,10 +248,10 @@ def judge_documents(docs: DataFrame, fence: float = FENCE) -> DataFrame:
     measured = materialize(measured.withColumn("base_failed", failed).withColumn("entropy", relative))
     judged = measured.join(rejection_bands(measured, fence), "band", "left")
     reason = F.when(F.col("base_failed"), "base")
-    scatter = F.sqrt(1 + F.lit(4.0 * MIN_WORDS) / F.greatest(F.col("n_words"), F.lit(1)))  # of short texts
+    rare = F.sqrt(1 + 4.0 * MIN_WORDS / _words())  # a few byte pieces weigh more in short texts
     for m in MEASURES:
-        middle, half = (F.col(f"{m}_low") + F.col(f"{m}_high")) / 2, (F.col(f"{m}_high") - F.col(f"{m}_low")) / 2
-        reason = reason.when(F.abs(F.col(m) - middle) > half * scatter, m)
+        outside = ~_inside(m) if m in FITTED else F.col(m) > F.col(f"{m}_high") * rare
+        reason = reason.when(outside, m)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         *MEASURES, "band", reason.alias("reason"), reason.isNull().alias("kept"),

@@ -546,6 +546,24 @@ def test_bands_reject_what_tokenizers_do_not_know(frame):
     assert sum(r.kept for d, r in got.items() if d < 900) >= 59
 
 
+def test_bands_reject_symbol_laden_text_of_any_length(frame):
+    rng = random.Random(15)
+    parts = "the of and to in is that for with was on are this from have not but they which one all were when we there".split()
+    vocabulary = [rng.choice(parts) + rng.choice(parts) + rng.choice(["", "ing", "ed", "ly"]) for _ in range(400)] + parts * 8
+    rows, bad = [], set()
+    for i in range(400):
+        w = [rng.choice(vocabulary) for _ in range(round(50 * 2 ** rng.uniform(0.1, 5)))]
+        if i % 12 == 5:
+            w = [x + rng.choice(["***", "$$$", "###", "%%%"]) for x in w]
+            bad.add(i)
+        rows.append((i, " ".join(w), "en", "s"))
+    rows += [(1000 + i, rows[0][1], "en", "s") for i in range(400)]  # copies must not narrow the bands
+    got = {r.doc_id: r for r in fertility.judge_documents(frame(rows)).collect()}
+    assert not any(got[i].kept for i in bad)
+    assert sum(got[i].kept for i in range(400) if i not in bad) >= 0.95 * (400 - len(bad))
+    assert {got[1000 + i].kept for i in range(400)} == {got[0].kept}
+
+
 # ------------------------------------------------------------------ op10
 
 
