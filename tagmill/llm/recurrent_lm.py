@@ -3,7 +3,7 @@
 Word counts come from all training documents. The frequent words form classes with a softmax each; all other
 words form classes by their last two bytes, inside which a word's probability is its corpus count
 (plus one) over the class's. A small gated recurrent network, trained by truncated
-backpropagation on a bounded sample in parallel tasks whose weights are averaged, predicts class and
+backpropagation on all training texts in parallel tasks whose weights are averaged, predicts class and
 frequent word. State is carried across the windows of a document, so whole texts are scored.
 """
 
@@ -27,8 +27,10 @@ SCORE_WINDOW, SCORE_LANES = 32, 512
 SCORE_TOKENS = 1_500_000
 # Words whose counts every task holds: at most this many.
 TOP = 65_536
-# Bounds of the sample the network's weights are fitted on; all counts cover the whole corpus.
-TRAIN_TOKENS, TRAIN_TASKS, ROUNDS, STEPS = 4_000_000, 16, 2, 150
+# Tokens of a training task and of a chunk in its memory; tasks grow with the corpus. Weights averaged at once.
+TASK_TOKENS, CHUNK_TOKENS, FAN, ROUNDS, STEPS = 2_000_000, 500_000, 16, 2, 150
+# Up to this size every round sees all texts; above it each round has its share of them.
+REPEAT_TOKENS = 4_000_000
 RATE = 0.015
 
 
@@ -313,31 +315,92 @@ def _sequences(b: words.Block, symbols: np.ndarray) -> list[np.ndarray]:
     return [np.append(symbols[i:j], 0).astype(np.int32) for i, j in zip(b.first[:-1], b.first[1:])]
 
 
+_WEIGHTS = "g int, n long, " + ", ".join(f"{k} binary" for k in _SHAPES)
+
+
+def _row(g: int, n: int, p: dict) -> pa.RecordBatch:
+    columns = [pa.array([g], pa.int32()), pa.array([n], pa.int64()), *[pa.array([p[k].astype(np.float32).tobytes()], pa.binary()) for k in _SHAPES]]
+    return pa.RecordBatch.from_arrays(columns, ["g", "n", *_SHAPES])
+
+
+def _mean(batches) -> tuple[int, dict | None]:
+    """Tokens and the mean of weights, by tokens."""
+    total, p = 0, None
+    for b in batches:
+        for r in b.to_pylist():
+            own = {k: np.frombuffer(r[k], np.float32).reshape(s) for k, s in _SHAPES.items()}
+            total += r["n"]
+            p = own if p is None else {k: v + (own[k] - v) * (r["n"] / total) for k, v in p.items()}
+    return total, p
+
+
+def trained(rows: DataFrame, known, p: dict, number: int, tasks: int) -> DataFrame:
+    """One row of weights per task (``g``, tokens ``n``, the weights) after training ``p`` on all of
+    ``rows``, dealt by id so that copies of a text spread, chunk after chunk."""
+    shared = rows.sparkSession.sparkContext.broadcast(p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total, held, size, g = shared.value, 0, [], 0, 0
+        for batch in batches:
+            g = batch.column(1)[0].as_py() if batch.num_rows else g
+            for b, _, symbols, _ in _symbols(known.value, batch.column(0)):
+                held += _sequences(b, symbols)
+                size += len(symbols) + len(b.counts())
+                if size >= CHUNK_TOKENS:
+                    own, total, held, size = train(own, held, rate=RATE / (1 + number)), total + size, [], 0
+        if held:
+            own, total = train(own, held, rate=RATE / (1 + number)), total + size
+        if total:
+            yield _row(g, total, own)
+
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("k").cast("string")), F.lit(2))
+    dealt = rows.select("text", F.pmod(key, F.lit(1 << 30)).cast("int").alias("g"))
+    return dealt.repartition(tasks, "g").mapInArrow(run, _WEIGHTS)
+
+
+def averaged(found: DataFrame, n: int) -> dict | None:
+    """The mean of at most ``n`` rows of weights: groups of about ``FAN`` by executors, the last ``FAN`` here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, total, p = 0, 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g = b.column(0)[0].as_py()
+            n, own = _mean([b])
+            total += n
+            p = own if p is None else {k: v + (own[k] - v) * (n / total) for k, v in p.items()}
+        if p is not None:
+            yield _row(g, total, p)
+
+    found = materialize(found)
+    while n > FAN:
+        n = -(-n // FAN)
+        found = materialize(found.repartition(n, F.xxhash64("g", F.lit(n))).mapInArrow(run, _WEIGHTS))
+    rows = found.toArrow()
+    return _mean(rows.to_batches())[1]
+
+
+def shares(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> list[DataFrame]:
+    """The training texts of each round; together they are all of them."""
+    if vocabulary.n <= REPEAT_TOKENS:
+        return [rows] * rounds
+    part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("k").cast("string")), F.lit(1)), F.lit(rounds))
+    return [rows.where(part == i) for i in range(rounds)]
+
+
 def fit(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Weights from training texts: a hash sample of at most about ``TRAIN_TOKENS`` tokens, dealt to at
-    most ``TRAIN_TASKS`` tasks, whose weights are averaged after each of ``rounds``."""
-    spark = rows.sparkSession
+    """Weights from all training texts: dealt to tasks of about ``TASK_TOKENS`` tokens (at least
+    ``FAN`` tasks where there is enough text), whose weights are averaged after each of ``rounds``."""
     p = initial(vocabulary)
     if not vocabulary.n:
         return p
-    share = min(1.0, TRAIN_TOKENS / vocabulary.n)
-    tasks = int(max(1, min(TRAIN_TASKS, share * vocabulary.n // 100_000)))
-    spot = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 20))
-    sample = materialize(rows.where(spot < int(share * (1 << 20))).select("text"))
-    known = spark.sparkContext.broadcast(vocabulary.tables())
-    for number in range(rounds):
-        shared = spark.sparkContext.broadcast(p)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
-            sequences = [s for batch in batches for b, _, symbols, _ in _symbols(known.value, batch.column(0)) for s in _sequences(b, symbols)]
-            if sequences:
-                new = train(shared.value, sequences, rate=RATE / (1 + number))
-                yield pa.RecordBatch.from_arrays([pa.array([new[k].tobytes()], pa.binary()) for k in _SHAPES], list(_SHAPES))
-
-        dealt = sample.repartition(tasks, F.xxhash64("text", F.lit(2)))
-        found = dealt.mapInArrow(run, ", ".join(f"{k} binary" for k in _SHAPES)).collect()  # at most TRAIN_TASKS rows
-        if found:
-            p = {k: np.mean([np.frombuffer(bytes(r[k]), np.float32).reshape(s) for r in found], axis=0) for k, s in _SHAPES.items()}
+    known = rows.sparkSession.sparkContext.broadcast(vocabulary.tables())
+    each = shares(rows, vocabulary, rounds)
+    tokens = vocabulary.n if vocabulary.n <= REPEAT_TOKENS else vocabulary.n // rounds
+    tasks = int(max(1, min(FAN, tokens // 100_000), -(-tokens // TASK_TOKENS)))
+    for number, own in enumerate(each):
+        p = averaged(trained(own, known, p, number, tasks), tasks) or p
     return p
 
 

@@ -429,6 +429,25 @@ def test_network_gradient_and_state():
     assert np.exp(logs).sum() == pytest.approx(1, rel=1e-4)
 
 
+def test_network_trains_on_all_texts(spark, frame, monkeypatch):
+    monkeypatch.setattr(recurrent_lm, "REPEAT_TOKENS", 1000)
+    rng = random.Random(16)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 40)))) for i in range(60)] + [(100 + i, "a copy " * 9) for i in range(60)]
+    docs = frame(rows).withColumn("k", F.xxhash64("doc_id", "text"))
+    counts = recurrent_lm.word_counts(docs)
+    vocabulary = recurrent_lm.Vocabulary(counts, len(rows))
+    assert vocabulary.n > recurrent_lm.REPEAT_TOKENS
+    known = spark.sparkContext.broadcast(vocabulary.tables())
+    p = recurrent_lm.initial(vocabulary)
+    each = recurrent_lm.shares(docs, vocabulary)
+    found = [recurrent_lm.trained(x, known, p, 0, 20).select("g", "n").collect() for x in each]
+    assert sum(r.n for x in found for r in x) == vocabulary.n
+    assert all(len(x) > 10 for x in found) and max(r.n for x in found for r in x) < vocabulary.n / 4  # copies spread
+    rows = recurrent_lm.materialize(recurrent_lm.trained(docs, known, p, 0, 20))
+    got, want = recurrent_lm.averaged(rows, 20), recurrent_lm._mean(rows.toArrow().to_batches())[1]
+    assert all(np.allclose(got[k], want[k], atol=1e-5) for k in want)
+
+
 # ------------------------------------------------------------------ op7
 
 
