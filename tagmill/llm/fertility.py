@@ -14,7 +14,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tagmill.operators.common import materialize
+from tagmill.operators.common import checked_join, materialize
 
 from . import words
 
@@ -214,13 +214,13 @@ def rejection_bands(measured: DataFrame, fence: float = FENCE) -> DataFrame:
     for _ in range(ROUNDS):
         rows = good.select("band", "n_words", *FITTED, *[F.lit(True).alias(f"{m}_in") for m in FITTED])
         if bands is not None:
-            rows = good.join(bands, "band").select("band", "n_words", *FITTED, *[_inside(m).alias(f"{m}_in") for m in FITTED])
+            rows = checked_join(good, bands, "band", "inner").select("band", "n_words", *FITTED, *[_inside(m).alias(f"{m}_in") for m in FITTED])
         used = lambda m: F.col(f"{m}_in")
         mean = _solved(_sums(rows, 3, _length(), F.col, used), 3, RIDGE, "mean")
-        rows = rows.join(mean, "band")
+        rows = checked_join(rows, mean, "band", "inner")
         var = _solved(_sums(rows, 2, 50.0 / _words(), lambda m: F.pow(_deviation(m), F.lit(2.0)), used), 2, 0.1 * RIDGE, "var")
         var = var.select("band", *[F.transform(f"{m}_var", lambda v, i: F.greatest(v, F.lit(0.0)) * F.when(i == 1, 50.0).otherwise(1.0)).alias(f"{m}_var") for m in FITTED])
-        rows = rows.join(materialize(var), "band")
+        rows = checked_join(rows, materialize(var), "band", "inner")
         cut = [F.percentile_approx(F.when(used(m), _standardized(m)), [0.25, 0.75], 10_000).alias(m) for m in FITTED]
         q = rows.groupBy("band").agg(F.count("*").alias("n"), *cut)
         # the scatter is 1, so quartiles nearer than 1 come from many texts alike
