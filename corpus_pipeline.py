@@ -38,8 +38,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that sources, languages and topics meet their target shares."""
-    return raking.mix_documents(docs)
+    """Documents sampled, and repeated where they are too few, so that sources, languages and topics
+    are expected to meet their target shares."""
+    return raking.mix_documents(docs, repeat=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,12 +5,15 @@ per value of each dimension until their sums meet the target marginals; a docume
 with a probability proportional to its cell's factor, decided by a hash of its id.
 """
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagmill.operators.common import materialize
 
 DIMS = ("source", "lang", "topic")
 ROUNDS, TEMPER, SHARE, FLOOR, SEED = 6, 0.7, 0.8, 0.0, "mix"
+MOST_ROUNDS, TOLERANCE = 60, 1e-4
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -43,12 +46,19 @@ def target_marginals(cells: DataFrame, dim: str, temper: float = TEMPER) -> Data
     return t.join(F.broadcast(t.agg(F.sum("p").alias("all"))), F.lit(True)).select(dim, (F.col("p") / F.col("all")).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def largest_miss(fitted: DataFrame, targets: dict[str, DataFrame]) -> float:
+    """The largest difference between a value's raked share and its target."""
+    each = [fitted.groupBy(d).agg(F.sum("share").alias("s")).join(t, d).select(F.abs(F.col("s") - F.col("target")).alias("miss")) for d, t in targets.items()]
+    return functools.reduce(DataFrame.unionByName, each).agg(F.max("miss")).first()[0] or 0.0
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
     """``cells`` (one row per combination, ``tokens``) with ``share``: the raked share.
 
     ``targets`` has for each dimension a table of its values and their ``target`` share; a value
     without a target gets none, and a target without cells cannot be met. Each step is a grouped
-    sum and a join, written out, so no dimension is gathered in one place.
+    sum and a join, written out, so no dimension is gathered in one place. With a ``tolerance``
+    it ends before ``rounds`` when no share misses its target by more.
     """
     fitted = cells.withColumn("share", F.col("tokens").cast("double"))
     targets = {dim: materialize(t) for dim, t in targets.items()}
@@ -58,6 +68,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
             sums = fitted.groupBy(dim).agg(F.sum("share").alias("__sum"))
             factor = sums.join(target, dim, "left").select(dim, F.coalesce(F.try_divide("target", "__sum"), F.lit(0.0)).alias("__f"))
             fitted = fitted.join(factor, dim, "left").withColumn("share", F.col("share") * F.col("__f")).drop("__f")
+        if tolerance is not None:
+            fitted = materialize(fitted)
+            if largest_miss(fitted, targets) <= tolerance:
+                break
     return materialize(fitted)
 
 
@@ -82,8 +96,8 @@ def calibrated_scale(cells: DataFrame, share: float) -> float:
     return high
 
 
-def _weighted(docs: DataFrame, temper: float, rounds: int, share: float, floor: float, targets: dict | None, seed: str) -> DataFrame:
-    """``docs`` with ``__topic, __tokens, __factor, __p, __kept``."""
+def _weighted(docs: DataFrame, temper: float, rounds: int, share: float, floor: float, targets: dict | None, seed: str, repeat: bool = False) -> DataFrame:
+    """``docs`` with ``__topic, __tokens, __factor, __p, __kept``; with ``repeat`` ``__p`` may be above 1."""
     own = [F.col(f"`{c}`") for c in docs.columns]
     cell = ["__source", "__lang", "__topic"]
     keyed = docs.select(
@@ -91,11 +105,11 @@ def _weighted(docs: DataFrame, temper: float, rounds: int, share: float, floor:
     ).withColumn("__topic", topic_of("text"))
     cells = materialize(keyed.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMS]).agg(F.sum("__tokens").alias("tokens")))
     marginals = {d: (targets or {}).get(d) for d in DIMS}
-    fitted = rake(cells, {d: target_marginals(cells, d, temper) if t is None else t for d, t in marginals.items()}, rounds)
+    fitted = rake(cells, {d: target_marginals(cells, d, temper) if t is None else t for d, t in marginals.items()}, *((MOST_ROUNDS, TOLERANCE) if repeat else (rounds,)))
     total = fitted.agg(F.sum("tokens").cast("double").alias("all"), F.sum("share").alias("fit"))
     factor = F.coalesce(F.try_divide(F.col("share") * F.col("all"), F.col("tokens") * F.col("fit")), F.lit(0.0))
     factors = materialize(fitted.join(F.broadcast(total), F.lit(True)).select(*DIMS, "tokens", F.round(factor, 6).alias("factor")))
-    p = F.least(F.lit(1.0), F.greatest(F.lit(float(floor)), F.round(F.col("factor") * calibrated_scale(factors, share), 6)))
+    p = F.col("factor") * F.lit(float(share)) if repeat else F.least(F.lit(1.0), F.greatest(F.lit(float(floor)), F.round(F.col("factor") * calibrated_scale(factors, share), 6)))
     factors = factors.select(*[F.col(d).alias(f"__{d}") for d in DIMS], F.col("factor").alias("__factor"), p.alias("__p"))
     return keyed.join(factors, cell, "left").withColumn("__kept", uniform("doc_id", seed) < F.col("__p"))
 
@@ -113,7 +127,18 @@ def mixing_weights(docs: DataFrame, temper: float = TEMPER, rounds: int = ROUNDS
     return out.select("doc_id", "source", "lang", *[F.col(f"__{a}").alias(b) for a, b in (("topic", "topic"), ("tokens", "tokens"), ("factor", "factor"), ("p", "probability"), ("kept", "kept"))])
 
 
-def mix_documents(docs: DataFrame, temper: float = TEMPER, rounds: int = ROUNDS, share: float = SHARE, floor: float = FLOOR, targets: dict[str, DataFrame] | None = None, seed: str = SEED) -> DataFrame:
-    """The sampled documents, with all columns of ``docs`` (none may start with two underscores)."""
-    kept = _weighted(docs, temper, rounds, share, floor, targets, seed).where("__kept")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+def mix_documents(docs: DataFrame, temper: float = TEMPER, rounds: int = ROUNDS, share: float = SHARE, floor: float = FLOOR, targets: dict[str, DataFrame] | None = None, seed: str = SEED, repeat: bool = False) -> DataFrame:
+    """The sampled documents, with all columns of ``docs`` (none may start with two underscores).
+
+    With ``repeat`` a document is expected ``share * factor`` times, more than once where that is above
+    1, so that no cell is capped and the shares of all values are expected to meet their targets;
+    raking goes on to ``TOLERANCE``, and ``rounds`` and ``floor`` do not count.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    mixed = _weighted(docs, temper, rounds, share, floor, targets, seed, repeat)
+    if not repeat:
+        return mixed.where("__kept").select(*own)
+    whole = F.floor("__p")
+    times = (whole + (uniform("doc_id", seed) < F.col("__p") - whole).cast("long")).cast("int")
+    copies = F.explode(F.array_repeat(F.lit(True), times)).alias("__copy")  # no rows for 0 times
+    return mixed.where(times > 0).select(*own, copies).drop("__copy")

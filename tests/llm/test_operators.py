@@ -630,3 +630,31 @@ def test_mixing_of_odd_documents(frame, odd):
     assert kept.columns == docs.columns
     assert kept.count() == sum(r.kept for r in got)
     assert raking.mix_documents(docs.limit(0)).collect() == []
+
+
+def test_repeated_documents_meet_the_targets(frame):
+    rng = random.Random(17)
+    rows = [(i, "w " * rng.choice([20, 60, 150, 200]), rng.choice(["en"] * 20 + ["de", "fr"]), rng.choice(["a"] * 30 + ["b", "c"])) for i in range(4000)]
+    docs = frame(rows)
+    cells, mixed = Counter(), Counter()
+    for r in raking.mixing_weights(docs).collect():
+        cells[(r.source, r.lang, r.topic)] += r.tokens
+    topic = {r.doc_id: (r.source, r.lang, r.topic, r.tokens) for r in raking.mixing_weights(docs).collect()}
+    out = raking.mix_documents(docs, repeat=True)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        mixed[topic[r.doc_id][:3]] += topic[r.doc_id][3]
+    all_tokens = sum(cells.values())
+    assert sum(mixed.values()) == pytest.approx(raking.SHARE * all_tokens, rel=0.05)
+    expected = Counter()
+    for r in raking._weighted(docs, raking.TEMPER, 6, raking.SHARE, 0.0, None, raking.SEED, True).select("source", "lang", "__topic", "__tokens", "__p").collect():
+        expected[(r.source, r.lang, r["__topic"])] += r["__tokens"] * r["__p"]
+    for d in range(3):
+        part = lambda c, v, d=d: sum(n for k, n in c.items() if k[d] == v) / sum(c.values())
+        values = {k[d] for k in cells}
+        power = {v: (part(cells, v) * all_tokens) ** raking.TEMPER for v in values}
+        for v in values:
+            target = power[v] / sum(power.values())
+            assert part(expected, v) == pytest.approx(target, abs=2e-4)
+            assert part(mixed, v) == pytest.approx(target, abs=0.02)
+    assert raking.mix_documents(docs.limit(0), repeat=True).collect() == []
