@@ -56,7 +56,8 @@ STAGES = [
     ("best_fit_packing", packed),
 ]
 
-# Tokenising and the fitted classifier are beyond SQL; tests compare run() with a plain version.
+# Tokenising and the fitted classifier are beyond SQL; tests hold the stages to planted cases and
+# plain versions, run() itself only on an empty table.
 ORACLE_SQL = None
 
 
