@@ -1,6 +1,8 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from . import raking, url_reputation
+from itertools import permutations
+
+from . import benchmark_search, centroid_clustering, filter_audit, raking, url_reputation
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -100,10 +102,64 @@ SELECT doc_id, docs.source, docs.lang, docs.topic, docs.tokens::BIGINT AS tokens
 FROM docs JOIN p ON p.source = s AND p.lang = l AND p.topic = docs.topic"""
 
 
+def centroid_clustering_sql() -> str:
+    c = centroid_clustering
+    ctes = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, x, list_dot_product(x, x) AS xx FROM (SELECT vec_id, list_transform(embedding, lambda e: floor(e::DOUBLE * {c.SCALE})) AS x FROM embeddings
+  WHERE len(embedding) = {c.COMPONENTS} AND len(list_filter(embedding, lambda e: coalesce(isfinite(e), false))) = {c.COMPONENTS}))""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{c.SEED}:' || vec_id) NULLS LAST, x) - 1 AS k, x AS c FROM v QUALIFY k < {c.K})",
+    ]
+    for n in range(c.ROUNDS + 1):
+        ctes.append(f"""a{n} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(x) AS x, min((xx - 2 * list_dot_product(x, c) + list_dot_product(c, c), k)) AS m FROM v CROSS JOIN c{n} GROUP BY r)""")
+        if n < c.ROUNDS:
+            ctes.append(f"""s{n} AS (SELECT k, list(floor(s / n) ORDER BY j) AS c FROM (SELECT m[2] AS k, j, sum(e) AS s, count(*) AS n FROM (SELECT m, unnest(x) AS e, generate_subscripts(x, 1) AS j FROM a{n}) GROUP BY ALL) GROUP BY k)""")
+            ctes.append(f"c{n + 1} AS MATERIALIZED (SELECT k, coalesce(s.c, o.c) AS c FROM c{n} o LEFT JOIN s{n} s USING (k))")
+    last = f"a{c.ROUNDS}"
+    return f"""WITH {', '.join(ctes)},
+h AS (SELECT k, sha256(array_to_string(list_transform(c, lambda e: e::BIGINT), ',')) AS centroid_sha256 FROM c{c.ROUNDS}),
+d AS (SELECT vec_id, m[2] AS k, m[1]::BIGINT AS distance FROM {last})
+SELECT vec_id, k::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256 FROM d JOIN h USING (k)"""
+
+
+def benchmark_search_sql() -> str:
+    n = benchmark_search.WINDOW
+    words = lambda t: rf"regexp_extract_all({_LOWER.format(t)}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""WITH b AS (SELECT item_id::VARCHAR AS item, {words("coalesce(text, '')")} AS w FROM benchmark),
+p AS (SELECT DISTINCT item, least(len(w), {n}) AS n, array_to_string(w[i:i + least(len(w), {n}) - 1], ' ') AS p FROM (SELECT item, w, unnest(range(1, greatest(len(w) - {n - 1}, least(len(w), 1)) + 1)) AS i FROM b)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {words("coalesce(text, '')")} AS w FROM documents), ln AS (SELECT DISTINCT n FROM p),
+x AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS p FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN ln WHERE len(w) >= n)),
+o AS (SELECT r, i, n, item FROM x JOIN p USING (n, p)), hit AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS j FROM o) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM o WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)"""
+
+
+def filter_audit_sql() -> str:
+    letters = filter_audit.FILTERS
+    steps = []
+    for order in permutations(letters):
+        for k in range(len(letters)):
+            before = sum(1 << letters.index(f) for f in order[:k])
+            steps.append(f"('{''.join(order)}', {k + 1}, {1 << letters.index(order[k])}, {before})")
+    return rf"""WITH l AS (SELECT doc_id, max(coalesce((quality = 1)::INT, 0)) AS good, max(coalesce((toxic = 1)::INT, 0)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents), f AS (SELECT t, min(doc_id) AS m FROM d GROUP BY t),
+x AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > m, false)::INT AS p FROM d JOIN f USING (t) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, p, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM x GROUP BY ALL),
+s AS (SELECT * FROM (VALUES {', '.join(steps)}) s(filter_order, step, own, before)),
+r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (p & (before | own) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (p & before = 0 AND p & own > 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (p & before > 0 AND p & own > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (p = own), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (p & before = 0 AND p & own > 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (p & before = 0 AND p & own > 0), 0)::BIGINT AS toxic_lost FROM c CROSS JOIN s GROUP BY ALL)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r"""
+
+
 ORACLES = {
     "op1_host_reputation": host_reputation(),
     "op3_ngram_join": ngram_join(),
     "op5_substring_dedup": substring_dedup(),
     "op7_line_dedup": line_dedup(),
     "op10_mixing": mixing(),
+    "op11_centroid_clustering": centroid_clustering_sql(),
+    "op12_benchmark_search": benchmark_search_sql(),
+    "op13_filter_audit": filter_audit_sql(),
 }

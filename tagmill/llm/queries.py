@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fertility, line_dedup, ngram_join, packing, quality_bayes, raking, recurrent_lm, substring_dedup, url_reputation, winnowing
+from . import benchmark_search, centroid_clustering, fertility, filter_audit, line_dedup, ngram_join, packing, quality_bayes, raking, recurrent_lm, substring_dedup, url_reputation, winnowing
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -63,6 +63,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raking.mixing_weights(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_benchmark_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = benchmark_search.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_host_reputation": op1_host_reputation,
     "op2_packing": op2_packing,
@@ -74,4 +88,7 @@ QUERIES = {
     "op8_quality_bayes": op8_quality_bayes,
     "op9_fertility": op9_fertility,
     "op10_mixing": op10_mixing,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_benchmark_search": op12_benchmark_search,
+    "op13_filter_audit": op13_filter_audit,
 }
