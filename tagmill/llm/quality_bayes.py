@@ -93,44 +93,75 @@ def features(rows: DataFrame, carry: list[str]) -> DataFrame:
     return rows.select("text", *carry).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in carry) + ", form array<double>, buckets array<int>")
 
 
-def fit(sample: pa.Table, target: str) -> dict:
-    """A penalised logistic model: form columns and those word buckets that stand out."""
+def telling_words(taken: DataFrame, totals: dict[str, int], n: int) -> dict[str, np.ndarray]:
+    """For each target the sorted word buckets that stand out among its documents, counted by Spark."""
+    seen = taken.select(F.explode("buckets").alias("b"), *TARGETS).groupBy("b").agg(F.count("*").alias("df"), *[F.sum(t).alias(t) for t in TARGETS])
+    off = {}
+    for t in TARGETS:
+        rate = (totals[t] + 0.5) / (n + 1)
+        off[t] = F.abs(F.col(t) - F.col("df") * rate) > MIN_Z * F.sqrt(F.col("df") * rate * (1 - rate))
+    rows = seen.where(F.col("df") >= MIN_DOCS).select("b", *[c.alias(t) for t, c in off.items()]).where(" or ".join(TARGETS)).toArrow()
+    return {t: np.sort(rows["b"].to_numpy()[rows[t].to_numpy(zero_copy_only=False).astype(bool)]) for t in TARGETS}  # BUCKETS at most
+
+
+def _chosen_only(taken: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """``taken`` with the places in ``chosen`` of its buckets in place of the buckets."""
+    shared = taken.sparkSession.sparkContext.broadcast(chosen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("buckets")
+            flat, size = lists.flatten().to_numpy(), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), size)
+            place = np.minimum(np.searchsorted(shared.value, flat), max(len(shared.value) - 1, 0))
+            hit = shared.value[place] == flat if len(shared.value) else np.zeros(len(flat), bool)
+            ends = np.cumsum(np.bincount(owner[hit], minlength=batch.num_rows))
+            at = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(place[hit], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(t) for t in TARGETS], batch.column("form"), at], [*TARGETS, "form", "at"])
+
+    kinds = dict(taken.dtypes)
+    return taken.select(*TARGETS, "form", "buckets").mapInArrow(run, ", ".join(f"{t} {kinds[t]}" for t in TARGETS) + ", form array<double>, at array<int>")
+
+
+def fit(sample: pa.Table, target: str, chosen: np.ndarray) -> dict:
+    """A penalised logistic model: form columns and the ``chosen`` word buckets. ``sample`` has a
+    row per document with ``form`` and its places ``at`` in ``chosen``; the words are kept as pairs, so memory
+    follows the sample, whatever the number of weights."""
     y = sample[target].to_numpy().astype(float)
-    n = len(y)
-    lists = sample["buckets"].combine_chunks()
-    size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(n), size)
-    form = sample["form"].combine_chunks().flatten().to_numpy().reshape(n, _FORM)
+    n, words_n = len(y), len(chosen)
+    lists = sample["at"].combine_chunks()
+    at = lists.flatten().to_numpy()
+    owner = np.repeat(np.arange(n), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+    dense = np.concatenate((np.ones((n, 1)), sample["form"].combine_chunks().flatten().to_numpy().reshape(n, _FORM)), 1)
+    m = dense.shape[1]
+    times = lambda w: dense @ w[:m] + np.bincount(owner, w[m:][at], n)
+    back = lambda r: np.concatenate((dense.T @ r, np.bincount(at, r[owner], words_n)))
     rate = (y.sum() + 0.5) / (n + 1)
-    df = np.bincount(flat, minlength=BUCKETS)
-    hits = np.bincount(flat[y[owner] > 0], minlength=BUCKETS)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        z = (hits - df * rate) / np.sqrt(df * rate * (1 - rate))
-    chosen = np.flatnonzero((df >= MIN_DOCS) & (np.abs(z) > MIN_Z))
-    place = np.full(BUCKETS, -1)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[flat] >= 0
-    x = np.zeros((n, 1 + _FORM + len(chosen)), np.float32)
-    x[:, 0], x[:, 1 : 1 + _FORM] = 1, form
-    x[owner[keep], 1 + _FORM + place[flat[keep]]] = 1
-    w = np.zeros(x.shape[1])
+    w = np.zeros(m + words_n)
     w[0] = np.log(rate / (1 - rate))
-    penalty = np.full(x.shape[1], PENALTY)
+    penalty = np.full(len(w), PENALTY)
     penalty[0] = 1e-3
-    for _ in range(15):  # Newton steps
-        g, h = penalty * w, np.diag(penalty)
-        for lo in range(0, n, 1000):
-            part = x[lo : lo + 1000]
-            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
-            g = g + part.T @ (p - y[lo : lo + 1000])
-            h = h + part.T @ (part * (p * (1 - p)).astype(np.float32)[:, None])
-        step = np.linalg.solve(h, g)
+    for _ in range(15):  # Newton steps, solved by conjugate gradients
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        g, s = penalty * w + back(p - y), p * (1 - p)
+        scale = 1 / (penalty + np.concatenate((dense.T**2 @ s, np.bincount(at, s[owner], words_n))))
+        step, rest = np.zeros_like(w), g.copy()
+        z = scale * rest
+        d, size = z.copy(), rest @ z
+        for _ in range(500):
+            if size <= 1e-16 * (g @ (scale * g)) or size == 0:
+                break
+            h = penalty * d + back(s * times(d))
+            a = size / (d @ h)
+            step, rest = step + a * d, rest - a * h
+            z = scale * rest
+            d, size = z + (rest @ z) / size * d, rest @ z
         w -= step * min(1.0, 5 / (np.abs(step).max() + 1e-9))
         if np.abs(step).max() < 1e-4:
             break
     table = np.zeros(BUCKETS, np.float32)
-    table[chosen] = w[1 + _FORM :]
-    return {"base": float(np.log(rate / (1 - rate))), "bias": float(w[0]), "form": w[1 : 1 + _FORM], "table": table}
+    table[chosen] = w[m:]
+    return {"base": float(np.log(rate / (1 - rate))), "bias": float(w[0]), "form": w[1:m], "table": table}
 
 
 def evidence(rows: DataFrame, models: dict[str, dict], text: str, carry: list[str]) -> DataFrame:
@@ -197,11 +228,14 @@ def _judged(docs: DataFrame, labels: DataFrame, threshold: float, sample: int) -
     known = labelled(labels)
     ids = rows.select("doc_id", "host", "path").dropDuplicates(["doc_id"]).join(known, F.col("doc_id") == F.col("__id"))
     ids = materialize(ids.select("__id", "host", "path", *TARGETS))
-    # a bounded sample, chosen by a hash of the id
-    chosen = ids.orderBy(F.xxhash64("__id"), "__id").limit(sample).select("__id", *TARGETS)
+    # a bounded sample, chosen by a hash of the id: about ``sample`` documents of all tasks
+    share = min(1.0, sample / max(ids.count(), 1))
+    chosen = ids.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("__id", *TARGETS)
     drawn = rows.select("doc_id", "text").join(F.broadcast(materialize(chosen)), F.col("doc_id") == F.col("__id"))
-    taken = features(drawn.select("text", *TARGETS), list(TARGETS)).toArrow()
-    models = {t: fit(taken, t) for t in TARGETS}
+    taken = materialize(features(drawn.select("text", *TARGETS), list(TARGETS)))
+    n, *sums = taken.agg(F.count("*"), *[F.coalesce(F.sum(t), F.lit(0)) for t in TARGETS]).first()
+    telling = telling_words(taken, dict(zip(TARGETS, sums)), n)
+    models = {t: fit(_chosen_only(taken, telling[t]).toArrow(), t, telling[t]) for t in TARGETS}
     outcomes = materialize(ids.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]))
     every = materialize(rows.select("host", "path").distinct().join(outcomes, ["host", "path"], "left").fillna(0))
     rates = path_rates(every, "bad").join(path_rates(every, "toxic"), ["host", "path"])
