@@ -26,6 +26,20 @@ def send(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary())], ["block", "data"])
 
 
+def send_packed(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The same for arrays that are packed already."""
+    packed = [a.reshape(BLOCKS, -1) for a in arrays]
+    for b in range(BLOCKS):
+        if any(p[b].any() for p in packed):
+            data = zlib.compress(np.concatenate([p[b] for p in packed]).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([data], pa.binary())], ["block", "data"])
+
+
+def set_bits(packed: np.ndarray, at: np.ndarray) -> None:
+    """Set the bits at these places."""
+    np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+
+
 def merge(rows: DataFrame, fold) -> dict[int, np.ndarray]:
     """One array per block. ``fold(state or None, data)`` takes each row's data; the states come
     to the driver, one per block."""

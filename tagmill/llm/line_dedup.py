@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame, functions as F
 from tagmill.functions.let import let
 from tagmill.operators.common import materialize
 
-from . import bitmaps
+from . import bitmaps, words
 
-MIN_DOCS, MIN_CHARS, BITS = 10, 1, 1 << 25
+MIN_DOCS, MIN_CHARS = 10, 1
+# Bits of a filter per line, and the least and most bits of a filter: beyond 32 MB it thins less, and more keys are
+# shuffled (16 bytes each) than need be.
+BITS_PER_LINE, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 28
 
 
 def line_keys(text: bytes, min_chars: int) -> dict[bytes, list[int]]:
@@ -31,6 +34,17 @@ def line_keys(text: bytes, min_chars: int) -> dict[bytes, list[int]]:
     return found
 
 
+def _parts(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about words.BLOCK bytes of text, so that their lines are few at a time."""
+    for batch in batches:
+        offs, _ = words.buffers(batch.column(column))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + words.BLOCK, "right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def _keys(batch: pa.RecordBatch, min_chars: int) -> Iterator[dict[bytes, list[int]]]:
     for text in batch.column(1).cast(pa.binary()).to_pylist():
         yield line_keys(text or b"", min_chars)
@@ -44,19 +58,27 @@ def _hash(key: bytes) -> int:
     return xxhash.xxh3_64_intdigest(key)
 
 
-def twice_seen(rows: DataFrame, min_chars: int = MIN_CHARS, bits: int = BITS) -> np.ndarray:
+def filter_bits(rows: DataFrame) -> int:
+    """The power of two of bits that suits the number of lines."""
+    lines = rows.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (int(lines) * BITS_PER_LINE - 1).bit_length() if lines else 0))
+
+
+def twice_seen(rows: DataFrame, min_chars: int, bits: int) -> np.ndarray:
     """Packed Bloom filter that holds every key found in two or more documents."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, np.uint8), np.zeros(bits, np.uint8)
-        for batch in batches:
-            h = np.array([_hash(k) for keys in _keys(batch, min_chars) for k in keys], np.uint64).view(np.int64)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        for part in _parts(batches):
+            h = np.array([_hash(k) for keys in _keys(part, min_chars) for k in keys], np.uint64).view(np.int64)
             h, n = np.unique(h, return_counts=True)
             a, b = _places(h, bits)
-            again = (n > 1) | ((once[a] & once[b]) == 1)
-            twice[a[again]] = twice[b[again]] = 1
-            once[a] = once[b] = 1
-        yield from bitmaps.send([once, twice])
+            again = (n > 1) | (bitmaps.test(once, a) & bitmaps.test(once, b))
+            for at in (a, b):
+                bitmaps.set_bits(twice, at[again])
+            for at in (a, b):
+                bitmaps.set_bits(once, at)
+        yield from bitmaps.send_packed([once, twice])
 
     def fold(state, data):
         if state is None:
@@ -83,12 +105,12 @@ def _not_first(found: DataFrame) -> DataFrame:
     return found.join(first.select("__line", F.col("__first.__k").alias("__k")), ["__line", "__k"], "left_anti")
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, bits: int = BITS, keep_first: bool = False) -> DataFrame:
+def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, bits: int | None = None, keep_first: bool = False) -> DataFrame:
     """``docs`` with ``text`` freed of common lines, and ``n_lines`` (before), ``n_dropped``.
 
     A line goes if its key has at least ``min_chars`` code points and occurs in at least
     ``min_docs`` documents, however often in each. Other lines stay as they were, joined by line
-    feeds. A null or empty text has one empty line and stays empty; each row is a document, also
+    feeds. ``bits`` sets the size of the filters (default: by the number of lines) and changes no result. A null or empty text has one empty line and stays empty; each row is a document, also
     where an id repeats; an empty table gives an empty one. Columns ``n_lines`` and
     ``n_dropped`` of ``docs`` are replaced, all others kept.
 
@@ -99,10 +121,11 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(*[F.col(f"`{c}`") for c in own], text.alias("text"), F.xxhash64("doc_id", text).alias("__k"))
     rows = keyed.select("__k", "text", *(["doc_id"] if keep_first else []))
+    bits = bits or filter_bits(rows)
     packed = rows.sparkSession.sparkContext.broadcast(twice_seen(rows, min_chars, bits))  # bits / 8 bytes
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             ids, keys, lines, owner, whole = [], [], [], [], []
             for n, (doc, found) in enumerate(zip(batch.column(0).to_pylist(), _keys(batch, min_chars))):
                 for key, at in found.items():

@@ -149,7 +149,7 @@ def fit(sample: pa.Table, target: str, chosen: np.ndarray) -> dict:
         z = scale * rest
         d, size = z.copy(), rest @ z
         for _ in range(500):
-            if size <= 1e-16 * (g @ (scale * g)) or size == 0:
+            if size <= 1e-10 * (g @ (scale * g)) or size == 0:
                 break
             h = penalty * d + back(s * times(d))
             a = size / (d @ h)

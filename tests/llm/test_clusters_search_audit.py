@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
-from tagmill.llm import benchmark_search, centroid_clustering, filter_audit
+from tagmill.llm import benchmark_search, bitmaps, centroid_clustering, filter_audit, line_dedup
 from tests import oracle
 
 
@@ -238,3 +238,23 @@ def test_contraction_equals_sums():
 def test_query_equals_its_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     assert oracle.compare(spark, oracle.connect(sf), name, entry.queries()[name], entry.oracle_sql()[name], sf) is None
+
+
+# ------------------------------------------------------------------ line filters
+
+
+def test_line_filters_follow_the_number_of_lines(frame, monkeypatch):
+    lines = [(d, "\n".join(f"line {d} {i}" for i in range(200))) for d in range(100)]
+    docs = frame(lines).select("doc_id", "text")
+    bits = line_dedup.filter_bits(docs)
+    assert bits == line_dedup.LEAST_BITS
+    monkeypatch.setattr(line_dedup, "LEAST_BITS", 1 << 10)
+    bits = line_dedup.filter_bits(docs)
+    assert 20_000 * line_dedup.BITS_PER_LINE <= bits < 40_000 * line_dedup.BITS_PER_LINE
+    packed = line_dedup.twice_seen(docs.select("doc_id", "text"), 1, bits)
+    h = np.array([line_dedup._hash(f"line {d} {i}".encode()) for d in range(100) for i in range(200)], np.uint64).view(np.int64)
+    a, b = line_dedup._places(h, bits)
+    assert (bitmaps.test(packed, a) & bitmaps.test(packed, b)).mean() < 0.1  # keys of one document that would be shuffled
+    monkeypatch.setattr(line_dedup, "MOST_BITS", 1 << 12)
+    assert line_dedup.filter_bits(docs) == 1 << 12
+    assert line_dedup.filter_bits(docs.limit(0)) == 1 << 10
