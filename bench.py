@@ -6,16 +6,17 @@ import sys
 import tempfile
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tagmill.functions.labels import tag_regex  # noqa: E402
 from tagmill.functions.text import token_gaps, tokenize  # noqa: E402
-from tagmill.operators import features, gazetteer, hmm  # noqa: E402
+from tagmill.operators import features, gazetteer, hmm, linear  # noqa: E402
 from tagmill.operators.common import materialize  # noqa: E402
 from tagmill.operators.masking import mask_text  # noqa: E402
-from tagmill.plans import base, registry  # noqa: E402
+from tagmill.operators.throughput import score_throughput  # noqa: E402
+from tagmill.plans import base, comparison_queries, registry  # noqa: E402
 
 HEADLINE = [
     "tokenize_documents", "token_shape_profile", "tag_documents", "nik_validate", "bio_label_main",
@@ -26,34 +27,24 @@ HEADLINE = [
 ]
 
 
-def run(df) -> float:
-    start = time.perf_counter()
-    df.write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
-
-
 def throughput(spark, sf) -> dict:
-    """Rows per second of scoring, mean of three runs, and milliseconds per row."""
-    docs = materialize(base.texts(spark, sf, "documents").select("doc_id", tokenize("text").alias("tokens")))
+    """Scoring of every tagger, over payloads and over documents; mean of three runs."""
+    docs = materialize(base.texts(spark, sf, "documents").select("doc_id", "text", tokenize("text").alias("tokens")))
     samples = materialize(base.tagged(spark, sf))
     terms = materialize(gazetteer.build_gazetteer(samples))
-    model = {k: materialize(v) for k, v in hmm.fit_hmm(None, counts=materialize(hmm.hmm_counts(samples))).items()}
+    tables = {name: {k: materialize(v) for k, v in parts.items()} for name, parts in comparison_queries.fitted(spark, sf).items()}
+    words = lambda d: features.token_features(d, use_regex=False, use_gazetteer=False, fields=["word_lower"])
     jobs = {
-        "tokenize_documents": (base.texts(spark, sf, "documents"), lambda d: d.select(tokenize("text"))),
+        "tokenize_documents": (docs, lambda d: d.select(tokenize("text"))),
         "tag_regex_documents": (docs, lambda d: d.select(tag_regex("tokens"))),
-        "tag_hmm_payloads": (samples, lambda d: hmm.tag_hmm(d, model)),
-        "mask_regex_documents": (base.texts(spark, sf, "documents"), lambda d: d.select(mask_text(token_gaps("text"), tokenize("text"), tag_regex(tokenize("text"))))),
-        "tag_hmm_documents": (docs, lambda d: hmm.tag_hmm(d, model)),
+        "tag_hmm_payloads": (samples, lambda d: hmm.tag_hmm(d, tables["hmm"])),
+        "tag_linear_payloads": (samples, lambda d: linear.tag_linear(words(d), tables["linear"])),
+        "mask_regex_documents": (docs, lambda d: d.select(mask_text(token_gaps("text"), tokenize("text"), tag_regex(tokenize("text"))))),
+        "tag_hmm_documents": (docs, lambda d: hmm.tag_hmm(d, tables["hmm"])),
+        "tag_linear_documents": (docs, lambda d: linear.tag_linear(words(d), tables["linear"])),
         "features_payloads": (samples, lambda d: features.token_features(d, terms)),
     }
-    out = {}
-    for name, (df, job) in jobs.items():
-        n = df.count()
-        work = job(df)
-        run(work)
-        mean = sum(run(work) for _ in range(3)) / 3
-        out[name] = {"rows": n, "rows_per_s": round(n / mean, 1), "ms_per_row": round(1000 * mean / n, 5)}
-    return out
+    return {name: score_throughput(df, job, F.size("tokens")) for name, (df, job) in jobs.items()}
 
 
 def main() -> None:

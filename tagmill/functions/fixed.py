@@ -102,6 +102,16 @@ NEGATIVE_KEYWORDS = [
 # Fixed values. Words that show a logged ID was treated as personal data.
 MASK_CONTEXT_WORDS = ["masked", "detected", "nik=", "b-nik"]
 
+# Fixed values. Runs that part the request blocks of a log.
+SEPARATOR = r"={50,}"
+
+# Fixed values. Reasons of ID validation.
+REASON_LENGTH = "Panjang bukan 16 digit atau bukan angka"
+REASON_PROVINCE = "Kode provinsi %d tidak valid"
+REASON_MONTH = "Bulan %d tidak valid (harus 1-12)"
+REASON_DAY = "Tanggal %d tidak valid"
+REASON_DATE = "Tanggal %d tidak valid untuk bulan %d tahun %d"
+
 # Fixed values. Sample vocabulary for rendered payloads.
 PERSON_NAMES = [
     "Budi Santoso", "Siti Rahayu", "Agus Wijaya", "Dewi Lestari", "Hendra Pratama",

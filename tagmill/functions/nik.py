@@ -7,7 +7,7 @@ the one that names a reason.
 
 from pyspark.sql import Column, functions as F
 
-from .fixed import PROVINCES
+from .fixed import PROVINCES, REASON_DATE, REASON_DAY, REASON_LENGTH, REASON_MONTH, REASON_PROVINCE
 
 
 def _part(nik, pos: int, length: int = 2) -> Column:
@@ -102,11 +102,11 @@ def validate(nik) -> Column:
     in_month = F.coalesce(day <= days_in_month(month, year), F.lit(False))
     is16 = is_sixteen_digits(nik)
     reason = (
-        F.when(~is16, "Panjang bukan 16 digit atau bukan angka")
-        .when(~known, F.format_string("Kode provinsi %d tidak valid", prov))
-        .when(~month_ok, F.format_string("Bulan %d tidak valid (harus 1-12)", month))
-        .when(~day_ok, F.format_string("Tanggal %d tidak valid", day))
-        .when(~in_month, F.format_string("Tanggal %d tidak valid untuk bulan %d tahun %d", day, month, year))
+        F.when(~is16, REASON_LENGTH)
+        .when(~known, F.format_string(REASON_PROVINCE, prov))
+        .when(~month_ok, F.format_string(REASON_MONTH, month))
+        .when(~day_ok, F.format_string(REASON_DAY, day))
+        .when(~in_month, F.format_string(REASON_DATE, day, month, year))
     )
     # Said directly rather than as "no reason", which the optimizer would expand.
     ok = is16 & known & month_ok & day_ok & in_month

@@ -36,19 +36,42 @@ def _offsets(tokens: pa.Array, gaps: pa.Array) -> pa.Array:
 
 
 def _span_labels(tokens: pa.Array, gaps: pa.Array, spans: pa.Array) -> pa.Array:
+    """BIO labels of a batch: all spans are laid over all tokens at once.
+
+    Rows are shifted apart, so that one search finds the tokens of every span; where spans overlap, the one
+    with the larger start (then the later one) wins, by a running maximum over its tokens.
+    """
     first, last, start, end = _positions(tokens, gaps)
-    out = []
-    for a, b, found in zip(first, last, spans.to_pylist()):
-        labels = ["O"] * (b - a)
-        usable = [s for s in found or [] if s["labels"] and s["start"] is not None and s["end"] is not None]
-        for s in sorted(usable, key=lambda x: x["start"]):
-            lo = int(np.searchsorted(end[a:b], s["start"], side="right"))
-            hi = int(np.searchsorted(start[a:b], s["end"], side="left"))
-            if lo < hi:
-                name = s["labels"][0]
-                labels[lo:hi] = [f"B-{name}"] + [f"I-{name}"] * (hi - lo - 1)
-        out.append(labels)
-    return pa.array(out, pa.list_(pa.string()))
+    n, rows = len(start), np.asarray(pa.compute.list_value_length(spans).fill_null(0))
+    flat = spans.flatten()
+    row = np.repeat(np.arange(len(rows)), rows)
+    lo, hi = (flat.field(c).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "end"))
+    named = pa.compute.list_value_length(flat.field("labels")).fill_null(0).to_numpy(zero_copy_only=False) > 0
+    known = named & ~np.asarray(flat.field("start").is_null()) & ~np.asarray(flat.field("end").is_null())
+    # a span counts from its start on; those of one row stay inside it
+    width = int(max(end.max(initial=0), hi.max(initial=0), lo.max(initial=0))) + 2
+    owner = np.repeat(np.arange(len(first)), last - first)
+    shift = lambda x, r: np.clip(x, 0, width - 1) + r * width
+    order = np.lexsort((np.arange(len(row)), lo, row))
+    order = order[known[order]]
+    a = np.searchsorted(shift(end, owner), shift(lo[order], row[order]), side="right")
+    b = np.searchsorted(shift(start, owner), shift(hi[order], row[order]), side="left")
+    a, b = np.maximum(a, first[row[order]]), np.minimum(b, last[row[order]])
+    full = a < b
+    order, a, b = order[full], a[full], b[full]
+    size = b - a
+    at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    which = np.full(n, -1)
+    np.maximum.at(which, at, np.repeat(np.arange(len(order)), size))
+    labels = pa.compute.list_element(flat.field("labels").filter(pa.array(named)), 0)
+    place = np.cumsum(named) - 1
+    covered = np.flatnonzero(which >= 0)
+    names = labels.take(pa.array(place[order[which[covered]]])) if len(covered) else pa.array([], pa.string())
+    begins = covered == a[which[covered]] if len(covered) else np.zeros(0, bool)
+    tag = pa.compute.binary_join_element_wise(pa.array(np.where(begins, "B", "I").astype(object), pa.string()), names.cast(pa.string()), "-")
+    out = np.full(n, "O", object)
+    out[covered] = tag.to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.append(first, last[-1:] if len(last) else 0), pa.int32()), pa.array(out, pa.string()))
 
 
 def _lengths(texts) -> Column:

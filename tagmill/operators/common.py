@@ -51,6 +51,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_table(df: DataFrame) -> str:
+    """Write to a new shared folder; its path."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return path
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete what ``write_table`` wrote, once no later job reads it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def with_row_key(df: DataFrame) -> DataFrame:
     """The table, written out, with a unique ``_row``: ids given by callers may repeat."""
     return materialize(df.withColumn("_row", F.monotonically_increasing_id()))

@@ -67,6 +67,16 @@ def mcnemar_table(correct: DataFrame, model_pairs: list[tuple[str, str]], id_col
     """
     names = sorted({m for p in model_pairs for m in p})
     wide = correct.where(F.col(model).isin(names)).groupBy(id_col).pivot(model, names).agg(F.first("correct"))
+    return mcnemar_side_by_side(wide, model_pairs)
+
+
+def right_side_by_side(df: DataFrame, names: list[str], truth="labels", keep: list[str] = ()) -> DataFrame:
+    """A boolean per model from predictions ``pred_<name>`` in one row: are all labels right?"""
+    return df.select(*keep, *[all_labels_right(truth, f"pred_{n}").alias(n) for n in names])
+
+
+def mcnemar_side_by_side(wide: DataFrame, model_pairs: list[tuple[str, str]]) -> DataFrame:
+    """The same from one row per sample with a boolean column per model; only counters are shuffled."""
     pairs = F.array(
         *[
             F.struct(

@@ -10,7 +10,9 @@ from ..functions.let import let
 from ..functions.labels import token_is_nik, token_is_phone
 from ..functions.text import is_alpha, is_digits, is_title, is_upper, token_lowers, token_shapes, token_shapes_simple
 from . import gazetteer as gz
-from .common import explode_rows, lookup_join, with_row_key
+from .common import explode_rows, lookup_join, materialize, with_row_key
+from .sparse import MODEL_BYTES
+from .trie import TokenTrie, term_bits, token_trie
 
 WINDOW = 10
 TERM_LISTS = {
@@ -88,14 +90,20 @@ def context_arrays(df: DataFrame, sets: dict[str, list[str]] | None, tokens: str
     return df
 
 
-def _feature_struct(tokens: str, use_regex: bool, use_gazetteer: bool) -> Column:
+def _feature_struct(tokens: str, use_regex: bool, use_gazetteer: bool, fields: list[str] | None) -> Column:
     names = [tokens, "_low", "_shape", "_short", "_upper", "_title", "_nik", "_phone"]
     names += [f"_f_{n}" for n in FLAGS]
-    return let(lambda *arrays: _features(dict(zip(names, arrays)), tokens, use_regex, use_gazetteer), *names)
+    if fields is not None:  # arrays that no chosen feature reads are not made
+        used = {"_shape": "_shape", "_short": "_simple", "_upper": "isupper", "_title": "istitle"}
+        names = [n for n in names if n not in used or any(used[n] in f for f in fields)]
+        names = [n for n in names if use_gazetteer or n[3:] not in (*TERM_LISTS.values(), *PHRASE_LISTS.values()) or n in ("_f_nik_label", "_f_phone_label")]
+    return let(lambda *arrays: _features(dict(zip(names, arrays)), tokens, use_regex, use_gazetteer, fields), *names)
 
 
-def _features(arrays: dict[str, Column], tokens: str, use_regex: bool, use_gazetteer: bool) -> Column:
-    tok, low, shape, short, upper, title, is_nik, is_phone = list(arrays.values())[:8]
+def _features(arrays: dict[str, Column], tokens: str, use_regex: bool, use_gazetteer: bool, fields: list[str] | None) -> Column:
+    tok, low, is_nik, is_phone = (arrays[n] for n in (tokens, "_low", "_nik", "_phone"))
+    none = F.array().cast("array<string>")
+    shape, short, upper, title = (arrays.get(n, none) for n in ("_shape", "_short", "_upper", "_title"))
     flag = lambda name: arrays[f"_f_{name}"]
     n = F.size(tok)
 
@@ -143,7 +151,7 @@ def _features(arrays: dict[str, Column], tokens: str, use_regex: bool, use_gazet
             cols |= {name: at(flag(name)) for name in ("in_jabatan_dict", "is_jabatan_prefix", "in_lokasi_dict", "in_nama_dict")}
             cols["has_title_marker"] = has_title_marker(w)
             cols |= {name: at(flag(name)) for name in ("bigram_jabatan", "bigram_lokasi")}
-        return F.struct(*[c.alias(name) for name, c in cols.items()])
+        return F.struct(*[c.alias(name) for name, c in cols.items() if fields is None or name in fields])
 
     return F.transform(tok, build)
 
@@ -152,36 +160,74 @@ def has_title_marker(word) -> Column:
     return F.rlike(word, F.lit("|".join(re.escape(m) for m in TITLE_MARKERS)))
 
 
-def _flags_by_join(df: DataFrame, gazetteer: DataFrame, tokens: str) -> DataFrame:
-    """Term-list flags for term lists too large for a plan: distinct words of the samples meet
+NEGATIVE = "negative_keywords"
+
+
+def _pairs_and_words(low: Column) -> Column:
+    """The distinct words of a row and its pairs of neighbours."""
+    pair = lambda ws: F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), lambda t, i: F.concat(t, F.lit(" "), F.get(ws, i + 1)))
+    return let(lambda ws: F.array_distinct(F.concat(ws, pair(ws))), low)
+
+
+def negative_words(df: DataFrame, keywords: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """``term``: the words of ``df`` that hold a keyword anywhere, or are one once cleaned.
+
+    For keyword lists of any size: the distinct words' pieces of the keywords' lengths are joined
+    to the keywords.
+    """
+    keywords = materialize(keywords.select(F.col("term").alias("_k")).where("_k <> ''").distinct())
+    lengths = [r[0] for r in keywords.select(F.length("_k").alias("n")).distinct().collect()]  # as many as a word has characters
+    seen = materialize(explode_rows(df, [], F.array_distinct(token_lowers(tokens)), "term").distinct())
+    clean = F.regexp_replace("term", r"[^\p{L}\p{N}_]", "")
+    n = F.length("term")
+    cut = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring("term", i, F.lit(k)))
+    pieces = F.flatten(F.array(F.array(clean), *[F.when(n >= k, cut(k)).otherwise(F.array().cast("array<string>")) for k in lengths]))
+    return explode_rows(seen, ["term"], F.array_distinct(pieces), "_k").join(keywords, "_k", "left_semi").select("term").distinct()
+
+
+def _term_table(df: DataFrame, gazetteer: DataFrame, tokens: str) -> tuple[DataFrame, list[str] | None]:
+    """The term lists that features read, and the negative keywords if they are few enough for a
+    plan; if not, the words that hold one are a list of their own."""
+    keywords = gz.keywords(gazetteer)
+    terms = gazetteer.where(F.col("category").isin([*TERM_LISTS, *PHRASE_LISTS])).select("category", "term")
+    if keywords is None:
+        words = negative_words(df, gazetteer.where(F.col("category") == NEGATIVE), tokens)
+        terms = terms.unionByName(words.select(F.lit(NEGATIVE).alias("category"), "term"))
+    return materialize(terms.distinct()), keywords
+
+
+def _negative_flags(words, keywords: list[str] | None, listed) -> Column:
+    return listed if keywords is None else F.transform(words, lambda t: _negative_word(t, keywords))
+
+
+def _flags_by_trie(df: DataFrame, terms: DataFrame, keywords: list[str] | None, trie: TokenTrie, tokens: str) -> DataFrame:
+    """Term-list flags by one sweep of a trie that travels to the tasks; no row is shuffled."""
+    lengths = dict.fromkeys([*TERM_LISTS, NEGATIVE], 1) | dict.fromkeys(PHRASE_LISTS, 2)
+    out = df.withColumn("_low", token_lowers(tokens))
+    out = out.withColumn("_bits", term_bits(out, F.col("_low"), trie, lengths))
+    bit = lambda c: 1 << trie.categories.index(c) if c in trie.categories else 0
+    test = lambda c: F.transform("_bits", lambda b: b.bitwiseAND(F.lit(bit(c)).cast("long")) != 0)
+    flags = {f"_f_{n}": test(c) for c, n in (TERM_LISTS | PHRASE_LISTS).items()}
+    flags["_f_negative"] = _negative_flags("_low", keywords, test(NEGATIVE))
+    return out.withColumns(flags).drop("_bits")
+
+
+def _flags_by_join(df: DataFrame, terms: DataFrame, keywords: list[str] | None, tokens: str) -> DataFrame:
+    """Term-list flags for term lists too large for a task: distinct words of the samples meet
     the term table by a skew-safe join, and each sample's flags are put back together."""
     df = with_row_key(df)
-    keywords = gz.keywords(gazetteer)
-    wide = (
-        gazetteer.groupBy("term")
-        .agg(*[F.max(F.col("category") == c).alias(n) for c, n in (TERM_LISTS | PHRASE_LISTS).items()])
-        .withColumnRenamed("term", "_w")
-    )
-    words = let(
-        lambda ws: F.array_distinct(
-            F.concat(ws, F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))),
-                                     lambda t, i: F.concat(t, F.lit(" "), F.get(ws, i + 1))))
-        ),
-        token_lowers(tokens),
-    )
-    pairs = explode_rows(df, ["_row"], words, "_w")
+    lists = TERM_LISTS | PHRASE_LISTS | {NEGATIVE: "negative"}
+    wide = terms.groupBy("term").agg(*[F.max(F.col("category") == c).alias(n) for c, n in lists.items()]).withColumnRenamed("term", "_w")
+    pairs = explode_rows(df, ["_row"], _pairs_and_words(token_lowers(tokens)), "_w")
     hits = lookup_join(pairs, wide, "_w").where(F.col("in_jabatan_dict").isNotNull())
-    names = list((TERM_LISTS | PHRASE_LISTS).values())
-    found = hits.groupBy("_row").agg(
-        *[F.collect_set(F.when(F.col(n), F.col("_w"))).alias(f"_w_{n}") for n in names]
-    )
-    low = F.col("_low")
+    found = hits.groupBy("_row").agg(*[F.map_from_entries(F.collect_list(F.when(F.col(n), F.struct("_w", F.lit(True))))).alias(f"_w_{n}") for n in lists.values()])
     out = df.join(found, "_row", "left").withColumn("_low", token_lowers(tokens))
-    known = lambda n: lambda word: F.coalesce(F.array_contains(F.col(f"_w_{n}"), word), F.lit(False))
+    low = F.col("_low")
+    known = lambda n: lambda word: F.coalesce(F.map_contains_key(F.col(f"_w_{n}"), word), F.lit(False))
     flags = {f"_f_{n}": _in_list(low, known(n)) for n in TERM_LISTS.values()}
     flags |= {f"_f_{n}": _pair_in_list(low, known(n)) for n in PHRASE_LISTS.values()}
-    flags["_f_negative"] = F.transform("_low", lambda t: _negative_word(t, keywords))
-    return out.withColumns(flags).drop("_row", *[f"_w_{n}" for n in names])
+    flags["_f_negative"] = _negative_flags("_low", keywords, _in_list(low, known("negative")))
+    return out.withColumns(flags).drop("_row", *[f"_w_{n}" for n in lists.values()])
 
 
 def token_features(
@@ -191,22 +237,26 @@ def token_features(
     use_gazetteer: bool = True,
     tokens: str = "tokens",
     small_terms: int = gz.SMALL_TERMS,
+    fields: list[str] | None = None,
+    trie_bytes: int = MODEL_BYTES,
 ) -> DataFrame:
-    """Add ``features``: one struct per token.
+    """Add ``features``: one struct per token, of all features or of those named in ``fields``.
 
-    Term lists up to a checked size go into the plan as literal sets, and nothing is
-    shuffled; larger ones are joined.
+    Term lists up to a checked size go into the plan as literal sets, larger ones to the tasks as a
+    trie of at most ``trie_bytes``, and nothing is shuffled; beyond that they are joined.
     """
     sets = gazetteer
     if isinstance(gazetteer, DataFrame):
         sets = gz.as_sets(gazetteer, small_terms)
         if sets is None:
-            df = _flags_by_join(df, gazetteer, tokens)
+            terms, keywords = _term_table(df, gazetteer, tokens)
+            trie = token_trie(terms, trie_bytes)
+            df = _flags_by_join(df, terms, keywords, tokens) if trie is None else _flags_by_trie(df, terms, keywords, trie, tokens)
     elif gazetteer is None:
         sets = {}
     before = [c for c in df.columns if not c.startswith("_")]
     df = context_arrays(df, sets, tokens)
-    return df.withColumn("features", _feature_struct(tokens, use_regex, use_gazetteer)).select(*before, "features")
+    return df.withColumn("features", _feature_struct(tokens, use_regex, use_gazetteer, fields)).select(*before, "features")
 
 
 def _fields(df: DataFrame) -> list[str]:

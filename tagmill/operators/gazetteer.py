@@ -115,13 +115,11 @@ def build_gazetteer(train: DataFrame, min_count: int = 2, top_names: int = 500,
 SMALL_TERMS = 20_000
 
 
-def keywords(gazetteer: DataFrame) -> list[str]:
-    """The negative keywords of a term table, or the built-in ones if it has none. They are
-    patterns tried inside every word, so they are a short list whatever the other lists hold."""
+def keywords(gazetteer: DataFrame) -> list[str] | None:
+    """The negative keywords of a term table, the built-in ones if it has none, or None if they are
+    too many to be tried inside every word."""
     rows = small_rows(gazetteer.where("category = 'negative_keywords'").select("term").distinct(), SMALL_TERMS)
-    if rows is None:
-        raise ValueError(f"more than {SMALL_TERMS} negative keywords")
-    return sorted(r["term"] for r in rows) or NEGATIVE_KEYWORDS
+    return None if rows is None else sorted(r["term"] for r in rows) or NEGATIVE_KEYWORDS
 
 
 def as_sets(gazetteer: DataFrame, limit: int = SMALL_TERMS) -> dict[str, list[str]] | None:

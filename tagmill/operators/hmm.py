@@ -6,16 +6,17 @@ the rest, so it never takes states x vocabulary space.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.fixed import UNKNOWN_TOKEN
 from ..functions.labels import mask_pattern_token
 from ..functions.let import let
 from ..functions.text import token_lowers
-from .common import barrier_udf, explode_rows, lookup_join, small_rows, with_row_key
+from .common import barrier_udf, explode_rows, lookup_join, with_row_key
+from .sparse import MODEL_BYTES, sparse_rows
 
-# Emission rows that may be shipped to every task for scoring; beyond it they are joined.
-SMALL_MODEL = 500_000
+# Cells of score vectors, and of state pairs in one step, that are held at once.
+CELLS = 2_000_000
 
 
 def observed(tokens: str, hybrid: bool):
@@ -133,11 +134,12 @@ def _viterbi_batch(scores: list[np.ndarray], start: np.ndarray, trans: np.ndarra
     return out
 
 
-def _chunks(lengths: np.ndarray, limit: int = 200_000):
-    """Row ranges of at most ``limit`` tokens (or one row), to bound a batch's memory."""
+def _chunks(lengths: np.ndarray, states: int):
+    """Row ranges whose scores and steps take at most CELLS cells each (or one row)."""
+    tokens, rows = max(1, CELLS // max(states, 1)), max(1, CELLS // max(states * states, 1))
     begin, total = 0, 0
     for i, n in enumerate(lengths):
-        if total and total + n > limit:
+        if i > begin and (total + n > tokens or i - begin >= rows):
             yield begin, i
             begin, total = i, 0
         total += int(n)
@@ -146,29 +148,42 @@ def _chunks(lengths: np.ndarray, limit: int = 200_000):
 
 
 def decode(flat_scores, lengths, start, trans, names) -> pa.Array:
-    """Arrow list array of labels from the concatenated emission scores of a batch."""
+    """Arrow list array of labels; ``flat_scores(a, b)`` gives the emission scores of the batch's
+    tokens a to b, which are made for a block of rows at a time."""
     ends = np.cumsum(lengths)
     paths = []
-    for a, b in _chunks(lengths):
-        parts = [flat_scores(ends[i] - lengths[i], ends[i]) for i in range(a, b)]
+    for a, b in _chunks(lengths, len(names)):
+        lo = ends[a] - lengths[a]
+        scores = flat_scores(lo, ends[b - 1])
+        parts = [scores[ends[i] - lengths[i] - lo : ends[i] - lo] for i in range(a, b)]
         paths += _viterbi_batch(parts, start, trans)
     flat = np.concatenate(paths) if paths else np.empty(0, dtype=np.int64)
     offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.array(names).take(pa.array(flat)))
+    return pa.ListArray.from_arrays(offsets, pa.array(names, pa.string()).take(pa.array(flat)))
 
 
 def _parameters(model: dict[str, DataFrame]):
-    """States in name order, start vector, transition matrix, unseen vector: label-set sized."""
-    start = {r["state"]: r["logp"] for r in model["start"].collect()}
-    states = sorted(start)
+    """States in name order, start vector, transition matrix, unseen vector: label-set sized, from one job."""
+    none = F.lit(None).cast("string").alias("prev")
+    start, trans, unseen = model["start"], model["trans"], model["unseen"]
+    rows = (
+        start.select(F.lit("start").alias("kind"), none, "state", "logp")
+        .union(trans.select(F.lit("trans"), "prev", "state", "logp"))
+        .union(unseen.select(F.lit("unseen"), none, "state", "logp"))
+        .collect()
+    )
+    states = sorted(r["state"] for r in rows if r["kind"] == "start")
     index = {s: i for i, s in enumerate(states)}
-    trans = np.zeros((len(states), len(states)))
-    for r in model["trans"].collect():
-        trans[index[r["prev"]], index[r["state"]]] = r["logp"]
-    unseen = np.zeros(len(states))
-    for r in model["unseen"].collect():
-        unseen[index[r["state"]]] = r["logp"]
-    return states, np.array([start[s] for s in states]), trans, unseen
+    out = {"start": np.zeros(len(states)), "unseen": np.zeros(len(states)), "trans": np.zeros((len(states), len(states)))}
+    for r in rows:
+        at = (index[r["prev"]], index[r["state"]]) if r["kind"] == "trans" else index[r["state"]]
+        out[r["kind"]][at] = r["logp"]
+    return states, out["start"], out["trans"], out["unseen"]
+
+
+def hashed(words) -> Column:
+    """Hashes of an array of strings, as model tables have them."""
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def tag_hmm(
@@ -177,34 +192,28 @@ def tag_hmm(
     hybrid: bool = False,
     tokens: str = "tokens",
     pred: str = "pred",
-    small_model: int = SMALL_MODEL,
+    model_bytes: int = MODEL_BYTES,
 ) -> DataFrame:
     """Add the most likely label sequence per row; rows need no unique id.
 
-    A model of a checked size travels to the tasks and no row is shuffled. A larger one is
-    joined to the tokens, and each row's emission vectors are collected again.
+    A model of at most ``model_bytes`` travels to the tasks as sparse rows and no row of ``df`` is
+    shuffled. A larger one is joined to the tokens, and each row's emission vectors are collected
+    again.
     """
     states, start, trans, unseen = _parameters(model)
-    rows = small_rows(model["emission"], small_model)
-    if rows is None:
+    table = sparse_rows(model["emission"], "token", "logp", states, model_bytes)
+    if table is None:
         return _tag_by_join(df, model, states, start, trans, unseen, hybrid, tokens, pred)
-    index = {s: i for i, s in enumerate(states)}
-    words = {w: i for i, w in enumerate(sorted({r["token"] for r in rows}))}
-    table = np.tile(unseen, (len(words) + 1, 1))
-    for r in rows:
-        table[words[r["token"]], index[r["state"]]] = r["logp"]
-    shared = df.sparkSession.sparkContext.broadcast((words, table, start, trans, states))
+    shared = df.sparkSession.sparkContext.broadcast((table, unseen, start, trans, states))
 
     @F.arrow_udf("array<string>")
     def viterbi(obs: pa.Array) -> pa.Array:
-        known, emit, first, move, names = shared.value
+        known, default, first, move, names = shared.value
         lengths = np.asarray(pa.compute.list_value_length(obs).fill_null(0))
-        encoded = obs.flatten().dictionary_encode()
-        ids = np.array([known.get(w, len(known)) for w in encoded.dictionary.to_pylist()], dtype=np.int64)
-        flat = ids[np.asarray(encoded.indices)] if len(ids) else np.empty(0, dtype=np.int64)
-        return decode(lambda a, b: emit[flat[a:b]], lengths, first, move, names)
+        flat = obs.flatten().to_numpy(zero_copy_only=False)
+        return decode(lambda a, b: known.replaced(flat[a:b], default), lengths, first, move, names)
 
-    return df.withColumn("_obs", observed(tokens, hybrid)).withColumn(pred, barrier_udf(viterbi)("_obs")).drop("_obs")
+    return df.withColumn("_obs", hashed(observed(tokens, hybrid))).withColumn(pred, barrier_udf(viterbi)("_obs")).drop("_obs")
 
 
 def _tag_by_join(df, model, states, start, trans, unseen, hybrid, tokens, pred) -> DataFrame:
@@ -235,7 +244,7 @@ def decode_scored(df, scored, start, trans, states, pred) -> DataFrame:
     def viterbi(vec: pa.Array) -> pa.Array:
         first, move, names = shared.value
         lengths = np.asarray(pa.compute.list_value_length(vec).fill_null(0))
-        flat = np.asarray(vec.flatten().flatten()).reshape(-1, len(names))
+        flat = vec.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(names))
         return decode(lambda a, b: flat[a:b], lengths, first, move, names)
 
     return df.join(per_row, "_row", "left").withColumn(

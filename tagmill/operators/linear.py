@@ -1,87 +1,26 @@
 """Linear sequence tagger: feature weights per state plus transition weights.
 
-Training is multinomial logistic regression on tokens with elastic net, not a chain model, so
-its weights are not those of a conditional random field; results compare by F1. Scoring takes
-any weight table, imported ones included.
+Training is a linear-chain conditional random field (``chain``). Scoring takes any weight table,
+imported ones included.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, StringIndexer
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import explode_rows, lookup_join, materialize, small_rows, with_row_key
+from .chain import fit_chain
+from .common import explode_rows, lookup_join, with_row_key
 from .features import feature_strings
-from .hmm import SMALL_MODEL, decode, decode_scored
+from .hmm import decode, decode_scored, hashed
+from .sparse import MODEL_BYTES, sparse_rows
 
 INTERCEPT = "(intercept)"
-# Labelled rows that fitting takes at most, chosen by a hash of their tokens' features. All
-# distinct features of these rows are in the model.
-FIT_ROWS = 200_000
 
 
-def fit_linear_tagger(
-    train: DataFrame, c1: float = 0.1, c2: float = 0.1, max_iter: int = 100, fit_rows: int = FIT_ROWS
-) -> dict[str, DataFrame]:
+def fit_linear_tagger(train: DataFrame, c1: float = 0.1, c2: float = 0.1, max_iter: int = 100, **options) -> dict[str, DataFrame]:
     """``train`` has ``labels`` and ``features``; returns state(feature, state, weight) and
-    trans(prev, state, weight).
-
-    Penalties follow c1/N and c2/N for N tokens. Transition weights are the log ratio of a
-    label's share after another to its share overall, since the token model knows the latter.
-    """
-    spark = train.sparkSession
-    total_rows = train.count()
-    if total_rows > fit_rows:
-        spot = F.pmod(F.xxhash64("tokens", "labels"), F.lit(1 << 30))
-        train = train.where(spot < int((1 << 30) * fit_rows / total_rows))
-    pairs = F.zip_with(feature_strings(train), "labels", lambda w, l: F.struct(w.alias("words"), l.alias("label")))
-    tokens = materialize(explode_rows(train, [], pairs, "t").select("t.words", "t.label"))
-    n = tokens.count()
-    counter = CountVectorizer(inputCol="words", outputCol="x", vocabSize=(1 << 31) - 1, binary=True).fit(tokens)
-    indexer = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(tokens)
-    model = LogisticRegression(
-        featuresCol="x", labelCol="y", family="multinomial", maxIter=max_iter,
-        regParam=(c1 + 2 * c2) / n, elasticNetParam=c1 / (c1 + 2 * c2), standardization=False,
-    ).fit(indexer.transform(counter.transform(tokens)))
-    states, weights = indexer.labels, model.coefficientMatrix.toArray()
-    rows, cols = np.nonzero(weights)
-    vocabulary = np.array(counter.vocabulary, dtype=object)
-    table = pa.table(
-        {
-            "feature": pa.array(list(vocabulary[cols]) + [INTERCEPT] * len(states), pa.string()),
-            "state": pa.array([states[r] for r in rows] + list(states), pa.string()),
-            "weight": pa.array(np.concatenate([weights[rows, cols], model.interceptVector.toArray()])),
-        }
-    )
-    share = tokens.groupBy("label").agg(F.log(F.count("*") / F.lit(float(n))).alias("lp"))
-    moves = explode_rows(
-        train.select(
-            F.zip_with(
-                F.slice("labels", F.lit(1), F.greatest(F.size("labels") - 1, F.lit(0))),
-                F.slice("labels", F.lit(2), F.size("labels")),
-                lambda a, b: F.struct(a.alias("prev"), b.alias("state")),
-            ).alias("m")
-        ),
-        [], "m", "p",
-    ).groupBy("p.prev", "p.state").agg(F.count("*").alias("n"))
-    # Labels are a closed set, so the grid of pairs is tiny.
-    names = F.array(*[F.lit(s) for s in states])
-    grid = share.select(F.col("label").alias("prev")).withColumn("state", F.explode(names))
-    total = moves.groupBy("prev").agg(F.sum("n").alias("total"))
-    trans = (
-        grid.join(moves, ["prev", "state"], "left")
-        .join(total, "prev", "left")
-        .join(share.withColumnRenamed("label", "state"), "state")
-        .select(
-            "prev",
-            "state",
-            (
-                F.log((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("total", F.lit(0)) + len(states))) - F.col("lp")
-            ).alias("weight"),
-        )
-    )
-    return {"state": spark.createDataFrame(table), "trans": trans}
+    trans(prev, state, weight) of a linear-chain conditional random field, and its ``losses``."""
+    return fit_chain(train, feature_strings(train), c1, c2, max_iter, **options)
 
 
 def _matrices(weights: dict[str, DataFrame]):
@@ -94,27 +33,32 @@ def _matrices(weights: dict[str, DataFrame]):
     return states, index, trans
 
 
+def state_vector(table: DataFrame, states: list[str]) -> np.ndarray:
+    """The weights of the intercept, 0 where there is none."""
+    out = dict.fromkeys(states, 0.0)
+    out |= {r["state"]: r["weight"] for r in table.where(F.col("feature") == INTERCEPT).collect()}
+    return np.array([out[s] for s in states])
+
+
 def tag_linear(
     df: DataFrame, weights: dict[str, DataFrame], pred: str = "pred",
-    small_model: int = SMALL_MODEL,
+    model_bytes: int = MODEL_BYTES,
 ) -> DataFrame:
     """Add the best label sequence by summed weights of rows with ``features``, which are
     dropped.
 
-    A weight table of a checked size travels to the tasks; a larger one is joined. The scorer
-    is a step of its own rather than a column function, so that the costly feature expression
-    stays in one place.
+    A weight table of at most ``model_bytes`` travels to the tasks as sparse rows; a larger one is
+    joined. The scorer is a step of its own rather than a column function, so that the costly
+    feature expression stays in one place.
     """
     df = df if pred not in df.columns else df.drop(pred)
-    states, index, trans = _matrices(weights)
+    states, _, trans = _matrices(weights)
     start = np.zeros(len(states))
-    intercept = np.zeros(len(states))
-    for r in weights["state"].where(F.col("feature") == INTERCEPT).collect():
-        intercept[index[r["state"]]] = r["weight"]
+    intercept = state_vector(weights["state"], states)
     named = weights["state"].where(F.col("feature") != INTERCEPT)
-    rows = small_rows(named, small_model)
+    table = sparse_rows(named, "feature", "weight", states, model_bytes)
     words = feature_strings(df)
-    if rows is None:
+    if table is None:
         vectors = named.groupBy("feature").pivot("state", states).agg(F.first("weight"))
         df = with_row_key(df.withColumn("_ws", words).drop("features"))
         long = explode_rows(df, ["_row"], "_ws", "_w", "pos").select("_row", "pos", F.explode("_w").alias("feature"))
@@ -123,28 +67,19 @@ def tag_linear(
         )
         scored = summed.select("_row", "pos", F.array(*[F.col(f"`{s}`") for s in states]).alias("e"))
         return decode_scored(df.drop("_ws"), scored, start, trans, states, pred)
-    known = {w: i for i, w in enumerate(sorted({r["feature"] for r in rows}))}
-    table = np.zeros((len(known) + 1, len(states)))
-    for r in rows:
-        table[known[r["feature"]], index[r["state"]]] = r["weight"]
-    shared = df.sparkSession.sparkContext.broadcast((known, table, intercept, start, trans, states))
+    shared = df.sparkSession.sparkContext.broadcast((table, intercept, start, trans, states))
 
     def score(batch: pa.RecordBatch) -> pa.Array:
-        ids_of, matrix, base, first, move, names = shared.value
+        known, base, first, move, names = shared.value
         obs = batch.column("_obs")
         lengths = np.asarray(pa.compute.list_value_length(obs).fill_null(0))
         per_token = obs.flatten()
         sizes = np.asarray(pa.compute.list_value_length(per_token))
-        encoded = per_token.flatten().dictionary_encode()
-        lookup = np.array([ids_of.get(w, len(ids_of)) for w in encoded.dictionary.to_pylist()], dtype=np.int64)
-        flat = lookup[np.asarray(encoded.indices)] if len(lookup) else np.empty(0, dtype=np.int64)
-        ends = np.cumsum(sizes)
+        flat, ends = per_token.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
 
         def scores(a: int, b: int) -> np.ndarray:
-            if a == b:
-                return np.empty((0, len(names)))
-            lo = ends[a] - sizes[a]
-            return np.add.reduceat(matrix[flat[lo : ends[b - 1]]], ends[a:b] - sizes[a:b] - lo, axis=0) + base
+            lo, hi = (ends[a] - sizes[a], ends[b - 1]) if b > a else (0, 0)
+            return known.summed(flat[lo:hi], np.repeat(np.arange(b - a), sizes[a:b]), b - a, base)
 
         return decode(scores, lengths, first, move, names)
 
@@ -155,7 +90,7 @@ def tag_linear(
 
     kept = [c for c in df.columns if c != "features"]
     out = df.select(*kept).schema.add(pred, T.ArrayType(T.StringType()))
-    return df.select(*kept, words.alias("_obs")).mapInArrow(viterbi, out)
+    return df.select(*kept, F.transform(words, hashed).alias("_obs")).mapInArrow(viterbi, out)
 
 
 def top_weights(weights: DataFrame, k: int, prefix: list[str] | None = None) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.fixed import MASK_CONTEXT_WORDS
+from ..functions.fixed import MASK_CONTEXT_WORDS, SEPARATOR
 from ..functions.let import let
 from ..functions.verdicts import f1, ratio
 from .common import checked_join, explode_rows, small_rows
+from .selection import percentiles
 
 SIXTEEN = r"(?<![\p{L}\p{N}_])\p{Nd}{16}(?![\p{L}\p{N}_])"
 
@@ -14,7 +15,7 @@ def split_blocks(logs: DataFrame, text: str = "value") -> DataFrame:
     """Log texts to request blocks: cut at runs of 50 or more '=', keep intercepted requests."""
     kept = [c for c in logs.columns if c != text]
     return (
-        explode_rows(logs, kept, F.split(text, "={50,}", -1), "block", "block_no")
+        explode_rows(logs, kept, F.split(text, SEPARATOR, -1), "block", "block_no")
         .withColumn("block", F.regexp_replace("block", r"^\s+|\s+$", ""))
         .where(F.col("block").contains("Intercepted:"))
     )
@@ -103,21 +104,10 @@ def latency_summary(df: DataFrame, column: str = "latency_ms") -> DataFrame:
 
 
 def latency_percentiles(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
-    """Percentiles of a latency column, exact with linear interpolation.
-
-    Values are first counted per distinct value, so what a group holds is its number of
-    different values at the clock's resolution, not its number of requests.
-    """
-    counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
+    """Percentiles of a latency column, exact with linear interpolation, for groups of any size."""
     points = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    mean = F.sum(F.col(column) * F.col("_n")) / F.sum("_n")
-    return counts.groupBy(*by).agg(
-        F.sum("_n").alias("n"),
-        F.round(mean, 4).alias("mean"),
-        F.min(column).alias("min"),
-        F.max(column).alias("max"),
-        *[F.round(F.percentile(column, p, F.col("_n")), 4).alias(name) for name, p in points.items()],
-    )
+    out = percentiles(df, column, points, by)
+    return out.withColumns({c: F.round(c, 4) for c in ("mean", *points)})
 
 
 def load_test_summary(samples: DataFrame) -> DataFrame:

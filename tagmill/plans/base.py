@@ -6,13 +6,22 @@ from ..functions.labels import tag_regex
 from ..operators.labeling import label_samples
 from .payloads import damaged_nik, person_columns, render_payloads
 
+# Bytes of a scan that one task reads at Spark's defaults.
+SPLIT_BYTES = 128 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One that is smaller than a split per core is dealt out evenly, since it would
+    otherwise be read, and worked on, by one task; a larger one stays where its splits are."""
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of texts; how it is cut into tasks is up to the session's split size."""
     return table(spark, sf_dir, name)
 
 
@@ -45,29 +54,6 @@ def predicted(spark: SparkSession, sf_dir: str, set_name: str = "main") -> DataF
     return tagged(spark, sf_dir, set_name).withColumn("pred", tag_regex("tokens"))
 
 
-def forgetful(df: DataFrame) -> DataFrame:
-    """A second model to compare with: the truth, but blind on every seventh sample, and
-    without the last names on every fifth."""
-    k = F.col("sample_id")
-    return df.withColumn(
-        "pred",
-        F.transform(
-            "labels",
-            lambda l: F.when(k % 7 == 0, "O").when((k % 5 == 0) & (l == "I-NAMA"), "O").otherwise(l),
-        ),
-    )
-
-
-def two_models(spark: SparkSession, sf_dir: str, set_name: str = "main") -> DataFrame:
-    """Predictions of two models in long form, from one pass over the samples."""
-    df = predicted(spark, sf_dir, set_name).withColumnRenamed("pred", "_regex")
-    df = forgetful(df).withColumnRenamed("pred", "_forgetful")
-    models = F.array(
-        *[F.struct(F.lit(m).alias("model"), F.col(f"_{m}").alias("pred")) for m in ("regex", "forgetful")]
-    )
-    return df.withColumn("m", F.explode(models)).select("*", "m.model", "m.pred").drop("m", "_regex", "_forgetful")
-
-
 def annotator_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holdout payloads labelled twice: annotator B misses places, cuts names short and takes
     job titles for places on some samples."""

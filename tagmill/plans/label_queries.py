@@ -334,18 +334,6 @@ def metrics_by_format(spark, sf):
     return metrics.entity_metrics(base.predicted(spark, sf, "holdout"), ["format"])
 
 
-@query(
-    "match_entities",
-    S.with_(*_scored("main", "", "sample_id", S.FORGETFUL_PRED))
-    + """SELECT sample_id, count(t) FILTER (p IS NOT NULL) AS tp, count(p) FILTER (t IS NULL) AS fp, count(t) FILTER (p IS NULL) AS fn
-FROM (SELECT *, 1 AS t FROM tspan) FULL JOIN (SELECT *, 1 AS p FROM pspan) USING (sample_id, type, s, e) GROUP BY sample_id""",
-)
-def match_entities(spark, sf):
-    df = metrics.match_entities(base.forgetful(base.tagged(spark, sf)))
-    sizes = [F.size(c).cast("long").alias(c) for c in ("tp", "fp", "fn")]
-    return df.select("sample_id", *sizes).where("tp + fp + fn > 0")
-
-
 @query(
     "misclassified_examples",
     S.with_(*_scored("hard"))
@@ -360,167 +348,6 @@ def misclassified(spark, sf):
     return metrics.misclassified_examples(base.predicted(spark, sf, "hard"))
 
 
-_TWO = [
-    *S.main_tagged("holdout"), S.two_models(),
-    S.spans("models", "sample_id, model", "labels", "tspan"), S.spans("models", "sample_id, model", "pred", "pspan"),
-    S.counts("tspan", "pspan", "sample_id, model", "model"), S.metrics("model"),
-]
-
-
-@query(
-    "macro_consistency",
-    S.with_(*_TWO)
-    + """SELECT model, round(sum(f1) FILTER (entity NOT LIKE '\\_%' ESCAPE '\\') / 5, 6) AS mean_f1, max(f1) FILTER (entity = '_macro') AS macro_f1,
-  abs(sum(f1) FILTER (entity NOT LIKE '\\_%' ESCAPE '\\') / 5 - max(f1) FILTER (entity = '_macro')) < 1e-4 AS consistent FROM metrics GROUP BY model""",
-)
-def macro_consistency(spark, sf):
-    m = metrics.entity_metrics(base.two_models(spark, sf, "holdout"), ["model"])
-    return metrics.macro_consistency(m, ["model"])
-
-
-# --- comparison ------------------------------------------------------------------------------
-
-
-@query("compare_models", S.with_(*_TWO) + "SELECT * FROM metrics")
-def compare_models(spark, sf):
-    return metrics.entity_metrics(base.two_models(spark, sf, "holdout"), ["model"])
-
-
-@query(
-    "model_entity_matrix",
-    S.with_(*_TWO)
-    + "SELECT model, "
-    + ", ".join(f"coalesce(max(f1) FILTER (entity = '{t}'), 0) AS {t}" for t in ENTITY_TYPES)
-    + ", coalesce(max(f1) FILTER (entity = '_macro'), 0) AS macro FROM metrics GROUP BY model",
-)
-def model_entity_matrix(spark, sf):
-    m = metrics.entity_metrics(base.two_models(spark, sf, "holdout"), ["model"])
-    return compare.model_entity_matrix(m, ENTITY_TYPES)
-
-
-@query(
-    "metric_delta",
-    S.with_(*_TWO)
-    + """, w AS (SELECT entity, coalesce(max(f1) FILTER (model = 'forgetful'), 0) AS a, coalesce(max(f1) FILTER (model = 'regex'), 0) AS b FROM metrics GROUP BY entity)
-SELECT entity, a AS forgetful, round(a - b, 6) AS vs_regex, a >= b AS best FROM w""",
-)
-def metric_delta(spark, sf):
-    m = metrics.entity_metrics(base.two_models(spark, sf, "holdout"), ["model"])
-    return compare.metric_delta(m, "forgetful", ["regex"])
-
-
-_ROBUST = """r AS (SELECT model, category, count(*) AS total,
-  count(*) FILTER (neg AND anyp) AS fp, count(*) FILTER (NOT neg AND hit) AS tp, count(*) FILTER (NOT neg AND NOT hit) AS fn FROM (
-  SELECT model, category, list_distinct(labels) = ['O'] AS neg, list_distinct(pred) <> ['O'] AS anyp,
-    len(list_filter(range(1, len(labels) + 1), lambda i: labels[i] LIKE 'B-%' AND labels[i] = pred[i])) > 0 AS hit FROM models) GROUP BY ALL),
-k AS (SELECT *, CASE WHEN category IN ('context_free_16digit', 'near_pattern') THEN 'FP' ELSE 'TP' END AS kind FROM r),
-rr AS (SELECT *, 100.0 * (CASE WHEN kind = 'FP' THEN fp ELSE tp END) / total AS x FROM k)"""
-
-
-@query(
-    "robustness_by_category",
-    S.with_(*S.main_tagged("hard"), S.two_models(), _ROBUST)
-    + """SELECT model, category, total, fp, tp, fn, kind, round(x, 6) AS rate, CASE WHEN kind = 'FP'
-  THEN CASE WHEN x > 30 THEN 'bad' WHEN x > 10 THEN 'warn' ELSE 'good' END
-  ELSE CASE WHEN x > 80 THEN 'good' WHEN x > 50 THEN 'warn' ELSE 'bad' END END AS marker FROM rr""",
-)
-def robustness(spark, sf):
-    return compare.robustness_by_category(base.two_models(spark, sf, "hard"))
-
-
-@query(
-    "robustness_score",
-    S.with_(*S.main_tagged("hard"), S.two_models(), _ROBUST)
-    + """, sc AS (SELECT model, CAST(sum(tp) - sum(fp) AS BIGINT) AS score_all, CAST(coalesce(sum(tp) FILTER (kind = 'TP'), 0) - coalesce(sum(fp) FILTER (kind = 'FP'), 0) AS BIGINT) AS score_by_kind,
-  CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp FROM k GROUP BY model)
-SELECT *, CAST(rank() OVER (ORDER BY score_all DESC) AS INTEGER) AS rank FROM sc""",
-)
-def robustness_score(spark, sf):
-    s = compare.robustness_score(compare.robustness_by_category(base.two_models(spark, sf, "hard")))
-    return compare.rank_models(s, "score_all")
-
-
-_RIGHT = "ok AS (SELECT model, sample_id, labels = pred AS c FROM models)"
-
-
-@query(
-    "sample_accuracy",
-    S.with_(*S.main_tagged(), S.two_models(), _RIGHT)
-    + "SELECT model, count(*) AS n, count(*) FILTER (c) AS n_correct, round(avg(CAST(c AS DOUBLE)), 6) AS accuracy FROM ok GROUP BY model",
-)
-def sample_accuracy(spark, sf):
-    return compare.sample_accuracy(compare.correctness(base.two_models(spark, sf)))
-
-
-@query(
-    "mcnemar_counts",
-    S.with_(*S.main_tagged(), S.two_models(), _RIGHT)
-    + """, m AS (SELECT 'regex' AS model_a, 'forgetful' AS model_b, count(*) FILTER (a.c AND b.c) AS both_correct, count(*) FILTER (a.c AND NOT b.c) AS a_only,
-  count(*) FILTER (NOT a.c AND b.c) AS b_only, count(*) FILTER (NOT a.c AND NOT b.c) AS both_wrong
-  FROM ok a JOIN ok b ON a.sample_id = b.sample_id AND a.model = 'regex' AND b.model = 'forgetful')
-SELECT *, a_only + b_only AS n_disagreements, round(power(abs(a_only - b_only) - 1, 2) / (a_only + b_only), 6) AS chi_square FROM m""",
-)
-def mcnemar_counts(spark, sf):
-    t = compare.mcnemar_table(compare.correctness(base.two_models(spark, sf)), [("regex", "forgetful")])
-    return compare.mcnemar_stats(t).select(
-        "model_a", "model_b", "both_correct", "a_only", "b_only", "both_wrong", "n_disagreements",
-        F.round("chi_square", 6).alias("chi_square"),
-    )
-
-
-# erfc by Simpson's rule over eight units, binomial tail by factorials
-_P_VALUE = """CASE WHEN n = 0 THEN 1.0 WHEN n >= 25 THEN 2 / sqrt(pi()) * 0.004 / 3 * list_sum(list_transform(range(0, 2001),
-  lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(sqrt(pow(abs(a_only - b_only) - 1, 2) / n / 2) + i * 0.004, 2))))
-  ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(a_only, b_only) + 1),
-  lambda i: CAST(factorial(CAST(n AS INTEGER)) AS DOUBLE) / CAST(factorial(CAST(i AS INTEGER)) AS DOUBLE) / CAST(factorial(CAST(n - i AS INTEGER)) AS DOUBLE))) / pow(2.0, n)) END"""
-
-
-@query(
-    "mcnemar_stats",
-    S.with_(*S.main_tagged("hard"), S.two_models(), _RIGHT)
-    + f""", m AS (SELECT 'regex' AS model_a, 'forgetful' AS model_b, count(*) FILTER (a.c AND b.c) AS both_correct, count(*) FILTER (a.c AND NOT b.c) AS a_only,
-  count(*) FILTER (NOT a.c AND b.c) AS b_only, count(*) FILTER (NOT a.c AND NOT b.c) AS both_wrong
-  FROM ok a JOIN ok b ON a.sample_id = b.sample_id AND a.model = 'regex' AND b.model = 'forgetful'),
-d AS (SELECT *, a_only + b_only AS n FROM m), p AS (SELECT *, {_P_VALUE} AS p_value FROM d)
-SELECT model_a, model_b, both_correct, a_only, b_only, both_wrong, n AS n_disagreements,
-  CASE WHEN n = 0 THEN 0.0 ELSE round(power(abs(a_only - b_only) - 1, 2) / n, 6) END AS chi_square, round(p_value, 6) AS p_value,
-  CASE WHEN n = 0 THEN 'No disagreement' WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE 'ns' END AS significance,
-  CASE WHEN a_only > b_only THEN model_a WHEN b_only > a_only THEN model_b ELSE 'TIE' END AS better_model,
-  CASE WHEN n = 0 THEN 'N/A' WHEN n < 25 THEN 'Exact binomial' ELSE 'Asymptotic (continuity correction)' END AS test_method FROM p""",
-)
-def mcnemar_stats(spark, sf):
-    t = compare.mcnemar_table(compare.correctness(base.two_models(spark, sf, "hard")), [("regex", "forgetful")])
-    return compare.mcnemar_stats(t).withColumns({c: F.round(c, 6) for c in ("chi_square", "p_value")})
-
-
-_GAP = S.with_(
-    S.people(), S.samples("main", "s1"), S.tagged("s1", "t1"), S.two_models("t1", "m1"),
-    S.spans("m1", "sample_id, model", "labels", "ts1"), S.spans("m1", "sample_id, model", "pred", "ps1"),
-    S.counts("ts1", "ps1", "sample_id, model", "model", "c1"), S.metrics("model", cnt="c1", name="x1"),
-    S.samples("holdout", "s2"), S.tagged("s2", "t2"), S.two_models("t2", "m2"),
-    S.spans("m2", "sample_id, model", "labels", "ts2"), S.spans("m2", "sample_id, model", "pred", "ps2"),
-    S.counts("ts2", "ps2", "sample_id, model", "model", "c2"), S.metrics("model", cnt="c2", name="x2"),
-)
-
-
-@query(
-    "test_holdout_gap",
-    _GAP
-    + """, g AS (SELECT h.model, h.f1 AS holdout_f1, coalesce(t.f1, 0) AS test_f1 FROM x2 h LEFT JOIN x1 t ON h.model = t.model AND t.entity = '_macro' WHERE h.entity = '_macro')
-SELECT *, round(test_f1 - holdout_f1, 6) AS gap, CASE WHEN test_f1 - holdout_f1 < 0.05 THEN 'Robust' WHEN test_f1 - holdout_f1 < 0.15 THEN 'Mild gap' ELSE 'Large gap' END AS status,
-  CAST(rank() OVER (ORDER BY holdout_f1 DESC) AS INTEGER) AS rank FROM g""",
-)
-def test_holdout_gap(spark, sf):
-    m = lambda s: metrics.entity_metrics(base.two_models(spark, sf, s), ["model"])
-    return compare.rank_models(compare.test_holdout_gap(m("main"), m("holdout")), "holdout_f1")
-
-
-@query("best_model", S.with_(*_TWO) + "SELECT arg_max(model, f1) AS model, max(f1) AS f1 FROM metrics WHERE entity = '_macro'")
-def best_model(spark, sf):
-    m = metrics.entity_metrics(base.two_models(spark, sf, "holdout"), ["model"])
-    return compare.best_model(m.where("entity = '_macro'"), "f1")
-
-
 # --- masking ---------------------------------------------------------------------------------
 
 _MASK = """CASE split_part(l, '-', 2) WHEN 'NIK' THEN left(t, 6) || repeat('X', greatest(length(t) - 6, 0))
@@ -534,11 +361,10 @@ _MASK = """CASE split_part(l, '-', 2) WHEN 'NIK' THEN left(t, 6) || repeat('X',
     S.with_(*TAGGED)
     + f""", txt AS (SELECT *, CASE WHEN format = 'formdata' THEN url_decode(payload) ELSE payload END AS body FROM tagged),
 g AS (SELECT *, regexp_split_to_array(body, '{S.TOKEN}') AS gaps FROM txt),
-m AS (SELECT sample_id, gaps, list_transform(list_zip(tokens, labels), lambda z: (SELECT 1)) AS x FROM g LIMIT 0),
 u AS (SELECT sample_id, unnest(tokens) AS t, unnest(labels) AS l, generate_subscripts(tokens, 1) AS pos FROM g),
 v AS (SELECT sample_id, list({_MASK} ORDER BY pos) AS masked FROM u GROUP BY sample_id)
 SELECT sample_id, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(masked[i], '')), '') AS masked
-FROM g LEFT JOIN v USING (sample_id)""".replace("m AS (SELECT sample_id, gaps, list_transform(list_zip(tokens, labels), lambda z: (SELECT 1)) AS x FROM g LIMIT 0),\n", ""),
+FROM g LEFT JOIN v USING (sample_id)""",
 )
 def mask_payloads(spark, sf):
     return masking.mask_entities(base.tagged(spark, sf)).select("sample_id", "masked")

@@ -8,7 +8,7 @@ from ..functions.fixed import ENTITY_FIELDS, ENTITY_TYPES, MASK_CONTEXT_WORDS
 from ..operators import agreement, annotation, logs
 from ..operators.common import explode_rows, materialize
 from .payloads import render_payloads, person_columns
-from ..streaming import detect
+from ..streaming import detect, validation
 from . import base, sqlbase as S
 
 QUERIES: dict = {}
@@ -495,18 +495,38 @@ def stream_detection_sessions(spark, sf):
     return _counts(spark, sf, "30 minutes", session=True)
 
 
-@query(
-    "stream_log_validation",
-    S.with_(*LOGS)
-    + "SELECT DISTINCT nik, nik IN (SELECT nik FROM expected) AS expected FROM (SELECT unnest(detected_ids) AS nik FROM parsed)",
-)
-def stream_log_validation(spark, sf):
+# 2024-01-01, when the log begins, and the time by which sent IDs must show up.
+_BEGIN, _DEADLINE = 1704067200, 1704067200 + 7200
+_VERDICTS = f"""seen AS (SELECT nik, min(log_id % 3600) AS s FROM (SELECT log_id, unnest(detected_ids) AS nik FROM parsed) GROUP BY nik),
+verdicts AS (SELECT nik, CASE WHEN s IS NULL THEN 'FN' WHEN e THEN 'TP' ELSE 'FP' END AS verdict, coalesce({_BEGIN} + s, {_DEADLINE}) AS told
+  FROM seen FULL JOIN (SELECT nik, TRUE AS e FROM expected) USING (nik))"""
+
+
+def _verdicts(spark, sf):
     texts = base.render_logs(_stream_people(spark, sf))
     parsed = logs.parse_blocks(logs.split_blocks(texts))
-    found = explode_rows(parsed, ["log_id"], "detected_ids", "nik").withColumn(
-        "ts", F.timestamp_seconds(F.lit(1704067200) + F.col("log_id") % 60)
-    )
-    return _finished(detect.validate_log_stream(found, base.expected_ids(spark, sf))).select("nik", "expected")
+    found = explode_rows(parsed, ["log_id"], "detected_ids", "nik").select("nik", F.timestamp_seconds(F.lit(_BEGIN) + F.col("log_id") % 3600).alias("ts"))
+    expected = base.expected_ids(spark, sf).withColumn("deadline", F.timestamp_seconds(F.lit(_DEADLINE)))
+    return validation.run_to_deadline(found, "ts", lambda d: validation.validate_log_stream(d, expected))
+
+
+@query("stream_log_validation", S.with_(*LOGS, _VERDICTS) + "SELECT nik, verdict, told FROM verdicts")
+def stream_log_validation(spark, sf):
+    """Detected IDs right or wrong, and sent IDs that never showed up."""
+    return _verdicts(spark, sf).select("nik", "verdict", F.unix_seconds("ts").alias("told"))
+
+
+@query(
+    "stream_log_totals",
+    S.with_(*LOGS, _VERDICTS)
+    + """, w AS (SELECT told // 60 * 60 + 60 AS w, count(*) FILTER (verdict = 'TP') AS tp, count(*) FILTER (verdict = 'FP') AS fp, count(*) FILTER (verdict = 'FN') AS fn FROM verdicts GROUP BY ALL),
+r AS (SELECT w AS window_end, (sum(tp) OVER x)::BIGINT AS tp, (sum(fp) OVER x)::BIGINT AS fp, (sum(fn) OVER x)::BIGINT AS fn FROM w WINDOW x AS (ORDER BY w))
+SELECT *, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall FROM r""",
+)
+def stream_log_totals(spark, sf):
+    """Running totals per minute."""
+    out = validation.running_totals(_verdicts(spark, sf))
+    return out.withColumn("window_end", F.unix_seconds("window_end"))
 
 
 @query(

@@ -156,18 +156,6 @@ REGEX_PRED = (
     "list_transform(tokens, lambda t: CASE WHEN regexp_matches(t, '^\\p{Nd}{16}$') THEN 'B-NIK' "
     "WHEN regexp_matches(t, '^(\\+62|0)\\p{Nd}{8,12}$') THEN 'B-PHONE' ELSE 'O' END)"
 )
-FORGETFUL_PRED = (
-    "list_transform(labels, lambda l: CASE WHEN sample_id % 7 = 0 THEN 'O' "
-    "WHEN sample_id % 5 = 0 AND l = 'I-NAMA' THEN 'O' ELSE l END)"
-)
-
-
-def two_models(src: str = "tagged", name: str = "models") -> str:
-    return f"""{name} AS (
-  SELECT *, 'regex' AS model, {REGEX_PRED} AS pred FROM {src}
-  UNION ALL SELECT *, 'forgetful' AS model, {FORGETFUL_PRED} AS pred FROM {src})"""
-
-
 def annotators(src: str = "tagged", name: str = "pairs") -> str:
     return f"""{name} AS (
   SELECT sample_id AS task_id, format, tokens, labels AS labels_a, list_transform(labels, lambda l: CASE

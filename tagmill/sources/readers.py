@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import schemas
+from ..functions.fixed import SEPARATOR
+from . import schemas, splits
 
 
 def read_samples(spark: SparkSession, path: str, schema: str = schemas.SAMPLES) -> DataFrame:
@@ -18,8 +19,26 @@ def read_samples_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_annotation_export(spark: SparkSession, path: str) -> DataFrame:
-    """Nested task export. ``completed_by`` may be an object or a number: it is kept as text."""
-    return spark.read.schema(schemas.ANNOTATION_TASKS).option("multiLine", True).json(path)
+    """Nested task export, one JSON array a file. Files are split among tasks inside the array.
+    ``completed_by`` may be an object or a number: it is kept as text."""
+    rows = splits.json_array(spark, path)
+    return rows.select(F.from_json("text", schemas.ANNOTATION_TASKS).alias("r")).select("r.*")
+
+
+def read_metrics(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", keys: tuple[str, ...] = ("entity",)) -> DataFrame:
+    """The metrics table; an error when read if a (model, dataset) has two rows for the same ``keys``,
+    which two writers of different layouts may leave."""
+    rows = spark.read.schema(f"{schema}, model string, dataset string").format(fmt).load(path)
+    twice = rows.groupBy("model", "dataset", *keys).agg(F.count("*").alias("n")).where("n > 1")
+    worst = twice.agg(F.max(F.struct("model", "dataset", *keys)).alias("w")).select("w").scalar()
+    return rows.where(F.when(F.coalesce(worst["model"].isNotNull(), F.lit(False)), F.raise_error(F.concat(F.lit("double metrics rows of "), F.to_json(worst)))).otherwise(F.lit(True)))
+
+
+def read_annotation_sheet(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """A sheet as text cells; blank ones are empty strings."""
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    rows = spark.read.schema(schema).option("escape", '"').option("multiLine", True).csv(path, header=True)
+    return rows.na.fill("")
 
 
 def read_round1(spark: SparkSession, path: str) -> DataFrame:
@@ -33,22 +52,12 @@ def read_term_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(trimmed.alias("value")).where("value <> ''")
 
 
-def read_log_blocks(spark: SparkSession, path: str, separator_width: int | None = None) -> DataFrame:
-    """Request blocks of log files.
-
-    With the width of the separator line known, the line itself is the record delimiter:
-    files are split among tasks however large they are. Without it every file is one record,
-    cut at runs of 50 or more '='.
-    """
-    if separator_width is None:
-        logs = spark.read.text(path, wholetext=True)
-    else:
-        logs = spark.read.option("lineSep", "\n" + "=" * separator_width + "\n").text(path)
-        logs = logs.withColumn("value", F.concat(F.lit("\n"), "value", F.lit("\n")))
-    logs = logs.select(F.col("_metadata.file_path").alias("file"), "value")
-    from ..operators.logs import split_blocks
-
-    return split_blocks(logs).select("file", "block")
+def read_log_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Request blocks of log files, cut at runs of 50 or more '='. Files are split among tasks
+    however large they are; blocks that two splits share are put together."""
+    rows = splits.split_by(spark, path, SEPARATOR)
+    block = F.regexp_replace("text", r"^\s+|\s+$", "")
+    return rows.select("file", block.alias("block")).where(F.col("block").contains("Intercepted:"))
 
 
 def read_id_reference(spark: SparkSession, path: str) -> DataFrame:

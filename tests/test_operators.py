@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tagmill.functions.labels import entity_spans, tag_regex
 from tagmill.functions.text import tokenize
 from tagmill.operators import (
-    agreement, common, compare, features, gazetteer, hmm, labeling, linear, logs, masking, metrics, split,
+    agreement, common, compare, features, gazetteer, hmm, labeling, linear, logs, masking, metrics, split, throughput, trie,
 )
 from tests.test_functions import TOKENS, _random_labels, _spans
 
@@ -156,12 +156,12 @@ def test_viterbi_as_textbook_on_both_paths(spark):
     goals = spark.createDataFrame(goal, "sample_id bigint, tokens array<string>")
     want = {i: _viterbi(t, start, trans, emission, unseen) for i, t in goal}
     small = {r["sample_id"]: r["pred"] for r in hmm.tag_hmm(goals, model).collect()}
-    joined = {r["sample_id"]: r["pred"] for r in hmm.tag_hmm(goals, model, small_model=3).collect()}
+    joined = {r["sample_id"]: r["pred"] for r in hmm.tag_hmm(goals, model, model_bytes=3).collect()}
     assert small == want
     assert joined == want
     twice = goals.withColumn("sample_id", F.lit(1))  # ids may repeat
     again = lambda **k: sorted((r["tokens"], r["pred"]) for r in hmm.tag_hmm(twice, model, **k).collect())
-    assert again() == again(small_model=3) == sorted((t, want[i]) for i, t in goal)
+    assert again() == again(model_bytes=3) == sorted((t, want[i]) for i, t in goal)
 
 
 def test_viterbi_with_200_states():
@@ -322,7 +322,9 @@ def test_feature_paths_agree(spark):
     terms = terms.union(spark.createDataFrame([("negative_keywords", "kupon")], "c string, t string"))
     df = df.union(spark.createDataFrame([(4, "kupon 3274635212890001 false", ["kupon", "3274635212890001", "false"])], df.schema))
     small = features.token_features(df, terms).orderBy("sample_id").collect()
-    joined = features.token_features(df, terms, small_terms=0)
+    joined = features.token_features(df, terms, small_terms=0, trie_bytes=0)
+    swept = features.token_features(df, terms, small_terms=0)
+    assert [r["features"] for r in swept.orderBy("sample_id").collect()] == [r["features"] for r in small]
     assert small[4]["features"][1]["nik_has_negative_context"]
     assert [r["features"] for r in joined.orderBy("sample_id").collect()] == [r["features"] for r in small]
     f = small[1]["features"]
@@ -335,6 +337,61 @@ def test_feature_paths_agree(spark):
     assert len(f[0]) == 47
 
 
+@pytest.mark.parametrize("trie_bytes", [0, 1 << 20])
+def test_keyword_lists_of_any_size(spark, monkeypatch, trie_bytes):
+    df = spark.createDataFrame([(0, ["Kupon-1", "3274635212890001", "x"]), (1, ["ku-pon", "081234567890"]), (2, ["kup", "3274635212890001"]), (3, ["3274635212890001", "ku", "é"])], "sample_id int, tokens array<string>")
+    terms = spark.createDataFrame([("negative_keywords", k) for k in ("kupon", "é", "zzz")] + [("nama_prefixes", "ku")], "category string, term string")
+    want = [r["features"] for r in features.token_features(df, terms).orderBy("sample_id").collect()]
+    monkeypatch.setattr(gazetteer, "SMALL_TERMS", 2)  # three keywords are too many for a plan
+    got = [r["features"] for r in features.token_features(df, terms, small_terms=0, trie_bytes=trie_bytes).orderBy("sample_id").collect()]
+    assert got == want
+    assert [r[1]["nik_has_negative_context"] or r[1]["phone_has_negative_context"] for r in want[:3]] == [True, True, False] and want[3][0]["nik_has_negative_context"]
+
+
+def test_trie_finds_terms_of_any_length(spark):
+    rng = random.Random(11)
+    words = "abcd"
+    terms = {(rng.choice("xyz"), " ".join(rng.choice(words) for _ in range(rng.randint(1, 5)))) for _ in range(60)}
+    rows = [(i, [rng.choice(words + "e") for _ in range(rng.randint(0, 15))]) for i in range(80)] + [(90, None)]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>")
+    out = trie.term_matches(df, spark.createDataFrame(sorted(terms), "category string, term string"))
+    for r in out.collect():
+        t = r["tokens"] or []
+        want = sorted((i, n, c) for c, term in terms for n in [len(term.split())] for i in range(len(t) - n + 1) if " ".join(t[i : i + n]) == term)
+        assert [(x["start"], x["length"], x["category"]) for x in r["terms"] or []] == want
+    none = trie.term_matches(df, spark.createDataFrame([], "category string, term string"))
+    assert all(not r["terms"] for r in none.collect())
+
+
+def test_chosen_features_equal_all_features(spark):
+    df = spark.createDataFrame([(0, ["NIK", ":", "3274635212890001", "invoice"]), (1, []), (2, ["HP", "081234567890"])], "sample_id int, tokens array<string>")
+    names = ["nik_structure_complete", "has_nik_label_context", "in_form_field_position", "phone_valid_prefix", "matches_nik_pattern", "m1_isupper"]
+    terms = gazetteer.seed_terms(spark)
+    whole = features.token_features(df, terms).orderBy("sample_id").collect()
+    some = features.token_features(df, terms, use_gazetteer=False, fields=names).orderBy("sample_id").collect()
+    assert [[f.asDict() for f in r["features"]] for r in some] == [[{n: f[n] for n in f.__fields__ if n in names} for f in r["features"]] for r in whole]
+
+
+def test_throughput_counts_what_it_scores(spark):
+    df = spark.createDataFrame([(i, ["a"] * (i % 4)) for i in range(50)], "id int, tokens array<string>")
+    got = throughput.score_throughput(df, lambda d: d.select(F.reverse("tokens")), F.size("tokens"), runs=1)
+    assert (got["rows"], got["tokens"]) == (50, 73) and got["rows_per_s"] > 0 and got["task_ms_per_row"] >= 0
+
+
+def test_first_names_keep_the_limit_and_the_order_of_ties(spark):
+    rows, seen = [], {}
+    for i in range(900):
+        name = f"N{'abcdefghij'[i * 7 % 10]}{'abcdefghij'[i * 3 % 7]}{'abcdefghij'[i % 9]}"
+        rows.append((i, [name, "di"], ["B-NAMA", "O"]))
+        n, first = seen.get(name.lower(), (0, i))
+        seen[name.lower()] = (n + 1, first)
+    df = spark.createDataFrame(rows, "sample_id long, tokens array<string>, labels array<string>")
+    want = sorted(((t, n) for t, (n, _) in seen.items()), key=lambda x: (-x[1], seen[x[0]][1]))
+    for limit in (5, 500):
+        got = [(r["term"], r["n"]) for r in gazetteer.top_terms(gazetteer.mine_counts(df), "nama_prefixes", limit).collect()]
+        assert sorted(got) == sorted(want[:limit])
+
+
 def test_linear_tagger_learns_and_scores_alike_on_both_paths(spark):
     rows = [(i, f"Nama : {n} NIK : {1000000000000000 + i}", {"nama": n, "nik": str(1000000000000000 + i)}) for i, n in enumerate(["Rina Sari", "Budi Putra", "Agus Wijaya"] * 8)]
     df = labeling.label_samples(
@@ -343,13 +400,13 @@ def test_linear_tagger_learns_and_scores_alike_on_both_paths(spark):
     feats = features.token_features(df)
     weights = linear.fit_linear_tagger(feats, max_iter=20)
     small = {r["sample_id"]: (r["labels"], r["pred"]) for r in linear.tag_linear(feats, weights).collect()}
-    joined = {r["sample_id"]: r["pred"] for r in linear.tag_linear(feats, weights, small_model=3).collect()}
+    joined = {r["sample_id"]: r["pred"] for r in linear.tag_linear(feats, weights, model_bytes=3).collect()}
     assert all(a == b for a, b in small.values())
     assert joined == {k: v[1] for k, v in small.items()}
     twice = feats.withColumn("sample_id", F.col("sample_id") % 2)  # ids may repeat
     again = lambda **k: sorted((r["tokens"], r["pred"]) for r in linear.tag_linear(twice, weights, **k).collect())
-    assert again() == again(small_model=3) == sorted((r["tokens"], small[r["sample_id"]][1]) for r in feats.collect())
-    assert linear.fit_linear_tagger(feats, max_iter=1, fit_rows=10)["state"].count() > 0
+    assert again() == again(model_bytes=3) == sorted((r["tokens"], small[r["sample_id"]][1]) for r in feats.collect())
+    assert linear.fit_linear_tagger(feats, max_iter=1, shard_tokens=7)["state"].count() > 0
     top = linear.top_weights(weights["state"], 5).collect()
     assert len(top) == 5 and abs(top[0]["weight"]) >= abs(top[4]["weight"])
 

@@ -2,12 +2,14 @@
 
 import datetime as dt
 import json
+import random
+import re
 
 import pytest
 
 from tagmill.operators import annotation, common, logs
-from tagmill.sources import readers, writers
-from tagmill.streaming import detect
+from tagmill.sources import readers, splits, writers
+from tagmill.streaming import detect, validation
 from tests.test_operators import BLOCK
 
 
@@ -17,10 +19,9 @@ def write(tmp_path, name, text):
     return str(path)
 
 
-@pytest.mark.parametrize("width", [None, 50])
-def test_log_reader_by_line_separator_and_by_file(spark, tmp_path, width):
+def test_log_reader(spark, tmp_path):
     path = write(tmp_path, "p.log", "start\n" + BLOCK * 300)
-    blocks = logs.parse_blocks(readers.read_log_blocks(spark, path, width))
+    blocks = logs.parse_blocks(readers.read_log_blocks(spark, path))
     assert blocks.where("latency_ms = 8.23 and masked and size(original_ids) = 2").count() == 300
     assert blocks.count() == 300
 
@@ -29,8 +30,8 @@ def test_log_reader_splits_large_files(spark, tmp_path):
     path = write(tmp_path, "p.log", "start\n" + BLOCK * 3000)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
-        blocks = readers.read_log_blocks(spark, path, 50)
-        assert blocks.rdd.getNumPartitions() > 5
+        blocks = readers.read_log_blocks(spark, path)
+        assert splits.pieces(spark, path, "\n").rdd.getNumPartitions() > 5
         assert logs.parse_blocks(blocks).where("latency_ms = 8.23 and size(original_ids) = 2").count() == 3000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
@@ -105,17 +106,94 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert got[1] == (2, 12.0) and got[3] == (2, 2.0) and 5 not in got
 
 
-def test_stream_validation_counts_an_id_once(spark, tmp_path):
-    at = lambda m: dt.datetime(2024, 1, 1, 1, m)
-    batches = [[(at(0), "1"), (at(1), "1")], [(at(2), "1"), (at(3), "2")]]
-    stream = _rows_stream(spark, tmp_path, batches, "ts timestamp, nik string")
-    out = detect.validate_log_stream(stream, spark.createDataFrame([("1",)], "nik string"))
-    _, path = detect.run_to_files(out)
-    assert sorted((r["nik"], r["expected"]) for r in spark.read.parquet(path).collect()) == [("1", True), ("2", False)]
-
-
 def test_metrics_and_model_tables(spark, tmp_path):
     m = spark.createDataFrame([("NIK", 1.0)], "entity string, f1 double")
     writers.write_metrics(m, str(tmp_path / "m"), model="regex", dataset="holdout")
     assert spark.read.parquet(str(tmp_path / "m")).first()["dataset"] == "holdout"
     assert common.shared_folder(spark) != common.shared_folder(spark)
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Splits of a few bytes; pieces are read alike however they are packed into tasks."""
+    keys = {"spark.sql.files.maxPartitionBytes": "70", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k in keys:
+        spark.conf.unset(k)
+
+
+def test_log_blocks_over_many_splits(spark, tmp_path, small_splits):
+    rng = random.Random(1)
+    parts = ["".join(rng.choice(["word ", "a=b ", "=" * 49 + " ", "\n", "long line " * 9]) for _ in range(rng.randint(0, 8))) for _ in range(60)]
+    text = "".join(p + "=" * rng.randint(50, 70) + rng.choice(["\n", "", "x\n"]) for p in parts) + "tail"
+    path = write(tmp_path, "s.log", text)
+    assert splits.pieces(spark, path, "\n").select("start").distinct().count() > 20
+    got = sorted(r["text"].strip() for r in splits.split_by(spark, path, "={50,}").collect())
+    assert got == sorted(p.strip() for p in re.split("={50,}", text))
+    assert splits.split_by(spark, write(tmp_path, "none.log", "a\nb" * 100), "={50,}").count() == 1
+    assert splits.split_by(spark, write(tmp_path, "empty.log", ""), "={50,}").count() == 0
+
+
+def test_json_arrays_over_many_splits(spark, tmp_path, small_splits):
+    rng = random.Random(2)
+    odd = ["", "}", "{", '"', "\\", "\\\\", '\\"', "]}[{", "é漢", "x" * 120, "a, b: {c}"]
+    value = lambda d: rng.choice([rng.choice(odd), 5, None, [rng.choice(odd) for _ in range(rng.randint(0, 3))], {rng.choice(odd): value(d + 1)} if d < 3 else {}])
+    for n, options in enumerate([{}, {"indent": 2}, {"ensure_ascii": False}, {"separators": (",", ":")}]):
+        records = [{"id": i, **{rng.choice(odd): value(0) for _ in range(rng.randint(0, 4))}} for i in range(40)]
+        path = write(tmp_path, f"r{n}.json", json.dumps(records, **options))
+        assert splits.pieces(spark, path, "}").select("start").distinct().count() > 10
+        got = [json.loads(r["text"]) for r in splits.json_array(spark, path).collect()]
+        assert sorted(got, key=lambda r: r["id"]) == records
+    for text in ("[]", "", " [ ] "):
+        assert splits.json_array(spark, write(tmp_path, "none.json", text)).count() == 0
+
+
+def test_annotation_export_is_read_by_several_tasks(spark, tmp_path):
+    tasks = [{"id": i, "inner_id": i, "data": {"text": f"t{i} }} \" {{", "meta_format": "x"}, "annotations": [{"completed_by": {"id": 7, "email": "a@x"}, "result": []}]} for i in range(3000)]
+    path = write(tmp_path, "big.json", json.dumps(tasks))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        rows = readers.read_annotation_export(spark, path)
+        assert splits.pieces(spark, path, "}").rdd.getNumPartitions() > 5
+        assert sorted((r["id"], r["data"]["text"], len(r["annotations"])) for r in rows.collect()) == [(t["id"], t["data"]["text"], 1) for t in tasks]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    out = str(tmp_path / "again")
+    writers.write_annotation_export(readers.read_annotation_export(spark, path), out)
+    assert readers.read_annotation_export(spark, out).count() == 3000
+
+
+def test_metrics_are_replaced_and_double_rows_refused(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    rows = lambda f1: spark.createDataFrame([("NIK", f1), ("_macro", f1)], "entity string, f1 double")
+    writers.write_metrics(rows(0.1), path, model="a", dataset="x")
+    writers.write_metrics(rows(0.2), path, model="b", dataset="x")
+    writers.write_metrics(rows(0.3), path, model="a", dataset="x")
+    read = lambda: readers.read_metrics(spark, path, "entity string, f1 double")
+    assert sorted((r["model"], r["entity"], r["f1"]) for r in read().collect()) == [("a", "NIK", 0.3), ("a", "_macro", 0.3), ("b", "NIK", 0.2), ("b", "_macro", 0.2)]
+    rows(0.4).write.mode("append").parquet(f"{path}/model=a/dataset=x")
+    with pytest.raises(Exception, match="double metrics rows"):
+        read().collect()
+
+
+def test_stream_tells_misses_repeats_and_late_ids(spark, tmp_path):
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    batches = [
+        [(at(1), "hit"), (at(1, 1), "hit"), (at(1, 5), "wrong")],
+        [(at(1, 30), "wrong"), (at(1, 40), None), (at(2), "hit")],
+        [(at(9), "other")],
+        [(at(9, 30), None)],  # rows are held against the watermark of the batch before
+        [(at(10), "missed"), (at(10, 1), "missed"), (at(3), "too late")],
+        [(at(23), None)],
+    ]
+    stream = _rows_stream(spark, tmp_path, batches, "ts timestamp, nik string")
+    expected = spark.createDataFrame([("hit", at(5)), ("missed", at(5)), ("missed", at(4)), ("never", at(6)), (None, at(6))], "nik string, deadline timestamp")
+    out = validation.validate_log_stream(stream, expected)
+    _, path = detect.run_to_files(out)
+    rows = spark.read.parquet(path)
+    got = sorted((r["nik"], r["verdict"], r["ts"].hour) for r in rows.collect())
+    assert got == [("hit", "TP", 1), ("missed", "FN", 5), ("missed", "late", 10), ("never", "FN", 6), ("other", "FP", 9), ("wrong", "FP", 1)]
+    totals = [(r["tp"], r["fp"], r["fn"]) for r in validation.running_totals(rows, "1 hour").orderBy("window_end").collect()]
+    assert totals == [(1, 1, 0), (1, 1, 1), (1, 1, 2), (1, 2, 2), (2, 2, 1)]
