@@ -232,8 +232,12 @@ def overlaps(docs: DataFrame, pairs: DataFrame, n: int = N) -> DataFrame:
     return partial.groupBy("x", "y", "n_x", "n_y").agg(F.sum("c").alias("common"))
 
 
-def linked_classes(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """Edges (x, y) of class keys whose sets link, enough of them to connect every component."""
+def linked_classes(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOMINATOR, rounds: int = 1) -> DataFrame:
+    """Edges (x, y) of class keys whose sets link, enough of them to connect every component.
+
+    Each of ``rounds`` checks one or two classes per class and connects what links; pairs are formed
+    of what is in different components after the last one only.
+    """
     lists = materialize(prefix_lists(docs, frequency_classes(docs, n), n, num, den))
     # a class shares no more prefix n-grams than it has lists
     lists = materialize(lists.join(lists.groupBy("key").agg(F.count("*").alias("d")), "key"))
@@ -242,21 +246,33 @@ def linked_classes(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int =
     chain = lists.where("p_key is not null").select("key", "n", F.col("p_key").alias("o"), F.col("p_n").alias("m"))
     centre = materialize(lists.groupBy("h").agg(F.max_by(F.struct("key", "n"), F.struct("d", "key")).alias("c")))
     star = lists.join(centre, "h").select("key", "n", F.col("c.key").alias("o"), F.col("c.n").alias("m")).where("key <> o")
-    first = None
-    for pairs in (chain, star):
+    enough = (num + den) * F.col("common") >= num * (F.col("n_x") + F.col("n_y"))
+
+    def best_of(pairs: DataFrame) -> DataFrame:
+        """Of each class the other one that it meets in most lists, if their sizes and lists let them link."""
         met = pairs.groupBy("key", "o", "n", "m").count()
         met = met.where(similar_size(F.least("n", "m"), F.greatest("n", "m"), num, den) & (2 * F.col("count") >= least_shared("n", "m", num, den)))
-        best = met.groupBy("key").agg(F.max_by("o", F.struct("count", "o")).alias("o")).select(F.least("key", "o").alias("x"), F.greatest("key", "o").alias("y"))
-        first = best if first is None else first.union(best)
-    first = materialize(first.distinct())
-    enough = (num + den) * F.col("common") >= num * (F.col("n_x") + F.col("n_y"))
+        return met.groupBy("key").agg(F.max_by("o", F.struct("count", "o")).alias("o")).select(F.least("key", "o").alias("x"), F.greatest("key", "o").alias("y"))
+
+    def still_open(edges: DataFrame) -> DataFrame:
+        """The lists that have classes of different components (``c``)."""
+        component = connected_components(edges, "x", "y")
+        placed = lists.select("h", "key", "n", "pos", "d").join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
+        placed = materialize(placed)
+        mixed = materialize(placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h"))
+        return materialize(placed.join(mixed, "h", "left_semi"))
+
+    first = materialize(best_of(chain).union(best_of(star)).distinct())
     edges = materialize(overlaps(docs, first, n).where(enough).select("x", "y"))
+    open_lists = still_open(edges)
+    for _ in range(rounds - 1):  # again, with the centres of lists that are open, for classes of other components
+        centre = materialize(open_lists.groupBy("h").agg(F.max_by(F.struct("key", "n", "c"), F.struct("d", "key")).alias("o")))
+        star = open_lists.join(centre, "h").where("c <> o.c").select("key", "n", F.col("o.key").alias("o"), F.col("o.n").alias("m"))
+        new = materialize(best_of(star).distinct().join(first, ["x", "y"], "left_anti"))
+        first = materialize(first.union(new))
+        edges = materialize(edges.union(overlaps(docs, new, n).where(enough).select("x", "y")))
+        open_lists = still_open(edges)
     # what is left: classes of different components that meet in enough lists
-    component = connected_components(edges, "x", "y")
-    placed = lists.select("h", "key", "n", "pos", "d").join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
-    placed = materialize(placed)
-    mixed = materialize(placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h"))
-    open_lists = materialize(placed.join(mixed, "h", "left_semi"))
     a = open_lists.select("h", *[F.col(c).alias(f"a_{c}") for c in ("key", "n", "pos", "d", "c")])
     b = open_lists.select("h", *[F.col(c).alias(f"b_{c}") for c in ("key", "n", "pos", "d", "c")])
     ahead = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_key") < F.col("b_key")))
@@ -269,16 +285,16 @@ def linked_classes(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int =
     return edges.union(more)
 
 
-def similar_components(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
+def similar_components(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOMINATOR, rounds: int = 1) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id`` (smallest id of its component).
 
     Two documents link when den * common >= num * united n-grams, words being split at ASCII
     white space and A-Z lower-cased. A text with fewer words than n is one n-gram; null and
     empty texts have none and link with nothing. Repeated rows are equal documents; an empty
-    table gives an empty one; other columns are ignored.
+    table gives an empty one; other columns are ignored. ``rounds`` changes the work, not the result.
     """
     keyed = materialize(set_keys(docs, n))
-    edges = materialize(linked_classes(docs, n, num, den))
+    edges = materialize(linked_classes(docs, n, num, den, rounds))
     component = connected_components(edges, "x", "y")
     smallest = keyed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"))
     placed = smallest.join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key"))
@@ -288,10 +304,10 @@ def similar_components(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: i
     return keyed.join(by_key, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOMINATOR, rounds: int = 3) -> DataFrame:
     """Of each component the document with the smallest id (one row of it), with all columns of
     ``docs``. Documents without words or without id are all kept."""
-    found = similar_components(docs, n, num, den)
+    found = similar_components(docs, n, num, den, rounds)
     firsts = found.where("doc_id is null or n_shingles = 0 or doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["__id"]), "left_semi")
     again = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__id"))
