@@ -10,14 +10,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def url_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels as page outcomes: a page is bad if its label says low quality or toxic."""
-    bad = ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")
-    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-
-
 def op1_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_reputation.judge_urls(table(spark, sf_dir, "pages"), url_outcomes(spark, sf_dir))
+    pages = table(spark, sf_dir, "pages")
+    return url_reputation.judge_urls(pages, url_reputation.page_outcomes(pages))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

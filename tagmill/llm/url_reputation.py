@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 # Public suffixes of two labels; callers with a full list pass their own.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "co.nz", "co.id", "or.id", "go.id", "com.br", "com.cn", "com.mx", "co.in", "co.kr", "co.za")
+# Words that make a page's outcome bad when they stand in its url; callers with labels of their own use those.
+BAD_WORDS = ("ads", "adult", "bets", "betting", "casino", "pills", "porn", "spam", "viagra", "xxx")
 MAX_BAD, Z, MIN_STRENGTH, MAX_STRENGTH = 0.3, 1.645, 1.0, 10_000.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -27,6 +29,21 @@ def url_path(url) -> Column:
     return F.coalesce(F.regexp_extract(url, _PARTS, 2), F.lit(""))
 
 
+def bad_url(words=BAD_WORDS) -> str:
+    """Pattern of a lower-case url part that has one of the words between other signs than letters."""
+    return f"(^|[^a-z])({'|'.join(words)})([^a-z]|$)"
+
+
+def page_outcomes(pages: DataFrame, words=BAD_WORDS) -> DataFrame:
+    """``page_id, bad``: one outcome per page, bad if host or path has one of the words.
+
+    A word in the path makes one page bad; a host is blocked for it only if most of its pages, or of
+    its domain's, are. A null url is not bad.
+    """
+    part = F.concat(url_host("url"), F.translate(url_path("url"), _UPPER, _LOWER))
+    return pages.select("page_id", F.rlike(part, F.lit(bad_url(words))).cast("int").alias("bad"))
+
+
 def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """Rule string and action of the longest rule that fits, both null if none does."""
     text, action = F.lit(None).cast("string"), F.lit(None).cast("string")

@@ -100,6 +100,17 @@ def test_reputation_shrinks_and_blocks(spark):
     assert got["new.a.com"].bad_rate > got["good.b.com"].bad_rate
 
 
+def test_planted_bad_hosts_are_blocked(spark):
+    rng = random.Random(12)
+    bad = ["m.casino-win.example.com", "free-bets.example.com", "www.cheap-pills.example.com", "x.adult-x.example.org"]
+    clean = [f"{p}.{''.join(rng.choice('abcdehinorst') for _ in range(7))}.example.{t}" for p in ("www", "blog", "m") for t in ("com", "org") for _ in range(8)] + ["padspot.example.com"]
+    rows = [(h, f"/{rng.choice(['en', 'ads', 'x'] if rng.random() < 0.1 else ['en', 'de'])}/{i}") for h in bad + clean for i in range(rng.randint(5, 60))]
+    rows += [("tiny.example.org", "/casino/1"), (None, None)]
+    pages = spark.createDataFrame([(i, h and f"https://{h.title()}{p}?q=casino") for i, (h, p) in enumerate(rows)] + [(0, f"https://{bad[0]}/")], "page_id long, url string")
+    got = {r.host: r.verdict for r in url_reputation.judge_urls(pages, url_reputation.page_outcomes(pages), rules=[]).collect()}
+    assert {h for h, v in got.items() if v == "block"} == set(bad)  # precision and recall are 1
+
+
 def test_domains(spark):
     hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "x.example.com", "example.com", "com", "1.2.3.4", "u@h.net:81", ""]
     df = spark.createDataFrame([(h, 0, 0) for h in hosts], "host string, n int, bad int")
