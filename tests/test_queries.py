@@ -16,6 +16,8 @@ NAMES = [
     "stratified_split", "regex_entity_metrics", "build_gazetteer", "context_features", "hmm_emission", "relaxed_iaa",
     "gwet_ac1", "log_detection_metrics", "mask_payloads", "stream_detection_counts",
     "match_value_span", "entity_tokens", "mcnemar_stats", "gwet_ac1_interval", "hmm_model_roundtrip", "id_reference",
+    "compare_models", "mcnemar_counts", "stream_log_validation", "stream_log_totals", "annotation_export", "loadtest_file", "metrics_roundtrip",
+    "log_files", "latency_percentiles", "token_features_trie", "annotation_sheet_file",
     "hmm_viterbi_joined", "token_features_joined", "linear_viterbi", "linear_top_weights", "log_substring_metrics",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
