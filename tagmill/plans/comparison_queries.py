@@ -98,7 +98,7 @@ def predicted(spark, sf, set_name: str, tables: dict | None = None) -> DataFrame
     """A set's samples with the labels of every model side by side (``pred_<model>``), from one pass."""
     tables = tables or fitted(spark, sf)
     df = base.tagged(spark, sf, set_name)
-    df = features.token_features(df, use_regex=False, use_gazetteer=False)
+    df = features.token_features(df, use_regex=False, use_gazetteer=False, fields=["word_lower"])  # all that the weights name
     models = {
         "hmm": taggers.hmm_model(tables["hmm"]), "hybrid_hmm": taggers.hmm_model(tables["hybrid_hmm"], hybrid=True),
         "linear": taggers.linear_model(tables["linear"], df),
