@@ -21,17 +21,21 @@ from . import words
 HEAD, PER_CLASS = 1024, 32
 ENDINGS = 48
 HIDDEN = 24
-WINDOW, LANES = 24, 128
-SCORE_WINDOW, SCORE_LANES = 32, 512
+# Steps of a window, most lanes beside one another.
+WINDOW, LANES = 16, 512
+# States whose outputs are computed together in scoring.
+SCORE_STATES = 16_384
 # Tokens scored together: enough to fill the lanes, few enough for a task's memory.
 SCORE_TOKENS = 1_500_000
 # Words whose counts every task holds: at most this many.
 TOP = 65_536
 # Tokens of a training task and of a chunk in its memory; tasks grow with the corpus. Weights averaged at once.
-TASK_TOKENS, CHUNK_TOKENS, FAN, ROUNDS, STEPS = 2_000_000, 500_000, 16, 2, 150
-# Up to this size every round sees all texts; above it each round has its share of them.
-REPEAT_TOKENS = 4_000_000
-RATE = 0.015
+TASK_TOKENS, CHUNK_TOKENS, FAN, ROUNDS = 2_000_000, 500_000, 16, 2
+# Least updates a chunk is cut into, by taking fewer lanes: a small corpus has as many as a chunk of a large one.
+UPDATES = 60
+# Longer texts are trained in pieces of so many symbols, so that they do not leave the other lanes empty. Scoring takes them whole.
+PIECE = 512
+RATE = 0.05
 
 
 def held_out(doc_id) -> Column:
@@ -120,7 +124,8 @@ def look_up(v: dict, h: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np
 
 CLASSES = HEAD // PER_CLASS + ENDINGS
 SYMBOLS = HEAD + ENDINGS
-_SHAPES = {"x": (SYMBOLS, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "c": (HIDDEN + 1, CLASSES), "w": (HEAD // PER_CLASS, HIDDEN + 1, PER_CLASS)}
+# The last column of "c" and "w" is the bias. Values of a lane are a column, so that steps run along contiguous lanes.
+_SHAPES = {"x": (3 * HIDDEN, SYMBOLS), "u": (3 * HIDDEN, HIDDEN), "c": (CLASSES, HIDDEN + 1), "w": (HEAD // PER_CLASS, PER_CLASS, HIDDEN + 1)}
 
 
 def class_of(symbol: np.ndarray) -> np.ndarray:
@@ -133,8 +138,8 @@ def initial(vocabulary: Vocabulary, seed: int = 7) -> dict[str, np.ndarray]:
     p = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in _SHAPES.items()}
     head = vocabulary.head_counts + 1
     mass = np.concatenate((head.reshape(-1, PER_CLASS).sum(1), vocabulary.tail_n + 1))
-    p["c"][-1] = np.log(mass / mass.sum())
-    p["w"][:, -1] = np.log(head.reshape(-1, PER_CLASS) / head.reshape(-1, PER_CLASS).sum(1, keepdims=True))
+    p["c"][:, -1] = np.log(mass / mass.sum())
+    p["w"][:, :, -1] = np.log(head.reshape(-1, PER_CLASS) / head.reshape(-1, PER_CLASS).sum(1, keepdims=True))
     return p
 
 
@@ -144,60 +149,57 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _step(p: dict, h: np.ndarray, symbol: np.ndarray):
-    a, q = p["x"][symbol], h @ p["u"]
-    zr = _sigmoid(a[:, : 2 * HIDDEN] + q[:, : 2 * HIDDEN])
-    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    n = 2 * _sigmoid(2 * (a[:, 2 * HIDDEN :] + r * q[:, 2 * HIDDEN :])) - 1
-    return n + z * (h - n), z, r, n, q[:, 2 * HIDDEN :]
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
-
-
-def _log_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Logarithm of the softmax of each row at one place; rows far from zero are shifted first."""
-    if np.abs(x).max(initial=0) > 60:
-        x = x - x.max(1, keepdims=True)
-    return x[np.arange(len(at)), at] - np.log(np.exp(x).sum(1))
+    """The states (a column each) after the symbols, and what the gradient needs: gates, candidate and its state part."""
+    a, q = p["x"].take(symbol, axis=1), p["u"] @ h
+    zr = _sigmoid(a[: 2 * HIDDEN] + q[: 2 * HIDDEN])
+    z, r = zr[:HIDDEN], zr[HIDDEN:]
+    n = np.tanh(a[2 * HIDDEN :] + r * q[2 * HIDDEN :])
+    return n + z * (h - n), z, r, n, q[2 * HIDDEN :]
+
+
+def _softmax(weights: np.ndarray, h: np.ndarray, at: np.ndarray, gradient: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Logarithm of each column's softmax at one place and, if asked, its gradient; columns far from zero are shifted first."""
+    x = weights[:, :-1] @ h
+    x += weights[:, -1:]
+    if max(x.max(initial=0), -x.min(initial=0)) > 60:
+        x -= x.max(0)
+    columns = np.arange(len(at))
+    picked = x[at, columns]
+    np.exp(x, out=x)
+    total = x.sum(0)
+    if gradient:
+        x /= total
+        x[at, columns] -= 1
+    return picked - np.log(total), x if gradient else None
 
 
 def _outputs(p: dict, h: np.ndarray, target: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log probability of class and, for frequent words, of the word in it. With
+    """Natural log probability of class and, for frequent words, of the word in it, after states ``h``. With
     ``grad``, its output parts are added to and the gradient for h is returned."""
-    k = class_of(target)
-    rows = np.arange(len(target))
+    k = class_of(target).astype(np.uint8)
+    order = np.argsort(k, kind="stable")  # by class, those of frequent words first
+    k, target, h = k[order], target[order], h.take(order, axis=1)
+    logs, d = _softmax(p["c"], h, k, grad is not None)
     dh = None
-    if grad is None:
-        out = _log_at(h @ p["c"][:-1] + p["c"][-1], k).astype(np.float64)
-    else:
-        logs = _log_softmax(h @ p["c"][:-1] + p["c"][-1])
-        out = logs[rows, k].astype(np.float64)
-        d = np.exp(logs)
-        d[rows, k] -= 1
-        grad["c"][:-1] += h.T @ d
-        grad["c"][-1] += d.sum(0)
-        dh = d @ p["c"][:-1].T
-    order = np.argsort(k, kind="stable")
-    edges = np.searchsorted(k[order], np.arange(HEAD // PER_CLASS + 1))
+    if grad is not None:
+        grad["c"][:, :-1] += d @ h.T
+        grad["c"][:, -1] += d.sum(1)
+        dh = p["c"][:, :-1].T @ d
+    edges = np.searchsorted(k, np.arange(HEAD // PER_CLASS + 1))
+    inside = target % PER_CLASS
     for i in range(HEAD // PER_CLASS):
-        at = order[edges[i] : edges[i + 1]]
-        if not len(at):
+        at = slice(edges[i], edges[i + 1])
+        if edges[i] == edges[i + 1]:
             continue
-        own, inside = h[at], target[at] % PER_CLASS
-        x = own @ p["w"][i, :-1] + p["w"][i, -1]
-        if grad is None:
-            out[at] += _log_at(x, inside)
-        else:
-            logs = _log_softmax(x)
-            out[at] += logs[np.arange(len(at)), inside]
-            d = np.exp(logs)
-            d[np.arange(len(at)), inside] -= 1
-            grad["w"][i, :-1] += own.T @ d
-            grad["w"][i, -1] += d.sum(0)
-            dh[at] += d @ p["w"][i, :-1].T
-    return out, dh
+        own, d = _softmax(p["w"][i], h[:, at], inside[at], grad is not None)
+        logs[at] += own
+        if grad is not None:
+            grad["w"][i, :, :-1] += d @ h[:, at].T
+            grad["w"][i, :, -1] += d.sum(1)
+            dh[:, at] += p["w"][i, :, :-1].T @ d
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return logs[back].astype(np.float64), None if dh is None else dh.take(back, axis=1)
 
 
 def lanes(sequences: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
@@ -228,21 +230,28 @@ def lanes(sequences: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray,
     return source, target, begin, where
 
 
+def _started(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The states with those of lanes where a sequence begins set to zero."""
+    return h * ~begin if begin.any() else h
+
+
 def score_sequences(p: dict, sequences: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of the symbols of each sequence."""
-    source, target, begin, where = lanes(sequences, SCORE_LANES)
+    source, target, begin, where = lanes(sequences, LANES)
     logs = np.zeros(target.shape)
-    h = np.zeros((target.shape[1], HIDDEN), np.float32)
-    for lo in range(0, len(target), SCORE_WINDOW):
-        hi = min(lo + SCORE_WINDOW, len(target))
-        live = int((target[lo] >= 0).sum())  # lanes end in order
-        states = np.zeros((hi - lo, live, HIDDEN), np.float32)
-        h = h[:live]
+    h = np.zeros((HIDDEN, target.shape[1]), np.float32)
+    hi = 0
+    while hi < len(target):
+        lo, live = hi, int((target[hi] >= 0).sum())  # lanes end in order
+        hi = min(lo + max(WINDOW, SCORE_STATES // live), len(target))
+        states = np.zeros((HIDDEN, hi - lo, live), np.float32)
+        h = h[:, :live]
         for t in range(lo, hi):
-            h = np.where(begin[t, :live, None], np.float32(0), h)
-            states[t - lo] = h = _step(p, h, source[t, :live])[0]
+            h = _step(p, _started(h, begin[t, :live]), source[t, :live])[0]
+            states[:, t - lo] = h
         real = target[lo:hi, :live] >= 0
-        logs[lo:hi, :live][real] = _outputs(p, states[real], target[lo:hi, :live][real])[0]
+        states = states.reshape(HIDDEN, -1) if real.all() else states[:, real]
+        logs[lo:hi, :live][real] = _outputs(p, states, target[lo:hi, :live][real])[0]
     total = np.concatenate((np.zeros((1, logs.shape[1])), np.cumsum(logs, 0)))
     out = np.zeros(len(sequences))
     for s, lane, at in where:
@@ -250,57 +259,83 @@ def score_sequences(p: dict, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def train(p: dict, sequences: list[np.ndarray], steps: int = STEPS, rate: float = RATE) -> dict:
-    """Truncated backpropagation: windows of ``WINDOW`` steps over ``LANES`` lanes, the state
-    carried from one window to the next, at least ``steps`` updates (several passes if short)."""
-    p = {k: v.copy() for k, v in p.items()}
-    if not sequences:
-        return p
-    source, target, begin, _ = lanes(sequences, LANES)
-    first = {k: np.zeros_like(v) for k, v in p.items()}
-    second = {k: np.zeros_like(v) for k, v in p.items()}
-    done = 0
-    while done < steps:
-        h = np.zeros((target.shape[1], HIDDEN), np.float32)
+def gradient(p: dict, h: np.ndarray, source: np.ndarray, target: np.ndarray, begin: np.ndarray) -> tuple[dict, np.ndarray, float]:
+    """Of one window (steps x lanes) from states ``h``: the gradient of the negative log likelihood, the states after it and the log likelihood."""
+    steps, live = source.shape
+    kept, grad = [], {k: np.zeros_like(v) for k, v in p.items()}
+    before, states, resets = (np.empty((HIDDEN, steps, live), np.float32) for _ in range(3))
+    for t in range(steps):
+        before[:, t] = h = _started(h, begin[t])
+        new = _step(p, h, source[t])
+        kept.append(new)
+        states[:, t] = h = new[0]
+        resets[:, t] = new[2]
+    real = target >= 0
+    if real.all():
+        logs, out = _outputs(p, states.reshape(HIDDEN, -1), target.ravel(), grad)
+        out = out.reshape(states.shape)
+    else:
+        logs, dh = _outputs(p, states[:, real], target[real], grad)
+        out = np.zeros_like(states)
+        out[:, real] = dh
+    inputs = np.empty((3 * HIDDEN, steps, live), np.float32)
+    recurrent = p["u"].T.copy()
+    back = np.zeros_like(h)
+    for t in range(steps - 1, -1, -1):
+        _, z, r, n, qn = kept[t]
+        d = out[:, t] + back
+        rest = 1 - z
+        dn = d * rest * (1 - n * n)
+        inputs[:HIDDEN, t] = d * (before[:, t] - n) * z * rest
+        inputs[HIDDEN : 2 * HIDDEN, t] = dn * qn * r * (1 - r)
+        inputs[2 * HIDDEN :, t] = dn
+        dq = np.concatenate((inputs[: 2 * HIDDEN, t], dn * r))
+        back = _started(d * z + recurrent @ dq, begin[t])
+    inputs = inputs.reshape(3 * HIDDEN, -1)
+    at = source.ravel()
+    for own, total in zip(inputs, grad["x"]):
+        total[:] = np.bincount(at, own, SYMBOLS)
+    inputs[2 * HIDDEN :] *= resets.reshape(HIDDEN, -1)
+    grad["u"] += inputs @ before.reshape(HIDDEN, -1).T
+    return grad, h, float(logs.sum())
+
+
+class Trainer:
+    """Weights and the moments of their gradients, carried from chunk to chunk of a task."""
+
+    def __init__(self, p: dict, rate: float = RATE) -> None:
+        self.p = {k: v.copy() for k, v in p.items()}
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+        self.rate, self.done = rate, 0
+
+    def update(self, grad: dict, count: int) -> None:
+        """One step by the mean gradient over ``count`` targets, of length 1 at most."""
+        self.done += 1
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values())) / count
+        scale = min(1.0, 1.0 / (norm + 1e-9)) / count
+        step = self.rate / (1 + self.done / 100)
+        for k, g in grad.items():
+            g *= scale
+            self.first[k] += 0.1 * (g - self.first[k])
+            g *= g
+            self.second[k] += 0.01 * (g - self.second[k])
+            self.p[k] -= step / (1 - 0.9**self.done) * self.first[k] / (np.sqrt(self.second[k] / (1 - 0.99**self.done)) + 1e-6)
+
+    def train(self, sequences: list[np.ndarray]) -> "Trainer":
+        """Truncated backpropagation, once over a chunk: windows of ``WINDOW`` steps over up to ``LANES``
+        lanes, the state carried from one window to the next."""
+        tokens = sum(map(len, sequences))
+        if not tokens:
+            return self
+        pieces = [s[at : at + PIECE] for s in sequences for at in range(0, len(s), PIECE)]
+        source, target, begin, _ = lanes(pieces, min(LANES, max(1, tokens // (WINDOW * UPDATES))))
+        h = np.zeros((HIDDEN, target.shape[1]), np.float32)
         for lo in range(0, len(target), WINDOW):
-            hi = min(lo + WINDOW, len(target))
             live = int((target[lo] >= 0).sum())
-            h = h[:live]
-            kept = []
-            for t in range(lo, hi):
-                h = np.where(begin[t, :live, None], np.float32(0), h)
-                new, z, r, n, qn = _step(p, h, source[t, :live])
-                kept.append((h, z, r, n, qn, new))
-                h = new
-            real = target[lo:hi, :live] >= 0
-            grad = {k: np.zeros_like(v) for k, v in p.items()}
-            states = np.stack([k[5] for k in kept])
-            count = int(real.sum())
-            _, dh = _outputs(p, states[real], target[lo:hi, :live][real], grad)
-            out = np.zeros_like(states)
-            out[real] = dh
-            back = np.zeros((live, HIDDEN), np.float32)
-            for t in range(hi - 1, lo - 1, -1):
-                before, z, r, n, qn, _ = kept[t - lo]
-                d = out[t - lo] + back
-                dn = d * (1 - z) * (1 - n * n)
-                dz = d * (before - n) * z * (1 - z)
-                dr = dn * qn * r * (1 - r)
-                da = np.concatenate((dz, dr, dn), 1)
-                dq = np.concatenate((dz, dr, dn * r), 1)
-                np.add.at(grad["x"], source[t, :live], da)
-                grad["u"] += before.T @ dq
-                back = np.where(begin[t, :live, None], np.float32(0), d * z + dq @ p["u"].T)
-            done += 1
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values())) / count
-            scale = 1 / count * min(1.0, 1.0 / (norm + 1e-9))
-            for k, g in grad.items():
-                g *= scale
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.01 * (g * g - second[k])
-                step = rate * (1 - 0.7 * min(1.0, done / steps))
-                p[k] -= step * (first[k] / (1 - 0.9**done)) / (np.sqrt(second[k] / (1 - 0.99**done)) + 1e-6)
-    return p
+            at = (slice(lo, lo + WINDOW), slice(0, live))
+            grad, h, _ = gradient(self.p, h[:, :live], source[at], target[at], begin[at])
+            self.update(grad, int((target[at] >= 0).sum()))
+        return self
 
 
 def _symbols(vocabulary: dict, column) -> Iterator[tuple]:
@@ -340,18 +375,19 @@ def trained(rows: DataFrame, known, p: dict, number: int, tasks: int) -> DataFra
     shared = rows.sparkSession.sparkContext.broadcast(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total, held, size, g = shared.value, 0, [], 0, 0
+        model, total, held, size, g = Trainer(shared.value, RATE / (1 + number)), 0, [], 0, 0
         for batch in batches:
             g = batch.column(1)[0].as_py() if batch.num_rows else g
             for b, _, symbols, _ in _symbols(known.value, batch.column(0)):
                 held += _sequences(b, symbols)
                 size += len(symbols) + len(b.counts())
                 if size >= CHUNK_TOKENS:
-                    own, total, held, size = train(own, held, rate=RATE / (1 + number)), total + size, [], 0
-        if held:
-            own, total = train(own, held, rate=RATE / (1 + number)), total + size
+                    model.train(held)
+                    total, held, size = total + size, [], 0
+        model.train(held)
+        total += size
         if total:
-            yield _row(g, total, own)
+            yield _row(g, total, model.p)
 
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("k").cast("string")), F.lit(2))
     dealt = rows.select("text", F.pmod(key, F.lit(1 << 30)).cast("int").alias("g"))
@@ -381,25 +417,21 @@ def averaged(found: DataFrame, n: int) -> dict | None:
     return _mean(rows.to_batches())[1]
 
 
-def shares(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> list[DataFrame]:
-    """The training texts of each round; together they are all of them."""
-    if vocabulary.n <= REPEAT_TOKENS:
-        return [rows] * rounds
+def shares(rows: DataFrame, rounds: int = ROUNDS) -> list[DataFrame]:
+    """The training texts of each round; together they are all of them, each once."""
     part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("k").cast("string")), F.lit(1)), F.lit(rounds))
     return [rows.where(part == i) for i in range(rounds)]
 
 
 def fit(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Weights from all training texts: dealt to tasks of about ``TASK_TOKENS`` tokens (at least
-    ``FAN`` tasks where there is enough text), whose weights are averaged after each of ``rounds``."""
+    """Weights from all training texts, each read once, whatever their number: dealt to tasks of about ``TASK_TOKENS``
+    tokens, whose weights are averaged after each of ``rounds``."""
     p = initial(vocabulary)
     if not vocabulary.n:
         return p
     known = rows.sparkSession.sparkContext.broadcast(vocabulary.tables())
-    each = shares(rows, vocabulary, rounds)
-    tokens = vocabulary.n if vocabulary.n <= REPEAT_TOKENS else vocabulary.n // rounds
-    tasks = int(max(1, min(FAN, tokens // 100_000), -(-tokens // TASK_TOKENS)))
-    for number, own in enumerate(each):
+    tasks = -(-vocabulary.n // (rounds * TASK_TOKENS))
+    for number, own in enumerate(shares(rows, rounds)):
         p = averaged(trained(own, known, p, number, tasks), tasks) or p
     return p
 

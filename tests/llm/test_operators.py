@@ -426,31 +426,61 @@ def test_network_gradient_and_state():
     p = recurrent_lm.initial(Tiny)
     pattern = [np.array([5, 40, 1030, 7] * 12 + [0], np.int32) for _ in range(8)]
     before = recurrent_lm.score_sequences(p, pattern)
-    after = recurrent_lm.score_sequences(recurrent_lm.train(p, pattern, steps=60), pattern)
+    model = recurrent_lm.Trainer(p)
+    for _ in range(8):
+        model.train(pattern)
+    after = recurrent_lm.score_sequences(model.p, pattern)
     assert (after > before).all()  # it learns
     # one sequence scored step by step equals the score in lanes and windows
-    s, h, total = pattern[0], np.zeros((1, recurrent_lm.HIDDEN), np.float32), 0.0
+    s, h, total = pattern[0], np.zeros((recurrent_lm.HIDDEN, 1), np.float32), 0.0
     for x, y in zip(np.concatenate(([0], s[:-1])), s):
         h = recurrent_lm._step(p, h, np.array([x]))[0]
         total += recurrent_lm._outputs(p, h, np.array([y]))[0][0]
     assert before[0] == pytest.approx(total, rel=1e-4)
     # the class-factored probabilities of all symbols sum to one
     every = np.arange(recurrent_lm.SYMBOLS)
-    logs = recurrent_lm._outputs(p, np.repeat(h, len(every), 0), every)[0]
+    logs = recurrent_lm._outputs(p, np.repeat(h, len(every), 1), every)[0]
     assert np.exp(logs).sum() == pytest.approx(1, rel=1e-4)
+    # the gradient of a window equals finite differences, with lanes that end or begin inside it
+    wide = {k: v.astype(np.float64) for k, v in p.items()}
+    texts = [rng.integers(0, recurrent_lm.SYMBOLS, n).astype(np.int32) for n in (9, 4, 3, 6)]
+    source, target, begin, _ = recurrent_lm.lanes(texts, 2)
+    start = np.zeros((recurrent_lm.HIDDEN, 2))
+    grad = recurrent_lm.gradient(wide, start, source, target, begin)[0]
+    for k, g in grad.items():
+        for at in [np.unravel_index(i, g.shape) for i in np.argsort(-np.abs(g), axis=None)[:4]]:
+            each = []
+            for move in (1e-3, -1e-3):
+                moved = {name: v.copy() for name, v in wide.items()}
+                moved[k][at] += move
+                each.append(-recurrent_lm.gradient(moved, start, source, target, begin)[2])
+            assert g[at] == pytest.approx((each[0] - each[1]) / 2e-3, rel=0.02, abs=1e-3), k
+
+
+def test_long_texts_score_whole_and_beside_others():
+    rng = np.random.default_rng(9)
+
+    class Tiny:
+        head_counts = rng.integers(1, 50, recurrent_lm.HEAD).astype(float)
+        tail_n = np.ones(recurrent_lm.ENDINGS)
+
+    p = recurrent_lm.initial(Tiny)
+    texts = [rng.integers(0, recurrent_lm.SYMBOLS, n).astype(np.int32) for n in (3000, 1, 700, 2, 40)]
+    together = recurrent_lm.score_sequences(p, texts)
+    assert together == pytest.approx([recurrent_lm.score_sequences(p, [x])[0] for x in texts], rel=1e-4)
+    assert recurrent_lm.Trainer(p).train([]).done == 0
+    assert recurrent_lm.Trainer(p).train(texts).done > 1  # a small corpus too is cut into several updates
 
 
-def test_network_trains_on_all_texts(spark, frame, monkeypatch):
-    monkeypatch.setattr(recurrent_lm, "REPEAT_TOKENS", 1000)
+def test_network_trains_on_all_texts(spark, frame):
     rng = random.Random(16)
     rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 40)))) for i in range(60)] + [(100 + i, "a copy " * 9) for i in range(60)]
     docs = frame(rows).withColumn("k", F.xxhash64("doc_id", "text"))
     counts = recurrent_lm.word_counts(docs)
     vocabulary = recurrent_lm.Vocabulary(counts, len(rows))
-    assert vocabulary.n > recurrent_lm.REPEAT_TOKENS
     known = spark.sparkContext.broadcast(vocabulary.tables())
     p = recurrent_lm.initial(vocabulary)
-    each = recurrent_lm.shares(docs, vocabulary)
+    each = recurrent_lm.shares(docs)
     found = [recurrent_lm.trained(x, known, p, 0, 20).select("g", "n").collect() for x in each]
     assert sum(r.n for x in found for r in x) == vocabulary.n
     assert all(len(x) > 10 for x in found) and max(r.n for x in found for r in x) < vocabulary.n / 4  # copies spread
