@@ -246,7 +246,7 @@ def judge_documents(docs: DataFrame, fence: float = FENCE) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     relative = F.try_divide("entropy", F.log2(F.greatest(F.col("n_tokens"), F.lit(2)).cast("double")))
     measured = materialize(measured.withColumn("base_failed", failed).withColumn("entropy", relative))
-    judged = measured.join(rejection_bands(measured, fence), "band", "left")
+    judged = checked_join(measured, rejection_bands(measured, fence), "band")
     reason = F.when(F.col("base_failed"), "base")
     rare = F.sqrt(1 + 4.0 * MIN_WORDS / _words())  # a few byte pieces weigh more in short texts
     for m in MEASURES:
