@@ -81,25 +81,16 @@ def mixing() -> str:
         f"t_{d} AS (SELECT {d}, pow(t, {raking.TEMPER}) / sum(pow(t, {raking.TEMPER})) OVER () AS target FROM (SELECT {d}, sum(tokens)::DOUBLE AS t FROM cells GROUP BY {d}))"
         for d in raking.DIMS
     ]
-
-    def first(grid: str) -> str:
-        """The first scale of a grid (i, s) that keeps the share, and the one before it."""
-        return f"""(SELECT s, coalesce(lag(s) OVER (ORDER BY i), s) AS low, sum(tokens * least(1.0, s * factor)) AS kept, any_value(total) AS total, i
-  FROM {grid} CROSS JOIN factors GROUP BY i, s QUALIFY kept >= {raking.SHARE} * any_value(total) OR i = max(i) OVER () ORDER BY i LIMIT 1)"""
-
     t = "coalesce(text, '')"
     return rf"""WITH d AS (SELECT doc_id, source, lang, coalesce(source, '') AS s, coalesce(lang, '') AS l, {t} AS t, len({_WORDS.format(t)}) + 1 AS tokens FROM documents),
 docs AS (SELECT *, CASE WHEN tokens < 2 THEN 'empty' WHEN (length(t) - length(regexp_replace(t, '[#*$%&|<>{{}}\[\]=]', '', 'g'))) * 20 > length(t) THEN 'markup'
   WHEN (length(t) - length(regexp_replace(t, '[0-9]', '', 'g'))) * 20 > length(t) THEN 'figures' WHEN tokens < 101 THEN 'note' WHEN tokens < 1001 THEN 'article' ELSE 'book' END AS topic FROM d),
 cells AS (SELECT s AS source, l AS lang, topic, sum(tokens) AS tokens FROM docs GROUP BY ALL), {', '.join(targets)},
 f0 AS (SELECT *, tokens::DOUBLE AS share FROM cells), {', '.join(fits)},
-factors AS (SELECT source, lang, topic, tokens, round(share * sum(tokens) OVER () / (tokens * sum(share) OVER ()), 6) AS factor, sum(tokens) OVER () AS total FROM {last}),
-g1 AS (SELECT i, pow(2.0, (i - 40) / 2.0) AS s FROM (SELECT unnest(range(0, 81)) AS i)), a1 AS {first('g1')},
-g2 AS (SELECT k AS i, low + (s - low) * k / 64 AS s FROM a1 CROSS JOIN (SELECT unnest(range(0, 65)) AS k)), a2 AS {first('g2')},
-p AS (SELECT factors.*, least(1.0, greatest({raking.FLOOR}::DOUBLE, round(factor * s, 6))) AS probability FROM factors CROSS JOIN a2)
-SELECT doc_id, docs.source, docs.lang, docs.topic, docs.tokens::BIGINT AS tokens, factor, probability,
-  ('0x' || substr(md5('{raking.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < probability AS kept
-FROM docs JOIN p ON p.source = s AND p.lang = l AND p.topic = docs.topic"""
+p AS (SELECT source, lang, topic, factor, factor * {raking.SHARE}::DOUBLE AS probability FROM (SELECT *, round(share * sum(tokens) OVER () / (tokens * sum(share) OVER ()), 6) AS factor FROM {last})),
+r AS (SELECT doc_id, docs.source, docs.lang, docs.topic, docs.tokens::BIGINT AS tokens, factor, probability, ('0x' || substr(md5('{raking.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 AS draw
+  FROM docs JOIN p ON p.source = s AND p.lang = l AND p.topic = docs.topic)
+SELECT * EXCLUDE (draw), draw < probability AS kept, (floor(probability) + (draw < probability - floor(probability))::INTEGER)::INTEGER AS copies FROM r"""
 
 
 def centroid_clustering_sql() -> str:

@@ -55,7 +55,7 @@ def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raking.mixing_weights(table(spark, sf_dir, "documents"))
+    return raking.mixing_weights(table(spark, sf_dir, "documents"), repeat=True)
 
 
 def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:

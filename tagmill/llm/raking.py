@@ -9,7 +9,7 @@ import functools
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tagmill.operators.common import materialize
+from tagmill.operators.common import checked_join, materialize
 
 DIMS = ("source", "lang", "topic")
 ROUNDS, TEMPER, SHARE, FLOOR, SEED = 6, 0.7, 0.8, 0.0, "mix"
@@ -96,8 +96,8 @@ def calibrated_scale(cells: DataFrame, share: float) -> float:
     return high
 
 
-def _weighted(docs: DataFrame, temper: float, rounds: int, share: float, floor: float, targets: dict | None, seed: str, repeat: bool = False) -> DataFrame:
-    """``docs`` with ``__topic, __tokens, __factor, __p, __kept``; with ``repeat`` ``__p`` may be above 1."""
+def _weighted(docs: DataFrame, temper: float, rounds: int, share: float, floor: float, targets: dict | None, seed: str, repeat: bool = False, tolerance: float | None = None) -> DataFrame:
+    """``docs`` with ``__topic, __tokens, __factor, __p, __kept, __copies``; with ``repeat`` ``__p`` may be above 1."""
     own = [F.col(f"`{c}`") for c in docs.columns]
     cell = ["__source", "__lang", "__topic"]
     keyed = docs.select(
@@ -105,26 +105,30 @@ def _weighted(docs: DataFrame, temper: float, rounds: int, share: float, floor:
     ).withColumn("__topic", topic_of("text"))
     cells = materialize(keyed.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMS]).agg(F.sum("__tokens").alias("tokens")))
     marginals = {d: (targets or {}).get(d) for d in DIMS}
-    fitted = rake(cells, {d: target_marginals(cells, d, temper) if t is None else t for d, t in marginals.items()}, *((MOST_ROUNDS, TOLERANCE) if repeat else (rounds,)))
+    fitted = rake(cells, {d: target_marginals(cells, d, temper) if t is None else t for d, t in marginals.items()}, rounds, tolerance)
     total = fitted.agg(F.sum("tokens").cast("double").alias("all"), F.sum("share").alias("fit"))
     factor = F.coalesce(F.try_divide(F.col("share") * F.col("all"), F.col("tokens") * F.col("fit")), F.lit(0.0))
     factors = materialize(fitted.join(F.broadcast(total), F.lit(True)).select(*DIMS, "tokens", F.round(factor, 6).alias("factor")))
     p = F.col("factor") * F.lit(float(share)) if repeat else F.least(F.lit(1.0), F.greatest(F.lit(float(floor)), F.round(F.col("factor") * calibrated_scale(factors, share), 6)))
     factors = factors.select(*[F.col(d).alias(f"__{d}") for d in DIMS], F.col("factor").alias("__factor"), p.alias("__p"))
-    return keyed.join(factors, cell, "left").withColumn("__kept", uniform("doc_id", seed) < F.col("__p"))
+    drawn = checked_join(keyed, factors, cell).withColumn("__kept", uniform("doc_id", seed) < F.col("__p"))
+    whole = F.floor("__p")
+    return drawn.withColumn("__copies", (whole + (uniform("doc_id", seed) < F.col("__p") - whole).cast("long")).cast("int"))
 
 
-def mixing_weights(docs: DataFrame, temper: float = TEMPER, rounds: int = ROUNDS, share: float = SHARE, floor: float = FLOOR, targets: dict[str, DataFrame] | None = None, seed: str = SEED) -> DataFrame:
+def mixing_weights(docs: DataFrame, temper: float = TEMPER, rounds: int = ROUNDS, share: float = SHARE, floor: float = FLOOR, targets: dict[str, DataFrame] | None = None, seed: str = SEED, repeat: bool = False) -> DataFrame:
     """One row per document: ``doc_id, source, lang, topic, tokens, factor`` (raked share over
-    share of tokens), ``probability`` and ``kept``.
+    share of tokens), ``probability``, ``kept`` and ``copies``.
 
     Probabilities are proportional to the factor, at most 1 and at least ``floor``, scaled so
-    that ``share`` of all tokens is expected to stay. Null source or language is a value of its
+    that ``share`` of all tokens is expected to stay; values whose cells are capped at 1 miss their targets.
+    With ``repeat`` they are the expected number of copies, ``share * factor``, so that all values are expected to
+    meet their targets as nearly as ``rounds`` rounds of raking do; ``floor`` does not count. Null source or language is a value of its
     own, an empty string; null or empty texts have one token and the topic ``empty``. Repeated
     rows share one decision; an empty table gives an empty one; other columns are ignored.
     """
-    out = _weighted(docs.select("doc_id", "text", "source", "lang"), temper, rounds, share, floor, targets, seed)
-    return out.select("doc_id", "source", "lang", *[F.col(f"__{a}").alias(b) for a, b in (("topic", "topic"), ("tokens", "tokens"), ("factor", "factor"), ("p", "probability"), ("kept", "kept"))])
+    out = _weighted(docs.select("doc_id", "text", "source", "lang"), temper, rounds, share, floor, targets, seed, repeat)
+    return out.select("doc_id", "source", "lang", *[F.col(f"__{a}").alias(b) for a, b in (("topic", "topic"), ("tokens", "tokens"), ("factor", "factor"), ("p", "probability"), ("kept", "kept"), ("copies", "copies"))])
 
 
 def mix_documents(docs: DataFrame, temper: float = TEMPER, rounds: int = ROUNDS, share: float = SHARE, floor: float = FLOOR, targets: dict[str, DataFrame] | None = None, seed: str = SEED, repeat: bool = False) -> DataFrame:
@@ -135,10 +139,9 @@ def mix_documents(docs: DataFrame, temper: float = TEMPER, rounds: int = ROUNDS,
     raking goes on to ``TOLERANCE``, and ``rounds`` and ``floor`` do not count.
     """
     own = [F.col(f"`{c}`") for c in docs.columns]
-    mixed = _weighted(docs, temper, rounds, share, floor, targets, seed, repeat)
+    limits = (MOST_ROUNDS, TOLERANCE) if repeat else (rounds, None)
+    mixed = _weighted(docs, temper, limits[0], share, floor, targets, seed, repeat, limits[1])
     if not repeat:
         return mixed.where("__kept").select(*own)
-    whole = F.floor("__p")
-    times = (whole + (uniform("doc_id", seed) < F.col("__p") - whole).cast("long")).cast("int")
-    copies = F.explode(F.array_repeat(F.lit(True), times)).alias("__copy")  # no rows for 0 times
-    return mixed.where(times > 0).select(*own, copies).drop("__copy")
+    copies = F.explode(F.array_repeat(F.lit(True), F.col("__copies"))).alias("__copy")  # no rows for 0 times
+    return mixed.where("__copies > 0").select(*own, copies).drop("__copy")

@@ -699,3 +699,16 @@ def test_repeated_documents_meet_the_targets(frame):
             assert part(expected, v) == pytest.approx(target, abs=2e-4)
             assert part(mixed, v) == pytest.approx(target, abs=0.02)
     assert raking.mix_documents(docs.limit(0), repeat=True).collect() == []
+    weights = raking.mixing_weights(docs, repeat=True).collect()
+    expected, drawn = Counter(), Counter()
+    for r in weights:
+        assert r.probability == pytest.approx(raking.SHARE * r.factor) and abs(r.copies - r.probability) < 1 and r.kept == (r.copies > 0)
+        expected[(r.source, r.lang, r.topic)] += r.tokens * r.probability
+        drawn[(r.source, r.lang, r.topic)] += r.tokens * r.copies
+    assert max(r.copies for r in weights) > 1
+    for d in range(3):
+        values = {k[d] for k in cells}
+        power = {v: sum(n for k, n in cells.items() if k[d] == v) ** raking.TEMPER for v in values}
+        for v in values:
+            share, own = (sum(n for k, n in c.items() if k[d] == v) / sum(c.values()) for c in (expected, drawn))
+            assert share == pytest.approx(power[v] / sum(power.values()), abs=1e-3) and own == pytest.approx(share, abs=0.02)
