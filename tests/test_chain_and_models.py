@@ -89,6 +89,21 @@ def test_fit_reaches_the_minimum_whatever_the_shards(spark):
     assert none["state"].count() == none["trans"].count() == 0
 
 
+def test_packing_computes_features_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.arrow_udf("array<array<string>>")
+    def words(w: pa.Array) -> pa.Array:
+        calls.add(len(w))
+        return w
+
+    rows = [([["a", "b"], ["c"]], ["O", "B"])] * 5 + [([["a"]], ["O", "B"]), ([], []), (None, None)]
+    df = spark.createDataFrame(rows, "w array<array<string>>, labels array<string>").coalesce(1)
+    shards, n = chain._pack(df, words("w"), ["B", "O"], 100)
+    assert (n, shards.agg(F.sum(F.size("lengths"))).first()[0]) == (1, 5)
+    assert calls.value == len(rows)
+
+
 # --- sparse model tables ---------------------------------------------------------------------
 
 
