@@ -23,7 +23,8 @@ def host_reputation() -> str:
     rules = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in url_reputation.RULES)
     return rf"""WITH p AS (SELECT page_id, {_LOWER.format(r"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')")} AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
-o AS (SELECT page_id AS doc_id, count(*) AS n, sum(regexp_matches({_LOWER.format("host || path")}, '{url_reputation.bad_url()}')::INT) AS bad FROM p WHERE page_id IS NOT NULL GROUP BY page_id),
+o AS (SELECT doc_id, count(*) AS n, sum(bad) AS bad FROM (SELECT page_id AS doc_id, regexp_matches({_LOWER.format("host || path")}, '{url_reputation.bad_url()}')::INT AS bad FROM p
+  UNION ALL SELECT doc_id, CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END FROM labels) WHERE doc_id IS NOT NULL GROUP BY doc_id),
 h0 AS (SELECT host, coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN o ON doc_id = page_id GROUP BY host),
 h1 AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$|\.+$', '') AS bare FROM h0), h2 AS (SELECT *, string_split(bare, '.') AS l FROM h1),
 hosts AS (SELECT host, n, bad, CASE WHEN ip THEN '' WHEN two THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix,

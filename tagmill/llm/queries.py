@@ -12,7 +12,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_reputation.judge_urls(pages, url_reputation.page_outcomes(pages))
+    marked = url_reputation.label_outcomes(table(spark, sf_dir, "labels"))
+    return url_reputation.judge_urls(pages, url_reputation.page_outcomes(pages).unionByName(marked))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,12 @@ def page_outcomes(pages: DataFrame, words=BAD_WORDS) -> DataFrame:
     return pages.select("page_id", F.rlike(part, F.lit(bad_url(words))).cast("int").alias("bad"))
 
 
+def label_outcomes(labels: DataFrame) -> DataFrame:
+    """``page_id, bad``: one outcome per label row, bad if of quality 0 or toxic; a label belongs to the page of its number."""
+    bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
+    return labels.select(F.col("doc_id").alias("page_id"), bad.cast("int").alias("bad"))
+
+
 def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """Rule string and action of the longest rule that fits, both null if none does."""
     text, action = F.lit(None).cast("string"), F.lit(None).cast("string")

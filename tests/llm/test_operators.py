@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagmill.llm import (
-    components, fertility, line_dedup, ngram_join, packing, quality_bayes, raking, recurrent_lm, substring_dedup, url_reputation, winnowing, words,
+    components, fertility, line_dedup, ngram_join, packing, quality_bayes, queries, raking, recurrent_lm, substring_dedup, url_reputation, winnowing, words,
 )
 
 
@@ -111,6 +111,15 @@ def test_planted_bad_hosts_are_blocked(spark):
     assert {h for h, v in got.items() if v == "block"} == set(bad)  # precision and recall are 1
 
 
+def test_host_query_counts_labels_and_urls(spark, tmp_path):
+    rows = [(i, f"https://{h}.com/{i}") for i, h in enumerate(["marked"] * 40 + ["clean"] * 40 + ["casino.x"] * 40)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    labels = [(i, 0, 0) for i in range(20)] + [(i, 1, 1) for i in range(20, 40)] + [(i, 1, 0) for i in range(40, 80)] + [(40, None, None), (None, 0, 1), (999, 0, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.host: (r.labelled, r.verdict) for r in queries.op1_host_reputation(spark, str(tmp_path)).collect()}
+    assert got == {"marked.com": (80, "block"), "clean.com": (81, "allow"), "casino.x.com": (40, "block")}
+
+
 def test_domains(spark):
     hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "x.example.com", "example.com", "com", "1.2.3.4", "u@h.net:81", ""]
     df = spark.createDataFrame([(h, 0, 0) for h in hosts], "host string, n int, bad int")
