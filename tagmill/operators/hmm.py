@@ -16,7 +16,7 @@ from .common import barrier_udf, explode_rows, lookup_join, with_row_key
 from .sparse import MODEL_BYTES, sparse_rows
 
 # Cells of score vectors, and of state pairs in one step, that are held at once.
-CELLS = 2_000_000
+CELLS = 250_000
 
 
 def observed(tokens: str, hybrid: bool):
