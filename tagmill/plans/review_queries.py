@@ -1,7 +1,5 @@
 """Queries for annotator agreement, annotation sheets, detection logs, latency and streams."""
 
-import os
-
 from pyspark.sql import functions as F
 
 from ..functions.fixed import ENTITY_FIELDS, ENTITY_TYPES, MASK_CONTEXT_WORDS
@@ -421,16 +419,10 @@ def load_test_summary(spark, sf):
 # --- streams ---------------------------------------------------------------------------------
 
 
-def _stream(spark, sf, name):
-    """A given table as a file stream."""
-    schema = base.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(os.fspath(sf))
-
-
 def _stream_people(spark, sf):
     k = F.col("c_custkey")
     nation = base.table(spark, sf, "nation")
-    return _stream(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+    return base.stream(spark, sf, "customer", deal=True).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         k.alias("sample_id"), *person_columns(k, F.col("n_name"))
     )
 
@@ -460,7 +452,7 @@ FROM e GROUP BY ALL"""
 
 
 def _counts(spark, sf, window, slide=None, session=False):
-    events = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = base.stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = detect.run_to_end(events, "ts", lambda e: detect.detection_counts(e, "ts", "event_type", "value", window, slide, session))
     return out.select(
         *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("window_start", "window_end")],

@@ -5,7 +5,10 @@ import json
 import random
 import re
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tagmill.operators import annotation, common, logs
 from tagmill.sources import readers, splits, writers
@@ -197,3 +200,15 @@ def test_stream_tells_misses_repeats_and_late_ids(spark, tmp_path):
     assert got == [("hit", "TP", 1), ("missed", "FN", 5), ("missed", "late", 10), ("never", "FN", 6), ("other", "FP", 9), ("wrong", "FP", 1)]
     totals = [(r["tp"], r["fp"], r["fn"]) for r in validation.running_totals(rows, "1 hour").orderBy("window_end").collect()]
     assert totals == [(1, 1, 0), (1, 1, 1), (1, 1, 2), (1, 2, 2), (2, 2, 1)]
+
+
+def test_streams_of_small_files_are_dealt_out(spark, tmp_path, monkeypatch):
+    from tagmill.plans import base
+
+    pq.write_table(pa.table({"id": list(range(300))}), tmp_path / "customer.parquet")
+    pq.write_table(pa.table({"id": [1, 2, 3]}), tmp_path / "nation.parquet")
+    monkeypatch.setattr(base, "STREAM_ROWS", 20)
+    tasks = F.spark_partition_id().alias("task")
+    _, path = detect.run_to_files(base.stream(spark, str(tmp_path), "customer", deal=True).select("id", tasks))
+    got = spark.read.parquet(path).collect()
+    assert sorted(r.id for r in got) == list(range(300)) and len({r.task for r in got}) == 15
