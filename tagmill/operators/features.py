@@ -263,9 +263,10 @@ def _fields(df: DataFrame) -> list[str]:
     return df.schema["features"].dataType.elementType.names
 
 
-def feature_strings(df: DataFrame) -> Column:
-    """Per token an array of ``name=value`` strings; false and absent features are left out."""
-    fields = _fields(df)
+def feature_strings(df: DataFrame, names: list[str] | None = None) -> Column:
+    """Per token an array of ``name=value`` strings; false and absent features are left out, and
+    all but those of ``names`` where these are given."""
+    fields = [f for f in _fields(df) if names is None or f in names]
     kinds = {f.name: f.dataType for f in df.schema["features"].dataType.elementType}
 
     def word(t, f):
@@ -273,7 +274,7 @@ def feature_strings(df: DataFrame) -> Column:
         return F.when(t[f], text) if isinstance(kinds[f], T.BooleanType) else text
 
     return F.transform(
-        "features", lambda t: F.array_compact(F.array(*[word(t, f) for f in fields]))
+        "features", lambda t: F.array_compact(F.array(*[word(t, f) for f in fields]).cast("array<string>"))
     )
 
 

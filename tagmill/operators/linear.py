@@ -6,7 +6,7 @@ imported ones included.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .chain import fit_chain
 from .common import explode_rows, lookup_join, with_row_key
@@ -40,6 +40,14 @@ def state_vector(table: DataFrame, states: list[str]) -> np.ndarray:
     return np.array([out[s] for s in states])
 
 
+def weighted_features(table: DataFrame, df: DataFrame) -> Column:
+    """Feature strings of ``df`` of those features that have a weight for some value; others add nothing."""
+    seen = table.select(F.split_part("feature", F.lit("="), F.lit(1)).alias("f")).distinct()
+    fields = df.schema["features"].dataType.elementType.names
+    named = {r["f"] for r in seen.where(F.col("f").isin(fields)).collect()}
+    return feature_strings(df, [f for f in fields if f in named])
+
+
 def tag_linear(
     df: DataFrame, weights: dict[str, DataFrame], pred: str = "pred",
     model_bytes: int = MODEL_BYTES,
@@ -57,7 +65,7 @@ def tag_linear(
     intercept = state_vector(weights["state"], states)
     named = weights["state"].where(F.col("feature") != INTERCEPT)
     table = sparse_rows(named, "feature", "weight", states, model_bytes)
-    words = feature_strings(df)
+    words = weighted_features(named, df)
     if table is None:
         vectors = named.groupBy("feature").pivot("state", states).agg(F.first("weight"))
         df = with_row_key(df.withColumn("_ws", words).drop("features"))
