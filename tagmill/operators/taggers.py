@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .hmm import _parameters, decode, hashed, observed
-from .linear import INTERCEPT, _matrices, state_vector
+from .hmm import _parameters, decode, hashed, observed, tag_hmm
+from .linear import INTERCEPT, _matrices, state_vector, tag_linear
 from .features import feature_strings
 from .sparse import MODEL_BYTES, SparseRows, sparse_rows
 
@@ -41,9 +41,13 @@ class ChainModel:
         return decode(scores, lengths, self.start, self.trans, self.states)
 
 
+class ModelTooLarge(ValueError):
+    """A model that may not travel to tasks."""
+
+
 def _fits(table: SparseRows | None) -> SparseRows:
     if table is None:
-        raise ValueError("a model is too large to travel to tasks; score it alone with tag_hmm or tag_linear, which join it")
+        raise ModelTooLarge("a model is too large to travel to tasks; score it alone with tag_hmm or tag_linear, which join it")
     return table
 
 
@@ -80,6 +84,26 @@ def predict_models(df: DataFrame, models: dict[str, ChainModel]) -> DataFrame:
     return df.select(*kept, *[m.observed.alias(f"_obs_{n}") for n, m in models.items()]).mapInArrow(run, schema)
 
 
+def predict_fitted(df: DataFrame, tables: dict[str, dict], hybrid=("hybrid_hmm",), model_bytes: int = MODEL_BYTES) -> DataFrame:
+    """``df`` with ``pred_<name>`` of every model given as its tables (with ``emission``: hidden Markov, else
+    linear); ``features`` goes. Models of at most ``model_bytes`` share one pass, each larger one is joined."""
+    small, large = {}, []
+    for name, parts in tables.items():
+        try:
+            small[name] = hmm_model(parts, name in hybrid, model_bytes=model_bytes) if "emission" in parts else linear_model(parts, df, model_bytes)
+        except ModelTooLarge:
+            large.append(name)
+    left = [n for n in tables if "emission" not in tables[n]]
+    for name in [n for n in large if n in left]:
+        left.remove(name)
+        again = df.withColumn("_again", F.col("features")) if left else df
+        df = tag_linear(again, tables[name], f"pred_{name}", model_bytes).withColumnsRenamed({"_again": "features"})
+    df = predict_models(df, small) if small else df.drop("features")
+    for name in [n for n in large if "emission" in tables[n]]:
+        df = tag_hmm(df, tables[name], name in hybrid, pred=f"pred_{name}", model_bytes=model_bytes)
+    return df
+
+
 def long_predictions(df: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
     """One row per sample and model: ``keep``, ``model``, ``pred``."""
     each = F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"pred_{n}").alias("pred")) for n in names])

@@ -99,11 +99,7 @@ def predicted(spark, sf, set_name: str, tables: dict | None = None) -> DataFrame
     tables = tables or fitted(spark, sf)
     df = base.tagged(spark, sf, set_name)
     df = features.token_features(df, use_regex=False, use_gazetteer=False, fields=["word_lower"])  # all that the weights name
-    models = {
-        "hmm": taggers.hmm_model(tables["hmm"]), "hybrid_hmm": taggers.hmm_model(tables["hybrid_hmm"], hybrid=True),
-        "linear": taggers.linear_model(tables["linear"], df),
-    }
-    return taggers.predict_models(df, models).withColumn("pred_regex", tag_regex("tokens"))
+    return taggers.predict_fitted(df, tables).withColumn("pred_regex", tag_regex("tokens"))
 
 
 def long(spark, sf, set_name: str, tables: dict | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tagmill.operators import agreement, chain, compare, hmm, selection, sparse, taggers
+from tagmill.operators import agreement, chain, compare, features, hmm, linear, selection, sparse, taggers
 
 
 # --- chain training --------------------------------------------------------------------------
@@ -223,3 +223,21 @@ def test_span_labels_equal_plain_version():
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("labels", pa.list_(pa.string()))]))
     got = agreement._span_labels(pa.array(tokens, pa.list_(pa.int32())), pa.array(gaps, pa.list_(pa.int32())), pa.array(spans, kind))
     assert got.to_pylist() == want
+
+
+def test_models_beyond_the_limit_are_joined(spark):
+    rows = [(i % 7, ["Kota", f"n{i}", "0811", "di"], ["B", "I", "O", "O"]) for i in range(12)] + [(3, [], []), (3, ["di", "x9"], ["O", "B"])]
+    df = spark.createDataFrame(rows, "sample_id long, tokens array<string>, labels array<string>")
+    counts = {h: hmm.hmm_counts(df, h) for h in (False, True)}
+    trans = hmm.fit_hmm(None, counts=counts[False])["trans"].select("prev", "state", F.col("logp").alias("weight"))
+    weights = counts[False].where("kind = 'emission'").select(F.concat(F.lit("word_lower="), "token").alias("feature"), "state", F.log(F.col("n") + 1).alias("weight"))
+    tables = {"hmm": hmm.fit_hmm(None, counts=counts[False]), "hybrid_hmm": hmm.fit_hmm(None, hybrid=True, counts=counts[True])}
+    tables |= {"linear": {"state": weights, "trans": trans}, "other": {"state": weights.where("state = 'O'"), "trans": trans}}
+    featured = features.token_features(df, use_regex=False, use_gazetteer=False)
+    names = ["sample_id", "tokens", *[f"pred_{n}" for n in tables]]
+    # everything in one pass, everything joined, and some of each kind
+    found = [sorted(map(str, taggers.predict_fitted(featured, tables, model_bytes=b).select(*names).collect())) for b in (1 << 20, 3, 12 * sparse.ENTRY_BYTES)]
+    assert len(found[0]) == len(rows) and found[0] == found[1] == found[2]
+    plan = linear.weighted_features(weights, featured)
+    seen = featured.select(F.explode(F.flatten(plan)).alias("f")).where("not startswith(f, 'word_lower=')")
+    assert seen.count() == 0  # features that no weight names are not made
