@@ -83,10 +83,13 @@ def token_shapes(tokens) -> Column:
     return map_tokens(tokens, lambda s: word_shape(s, SEP))
 
 
+def collapsed_shapes(shapes) -> Column:
+    """Token shapes with runs of one character collapsed."""
+    return map_tokens(shapes, lambda s: F.regexp_replace(s, r"([dXx.])\1+", "$1"))
+
+
 def token_shapes_simple(tokens) -> Column:
-    return map_tokens(
-        tokens, lambda s: F.regexp_replace(word_shape(s, SEP), r"([dXx.])\1+", "$1")
-    )
+    return collapsed_shapes(token_shapes(tokens))
 
 
 def token_lowers(tokens) -> Column:

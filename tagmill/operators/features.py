@@ -8,7 +8,7 @@ from ..functions import nik, phone
 from ..functions.fixed import NEGATIVE_KEYWORDS, TITLE_MARKERS
 from ..functions.let import let
 from ..functions.labels import token_is_nik, token_is_phone
-from ..functions.text import is_alpha, is_digits, is_title, is_upper, token_lowers, token_shapes, token_shapes_simple
+from ..functions.text import collapsed_shapes, is_alpha, is_digits, is_title, is_upper, token_lowers, token_shapes
 from . import gazetteer as gz
 from .common import explode_rows, lookup_join, materialize, with_row_key
 from .sparse import MODEL_BYTES
@@ -31,13 +31,17 @@ def _any(terms: list[str], word: Column) -> Column:
     return word.isin(terms) if terms else F.lit(False)
 
 
-def _exists_before(flags: Column, i: Column, width: int = WINDOW) -> Column:
-    start = F.greatest(i - width, F.lit(0))
-    return F.exists(F.slice(flags, start + 1, i - start), lambda x: x)
+def _near(flags: Column, n: Column, after: bool = False, width: int = WINDOW) -> Column:
+    """Per token of ``n`` whether a flag stands at most ``width`` tokens before it, or after it with ``after``.
 
-
-def _exists_after(flags: Column, i: Column, width: int = WINDOW) -> Column:
-    return F.exists(F.slice(flags, i + 2, F.lit(width)), lambda x: x)
+    The flags become one string of marks, which one regular expression looks around in; a slice per
+    token would copy the whole row for each.
+    """
+    before = rf"(?<=1.{{0,{width - 1}}})."
+    marks = F.array_join(F.transform(flags, lambda x: F.when(x, "1").otherwise("0")), "")
+    marks = F.rpad(marks, F.greatest(n, F.size(flags)), "0")
+    found = F.regexp_replace(marks, rf"{before}|.(?=.{{0,{width - 1}}}1)" if after else before, "T")
+    return F.transform(F.split(found, ""), lambda c: c == "T")
 
 
 def _negative_word(lower: Column, keywords: list[str]) -> Column:
@@ -69,8 +73,9 @@ def context_arrays(df: DataFrame, sets: dict[str, list[str]] | None, tokens: str
     Without ``sets`` the flag arrays ``_f_*`` must already be there.
     """
     df = df.withColumns(
-        {"_low": token_lowers(tokens), "_shape": token_shapes(tokens), "_short": token_shapes_simple(tokens)}
+        {"_low": token_lowers(tokens), "_shape": token_shapes(tokens)}
     )
+    df = df.withColumn("_short", collapsed_shapes("_shape"))
     flags = {
         "_upper": F.transform(tokens, is_upper),
         "_title": F.transform(tokens, is_title),
@@ -90,70 +95,79 @@ def context_arrays(df: DataFrame, sets: dict[str, list[str]] | None, tokens: str
     return df
 
 
-def _feature_struct(tokens: str, use_regex: bool, use_gazetteer: bool, fields: list[str] | None) -> Column:
-    names = [tokens, "_low", "_shape", "_short", "_upper", "_title", "_nik", "_phone"]
-    names += [f"_f_{n}" for n in FLAGS]
-    if fields is not None:  # arrays that no chosen feature reads are not made
-        used = {"_shape": "_shape", "_short": "_simple", "_upper": "isupper", "_title": "istitle"}
-        names = [n for n in names if n not in used or any(used[n] in f for f in fields)]
-        names = [n for n in names if use_gazetteer or n[3:] not in (*TERM_LISTS.values(), *PHRASE_LISTS.values()) or n in ("_f_nik_label", "_f_phone_label")]
-    return let(lambda *arrays: _features(dict(zip(names, arrays)), tokens, use_regex, use_gazetteer, fields), *names)
+def _feature_structs(tokens: str, use_regex: bool, use_gazetteer: bool, fields: list[str] | None) -> Column:
+    """One struct per token, zipped from one array per feature.
 
-
-def _features(arrays: dict[str, Column], tokens: str, use_regex: bool, use_gazetteer: bool, fields: list[str] | None) -> Column:
-    tok, low, is_nik, is_phone = (arrays[n] for n in (tokens, "_low", "_nik", "_phone"))
-    none = F.array().cast("array<string>")
-    shape, short, upper, title = (arrays.get(n, none) for n in ("_shape", "_short", "_upper", "_title"))
-    flag = lambda name: arrays[f"_f_{name}"]
+    Neighbours are shifted arrays. A lambda reads its own token and flag only, no other column, so
+    merged projections cannot put a column's expression into it.
+    """
+    tok, low, shape, short, upper, title, is_nik, is_phone = (
+        F.col(n) for n in (tokens, "_low", "_shape", "_short", "_upper", "_title", "_nik", "_phone")
+    )
+    flag = lambda name: F.col(f"_f_{name}")
     n = F.size(tok)
-
-    def build(w, i):
-        at = lambda arr, k=0: F.get(arr, i + k)
-        cols = {
-            "bias": F.lit(1.0),
-            "word_identity": w,
-            "word_lower": at(low),
-            "word_shape": at(shape),
-            "word_shape_simple": at(short),
-            "word_isupper": at(upper),
-            "word_istitle": at(title),
-            "word_isdigit": is_digits(w),
-            "word_length": F.length(w),
+    rest = F.array_repeat(F.lit(False), n - 1)
+    each = lambda fn, arr=tok: F.transform(arr, lambda x: fn(x))
+    where = lambda hits, fn: F.zip_with(tok, hits, lambda w, hit: F.when(hit, fn(w)).otherwise(False))
+
+    def at(arr, k):  # what is over is cut, and what is missing is null, once arrays are zipped
+        if k > 0:
+            return F.slice(arr, k + 1, n)
+        return F.concat(F.array_repeat(F.lit(None), -k), arr)
+
+    cols = {
+        "bias": F.array_repeat(F.lit(1.0), n),
+        "word_identity": tok,
+        "word_lower": low,
+        "word_shape": shape,
+        "word_shape_simple": short,
+        "word_isupper": upper,
+        "word_istitle": title,
+        "word_isdigit": each(is_digits),
+        "word_length": each(F.length),
+    }
+    for k in (2, 3, 4):
+        cols[f"word_prefix_{k}"] = each(lambda t: F.left(t, F.lit(k)), low)
+        cols[f"word_suffix_{k}"] = each(lambda t: F.right(t, F.lit(k)), low)
+    cols["bos"], cols["eos"] = F.concat(F.array(F.lit(True)), rest), F.concat(rest, F.array(F.lit(True)))
+    for name, k in (("m1", -1), ("p1", 1)):
+        cols[f"{name}_lower"], cols[f"{name}_shape"] = at(low, k), at(shape, k)
+        cols[f"{name}_istitle"], cols[f"{name}_isupper"] = at(title, k), at(upper, k)
+    for name, k in (("m2", -2), ("p2", 2)):
+        cols[f"{name}_lower"], cols[f"{name}_shape"] = at(low, k), at(shape, k)
+    if use_regex:
+        checked = lambda fn: where(is_nik, lambda w: fn(nik.checks_range(w)))
+        none = F.array_repeat(F.lit(False), n)
+        # the negative flags are only there for rows with such a token
+        negative = lambda hits: F.when(
+            F.exists(hits, lambda x: x),
+            F.zip_with(hits, _near(flag("negative"), n, after=True), lambda hit, x: F.when(hit, x).otherwise(False)),
+        ).otherwise(none)
+        context = lambda name: F.when(F.exists(flag(name), lambda x: x), _near(flag(name), n)).otherwise(none)
+        cols |= {
+            "matches_nik_pattern": is_nik,
+            "matches_phone_pattern": is_phone,
+            "has_nik_label_context": context("nik_label"),
+            "has_phone_label_context": context("phone_label"),
+            "in_form_field_position": F.zip_with(
+                at(tok, -1), at(tok, -2), lambda a, b: F.coalesce(a.isin(":", "=") & is_alpha(b), F.lit(False))
+            ),
+            "nik_structure_complete": checked(lambda c: c["is16"] & c["province_ok"] & c["date_ok"]),
+            "nik_province_valid": checked(lambda c: c["province_ok"]),
+            "nik_date_valid": checked(lambda c: c["date_ok"]),
+            "phone_valid_prefix": where(is_phone, phone.prefix_valid),
+            "nik_has_negative_context": negative(is_nik),
+            "phone_has_negative_context": negative(is_phone),
         }
-        for k in (2, 3, 4):
-            cols[f"word_prefix_{k}"] = F.left(at(low), F.lit(k))
-            cols[f"word_suffix_{k}"] = F.right(at(low), F.lit(k))
-        cols["bos"], cols["eos"] = i == 0, i == n - 1
-        for name, k in (("m1", -1), ("p1", 1)):
-            cols[f"{name}_lower"], cols[f"{name}_shape"] = at(low, k), at(shape, k)
-            cols[f"{name}_istitle"], cols[f"{name}_isupper"] = at(title, k), at(upper, k)
-        for name, k in (("m2", -2), ("p2", 2)):
-            cols[f"{name}_lower"], cols[f"{name}_shape"] = at(low, k), at(shape, k)
-        if use_regex:
-            checks = nik.checks_range(w)
-            hit_nik, hit_phone = at(is_nik), at(is_phone)
-            negative = _exists_before(flag("negative"), i) | _exists_after(flag("negative"), i)
-            cols |= {
-                "matches_nik_pattern": hit_nik,
-                "matches_phone_pattern": hit_phone,
-                "has_nik_label_context": _exists_before(flag("nik_label"), i),
-                "has_phone_label_context": _exists_before(flag("phone_label"), i),
-                "in_form_field_position": (i >= 2)
-                & F.coalesce(at(tok, -1).isin(":", "=") & is_alpha(at(tok, -2)), F.lit(False)),
-                "nik_structure_complete": F.when(hit_nik, checks["is16"] & checks["province_ok"] & checks["date_ok"]).otherwise(False),
-                "nik_province_valid": F.when(hit_nik, checks["province_ok"]).otherwise(False),
-                "nik_date_valid": F.when(hit_nik, checks["date_ok"]).otherwise(False),
-                "phone_valid_prefix": F.when(hit_phone, phone.prefix_valid(w)).otherwise(False),
-                "nik_has_negative_context": F.when(hit_nik, negative).otherwise(False),
-                "phone_has_negative_context": F.when(hit_phone, negative).otherwise(False),
-            }
-        if use_gazetteer:
-            cols |= {name: at(flag(name)) for name in ("in_jabatan_dict", "is_jabatan_prefix", "in_lokasi_dict", "in_nama_dict")}
-            cols["has_title_marker"] = has_title_marker(w)
-            cols |= {name: at(flag(name)) for name in ("bigram_jabatan", "bigram_lokasi")}
-        return F.struct(*[c.alias(name) for name, c in cols.items() if fields is None or name in fields])
-
-    return F.transform(tok, build)
+    if use_gazetteer:
+        cols |= {name: flag(name) for name in ("in_jabatan_dict", "is_jabatan_prefix", "in_lokasi_dict", "in_nama_dict")}
+        cols["has_title_marker"] = each(has_title_marker)
+        cols |= {name: flag(name) for name in ("bigram_jabatan", "bigram_lokasi")}
+    cols = {name: c for name, c in cols.items() if fields is None or name in fields}
+    if fields is not None and cols:  # the arrays of the chosen ones may have no place for null tokens
+        name, arr = next(iter(cols.items()))
+        cols[name] = F.concat(arr, F.array_repeat(F.lit(None), n - F.size(arr)))
+    return F.slice(F.arrays_zip(*[c.alias(name) for name, c in cols.items()]), 1, n)
 
 
 def has_title_marker(word) -> Column:
@@ -256,7 +270,7 @@ def token_features(
         sets = {}
     before = [c for c in df.columns if not c.startswith("_")]
     df = context_arrays(df, sets, tokens)
-    return df.withColumn("features", _feature_struct(tokens, use_regex, use_gazetteer, fields)).select(*before, "features")
+    return df.withColumn("features", _feature_structs(tokens, use_regex, use_gazetteer, fields)).select(*before, "features")
 
 
 def _fields(df: DataFrame) -> list[str]:
@@ -281,16 +295,14 @@ def feature_strings(df: DataFrame, names: list[str] | None = None) -> Column:
 def long_features(df: DataFrame, id_col: str = "sample_id") -> DataFrame:
     """(id, pos, name, value): one row per feature that is present.
 
-    The fields are turned into a map inside the array; exploding the struct first would make
-    the optimizer compute the whole feature array once per field.
+    Both explodes and the values between them are compiled together; a lambda that made the values
+    would run interpreted for every feature of every token.
     """
     fields = _fields(df)
-    as_map = F.transform(
-        "features",
-        lambda t: F.create_map(*[x for f in fields for x in (F.lit(f), t[f].cast("string"))]),
-    )
+    tokens = explode_rows(df, [id_col], "features", "_f", "pos")
+    values = F.array(*[F.col("_f")[f].cast("string") for f in fields])
     return (
-        explode_rows(df, [id_col], as_map, "m", "pos")
-        .select(id_col, "pos", F.explode_outer("m").alias("name", "value"))
+        tokens.select(id_col, "pos", F.posexplode(values).alias("_k", "value"))
         .where("value is not null")
+        .select(id_col, "pos", F.get(F.lit(fields), "_k").alias("name"), "value")
     )

@@ -12,7 +12,7 @@ from ..functions.fixed import (
 from ..functions.labels import entity_spans
 from ..functions.let import let
 from ..functions.text import token_lowers
-from .common import explode_rows, small_rows
+from .common import explode_rows, materialize, small_rows
 
 CATEGORIES = [
     "jabatan_tokens", "jabatan_phrases", "jabatan_prefix", "lokasi_tokens", "lokasi_phrases",
@@ -101,7 +101,7 @@ def top_terms(counts: DataFrame, category: str, k: int) -> DataFrame:
 
 
 def build_gazetteer(train: DataFrame, min_count: int = 2, top_names: int = 500, **columns) -> DataFrame:
-    counts = mine_counts(train, **columns)
+    counts = materialize(mine_counts(train, **columns))  # read twice; all samples would be mined for each
     repeated = ["jabatan_tokens", "jabatan_phrases", "lokasi_tokens", "lokasi_phrases"]
     mined = counts.where(
         (F.col("category").isin(repeated) & (F.col("n") >= min_count))

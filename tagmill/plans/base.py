@@ -10,17 +10,22 @@ from .payloads import damaged_nik, person_columns, render_payloads
 
 # Bytes of a scan that one task reads at Spark's defaults.
 SPLIT_BYTES = 128 << 20
+# Rows that one task works on, about, and bytes per core below which a table is not counted for that.
+TASK_ROWS, COUNTED_BYTES = 50_000, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table. One that is smaller than a split per core is dealt out evenly, since it would
-    otherwise be read, and worked on, by one task; a larger one stays where its splits are."""
+    otherwise be read, and worked on, by one task; the more rows, the more tasks, so that what a task holds does
+    not grow with the table. A larger one stays where its splits are."""
     path = f"{sf_dir}/{name}.parquet"
     df = spark.read.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+    if size >= cores * SPLIT_BYTES:
+        return df
+    return df.repartition(cores if size < cores * COUNTED_BYTES else max(cores, -(-df.count() // TASK_ROWS)))
 
 
 # Rows of a table that one task of a stream works on, about.

@@ -228,7 +228,8 @@ _FEATURES_SQL = (
 
 def _feature_counts(spark, sf, **options):
     terms = materialize(gazetteer.build_gazetteer(base.tagged(spark, sf)))
-    long = features.long_features(features.token_features(base.tagged(spark, sf, "holdout"), terms, **options))
+    goal = base.tagged(spark, sf, "holdout").select("sample_id", "tokens")
+    long = features.long_features(features.token_features(goal, terms, **options))
     return long.groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("value").alias("distinct_values"))
 
 

@@ -372,6 +372,60 @@ def test_chosen_features_equal_all_features(spark):
     assert [[f.asDict() for f in r["features"]] for r in some] == [[{n: f[n] for n in f.__fields__ if n in names} for f in r["features"]] for r in whole]
 
 
+def test_context_windows_equal_a_plain_search(spark):
+    rng = random.Random(5)
+    words = ["nik", "hp", "order", "3274635212890001", "081234567890", "x", "é", ".", ""]
+    rows = [(i, [rng.choice(words + ["x"] * 12) for _ in range(i)]) for i in range(45)] + [(90, None)]
+    df = spark.createDataFrame(rows, "sample_id int, tokens array<string>")
+    terms = {"nik_labels": ["nik"], "phone_labels": ["hp"], "negative_keywords": ["order"]}
+    for r in features.token_features(df, terms).collect():
+        t = r["tokens"]
+        near = lambda w, i, after: w in t[max(i - 10, 0) : i] or (after and w in t[i + 1 : i + 11])
+        for i, f in enumerate(r["features"] or []):
+            assert f["has_nik_label_context"] == near("nik", i, False) and f["has_phone_label_context"] == near("hp", i, False)
+            assert f["nik_has_negative_context"] == (t[i] == words[3] and near("order", i, True))
+            assert f["phone_has_negative_context"] == (t[i] == words[4] and near("order", i, True))
+            assert (f["m2_lower"], f["p2_lower"]) == (t[i - 2] if i > 1 else None, t[i + 2] if i + 2 < len(t) else None)
+            assert (f["bos"], f["eos"]) == (i == 0, i == len(t) - 1)
+        assert len(r["features"] or []) == len(t or []) and (r["features"] is None) == (t is None)
+
+
+def test_null_tokens_keep_their_places(spark):
+    df = spark.createDataFrame([(1, ["a", "nik", None, "B"])], "sample_id int, tokens array<string>")
+    f = features.token_features(df).first()["features"]
+    assert [x["word_identity"] for x in f] == ["a", "nik", None, "B"]
+    assert len(features.token_features(df, fields=["word_lower"]).first()["features"]) == 4
+
+
+def test_long_features_are_made_by_compiled_code(spark):
+    df = features.token_features(spark.createDataFrame([(7, ["Rina", "9"])], "sample_id int, tokens array<string>"))
+    long = features.long_features(df)
+    rows = {(r["sample_id"], r["pos"], r["name"]): r["value"] for r in long.collect()}
+    whole = [f.asDict() for f in df.first()["features"]]
+    text = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
+    assert rows == {(7, i, n): text(v) for i, f in enumerate(whole) for n, v in f.items() if v is not None}
+    plan = long._jdf.queryExecution().executedPlan().toString()
+    assert "map(" not in plan and plan.count("Generate ") == 2
+
+
+def test_samples_are_mined_once(spark):
+    df = spark.createDataFrame([(0, ["Rina", "di"], ["B-NAMA", "O"])], "sample_id long, tokens array<string>, labels array<string>")
+    found = gazetteer.build_gazetteer(df)
+    assert ("nama_prefixes", "rina") in {(r["category"], r["term"]) for r in found.collect()}
+    assert "sample_id" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tables_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    from tagmill.plans import base
+
+    spark.range(300).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    assert base.table(spark, str(tmp_path), "customer").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(base, "COUNTED_BYTES", 1)
+    monkeypatch.setattr(base, "TASK_ROWS", 20)
+    dealt = base.table(spark, str(tmp_path), "customer")
+    assert dealt.rdd.getNumPartitions() == 15 and dealt.count() == 300
+
+
 def test_throughput_counts_what_it_scores(spark):
     df = spark.createDataFrame([(i, ["a"] * (i % 4)) for i in range(50)], "id int, tokens array<string>")
     got = throughput.score_throughput(df, lambda d: d.select(F.reverse("tokens")), F.size("tokens"), runs=1)
