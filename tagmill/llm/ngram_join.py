@@ -61,15 +61,20 @@ def frequency_classes(docs: DataFrame, n: int = N) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int32)
+
+        def add(held: list[np.ndarray]) -> None:  # a count of all places would take three times the sketch
+            place, times = np.unique(np.concatenate(held), return_counts=True)
+            counts[place] += times.astype(np.int32)
+
         for batch in batches:
             held: list[np.ndarray] = []
             for _, s in _sets(batch.column(0), n):
                 held.append((s >> _SHIFT).astype(np.int32))
-                if len(held) > 4000:
-                    counts += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.int32)
+                if len(held) > 1000:
+                    add(held)
                     held = []
             if held:
-                counts += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.int32)
+                add(held)
         rows = counts.reshape(bitmaps.BLOCKS, -1)
         full = [b for b in range(bitmaps.BLOCKS) if rows[b].any()]
         for i in range(0, len(full), 32):

@@ -9,6 +9,7 @@ their sequence and offset in the plan by arithmetic, so no step needs all pieces
 
 import base64
 import bisect
+import functools
 import re
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ VOCABULARY = "byte_bpe_50k"
 END_ID = 0
 NODES = 2_000
 GROUP_ROWS = 1024
-_CACHE = 400_000
+_CACHE = 100_000
 
 # Letters, digits and white space of Latin-1 as the vocabulary's own split pattern sees them.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
@@ -36,12 +37,15 @@ def token_bytes(vocabulary: str = VOCABULARY):
 
     The parts of a text that merges never cross are looked up in a bounded cache; a part that is
     not there is encoded from the same vocabulary's ranks. Texts beyond Latin-1 or with the
-    string of a special token go to the tokenizer whole.
+    string of a special token go to the tokenizer whole, which is loaded with the first of them.
     """
     import tiktoken
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+    @functools.cache
+    def whole():
+        return Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     part = tiktoken.Encoding("parts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -65,7 +69,7 @@ def token_bytes(vocabulary: str = VOCABULARY):
             plain = False
         if plain:
             return b"".join(map(parts.__getitem__, _LATIN.findall(text)))
-        return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(whole().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     return encode
 

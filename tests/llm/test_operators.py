@@ -132,6 +132,21 @@ def test_domains(spark):
 # ------------------------------------------------------------------ op2
 
 
+def test_plain_texts_do_not_load_the_whole_tokenizer(monkeypatch):
+    import tokenizers
+
+    class Refused:
+        @staticmethod
+        def from_file(path):
+            raise MemoryError(path)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Refused)
+    encode = packing.token_bytes()
+    assert len(encode("plain words, caf\xe9")) % 4 == 0 and encode("") == b""
+    with pytest.raises(MemoryError):
+        encode("\u4e2d")
+
+
 def test_token_bytes_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
