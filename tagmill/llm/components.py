@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         else:
             both = e
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        joined = both.join(low, "u")
+        joined = both.join(low.hint("merge"), "u")  # a broadcast a step would stay in the driver's heap until it is collected
         if large:
             out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:

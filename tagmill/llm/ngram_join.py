@@ -237,11 +237,18 @@ def overlaps(docs: DataFrame, pairs: DataFrame, n: int = N) -> DataFrame:
     return partial.groupBy("x", "y", "n_x", "n_y").agg(F.sum("c").alias("common"))
 
 
+def many_pairs(open_lists: DataFrame, lists: DataFrame) -> bool:
+    """Whether the open lists hold more pairs of classes than all lists have rows. Otherwise forming the pairs costs less
+    than another round, which reads all texts and whose many small jobs the driver remembers."""
+    pairs = open_lists.groupBy("h").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
+    return pairs > lists.count()
+
+
 def linked_classes(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOMINATOR, rounds: int = 1) -> DataFrame:
     """Edges (x, y) of class keys whose sets link, enough of them to connect every component.
 
     Each of ``rounds`` checks one or two classes per class and connects what links; pairs are formed
-    of what is in different components after the last one only.
+    of what is in different components after the last one only. Rounds end once no ``many_pairs`` are left.
     """
     lists = materialize(prefix_lists(docs, frequency_classes(docs, n), n, num, den))
     # a class shares no more prefix n-grams than it has lists
@@ -270,7 +277,10 @@ def linked_classes(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int =
     first = materialize(best_of(chain).union(best_of(star)).distinct())
     edges = materialize(overlaps(docs, first, n).where(enough).select("x", "y"))
     open_lists = still_open(edges)
-    for _ in range(rounds - 1):  # again, with the centres of lists that are open, for classes of other components
+    for _ in range(rounds - 1):
+        if not many_pairs(open_lists, lists):
+            break
+        # again, with the centres of lists that are open, for classes of other components
         centre = materialize(open_lists.groupBy("h").agg(F.max_by(F.struct("key", "n", "c"), F.struct("d", "key")).alias("o")))
         star = open_lists.join(centre, "h").where("c <> o.c").select("key", "n", F.col("o.key").alias("o"), F.col("o.n").alias("m"))
         new = materialize(best_of(star).distinct().join(first, ["x", "y"], "left_anti"))

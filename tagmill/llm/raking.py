@@ -48,7 +48,7 @@ def target_marginals(cells: DataFrame, dim: str, temper: float = TEMPER) -> Data
 
 def largest_miss(fitted: DataFrame, targets: dict[str, DataFrame]) -> float:
     """The largest difference between a value's raked share and its target."""
-    each = [fitted.groupBy(d).agg(F.sum("share").alias("s")).join(t, d).select(F.abs(F.col("s") - F.col("target")).alias("miss")) for d, t in targets.items()]
+    each = [fitted.groupBy(d).agg(F.sum("share").alias("s")).join(t.hint("merge"), d).select(F.abs(F.col("s") - F.col("target")).alias("miss")) for d, t in targets.items()]
     return functools.reduce(DataFrame.unionByName, each).agg(F.max("miss")).first()[0] or 0.0
 
 
@@ -58,21 +58,19 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     ``targets`` has for each dimension a table of its values and their ``target`` share; a value
     without a target gets none, and a target without cells cannot be met. Each step is a grouped
     sum and a join, written out, so no dimension is gathered in one place. With a ``tolerance``
-    it ends before ``rounds`` when no share misses its target by more.
+    it ends before ``rounds`` when no share misses its target by more. Targets are merged, not broadcast:
+    broadcasts of many small steps would stay in the driver's heap until it is collected.
     """
-    fitted = cells.withColumn("share", F.col("tokens").cast("double"))
+    fitted = materialize(cells.withColumn("share", F.col("tokens").cast("double")))
     targets = {dim: materialize(t) for dim, t in targets.items()}
     for _ in range(rounds):
         for dim, target in targets.items():
-            fitted = materialize(fitted)
             sums = fitted.groupBy(dim).agg(F.sum("share").alias("__sum"))
-            factor = sums.join(target, dim, "left").select(dim, F.coalesce(F.try_divide("target", "__sum"), F.lit(0.0)).alias("__f"))
-            fitted = fitted.join(factor, dim, "left").withColumn("share", F.col("share") * F.col("__f")).drop("__f")
-        if tolerance is not None:
-            fitted = materialize(fitted)
-            if largest_miss(fitted, targets) <= tolerance:
-                break
-    return materialize(fitted)
+            factor = sums.join(target.hint("merge"), dim, "left").select(dim, F.coalesce(F.try_divide("target", "__sum"), F.lit(0.0)).alias("__f"))
+            fitted = materialize(fitted.join(factor, dim, "left").withColumn("share", F.col("share") * F.col("__f")).drop("__f"))
+        if tolerance is not None and largest_miss(fitted, targets) <= tolerance:
+            break
+    return fitted
 
 
 def uniform(id_col, seed: str = SEED) -> Column:

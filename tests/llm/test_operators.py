@@ -1,6 +1,7 @@
 """Training-text operators against plain versions, and their defined results for odd input."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -280,6 +281,39 @@ def test_ngram_components_equal_all_pairs(frame, n, num, den, rounds, monkeypatc
     assert got == plain_components(rows, n, num, den)
 
 
+def test_rounds_end_when_few_pairs_are_left(frame, monkeypatch):
+    rows, calls, overlaps = near_copies(5), [], ngram_join.overlaps
+    monkeypatch.setattr(ngram_join, "overlaps", lambda *a: calls.append(1) or overlaps(*a))
+    plain = plain_components(rows, 5, 80, 100)
+    for many, checks in ((None, 2), (True, 4)):
+        if many:
+            monkeypatch.setattr(ngram_join, "many_pairs", lambda *a: True)
+        calls.clear()
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(frame(rows), 5, 80, 100, 3).collect()}
+        assert got == plain and len(calls) == checks
+
+
+def test_many_pairs_are_counted_by_list(spark):
+    lists = spark.createDataFrame([(h, k) for h in range(3) for k in range(10)], "h long, key long")
+    assert ngram_join.many_pairs(lists, lists)  # 135 pairs, 30 rows
+    assert not ngram_join.many_pairs(lists.where("key < 2"), lists)
+    assert not ngram_join.many_pairs(lists.limit(0), lists)
+
+
+def kept_plans(monkeypatch, module):
+    """Plans of the tables that a module writes."""
+    plans, write = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    return plans
+
+
+def test_component_steps_do_not_broadcast(spark, monkeypatch):
+    plans = kept_plans(monkeypatch, components)
+    got = components.connected_components(spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")).collect()
+    assert {r.component for r in got} == {0} and any("SortMergeJoin" in p for p in plans)
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_ngram_join_of_odd_documents(frame, odd):
     got = defaultdict(list)
     for r in ngram_join.similar_components(frame(odd)).collect():
@@ -686,6 +720,16 @@ def test_raking_equals_plain_version(frame):
     assert expected == pytest.approx(raking.SHARE, abs=0.03)
 
 
+def test_raking_writes_each_step_once_and_broadcasts_no_targets(spark, monkeypatch):
+    cells = spark.createDataFrame([(s, x, t, 10 * i + 1) for i, (s, x, t) in enumerate(itertools.product("ab", "de", "np"))], "source string, lang string, topic string, tokens long")
+    targets = {d: raking.materialize(raking.target_marginals(cells, d)) for d in raking.DIMS}
+    plans = kept_plans(monkeypatch, raking)
+    got = raking.rake(cells, targets, 2, 0.0).collect()
+    assert len(got) == 8 and sum(r.share for r in got) == pytest.approx(1)
+    assert len(plans) == 1 + 3 + 2 * 3
+    assert all(p.count("BroadcastHashJoin") <= 1 for p in plans)
+
+
 def test_mixing_of_odd_documents(frame, odd):
     docs = frame(odd)
     got = raking.mixing_weights(docs).collect()
