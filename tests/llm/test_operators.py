@@ -282,7 +282,7 @@ def test_ngram_components_equal_all_pairs(frame, n, num, den, rounds, monkeypatc
 
 
 def test_rounds_end_when_few_pairs_are_left(frame, monkeypatch):
-    rows, calls, overlaps = near_copies(5), [], ngram_join.overlaps
+    rows, calls, overlaps = near_copies(60), [], ngram_join.overlaps
     monkeypatch.setattr(ngram_join, "overlaps", lambda *a: calls.append(1) or overlaps(*a))
     plain = plain_components(rows, 5, 80, 100)
     for many, checks in ((None, 2), (True, 4)):
