@@ -93,10 +93,11 @@ def frequency_classes(docs: DataFrame, n: int = N) -> np.ndarray:
 
 
 def prefix_lists(docs: DataFrame, classes: np.ndarray, n: int = N, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """``h, key, n, pos`` (its place in the prefix) and, for all but the first of a list, ``p_key, p_n``.
+    """``h, key, n, pos`` (its place in the prefix), ``need, early`` and, for all but the first of a list, ``p_key, p_n``.
 
-    One row per class and n-gram ``h`` of its prefix that another class has in its prefix too;
-    ``p_`` is the class before it in the list of ``h``, by set size.
+    One row per class and n-gram ``h`` of its prefix that another class of a similar size has in its prefix too;
+    ``p_`` is the class before it in the list of ``h``, by set size. Of all classes of similar sizes in the list, ``need`` is
+    a lower bound of ``least_shared``, and only if ``early`` is the row ``is_early`` beside one of them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(classes)  # SKETCH bytes
 
@@ -126,44 +127,49 @@ def prefix_lists(docs: DataFrame, classes: np.ndarray, n: int = N, num: int = NU
         return pa.RecordBatch.from_arrays(arrays, ["h", "key", "n", "salt", "pos"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the row held back, and whether it has its predecessor in the list
+        held = None  # the list that may go on in the next batch: below 2^13 documents, or a part of a hot one
         for batch in batches:
-            if not batch.num_rows:
-                continue
             cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]
-            if last is not None:
-                cols = [np.concatenate(([a], b)) for a, b in zip(last[0], cols)]
-            fresh = np.ones(len(cols[0]), bool)
-            fresh[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
-            cols = [c[fresh] for c in cols]
-            h, key, size, salt, pos = cols
-            same = np.zeros(len(h), bool)
-            same[1:] = (h[1:] == h[:-1]) & (salt[1:] == salt[:-1])
-            before = [np.concatenate(([0], c[:-1])) for c in (key, size)]
-            if last is not None and last[1] is not None:
-                same[0] = True
-                for c, v in zip(before, last[1]):
-                    c[0] = v
-            hot = (h.view(np.uint64) >> np.uint64(58)).astype(np.int64) > _HOT
-            out = same | hot
-            out[:-1] |= same[1:]
-            last = ([c[-1] for c in cols], [c[-1] for c in before] if same[-1] else None)
-            out[-1] = False
-            if out.any():
-                yield _linked([c[out] for c in (h, key, size, pos)], [c[out] for c in before], same[out])
-        if last is not None:
-            h = np.array([last[0][0]])
-            if last[1] is not None or (h.view(np.uint64) >> np.uint64(58))[0] > _HOT:
-                yield _linked([np.array([last[0][i]]) for i in (0, 1, 2, 4)], [np.array([c]) for c in (last[1] or (0, 0))], np.array([last[1] is not None]))
-
-    def _linked(own, before, same) -> pa.RecordBatch:
-        arrays = [pa.array(own[0]), pa.array(own[1]), pa.array(own[2], pa.int32()), pa.array(own[3], pa.int32())]
+            if held is not None:
+                cols = [np.concatenate(pair) for pair in zip(held, cols)]
+            ends = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[3][1:] != cols[3][:-1])) + 1
+            if len(ends):
+                yield _linked([c[: ends[-1]] for c in cols])
+                cols = [c[ends[-1] :] for c in cols]
+            held = cols
+        if held is not None and len(held[0]):
+            yield _linked(held)
+
+    def _linked(cols: list[np.ndarray]) -> pa.RecordBatch:
+        fresh = np.ones(len(cols[0]), bool)
+        fresh[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+        h, key, size, salt, pos = (c[fresh] for c in cols)
+        same = np.zeros(len(h), bool)
+        same[1:] = (h[1:] == h[:-1]) & (salt[1:] == salt[:-1])
+        before = [np.concatenate(([0], c[:-1])) for c in (key, size)]
+        # the smallest and the largest set of a similar size in the list, its own included; parts of hot lists do not tell
+        hot = (h.view(np.uint64) >> np.uint64(58)).astype(np.int64) > _HOT
+        low, high = -(-num * size // den), den * size // num
+        base = np.cumsum(~same) << 32
+        first, end = np.searchsorted(base + size, base + low), np.searchsorted(base + size, base + high, "right")
+        met = hot | (end - first > 1)
+        low, high = np.where(hot, low, size[first]), np.where(hot, high, size[end - 1])
+        need = np.minimum(*(_surplus(size, m, num, den) // ((num + den) * den) for m in (low, high)))
+        early = 4 * (num + den) * den * pos < 4 * den * ((num + den) * (size + 1) - num * (size + low)) + _surplus(size, low, num, den)
+        arrays = [pa.array(h), pa.array(key), pa.array(size, pa.int32()), pa.array(pos, pa.int32())]
         arrays += [pa.array(c, t, mask=~same) for c, t in zip(before, (pa.int64(), pa.int32()))]
-        return pa.RecordBatch.from_arrays(arrays, ["h", "key", "n", "pos", "p_key", "p_n"])
+        arrays += [pa.array(need), pa.array(early)]
+        return pa.RecordBatch.from_arrays(arrays, ["h", "key", "n", "pos", "p_key", "p_n", "need", "early"]).filter(pa.array(met))
 
     rows = docs.select("text").mapInArrow(emit, "h long, key long, n int, salt int, pos int")
     dealt = rows.repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "key")
-    return dealt.mapInArrow(link, "h long, key long, n int, pos int, p_key long, p_n int")
+    return dealt.mapInArrow(link, "h long, key long, n int, pos int, p_key long, p_n int, need long, early boolean")
+
+
+def _surplus(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """``least_shared`` before rounding, times (num + den) * den. It falls as sizes part, so that over a range of ``m`` the
+    ends have the least; rounding changes it by less than 1."""
+    return den * num * (n + m) - (num + den) * num * np.maximum(n, m) + (num + den) * den
 
 
 def similar_size(n, m, num: int, den: int):
@@ -251,8 +257,8 @@ def linked_classes(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int =
     of what is in different components after the last one only. Rounds end once no ``many_pairs`` are left.
     """
     lists = materialize(prefix_lists(docs, frequency_classes(docs, n), n, num, den))
-    # a class shares no more prefix n-grams than it has lists
-    lists = materialize(lists.join(lists.groupBy("key").agg(F.count("*").alias("d")), "key"))
+    # a class shares no more prefix n-grams than it has lists; where a list needs more of it, it links with none of that list
+    lists = materialize(lists.join(lists.groupBy("key").agg(F.count("*").alias("d")), "key").where("d >= need"))
     # what to check first: of each class the predecessor it follows in most lists, and the centre
     # (the class in most lists) of most of its lists
     chain = lists.where("p_key is not null").select("key", "n", F.col("p_key").alias("o"), F.col("p_n").alias("m"))
@@ -260,33 +266,38 @@ def linked_classes(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int =
     star = lists.join(centre, "h").select("key", "n", F.col("c.key").alias("o"), F.col("c.n").alias("m")).where("key <> o")
     enough = (num + den) * F.col("common") >= num * (F.col("n_x") + F.col("n_y"))
 
-    def best_of(pairs: DataFrame) -> DataFrame:
+    def best_of(pairs: DataFrame, among_early: bool = False) -> DataFrame:
         """Of each class the other one that it meets in most lists, if their sizes and lists let them link."""
         met = pairs.groupBy("key", "o", "n", "m").count()
-        met = met.where(similar_size(F.least("n", "m"), F.greatest("n", "m"), num, den) & (2 * F.col("count") >= least_shared("n", "m", num, den)))
+        enough_lists = F.col("count") >= least_early("n", "m", num, den) if among_early else 2 * F.col("count") >= least_shared("n", "m", num, den)
+        met = met.where(similar_size(F.least("n", "m"), F.greatest("n", "m"), num, den) & enough_lists)
         return met.groupBy("key").agg(F.max_by("o", F.struct("count", "o")).alias("o")).select(F.least("key", "o").alias("x"), F.greatest("key", "o").alias("y"))
 
-    def still_open(edges: DataFrame) -> DataFrame:
-        """The lists that have classes of different components (``c``)."""
+    def still_open(edges: DataFrame, checked: DataFrame, rows: DataFrame) -> DataFrame:
+        """Of ``rows`` of lists those whose list has classes of different components (``c``), but for lists of two classes
+        that are a checked pair."""
         component = connected_components(edges, "x", "y")
-        placed = lists.select("h", "key", "n", "pos", "d").join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
+        placed = rows.select("h", "key", "n", "pos", "d").join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
         placed = materialize(placed)
-        mixed = materialize(placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h"))
+        mixed = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("key").alias("x"), F.max("key").alias("y"), F.count("*").alias("size")).where("lo <> hi")
+        pair = checked.select("x", "y", F.lit(2).cast("long").alias("size"))
+        mixed = materialize(mixed.join(pair.hint("merge"), ["x", "y", "size"], "left_anti").select("h"))
         return materialize(placed.join(mixed, "h", "left_semi"))
 
     first = materialize(best_of(chain).union(best_of(star)).distinct())
     edges = materialize(overlaps(docs, first, n).where(enough).select("x", "y"))
-    open_lists = still_open(edges)
+    # classes that link share n-grams at early places of both; a list that is closed stays so
+    open_lists = still_open(edges, first, lists.where("early"))
     for _ in range(rounds - 1):
         if not many_pairs(open_lists, lists):
             break
         # again, with the centres of lists that are open, for classes of other components
         centre = materialize(open_lists.groupBy("h").agg(F.max_by(F.struct("key", "n", "c"), F.struct("d", "key")).alias("o")))
         star = open_lists.join(centre, "h").where("c <> o.c").select("key", "n", F.col("o.key").alias("o"), F.col("o.n").alias("m"))
-        new = materialize(best_of(star).distinct().join(first, ["x", "y"], "left_anti"))
+        new = materialize(best_of(star, True).distinct().join(first, ["x", "y"], "left_anti"))
         first = materialize(first.union(new))
         edges = materialize(edges.union(overlaps(docs, new, n).where(enough).select("x", "y")))
-        open_lists = still_open(edges)
+        open_lists = still_open(edges, first, open_lists)
     # what is left: classes of different components that meet in enough lists
     a = open_lists.select("h", *[F.col(c).alias(f"a_{c}") for c in ("key", "n", "pos", "d", "c")])
     b = open_lists.select("h", *[F.col(c).alias(f"b_{c}") for c in ("key", "n", "pos", "d", "c")])

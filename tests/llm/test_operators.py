@@ -300,6 +300,49 @@ def test_many_pairs_are_counted_by_list(spark):
     assert not ngram_join.many_pairs(lists.limit(0), lists)
 
 
+@pytest.mark.parametrize("n, num, den, hot", [(4, 85, 100, 24), (5, 80, 100, 24), (5, 80, 100, 6)])
+def test_prefix_lists_leave_out_only_what_cannot_link(frame, n, num, den, hot, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_HOT", hot)
+    docs = frame(near_copies(n))
+    rows = ngram_join.prefix_lists(docs, ngram_join.frequency_classes(docs, n), n, num, den).collect()
+    lists = defaultdict(list)
+    for r in rows:
+        lists[r.h].append(r)
+    up = lambda a, b: -(-a // b)
+    alone = 0
+    for held in lists.values():
+        assert len({r.key for r in held}) == len(held)
+        for r in held:
+            like = [m.n for m in held if m.key != r.key and den * min(m.n, r.n) >= num * max(m.n, r.n)]
+            alone += not like
+            overlap = {m: up(num * (r.n + m), num + den) for m in like}
+            shared = {m: overlap[m] - up(num * max(r.n, m), den) + 1 for m in like}
+            assert all(r.need <= shared[m] for m in like)
+            assert r.early or not any(r.pos < r.n - overlap[m] + (shared[m] + 3) // 4 for m in like)
+    assert rows and (hot < 24 or not alone)
+
+
+def test_lists_of_a_checked_pair_are_closed(frame, monkeypatch):
+    rng = random.Random(31)
+    word = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    rows = []
+    for g in range(40):  # two texts that share half their words, and a third that makes their own words more frequent
+        common, a, b = word(60), word(30), word(30)
+        rows += [(10 * g + i, " ".join(w)) for i, w in enumerate((common + a, common + b, a + word(400), a + word(500), b + word(400), b + word(500)))]
+    tables, write = [], ngram_join.materialize
+
+    def kept(df):
+        tables.append(write(df))
+        return tables[-1]
+
+    monkeypatch.setattr(ngram_join, "materialize", kept)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(frame(rows), 5, 80, 100).collect()}
+    assert got == plain_components(rows, 5, 80, 100)
+    first = next(t for t in tables if t.columns == ["x", "y"])
+    open_lists = [t for t in tables if t.columns == ["h", "key", "n", "pos", "d", "c"]][-1]
+    assert first.count() >= 40 and open_lists.count() == 0
+
+
 def kept_plans(monkeypatch, module):
     """Plans of the tables that a module writes."""
     plans, write = [], module.materialize
