@@ -89,6 +89,28 @@ def test_fit_reaches_the_minimum_whatever_the_shards(spark):
     assert none["state"].count() == none["trans"].count() == 0
 
 
+def test_a_step_takes_few_jobs_and_blocks_change_nothing(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [([[f"w={rng.randint(0, 40)}", f"v={rng.randint(0, 5)}", "bias"] for _ in range(rng.randint(1, 7))],) for _ in range(80)]
+    rows = [(w, ["X" if int(t[0][2:]) % 3 else rng.choice("OY") for t in w]) for (w,) in rows]
+    df = spark.createDataFrame(rows, "words array<array<string>>, labels array<string>")
+
+    def fit(steps):
+        spark.sparkContext.setJobGroup(f"fit {steps}", "")
+        out = chain.fit_chain(df, F.col("words"), 0.05, 0.1, max_iter=steps, shard_tokens=50, period=100)
+        assert len(out["losses"]) == steps + 1
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit {steps}"))
+
+    try:
+        (_, few), (out, more) = fit(2), fit(10)
+        monkeypatch.setattr(chain, "BLOCK_FEATURES", 1, raising=False)
+        small, _ = fit(9)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert more - few <= 8 * 12  # writing, reading back and joining each vector took more than 20 a step
+    assert np.allclose(small["losses"], out["losses"][:10], rtol=1e-8)
+
+
 def test_packing_computes_features_once(spark):
     calls = spark.sparkContext.accumulator(0)
 
