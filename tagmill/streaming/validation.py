@@ -1,9 +1,11 @@
 """Expected against detected IDs on a stream: state per ID, timers for what never comes.
 
-Each ID has a state of its own, so IDs are dealt over all tasks and nothing is gathered. Sent IDs are in
-state from the start; a timer at their deadline tells those that were never detected.
+IDs are dealt over a fixed number of buckets by their hash, and a bucket's IDs are one state with one timer,
+at the time of its first ID that waits for one: a call of the state store then serves many IDs, and nothing is gathered. Sent
+IDs are in state from the start; a timer at their deadline tells those that were never detected.
 """
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,17 +18,24 @@ from .detect import CLOSING_TIME, run_to_files
 _OUT = "nik string, verdict string, ms long, tp int, fp int, fn int"
 # Rate of change of the totals by verdict: (tp, fp, fn). A sent ID that shows up past its deadline takes its miss back.
 CHANGES = {"TP": (1, 0, 0), "FP": (0, 1, 0), "FN": (0, 0, 1), "late": (1, 0, -1)}
-_STATE = "deadline long, detected boolean, missed boolean"  # no deadline: nobody sent it
+# Buckets of IDs. A checkpoint goes on with the number it began with.
+BUCKETS = 1024
+# ``ids``: JSON, by ID the deadline (none: nobody sent it), the flags and the time it waits for. ``timer`` is the one registered.
+_STATE = "ids string, timer long"
+DETECTED, MISSED = 1, 2
 
 
-def _row(key: str, verdict: str, ms: int) -> pd.DataFrame:
-    return pd.DataFrame({"nik": [key], "verdict": [verdict], "ms": [ms], **{c: [v] for c, v in zip(("tp", "fp", "fn"), CHANGES[verdict])}})
+def _rows(told: list[tuple[str, str, int]]) -> Iterator[pd.DataFrame]:
+    if told:
+        niks, verdicts, times = zip(*told)
+        change = zip(*(CHANGES[v] for v in verdicts))
+        yield pd.DataFrame({"nik": niks, "verdict": verdicts, "ms": times, **dict(zip(("tp", "fp", "fn"), change))})
 
 
 class IdVerdicts(StatefulProcessor):
     """TP or FP at the first detection of an ID, FN at its deadline without one, ``late`` at the first
     detection after that, by the times of the rows and not of their arrival. An ID that nobody sent is
-    forgotten ``forget_ms`` after its last detection."""
+    forgotten ``forget_ms`` after its last detection. The key is a bucket of IDs."""
 
     def __init__(self, forget_ms: int):
         self.forget_ms = forget_ms
@@ -35,48 +44,77 @@ class IdVerdicts(StatefulProcessor):
         self.handle = handle
         self.seen = handle.getValueState("seen", _STATE)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        deadline = int(initialState["deadline"].max())
-        self.seen.update((deadline, False, False))
-        self.handle.registerTimer(deadline)
+    def _ids(self) -> tuple[dict, int | None]:
+        found = self.seen.get()
+        return (json.loads(found[0]), found[1]) if found else ({}, None)
+
+    def _keep(self, ids: dict, timer: int | None, fired: bool = False) -> None:
+        """``timer`` was registered; one that has fired is deleted by Spark."""
+        due = min((x[2] for x in ids.values() if x[2] is not None), default=None)
+        if due != timer:
+            if timer is not None and not fired:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if ids:
+            self.seen.update((json.dumps(ids, separators=(",", ":")), due))
+        else:
+            self.seen.clear()
 
-    def _clear_timers(self) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        ids, timer = self._ids()
+        for sent in initialState["sent"]:
+            for one in sent:
+                deadline = int(one["deadline"])
+                ids[one["nik"]] = [deadline, 0, deadline]
+        self._keep(ids, timer)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first, last = None, None
+        times = {}
         for part in rows:
-            low, high = int(part["ms"].min()), int(part["ms"].max())
-            first, last = (low, high) if first is None else (min(first, low), max(last, high))
-        if first is None:
+            for nik, ms in zip(part["nik"].tolist(), part["ms"].tolist()):
+                old = times.get(nik)
+                if old is None or old[0] != old[0]:
+                    times[nik] = (ms, ms)
+                elif ms < old[0] or ms > old[1]:
+                    times[nik] = (min(ms, old[0]), max(ms, old[1]))
+        if not times:
             return
-        deadline, detected, missed = self.seen.get() if self.seen.exists() else (None, False, False)
-        if deadline is None:  # its timer moves on with each detection
-            self._clear_timers()
-            self.handle.registerTimer(last + self.forget_ms)
-        elif not detected:
-            self._clear_timers()
-            if first > deadline and not missed:  # the timer would have fired, had the batch ended before
-                missed = True
-                yield _row(key[0], "FN", deadline)
-        if not detected:
-            yield _row(key[0], "late" if missed else "FP" if deadline is None else "TP", first)
-        self.seen.update((deadline, True, missed))
+        ids, timer = self._ids()
+        told = []
+        for nik, (first, last) in times.items():
+            first, last = int(first), int(last)
+            deadline, flags, _ = ids.get(nik) or (None, 0, None)
+            if deadline is not None and not flags and first > deadline:  # the timer would have fired, had the batch ended before
+                flags = MISSED
+                told.append((nik, "FN", deadline))
+            if not flags & DETECTED:
+                told.append((nik, "late" if flags else "FP" if deadline is None else "TP", first))
+            # the time of an ID that nobody sent moves on with each detection
+            ids[nik] = [deadline, flags | DETECTED, last + self.forget_ms if deadline is None else None]
+        self._keep(ids, timer)
+        yield from _rows(told)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        deadline, detected, _ = self.seen.get() if self.seen.exists() else (None, False, False)
-        if deadline is None:
-            self.seen.clear()
-        elif not detected:
-            self.seen.update((deadline, False, True))
-            yield _row(key[0], "FN", deadline)
+        ids, timer = self._ids()
+        fired, passed = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        told = []
+        for nik, (deadline, flags, due) in list(ids.items()):
+            if due is None or (due > fired and due >= passed):
+                continue
+            if deadline is None:
+                del ids[nik]
+            else:
+                ids[nik] = [deadline, flags | MISSED, None]
+                told.append((nik, "FN", deadline))
+        self._keep(ids, timer, fired=True)
+        yield from _rows(told)
 
     def close(self) -> None:
         pass
 
 
-def validate_log_stream(detections: DataFrame, expected: DataFrame, id_col: str = "nik", time_col: str = "ts", late: str = "1 hour", forget: str = "1 day") -> DataFrame:
+def validate_log_stream(detections: DataFrame, expected: DataFrame, id_col: str = "nik", time_col: str = "ts", late: str = "1 hour", forget: str = "1 day", buckets: int = BUCKETS) -> DataFrame:
     """A stream of verdicts (nik, verdict, ts, and the change of tp, fp, fn) on IDs from a stream of detections and the table of sent IDs.
 
     ``expected`` has the ID and ``deadline``, the time by which it must have been detected (of repeated
@@ -91,7 +129,9 @@ def validate_log_stream(detections: DataFrame, expected: DataFrame, id_col: str
     rows = rows.where("nik is not null or ts < timestamp'0001-01-01'")
     known = expected.select(F.col(id_col).alias("nik"), F.unix_millis("deadline").alias("deadline")).where("nik is not null").groupBy("nik").agg(F.max("deadline").alias("deadline"))
     wait = int(pd.Timedelta(forget).total_seconds() * 1000)
-    out = rows.groupBy("nik").transformWithStateInPandas(IdVerdicts(wait), _OUT, "append", "eventTime", known.groupBy("nik"))
+    bucket = F.pmod(F.xxhash64("nik"), F.lit(buckets)).alias("bucket")
+    known = known.groupBy(bucket).agg(F.collect_list(F.struct("nik", "deadline")).alias("sent"))
+    out = rows.select(bucket, "*").groupBy("bucket").transformWithStateInPandas(IdVerdicts(wait), _OUT, "append", "eventTime", known.groupBy("bucket"))
     return out.select("nik", "verdict", F.timestamp_millis("ms").alias("ts"), "tp", "fp", "fn")
 
 

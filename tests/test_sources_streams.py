@@ -202,6 +202,26 @@ def test_stream_tells_misses_repeats_and_late_ids(spark, tmp_path):
     assert totals == [(1, 1, 0), (1, 1, 1), (1, 1, 2), (1, 2, 2), (2, 2, 1)]
 
 
+def test_ids_of_a_bucket_share_state_and_are_told_apart(spark, tmp_path):
+    """Few state rows and timers for many IDs, with the verdicts that a state per ID gives."""
+    rng = random.Random(11)
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    batches = [[(at(600 * n + rng.randint(-100, 300)), f"id {rng.randint(0, 400)}") for _ in range(150)] for n in range(5)] + [[(at(9000), None)]]
+    sent = spark.createDataFrame([(f"id {i}", at(rng.randint(0, 2500))) for i in range(0, 400, 2)], "nik string, deadline timestamp")
+    stream = _rows_stream(spark, tmp_path, batches, "ts timestamp, nik string")
+    found = {}
+    for buckets in (3, 1_000_003):
+        query, path = detect.run_to_files(validation.validate_log_stream(stream, sent, buckets=buckets, forget="5 hours"))
+        found[buckets] = sorted(map(tuple, spark.read.parquet(path).collect()))
+        kept = max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress)
+        assert (kept <= 3 * 4) == (buckets == 3)
+    assert found[3] == found[1_000_003]
+    told = [v for _, v, *_ in found[3]]
+    assert {v: told.count(v) > 5 for v in set(told)} == dict.fromkeys(validation.CHANGES, True)
+    fp = [n for n, v, *_ in found[3] if v == "FP"]
+    assert len(fp) > len(set(fp))  # some were forgotten and came again
+
+
 def test_streams_of_small_files_are_dealt_out(spark, tmp_path, monkeypatch):
     from tagmill.plans import base
 
